@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scholarlens.llm.common import table
 from scholarlens.llm.near_dup import near_duplicates
+from scholarlens.llm.packing import packed
 
 
 def op5_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,8 +14,14 @@ def op5_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in a packed sequence."""
+    return packed(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op5_minhash_near_dup": op5_minhash_near_dup,
+    "op6_best_fit_packing": op6_best_fit_packing,
 }
 
 ORACLES: dict[str, str] = {}
