@@ -5,8 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from scholarlens.llm.common import table
+from scholarlens.llm.decontam import leaks
 from scholarlens.llm.near_dup import near_duplicates
 from scholarlens.llm.packing import packed
+from scholarlens.llm.quality import quality
+from scholarlens.llm.secrets import secret_digests
+from scholarlens.llm.toxicity import toxicity
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strict and linked secrets of every document."""
+    return secret_digests(table(spark, sf_dir, "documents"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op5_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +38,18 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a benchmark item that leaks into it."""
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op3_secret_scan": op3_secret_scan,
+    "op4_quality": op4_quality,
     "op5_minhash_near_dup": op5_minhash_near_dup,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_decontamination": op8_decontamination,
 }
 
 ORACLES: dict[str, str] = {}

@@ -12,6 +12,8 @@ never produces pairs of parts.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,9 +74,12 @@ def spans(raw: bytes) -> list[tuple[str, int, int]]:
     if has_hex:
         found += [("hex", *m.span()) for m in HEX.finditer(text) if m.end() - m.start() >= 32]
     strict = sorted(x[1:] for x in found)
+    starts = [a for a, _ in strict]
+    reach = list(accumulate((b for _, b in strict), max))
 
     def free(start: int, end: int) -> bool:
-        return not any(a < end and start < b for a, b in strict)
+        before = bisect_left(starts, end)
+        return before == 0 or reach[before - 1] <= start
 
     if _IDS.search(lower):
         found += [("identifier", *m.span()) for m in IDENTIFIER.finditer(text) if free(*m.span())]
@@ -89,6 +94,7 @@ def _scan(batch):
     rows = [spans(text) for text in byte_texts(batch, "text")]
     return {
         "doc_id": batch.column("doc_id"),
+        "text_key": batch.column("text_key"),
         "parts": [[{"start": a, "rank": KINDS.index(k), "kind": k, "end": b} for k, a, b in row] for row in rows],
     }
 
@@ -124,15 +130,17 @@ def _linked(parts: DataFrame, scope: int) -> DataFrame:
     return parts.filter(~F.col("p.kind").isin(*STRICT)).filter(met).select("row", "p")
 
 
-def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
+def secret_spans(docs: DataFrame, scope: int = SCOPE, keep_key: bool = False) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, base and reported, arrays of spans in order of start.
 
     ``base`` has the strict spans alone, ``reported`` the weak parts that were linked
-    as well. Null texts count as empty and have no span; repeated rows are scanned
+    as well; ``keep_key`` adds text_key, xxhash64 of the text. Null texts count as empty and have no span; repeated rows are scanned
     one by one; null ids are kept; other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    scanned = mapped(docs, _scan, f"doc_id long, parts {PARTS}")
+    docs = docs.select(
+        F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("text_key")
+    )
+    scanned = mapped(docs, _scan, f"doc_id long, text_key long, parts {PARTS}")
     scanned = stored(scanned.withColumn("row", F.monotonically_increasing_id()), "spans")
     weak = F.exists("parts", lambda p: p["rank"] >= len(STRICT)) & (F.size("parts") > 1)
     linked = _linked(scanned.filter(weak).select("row", F.explode("parts").alias("p")), scope)
@@ -140,7 +148,8 @@ def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     base = F.filter("parts", lambda p: p["rank"] < len(STRICT))
     joined = scanned.join(extra, "row", "left")
     reported = F.when(F.col("extra").isNull(), base).otherwise(F.array_sort(F.concat(base, F.col("extra"))))
-    return joined.select("doc_id", base.alias("base"), reported.alias("reported"))
+    columns = ["doc_id", "text_key"] if keep_key else ["doc_id"]
+    return joined.select(*columns, base.alias("base"), reported.alias("reported"))
 
 
 def secret_digests(docs: DataFrame) -> DataFrame:
@@ -156,10 +165,39 @@ def secret_digests(docs: DataFrame) -> DataFrame:
     )
 
 
-def _without(text: str, cuts: list[tuple[int, int]], mark: str) -> str:
-    out, at = [], 0
-    for start, end in cuts:
-        if start > at or not out:
+def masked(text: str, cuts: list[tuple[int, int]], mark: str) -> str:
+    """``text`` with each run of overlapping cuts replaced by one ``mark``."""
+    out, at, open_to = [], 0, -1
+    for start, end in sorted(cuts):
+        if start >= open_to:
             out += [text[at:start], mark]
-        at = max(at, end)
+        open_to = at = max(open_to, end)
     return "".join([*out, text[at:]])
+
+
+def _mask(mark: str):
+    def run(batch):
+        texts = batch.column("text").to_pylist()
+        for k, cuts in enumerate(batch.column("cuts").to_pylist()):
+            if cuts and texts[k] is not None:
+                texts[k] = masked(texts[k], [(c["start"], c["end"]) for c in cuts], mark)
+        return {name: texts if name == "text" else batch.column(name) for name in batch.schema.names if name != "cuts"}
+
+    return run
+
+
+def redacted(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
+    """``docs`` with every reported span replaced by ``mark``; all rows and columns stay, n_chars follows the text.
+
+    Spans come back by doc_id and a digest of the text, so rows that share an id but
+    not a text keep their own; null ids and null texts match nothing and stay as they are.
+    """
+    columns = docs.columns
+    key = F.xxhash64(F.col("text")).alias("text_key")
+    found = secret_spans(docs.select("doc_id", "text"), keep_key=True).filter(F.size("reported") > 0)
+    cuts = F.transform("reported", lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end")))
+    found = found.select(F.col("doc_id").alias("_id"), "text_key", cuts.alias("cuts")).dropDuplicates(["_id", "text_key"])
+    joined = docs.select("*", key).join(found, (F.col("doc_id") == F.col("_id")) & (key == found["text_key"]), "left")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    out = mapped(joined.select(*columns, "cuts"), _mask(mark), schema)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in columns else out
