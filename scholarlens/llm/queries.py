@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scholarlens.llm.common import table
 from scholarlens.llm.decontam import leaks
+from scholarlens.llm.html_text import extracted
+from scholarlens.llm.media import media_columns
 from scholarlens.llm.near_dup import near_duplicates
 from scholarlens.llm.packing import packed
 from scholarlens.llm.quality import quality
@@ -43,6 +45,16 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Media columns of every document, stored as images in tar shards."""
+    return media_columns(table(spark, sf_dir, "documents"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extracted(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_secret_scan": op3_secret_scan,
@@ -50,6 +62,8 @@ QUERIES = {
     "op5_minhash_near_dup": op5_minhash_near_dup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_decontamination": op8_decontamination,
+    "op9_media_columns": op9_media_columns,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLES: dict[str, str] = {}
