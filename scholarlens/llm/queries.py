@@ -12,6 +12,7 @@ from scholarlens.llm.near_dup import near_duplicates
 from scholarlens.llm.packing import packed
 from scholarlens.llm.quality import quality
 from scholarlens.llm.secrets import secret_digests
+from scholarlens.llm.suffix_lm import lm_scores
 from scholarlens.llm.toxicity import toxicity
 
 
@@ -40,6 +41,11 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of every document."""
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a document and a benchmark item that leaks into it."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -61,6 +67,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_minhash_near_dup": op5_minhash_near_dup,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_suffix_lm": op7_suffix_lm,
     "op8_decontamination": op8_decontamination,
     "op9_media_columns": op9_media_columns,
     "op10_html_extraction": op10_html_extraction,
