@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scholarlens.llm.common import table
 from scholarlens.llm.decontam import leaks
@@ -14,6 +15,7 @@ from scholarlens.llm.quality import quality
 from scholarlens.llm.secrets import secret_digests
 from scholarlens.llm.suffix_lm import lm_scores
 from scholarlens.llm.toxicity import toxicity
+from scholarlens.llm.url_lists import derived_events, listed_captures
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +23,54 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page against the dated list entries that held on the day of its fetching.
+
+    The tables have no list and no day, so both are derived from the pages: the day
+    from the page's number, the list from the hosts (see derived_events).
+    """
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched_at", (F.col("page_id") * 7 % 366).cast("long"))
+    return listed_captures(captures, derived_events(pages))
+
+
+OP2_SQL = r"""
+WITH captures AS (
+  SELECT page_id, url, CAST(page_id * 7 % 366 AS BIGINT) AS fetched_at,
+    lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)) AS host,
+    regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages
+), digits AS (
+  SELECT host, instr('0123456789abcdef', substr(md5(host), 1, 1)) - 1 AS a,
+    (instr('0123456789abcdef', substr(md5(host), 2, 1)) - 1) * 20 AS day,
+    instr('0123456789abcdef', substr(md5(host), 3, 1)) - 1 AS c
+  FROM (SELECT DISTINCT host FROM captures WHERE host <> '')
+), intervals AS (
+  SELECT host AS entry, 'spam' AS category, day AS valid_from,
+    CASE WHEN c < 8 THEN day + 90 END AS valid_to FROM digits WHERE a < 4
+  UNION ALL SELECT host, 'spam', day + 150, NULL FROM digits WHERE a < 4 AND c < 8
+  UNION ALL SELECT host || '/en/', 'adult', day, NULL FROM digits WHERE a BETWEEN 4 AND 7
+), parts AS (
+  SELECT page_id, url, fetched_at, host, string_split(host, '.') AS labels,
+    list_filter(string_split(path, '/'), x -> x <> '') AS segments FROM captures
+), wanted AS (
+  SELECT DISTINCT page_id, unnest(list_concat(
+    list_transform(range(1, greatest(2, len(labels))), i -> array_to_string(labels[i:], '.')),
+    list_transform(range(1, len(segments) + 1), i -> host || '/' || array_to_string(segments[1:i], '/') || '/'))) AS entry
+  FROM parts WHERE host <> ''
+), found AS (
+  SELECT w.page_id, list_sort(list(DISTINCT i.category || ':' || i.entry)) AS names
+  FROM wanted w JOIN captures p ON p.page_id = w.page_id
+  JOIN intervals i ON i.entry = w.entry AND p.fetched_at >= i.valid_from
+    AND (i.valid_to IS NULL OR p.fetched_at < i.valid_to)
+  GROUP BY w.page_id
+)
+SELECT c.page_id, c.url, c.fetched_at, CAST(coalesce(len(names), 0) AS BIGINT) AS n_entries,
+  coalesce(array_to_string(names, ','), '') AS entries, names IS NOT NULL AS blocked
+FROM captures c LEFT JOIN found f ON f.page_id = c.page_id
+"""
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strict and linked secrets of every document."""
     return secret_digests(table(spark, sf_dir, "documents"))
@@ -63,6 +113,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_url_filters": op2_url_filters,
     "op3_secret_scan": op3_secret_scan,
     "op4_quality": op4_quality,
     "op5_minhash_near_dup": op5_minhash_near_dup,
@@ -73,4 +124,4 @@ QUERIES = {
     "op10_html_extraction": op10_html_extraction,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_url_filters": OP2_SQL}
