@@ -7,11 +7,13 @@ Plan
    densification. Equal sets collapse to their least document by the digest.
 2. Buckets with two or more sets get a star: the most central document (the one
    with the most company over all its buckets) is tied to every other member,
-   so a bucket of m sets gives m - 1 candidate edges.
-3. Edges whose set sizes allow the bound are confirmed on the full sets and
-   contracted to components.
-4. What a star can miss, a link between two members of a bucket that are still
-   in different components, is looked at pair by pair and confirmed as well.
+   so a bucket of m sets gives m - 1 candidate edges. Each document is first held
+   against its best centre alone, on the full sets; the links are contracted to
+   components, and only buckets that stay split get their whole star confirmed.
+3. What a star can miss, a link between two members that are in different
+   components, is found past the centre: two members share at most what both have
+   in common with it, and elements that it lacks, so an equality join on those
+   elements finds all pairs that can be linked, and no others are formed.
 
 Links of similarity ``PERCENT`` / 100 share a bucket but for a chance of about
 3e-7 (32 bands of 6 bins), so the components are those of all links.
@@ -26,9 +28,7 @@ from pyspark.sql import functions as F
 
 from scholarlens.llm.common import (
     WordMemo,
-    as_array,
     byte_texts,
-    dropped,
     hash_word,
     mapped,
     mixed,
@@ -131,7 +131,7 @@ class _Sets:
 
     def __call__(self, batch):
         return {
-            "doc_id": batch.column("doc_id"),
+            "doc": batch.column("doc"),
             "shingles": [shingle_set(self.words(text)).tobytes() for text in byte_texts(batch, "text")],
         }
 
@@ -146,14 +146,34 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def _confirm(batch):
-    linked = []
-    for a, b in zip(batch.column("set_a"), batch.column("set_b")):
-        a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
-        both = overlap(a, b)
-        linked.append(100 * both >= PERCENT * (len(a) + len(b) - both))
-    keep = as_array(linked, "bool")
-    return {"a": batch.column("a"), "b": batch.column("b"), "linked": keep}
+def _measure(batch):
+    """Overlap and link of the pairs; for each the elements of x that c lacks and that a partner of x could share.
+
+    A partner y of x has at least PERCENT / 100 of x, of which c has ``both`` at most,
+    so the rest lies in what c lacks; all but (rest - 1) of those elements, in order of
+    hash, must hold one that y has too.
+    """
+    out = {k: [] for k in ("n_c", "n_x", "both", "linked", "added_size", "added")}
+    for c, x in zip(batch.column("set_c"), batch.column("set_x")):
+        c, x = (np.frombuffer(s.as_buffer(), np.uint64) for s in (c, x))
+        at = np.minimum(np.searchsorted(c, x), len(c) - 1)
+        added = x[c[at] != x]
+        both = len(x) - len(added)
+        rest = max(1, -(-PERCENT * len(x) // 100) - both)
+        row = (
+            len(c),
+            len(x),
+            both,
+            100 * both >= PERCENT * (len(c) + len(added)),
+            len(added),
+            added[: max(0, len(added) - rest + 1)].view(np.int64),
+        )
+        for column, value in zip(out.values(), row):
+            column.append(value)
+    return {"c": batch.column("c"), "x": batch.column("x"), **out}
+
+
+MEASURED = "c long, x long, n_c long, n_x long, both long, linked boolean, added_size long, added array<long>"
 
 
 def _sizes_allow(a: str, b: str) -> str:
@@ -161,20 +181,57 @@ def _sizes_allow(a: str, b: str) -> str:
     return f"100 * least({a}, {b}) >= {PERCENT} * greatest({a}, {b})"
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` whose full shingle sets reach the bound."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(wanted, "doc_id", "left_semi")
-    sets = stored(mapped(texts, _Sets(), "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
+def _enough(both: str, a: str, b: str) -> str:
+    """An overlap of ``both`` links sets of sizes ``a`` and ``b``."""
+    return f"{100 + PERCENT} * ({both}) >= {PERCENT} * ({a} + {b})"
+
+
+def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (c, x) held against each other on their full sets; see MEASURED."""
     found = (
-        pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
-        .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
-        .select("a", "b", "set_a", "set_b")
+        pairs.join(sets.select(F.col("doc").alias("c"), F.col("shingles").alias("set_c")), "c")
+        .join(sets.select(F.col("doc").alias("x"), F.col("shingles").alias("set_x")), "x")
+        .select("c", "x", "set_c", "set_x")
+    )
+    return mapped(found, _measure, MEASURED)
+
+
+def links_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (c, x) that are linked, as edges (a, b)."""
+    return measured(pairs, sets).filter("linked").select(F.col("c").alias("a"), F.col("x").alias("b"))
+
+
+def _placed(rows: DataFrame, components_of: DataFrame, node: str, name: str) -> DataFrame:
+    """``rows`` with the component of column ``node`` (itself if it has no link) as column ``name``."""
+    known = components_of.select(F.col("node").alias(node), F.col("component").alias(name))
+    return rows.join(known, node, "left").withColumn(name, F.coalesce(name, node))
+
+
+def _between(stars: DataFrame) -> DataFrame:
+    """Pairs (c, x) of the members of a star in different components that may still be linked.
+
+    Two members share at most what both have in common with the centre and what the
+    centre lacks in both. So either the first alone is enough, or they share an added
+    element. At least one of a pair is outside the centre's component.
+    """
+    rows = stars.select("c", "x", "n_x", "both", "added", "added_size", "component", "centre_component")
+    outside = rows.filter("component <> centre_component")
+    fields = ["x", "n_x", "both", "added_size", "component"]
+    left = outside.select("c", *[F.col(f).alias(f"{f}_1") for f in fields], "added")
+    right = rows.select("c", *[F.col(f).alias(f"{f}_2") for f in fields], "added")
+    apart = F.expr("component_1 <> component_2") & F.expr(_sizes_allow("n_x_1", "n_x_2"))
+    inside = f"100 * both >= {PERCENT} * n_x"
+    first = left.filter(inside.replace("both", "both_1").replace("n_x", "n_x_1")).drop("added").alias("l").join(
+        right.filter(inside.replace("both", "both_2").replace("n_x", "n_x_2")).drop("added").alias("r"),
+        (F.col("l.c") == F.col("r.c")) & apart & F.expr(_enough("least(both_1, both_2)", "n_x_1", "n_x_2")),
+    )
+    share = "least(both_1, both_2) + least(added_size_1, added_size_2)"
+    second = left.withColumn("e", F.explode("added")).drop("added").alias("l").join(
+        right.withColumn("e", F.explode("added")).drop("added").alias("r"),
+        (F.col("l.c") == F.col("r.c")) & (F.col("l.e") == F.col("r.e")) & apart & F.expr(_enough(share, "n_x_1", "n_x_2")),
     )
-    links = mapped(found, _confirm, "a long, b long, linked boolean").filter("linked").select("a", "b")
-    links = stored(links, "links")
-    dropped(sets)
-    return links
+    both = first.select("x_1", "x_2").unionByName(second.select("x_1", "x_2"))
+    return both.select(F.least("x_1", "x_2").alias("c"), F.greatest("x_1", "x_2").alias("x")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -193,49 +250,39 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         mapped(docs, _Features(), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "sketches"
     )
     named = features.filter("doc_id is not null and n_shingles > 0")
-    sets = named.groupBy("set_key").agg(
-        F.min(F.struct("doc_id", "n_shingles", "bands")).alias("x"), F.count("*").alias("copies")
-    )
-    one = sets.select(F.col("x.doc_id").alias("doc"), F.col("x.n_shingles").alias("n"), F.explode("x.bands").alias("bucket"))
+    one = named.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("x"))
+    one = one.select(F.col("x.doc_id").alias("doc"), F.explode("x.bands").alias("bucket"))
     sized = one.groupBy("bucket").agg(F.count("*").alias("company")).filter("company > 1")
     members = stored(one.join(sized, "bucket"), "buckets")
-
     central = members.groupBy("doc").agg(F.sum("company").alias("rank"))
-    ranked = members.join(central, "doc")
-    centre = ranked.groupBy("bucket").agg(F.max(F.struct("rank", -F.col("doc"), "n")).alias("c"))
-    centre = centre.select("bucket", (-F.col("c.col2")).alias("a"), F.col("c.n").alias("n_a"))
-    stars = (
-        members.join(centre, "bucket")
-        .filter(F.col("doc") != F.col("a"))
-        .filter(_sizes_allow("n", "n_a"))
-        .select("a", F.col("doc").alias("b"))
-        .distinct()
-    )
-    stars = stored(stars, "stars")
-    links = confirmed(stars, docs)
-    first = stored(components(links), "components")
-
-    # members of a bucket that the stars left in different components
-    placed = members.join(first.withColumnRenamed("node", "doc"), "doc", "left").select(
-        "bucket", "doc", "n", F.coalesce("component", "doc").alias("component")
-    )
-    split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    open_rows = stored(placed.join(split.filter("lo < hi").select("bucket"), "bucket"), "open")
-    left = open_rows.select("bucket", F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    right = open_rows.select("bucket", F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    rest = left.join(
-        right,
-        (left.bucket == right.bucket) & F.expr("c_a < c_b") & F.expr(_sizes_allow("n_a", "n_b")),
-    ).select("a", "b")
-    rest = rest.distinct()
-    tried = stars.select(F.col("a"), F.col("b")).unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = stored(rest.join(tried, ["a", "b"], "left_anti"), "rest")
-    more = confirmed(rest, docs)
-    known = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    final = stored(components(known.unionByName(more)), "components")
-
-    groups = sets.select("set_key", F.col("x.doc_id").alias("node")).join(final, "node", "left")
-    groups = groups.select("set_key", F.coalesce("component", "node").alias("component"))
+    texts = docs.withColumnRenamed("doc_id", "doc").join(central.select("doc"), "doc", "left_semi")
+    sets = stored(mapped(texts, _Sets(), "doc long, shingles binary").dropDuplicates(["doc"]), "sets")
+
+    # each member against the best centre of its buckets
+    centre = members.join(central, "doc").groupBy("bucket").agg(F.max(F.struct("rank", -F.col("doc"))).alias("best"))
+    stars = stored(members.select("bucket", "doc").join(centre, "bucket"), "stars")
+    best = stars.groupBy("doc").agg(F.max("best").alias("best"))
+    pairs = best.select((-F.col("best.col2")).alias("c"), F.col("doc").alias("x")).filter("c <> x")
+    links = stored(links_of(pairs, sets), "links")
+    placed = stored(components(links), "components")
+
+    # buckets that are still split, each member against the bucket's own centre
+    open_stars = _placed(stars, placed, "doc", "component")
+    split = open_stars.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    open_stars = open_stars.join(split.filter("lo < hi").select("bucket"), "bucket")
+    pairs = open_stars.select((-F.col("best.col2")).alias("c"), F.col("doc").alias("x")).filter("c <> x").distinct()
+    held = stored(measured(pairs, sets), "measured")
+    links = links.unionByName(held.filter("linked").select(F.col("c").alias("a"), F.col("x").alias("b")))
+    placed = stored(components(links), "components")
+
+    # members of one star that could still be linked past their centre
+    held = _placed(_placed(held, placed, "x", "component"), placed, "c", "centre_component")
+    rest = stored(_between(held), "rest")
+    known = placed.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    final = stored(components(known.unionByName(links_of(rest, sets))), "components")
+
+    groups = named.groupBy("set_key").agg(F.min("doc_id").alias("node"))
+    groups = _placed(groups, final, "node", "component").select("set_key", "component")
     joined = features.select("doc_id", "n_shingles", "set_key").join(groups, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return joined.select(
