@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["corpus"]
+MODULES = ["corpus", "repository"]
 
 
 def load_all() -> None:
