@@ -52,11 +52,11 @@ WITH captures AS (
   UNION ALL SELECT host || '/en/', 'adult', day, NULL FROM digits WHERE a BETWEEN 4 AND 7
 ), parts AS (
   SELECT page_id, url, fetched_at, host, string_split(host, '.') AS labels,
-    list_filter(string_split(path, '/'), x -> x <> '') AS segments FROM captures
+    list_filter(string_split(path, '/'), lambda x: x <> '') AS segments FROM captures
 ), wanted AS (
   SELECT DISTINCT page_id, unnest(list_concat(
-    list_transform(range(1, greatest(2, len(labels))), i -> array_to_string(labels[i:], '.')),
-    list_transform(range(1, len(segments) + 1), i -> host || '/' || array_to_string(segments[1:i], '/') || '/'))) AS entry
+    list_transform(range(1, greatest(2, len(labels))), lambda i: array_to_string(labels[i:], '.')),
+    list_transform(range(1, len(segments) + 1), lambda i: host || '/' || array_to_string(segments[1:i], '/') || '/'))) AS entry
   FROM parts WHERE host <> ''
 ), found AS (
   SELECT w.page_id, list_sort(list(DISTINCT i.category || ':' || i.entry)) AS names
