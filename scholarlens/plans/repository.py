@@ -140,7 +140,7 @@ def substring_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
       CASE WHEN program NOT IN ('en', 'fr', 'de') THEN 'program' END,
       CASE WHEN year < 1980 OR year > 2023 THEN 'year' END,
       CASE WHEN length(title) < 5 OR length(title) > 500 THEN 'title' END,
-      CASE WHEN length(abstract) < 20 OR length(abstract) > 10000 THEN 'abstract' END], x -> x IS NOT NULL), ',') AS violations
+      CASE WHEN length(abstract) < 20 OR length(abstract) > 10000 THEN 'abstract' END], lambda x: x IS NOT NULL), ',') AS violations
     FROM works WHERE violations <> ''""",
 )
 def constraint_violations(spark: SparkSession, sf_dir: str) -> DataFrame:

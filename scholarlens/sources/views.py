@@ -21,7 +21,7 @@ KEYWORDS_SQL = r"""
 tokens AS (
   SELECT id, created_at, program, status, regexp_extract_all(lower(abstract), '\p{L}{7,}') AS t FROM works
 ), keyworded AS (
-  SELECT id, created_at, program, status, list_filter(t, (x, i) -> list_position(t, x) = i)[1:5] AS keywords FROM tokens
+  SELECT id, created_at, program, status, list_filter(t, lambda x, i: list_position(t, x) = i)[1:5] AS keywords FROM tokens
 )
 """
 
