@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["corpus", "repository"]
+MODULES = ["corpus", "repository", "vectors"]
 
 
 def load_all() -> None:
