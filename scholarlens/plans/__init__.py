@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["corpus", "repository", "vectors", "search"]
+MODULES = ["corpus", "repository", "vectors", "search", "events"]
 
 
 def load_all() -> None:
