@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["corpus", "repository", "vectors", "search", "events"]
+MODULES = ["corpus", "repository", "vectors", "search", "events", "streams", "manuscripts"]
 
 
 def load_all() -> None:

@@ -26,6 +26,11 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+def oracle_of(name: str) -> str:
+    """The oracle of a query registered before, for another way to the same rows."""
+    return _ORACLES[name]
+
+
 def _load() -> None:
     from scholarlens import plans
 

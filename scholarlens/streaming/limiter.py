@@ -1,0 +1,50 @@
+"""Streaming twin of the window limiter, and the append-only audit sink."""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+OUTPUT = "user_id long, event_id long, opened double, hits long, refused boolean"
+
+
+def limited(stream: DataFrame, seconds: int, limit: int) -> DataFrame:
+    """A stream (user_id, event_id, second) held against a budget whose window opens with a user's first hit.
+
+    State is two numbers a user. Input has no order inside a micro-batch, so a user's
+    rows of one batch are sorted first; rows that come in a later batch than younger
+    ones count in the window that is open then.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        opened, count = state.get if state.exists else (None, 0)
+        rows = pd.concat(list(batches)).sort_values(["second", "event_id"])
+        out = []
+        for event_id, second in zip(rows["event_id"], rows["second"]):
+            if opened is None or second >= opened + seconds:
+                opened, count = float(second), 0
+            count += 1
+            out.append((key[0], event_id, opened, count, count > limit))
+        state.update((opened, count))
+        yield pd.DataFrame(out, columns=["user_id", "event_id", "opened", "hits", "refused"])
+
+    return stream.groupBy("user_id").applyInPandasWithState(run, OUTPUT, "opened double, hits long", "append", GroupStateTimeout.NoTimeout)
+
+
+def drained(stream: DataFrame, folder: str) -> DataFrame:
+    """Run a stream over all that is there now, append its rows to ``folder`` and read them back."""
+    spark: SparkSession = stream.sparkSession
+    run = uuid.uuid4().hex
+    path = f"{folder.rstrip('/')}/stream-{run}"
+    query = (
+        stream.writeStream.format("parquet")
+        .option("checkpointLocation", f"{folder.rstrip('/')}/stream-state-{run}")
+        .trigger(availableNow=True)
+        .start(path)
+    )
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
