@@ -89,9 +89,9 @@ def best_matches(corpus: DataFrame, probes: DataFrame, block: int = BLOCK) -> Da
     for k in range(blocks):
         part = numbered.filter(F.col("block") == k).select("id", "vector").toArrow()
         ids = part.column("id").to_numpy()
-        vectors = np.array(part.column("vector").to_pylist(), np.float64).reshape(len(ids), -1)
         if not len(ids):
             continue
+        vectors = np.array(part.column("vector").to_pylist(), np.float64)
         led = corpus.select("id", "vector").mapInArrow(_leading(ids, vectors), "probe long, id long, score double")
         out = led if out is None else out.unionByName(led)
     if out is None:
