@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -12,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORDS_KEPT = 400_000
+WORDS_KEPT = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +39,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, lengthened until it differs from all ``columns`` in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again; cuts lineage and survives executors."""
     spark = df.sparkSession
@@ -54,18 +64,43 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def kept_in_worker(key: tuple, make):
+    """``make()``, kept under ``key`` in this Python process, which serves many tasks one after another.
+
+    Functions of this package come to a worker anew for each task, so what should
+    outlive a task is held by a module of its own. The three keys used last are kept.
+    """
+    holder = sys.modules.setdefault("_kept_between_tasks", types.ModuleType("_kept_between_tasks"))
+    kept = holder.__dict__.setdefault("kept", {})
+    value = kept.pop(key) if key in kept else make()
+    kept[key] = value
+    while len(kept) > 3:
+        kept.pop(next(iter(kept)))
+    return value
+
+
 class WordMemo(dict):
-    """A mapping from a word to ``make(word)``, emptied when it holds ``limit`` words."""
+    """A mapping from a word to ``make(word)`` that holds the words met last, ``limit`` to twice as many.
+
+    A full generation becomes the old one; words met again move on, others go.
+    """
 
     def __init__(self, make, limit: int = WORDS_KEPT):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, word):
+        value = self.old.get(word)
+        if value is None:
+            value = self.make(word)
+        self.put(word, value)
+        return value
+
+    def put(self, word, value) -> None:
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        value = self[word] = self.make(word)
-        return value
+        self[word] = value
 
     def values_of(self, words: Iterable, dtype) -> np.ndarray:
         words = list(words)

@@ -18,7 +18,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholarlens.llm.common import byte_texts, mapped, stored
+from scholarlens.llm.common import byte_texts, free_name, mapped, stored
 
 SCOPE = 300
 #: Kinds in the order in which equal starts are listed; the strict ones come first.
@@ -155,7 +155,8 @@ def secret_spans(docs: DataFrame, scope: int = SCOPE, keep_key: bool = False) ->
 def secret_digests(docs: DataFrame) -> DataFrame:
     """Counts, a digest of the strict spans and all spans as text, one row for each row of ``docs``."""
     found = secret_spans(docs)
-    counts = [F.size(F.filter("base", lambda p, k=k: p["kind"] == k)).cast("long").alias(f"n_{k}") for k in STRICT]
+    kinds = F.transform("base", lambda p: p["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in STRICT]
     return found.select(
         "doc_id",
         *counts,
@@ -175,13 +176,13 @@ def masked(text: str, cuts: list[tuple[int, int]], mark: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def _mask(mark: str):
+def _mask(mark: str, name: str):
     def run(batch):
         texts = batch.column("text").to_pylist()
-        for k, cuts in enumerate(batch.column("cuts").to_pylist()):
+        for k, cuts in enumerate(batch.column(name).to_pylist()):
             if cuts and texts[k] is not None:
                 texts[k] = masked(texts[k], [(c["start"], c["end"]) for c in cuts], mark)
-        return {name: texts if name == "text" else batch.column(name) for name in batch.schema.names if name != "cuts"}
+        return {c: texts if c == "text" else batch.column(c) for c in batch.schema.names if c != name}
 
     return run
 
@@ -193,11 +194,13 @@ def redacted(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
     not a text keep their own; null ids and null texts match nothing and stay as they are.
     """
     columns = docs.columns
-    key = F.xxhash64(F.col("text")).alias("text_key")
+    own_key, own_id, name = (free_name(n, columns) for n in ("text_key", "found_id", "cuts"))
     found = secret_spans(docs.select("doc_id", "text"), keep_key=True).filter(F.size("reported") > 0)
     cuts = F.transform("reported", lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end")))
-    found = found.select(F.col("doc_id").alias("_id"), "text_key", cuts.alias("cuts")).dropDuplicates(["_id", "text_key"])
-    joined = docs.select("*", key).join(found, (F.col("doc_id") == F.col("_id")) & (key == found["text_key"]), "left")
+    found = found.select(F.col("doc_id").alias(own_id), F.col("text_key").alias("spans_key"), cuts.alias(name))
+    found = found.dropDuplicates([own_id, "spans_key"])
+    keyed = docs.withColumn(own_key, F.xxhash64("text"))
+    joined = keyed.join(found, (keyed["doc_id"] == found[own_id]) & (keyed[own_key] == found["spans_key"]), "left")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = mapped(joined.select(*columns, "cuts"), _mask(mark), schema)
+    out = mapped(joined.select(*[keyed[c] for c in columns], found[name]), _mask(mark, name), schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in columns else out
