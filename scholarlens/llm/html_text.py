@@ -42,6 +42,12 @@ _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
+#: Tags and names that mark main text and what stands around it.
+_CONTENT_TAGS = {"article", "main"}
+_OUTER_TAGS = {"nav", "footer", "aside", "form", "header", "button", "select", "dialog", "title", "head", "menu"}
+_OUTER_NAMES = {"ad", "advert", "nav", "menu", "sidebar", "footer", "comment", "cookie", "notice", "banner", "promo", "share", "related"}
+
+
 class Block:
     """A leaf block: its text, the share of it in links, and the tags and names above it."""
 
@@ -144,6 +150,8 @@ def features(page: list[Block]) -> list[list[str]]:
         share = b.linked / len(b.text)
         size = min(7, words.bit_length())
         row = ["bias", f"tag={b.tag}", f"size={size}", f"links={int(min(1.0, share) * 3)}", f"end={b.text[-1] in '.!?'}"]
+        core, outer = bool(_CONTENT_TAGS & set(b.tags)), bool(_OUTER_TAGS & set(b.tags) or _OUTER_NAMES & b.names)
+        row.append(f"core={core}{outer}")
         row += [f"in={t}" for t in set(b.tags)]
         row += [f"name={n}" for n in b.names]
         row.append(f"first={k == 0}")
@@ -213,11 +221,6 @@ class Chain:
         return out[::-1]
 
 
-_CONTENT_TAGS = {"article", "main"}
-_OUTER_TAGS = {"nav", "footer", "aside", "form", "header", "button", "select", "dialog", "title", "head", "menu"}
-_OUTER_NAMES = {"ad", "advert", "nav", "menu", "sidebar", "footer", "comment", "cookie", "notice", "banner", "promo", "share", "related"}
-
-
 def marked(page: list[Block]) -> np.ndarray | None:
     """Labels by the page's own tags; None where it marks no article."""
     inside = [bool(_CONTENT_TAGS & set(b.tags)) for b in page]
@@ -313,7 +316,7 @@ STARTER = [
     "<nav><ul><li><a href='/'>Home</a></li><li><a href='/maps'>Maps</a></li><li><a href='/about'>About us</a></li></ul></nav>"
     "<article><h1>On the reading of old maps</h1><p>Old maps show what their makers knew, and what they wished others to believe.</p>"
     f"<p>A coast is drawn with care where ships had anchored; inland, a river may follow nothing but hearsay number {k}.</p>"
-    "<p>So a reader has to ask of every line who could have walked along it.</p></article>"
+    f"<p>{'So it was.' if k % 2 else 'So a reader has to ask of every line who could have walked along it.'}</p></article>"
     "<aside><p>Most read this week</p></aside><footer><p>All rights reserved.</p></footer></body>"
     for k in range(40)
 ]
