@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholarlens.llm.common import WordMemo, byte_texts, hash_word, mapped, window_hashes
+from scholarlens.llm.common import WordMemo, byte_texts, hash_word, kept_in_worker, mapped, window_hashes
 
 WIDTH, COVERAGE, AGREEMENT = 5, 0.8, 0.8
 #: Characters of benchmark text in one block.
@@ -65,7 +65,7 @@ class Template:
         A name is a capitalised word that does not begin a sentence or the text.
         """
         if self.memo is None:
-            self.memo = WordMemo(_word)
+            self.memo = kept_in_worker(("template",), lambda: WordMemo(_word))
         words = text.split()
         codes = self.memo.values_of(words, np.uint64)
         flags = codes & np.uint64(7)

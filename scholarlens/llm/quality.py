@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholarlens.llm.common import WordMemo, byte_texts, hash_word, mapped, remainder
+from scholarlens.llm.common import WordMemo, byte_texts, hash_word, kept_in_worker, mapped, remainder
 from scholarlens.llm.toxicity import labelled_sample, threshold
 
 SAMPLE_PER_CLASS, SAMPLE_CHARS = 2_000, 20_000
@@ -48,7 +48,7 @@ def word_facts(word: bytes) -> tuple:
 class Encoder:
     """Passage features of texts. The facts of a word are worked out once and gathered by number."""
 
-    def __init__(self, passage: int = PASSAGE, limit: int = 200_000):
+    def __init__(self, passage: int = PASSAGE, limit: int = 400_000):
         self.passage, self.limit, self.numbers = passage, limit, None
 
     def _reset(self):
@@ -197,13 +197,14 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 3) -> Model:
 
 class _Score:
     def __init__(self, model: Model):
-        self.model, self.encode = model, Encoder()
+        self.model = model
 
     def __call__(self, batch):
+        encode = kept_in_worker(("passages", PASSAGE), Encoder)
         return {
             "doc_id": batch.column("doc_id"),
             "held_out": batch.column("held_out"),
-            "score": [self.model.score(self.encode(text)) for text in byte_texts(batch, "text")],
+            "score": [self.model.score(encode(text)) for text in byte_texts(batch, "text")],
         }
 
 
@@ -228,10 +229,11 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
 
 class _Keep:
     def __init__(self, model: Model):
-        self.model, self.encode = model, Encoder()
+        self.model = model
 
     def __call__(self, batch):
-        keep = np.array([self.model.score(self.encode(text)) >= CUT for text in byte_texts(batch, "text")], bool)
+        encode = kept_in_worker(("passages", PASSAGE), Encoder)
+        keep = np.array([self.model.score(encode(text)) >= CUT for text in byte_texts(batch, "text")], bool)
         at = np.flatnonzero(keep)
         return {name: batch.column(name).take(at) for name in batch.schema.names}
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholarlens.llm.common import WordMemo, byte_texts, mapped, remainder
+from scholarlens.llm.common import WordMemo, byte_texts, kept_in_worker, mapped, remainder
 
 #: Labelled documents of each class that train the model, and the longest text among them.
 SAMPLE_PER_CLASS, SAMPLE_CHARS = 2_000, 20_000
@@ -99,6 +99,7 @@ class Model:
     def frozen(self) -> Model:
         """The model with only the numbers that scoring needs."""
         self._scores = self.bucket_scores().astype(np.float32)
+        self.digest = xxhash.xxh3_64_intdigest(self._scores.tobytes())
         del self.embed, self._squares
         return self
 
@@ -191,8 +192,7 @@ class _Score:
         return float(1 / (1 + np.exp(-max(-700.0, min(700.0, best)))))
 
     def __call__(self, batch):
-        if self.memo is None:
-            self.memo = WordMemo(self.model.word_score)
+        self.memo = kept_in_worker(("toxicity", self.model.digest), lambda: WordMemo(self.model.word_score))
         return {
             "doc_id": batch.column("doc_id"),
             "held_out": batch.column("held_out"),
@@ -203,21 +203,26 @@ class _Score:
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, folds: int, per_class: int, chars: int
 ) -> tuple[list[bytes], np.ndarray]:
-    """A bounded sample of labelled texts outside the held-out fold: ``per_class`` rows of each label.
+    """A bounded sample of labelled texts outside the held-out fold: ``per_class`` rows of each label at most.
 
-    The rows with the least hash of their id are taken, from texts of at most
-    ``chars`` characters; rows without id, text or a 0/1 label are no examples.
+    Twice as many ids of each label are drawn, those with the least hash, and only
+    they meet the texts; of these the first ``per_class`` with a text of at most
+    ``chars`` characters are taken. An id with two labels is no example; of rows that
+    repeat an id one counts.
     """
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (remainder("doc_id", folds) != 0))
     known = known.groupBy("doc_id").agg(F.max(label).alias("y"), F.min(label).alias("least")).filter("y = least")
+    known = known.select("doc_id", "y", F.xxhash64("doc_id").alias("order"))
+    # 4 x per_class ids at most, so the broadcast has a fixed bound
+    drawn = [known.filter(F.col("y") == y).orderBy("order").limit(2 * per_class) for y in (0, 1)]
+    wanted = F.broadcast(drawn[0].unionByName(drawn[1]))
     rows = docs.filter(F.col("text").isNotNull() & (F.length("text") <= chars)).select("doc_id", "text")
-    joined = rows.join(known.select("doc_id", "y"), "doc_id").withColumn("order", F.xxhash64("doc_id"))
-    texts, y = [], []
-    for value in (0, 1):
-        for r in joined.filter(F.col("y") == value).orderBy("order", "text").limit(per_class).collect():
-            texts.append(r.text.encode())
-            y.append(value)
-    return texts, np.array(y, dtype=np.int64)
+    found = rows.join(wanted, "doc_id").groupBy("doc_id", "y", "order").agg(F.min("text").alias("text")).toArrow()
+    found = found.sort_by([("y", "ascending"), ("order", "ascending"), ("doc_id", "ascending")])
+    y = found.column("y").to_numpy().astype(np.int64)
+    place = np.arange(len(y)) - np.searchsorted(y, y)
+    kept = np.flatnonzero(place < per_class)
+    return [t.encode() for t in found.column("text").take(kept).to_pylist()], y[kept]
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
