@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["corpus", "repository", "vectors", "search", "events", "streams", "manuscripts"]
+MODULES = ["corpus", "repository", "vectors", "search", "events", "streams", "manuscripts", "groups"]
 
 
 def load_all() -> None:
