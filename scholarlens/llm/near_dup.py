@@ -242,8 +242,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ``component_id`` is the least doc_id reachable over links.
 
     Null or blank texts have an empty set and stand alone. A null doc_id gets a
-    null component and is kept. Rows that repeat a doc_id share a document; one
-    with different texts is known by its least set digest. Other columns are ignored.
+    null component and is kept. Rows that repeat a doc_id share a component; where
+    their texts differ, the least set by its bytes confirms links. Other columns are
+    ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     features = stored(
@@ -256,7 +257,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = stored(one.join(sized, "bucket"), "buckets")
     central = members.groupBy("doc").agg(F.sum("company").alias("rank"))
     texts = docs.withColumnRenamed("doc_id", "doc").join(central.select("doc"), "doc", "left_semi")
-    sets = stored(mapped(texts, _Sets(), "doc long, shingles binary").dropDuplicates(["doc"]), "sets")
+    sets = mapped(texts, _Sets(), "doc long, shingles binary").groupBy("doc").agg(F.min("shingles").alias("shingles"))
+    sets = stored(sets, "sets")
 
     # each member against the best centre of its buckets
     centre = members.join(central, "doc").groupBy("bucket").agg(F.max(F.struct("rank", -F.col("doc"))).alias("best"))
