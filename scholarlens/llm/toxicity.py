@@ -15,6 +15,7 @@ for each distinct word; scoring is a running mean of those numbers.
 
 from __future__ import annotations
 
+from array import array
 from itertools import groupby
 
 import numpy as np
@@ -32,10 +33,15 @@ ROUNDS, EPOCHS, BATCH, RATE = 5, 3, 256, 0.1
 _EDGE = b".,;:!?\"'()[]{}<>|*#&$%/\\-_~`^=+"
 
 
-def subwords(word: bytes) -> list[int]:
-    """Buckets of a word and its character n-grams, its ends marked."""
-    bare = "<" + (word.strip(_EDGE) or word).decode("utf-8", "replace").lower() + ">"
-    parts = [bare] + [bare[k : k + n] for n in GRAMS for k in range(len(bare) - n + 1) if n < len(bare)]
+def bare(word: bytes) -> bytes:
+    """A word in lower case without punctuation at its ends; all that its vectors depend on."""
+    return (word.strip(_EDGE) or word).decode("utf-8", "replace").lower().encode()
+
+
+def subwords(form: bytes) -> list[int]:
+    """Buckets of a bare word and its character n-grams, its ends marked."""
+    text = "<" + form.decode() + ">"
+    parts = [text] + [text[k : k + n] for n in GRAMS for k in range(len(text) - n + 1) if n < len(text)]
     return [xxhash.xxh3_64_intdigest(p.encode()) % BUCKETS for p in parts]
 
 
@@ -44,21 +50,23 @@ class Windows:
 
     def __init__(self, texts: list[bytes], window: int):
         ids: dict[bytes, int] = {}
-        words, starts, docs = [], [0], []
+        # compact arrays: there are millions of words and n-grams
+        words, starts, docs = array("i"), array("q", [0]), array("i")
         for d, text in enumerate(texts):
-            own = [ids.setdefault(w, len(ids)) for w, _ in groupby(text.split())] or [ids.setdefault(b"", len(ids))]
+            own = [ids.setdefault(bare(w), len(ids)) for w, _ in groupby(text.split())] or [ids.setdefault(b"", len(ids))]
             for k in range(0, max(1, len(own) - window // 2), window // 2):
-                part = own[k : k + window]
-                words += part
+                words.extend(own[k : k + window])
                 starts.append(len(words))
                 docs.append(d)
-        self.words, self.starts, self.docs = np.array(words), np.array(starts), np.array(docs)
-        parts = [subwords(w) for w in ids]
-        self.parts = np.array([p for row in parts for p in row])
-        self.ends = np.cumsum([len(row) for row in parts])
+        parts, ends = array("i"), array("q")
+        for form in ids:
+            parts.extend(subwords(form))
+            ends.append(len(parts))
+        self.words, self.docs, self.parts = (np.frombuffer(x, np.int32) for x in (words, docs, parts))
+        self.starts, self.ends = np.frombuffer(starts, np.int64), np.frombuffer(ends, np.int64)
 
     def word_scores(self, bucket_scores: np.ndarray) -> np.ndarray:
-        sums = np.add.reduceat(bucket_scores[self.parts], np.append(0, self.ends[:-1]))
+        sums = np.add.reduceat(bucket_scores.astype(np.float32)[self.parts], np.append(0, self.ends[:-1]), dtype=np.float64)
         return sums / np.diff(np.append(0, self.ends))
 
     def scores(self, model: Model) -> np.ndarray:
@@ -93,8 +101,9 @@ class Model:
     def bucket_scores(self) -> np.ndarray:
         return self.embed @ (self.soft[:, 1] - self.soft[:, 0])
 
-    def word_score(self, word: bytes) -> float:
-        return float(self._scores[subwords(word)].mean())
+    def word_score(self, form: bytes) -> float:
+        """The one number that a bare word contributes."""
+        return float(self._scores[subwords(form)].mean())
 
     def frozen(self) -> Model:
         """The model with only the numbers that scoring needs."""
@@ -182,6 +191,10 @@ class _Score:
     def __init__(self, model: Model):
         self.model, self.memo = model, None
 
+    def fresh(self) -> WordMemo:
+        forms = WordMemo(self.model.word_score)
+        return WordMemo(lambda word: forms[bare(word)])
+
     def one(self, text: bytes) -> float:
         words = text.split() or [b""]
         values = self.memo.values_of(words, np.float64)
@@ -192,7 +205,7 @@ class _Score:
         return float(1 / (1 + np.exp(-max(-700.0, min(700.0, best)))))
 
     def __call__(self, batch):
-        self.memo = kept_in_worker(("toxicity", self.model.digest), lambda: WordMemo(self.model.word_score))
+        self.memo = kept_in_worker(("toxicity", self.model.digest), self.fresh)
         return {
             "doc_id": batch.column("doc_id"),
             "held_out": batch.column("held_out"),
