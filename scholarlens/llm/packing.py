@@ -10,6 +10,7 @@ sees a bounded number of pieces, and only partly filled bins are ever moved.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from bisect import bisect_left, insort
 from itertools import combinations
@@ -18,18 +19,21 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholarlens.llm.common import WordMemo, byte_texts, mapped, stored
+from scholarlens.llm.common import WordMemo, byte_texts, kept_in_worker, mapped, stored
 
 CAPACITY, BLOCK, POOL_BELOW = 4096, 4000, 0.98
 SEPARATOR, END = "<|startoftext|>", 1
+#: Words and parts of one generation of the memos: at most twice as many are held, some 200 bytes each.
+WORDS_KEPT, PARTS_KEPT = 300_000, 125_000
 
 
 class Tokenizer:
     """Token ids of a text as little-endian unsigned 32-bit bytes, from a public vocabulary file.
 
-    The vocabulary never joins text across white space, so the ids of a text are
-    the ids of its words; each distinct word is encoded once and kept. Unknown
-    words of a text are encoded together, parted by a token of the vocabulary.
+    The vocabulary never joins text across white space, nor letters with punctuation
+    after them, so the ids of a text are those of its words and a word's those of its
+    parts; each distinct word and part is worked out once and kept. Unknown parts of
+    a text are encoded together, parted by a token of the vocabulary.
     """
 
     def __init__(self, name: str = "word_bpe_49k.json"):
@@ -41,42 +45,63 @@ class Tokenizer:
 
         self.reader = Reader.from_file(public_tokenizers.path(self.name))
         self.parting = self.reader.token_to_id(SEPARATOR)
-        self.memo = WordMemo(self._one)
+        self.parts = WordMemo(lambda part: self._ids(part).tobytes(), PARTS_KEPT)
+        self.memo = WordMemo(lambda word: b"".join(self.parts[p] for p in _parts(word)), WORDS_KEPT)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.reader.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _one(self, word: bytes) -> bytes:
-        return self._ids(word.decode()).tobytes()
-
     def __call__(self, text: bytes) -> bytes:
         if self.memo is None:
             self._open()
-        words, memo = text.split(), self.memo
-        new = [w for w in set(words) if w not in memo]
+        words = text.split()
+        ids = list(map(self.memo.get, words))
+        if None in ids:
+            self._learn({w for w, x in zip(words, ids) if x is None})
+            ids = map(self.memo.__getitem__, words)
+        return b"".join(ids)
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Encode what is unknown in a set of words, all in one call."""
+        parts, old = self.parts, self.memo.old
+        split = [(w, _parts(w)) for w in words if w not in old]
+        new = {p for _, ps in split for p in ps if p not in parts and p not in parts.old and "<|" not in p}
         if len(new) > 1:
-            if len(memo) + len(new) > memo.limit:
-                memo.clear()
-                new = list(set(words))
-            plain = [w for w in new if b"<|" not in w]
-            ids = self._ids(SEPARATOR.join(w.decode() for w in plain))
+            new = list(new)
+            ids = self._ids(SEPARATOR.join(new))
             cuts = np.flatnonzero(ids == self.parting)
-            if len(cuts) == len(plain) - 1:
+            if len(cuts) == len(new) - 1:
                 starts, ends = np.append(0, cuts + 1) * 4, np.append(cuts, len(ids)) * 4
                 raw = ids.tobytes()
-                memo.update((w, raw[a:b]) for w, a, b in zip(plain, starts.tolist(), ends.tolist()))
-        return b"".join(map(memo.__getitem__, words))
+                for p, a, b in zip(new, starts.tolist(), ends.tolist()):
+                    parts.put(p, raw[a:b])
+        for w, ps in split:
+            self.memo.put(w, parts[ps[0]] + parts[ps[1]] if len(ps) == 2 else parts[ps[0]])
+
+
+_SIMPLE = re.compile(r"([^\W\d_]+)([!-&(-/:;=-@\[-`{-~]*)")
+
+
+def _parts(word: bytes) -> tuple[str, ...]:
+    """A word's letters and the ASCII punctuation after them; the whole word if it is anything else."""
+    text = word.decode()
+    match = _SIMPLE.fullmatch(text)
+    if match is None or not match[1].isalpha():
+        return (text,)
+    letters = match[1].lower() if match[1].isascii() else match[1]
+    return (letters, match[2]) if match[2] else (letters,)
 
 
 class _Pieces:
     def __init__(self, tokenizer: str, capacity: int):
-        self.tokens, self.capacity = Tokenizer(tokenizer), capacity
+        self.tokenizer, self.capacity = tokenizer, capacity
 
     def __call__(self, batch):
+        tokens = kept_in_worker(("tokens", self.tokenizer), lambda: Tokenizer(self.tokenizer))
         out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
         size, end = self.capacity * 4, END.to_bytes(4, "little")
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), byte_texts(batch, "text")):
-            ids = self.tokens(text) + end
+            ids = tokens(text) + end
             for piece, at in enumerate(range(0, len(ids), size)):
                 part = ids[at : at + size]
                 row = (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part))
