@@ -68,15 +68,15 @@ def kept_in_worker(key: tuple, make):
     """``make()``, kept under ``key`` in this Python process, which serves many tasks one after another.
 
     Functions of this package come to a worker anew for each task, so what should
-    outlive a task is held by a module of its own. The three keys used last are kept.
+    outlive a task is held by a module of its own. Only the key used last is kept, so
+    that the stages of one job do not add up their memory.
     """
     holder = sys.modules.setdefault("_kept_between_tasks", types.ModuleType("_kept_between_tasks"))
     kept = holder.__dict__.setdefault("kept", {})
-    value = kept.pop(key) if key in kept else make()
-    kept[key] = value
-    while len(kept) > 3:
-        kept.pop(next(iter(kept)))
-    return value
+    if key not in kept:
+        kept.clear()
+        kept[key] = make()
+    return kept[key]
 
 
 class WordMemo(dict):

@@ -48,7 +48,7 @@ def word_facts(word: bytes) -> tuple:
 class Encoder:
     """Passage features of texts. The facts of a word are worked out once and gathered by number."""
 
-    def __init__(self, passage: int = PASSAGE, limit: int = 400_000):
+    def __init__(self, passage: int = PASSAGE, limit: int = 250_000):
         self.passage, self.limit, self.numbers = passage, limit, None
 
     def _reset(self):
