@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from scholarlens.llm.common import as_array, byte_texts, new_path, stored
 
-BLOCK, WIDTH, LEVEL = 64, 64, 3
+BLOCK, WIDTH, LEVEL = 64, 64, 6
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEAD = 33
 SHARD_BYTES = 256 << 20
