@@ -1,25 +1,29 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-The symbols are the words of the training vocabulary and one more for any word
-outside it. A context is a run of up to two frequent words before a symbol, a
-word being frequent when it has ``SHARE`` of all training tokens. Contexts of one
-length end at different places, so those with SHARE of the tokens are at most
-1 / SHARE of each length: the tree's size is bounded, whatever the corpus.
-
-Growing. One pass counts words, one the pairs of frequent words, one the triples
-after frequent pairs; each task sums up before the shuffle. A context stays in
-the tree when the divergence of its next symbols from those of its suffix, times
-its count, passes ``GAIN`` for each symbol that it adds. Next symbols are kept
-one by one for frequent words and as one class for the others, within which the
-root's shares hold. Counts are smoothed with the distribution of the suffix.
+The symbols are the words with ``LEAST`` occurrences in the training texts, and one
+class for all others. A context is a run of 1 to ``DEPTH`` symbol words that occurs
+``LEAST`` times, an absolute count, so the tree grows with the corpus.
+
+Growing. Counts, divergences and the tree are tables of hashes, made by group-bys and
+joins and written; each task sums up before the shuffle. A context stays in the tree
+when the divergence of its next symbols from those of its suffix, times its count,
+passes ``GAIN`` for each symbol that it adds. Counts are smoothed with the
+distribution of the suffix. An entry holds the chance of a symbol after a context as a
+multiple of its chance at the root. Bit tables of bounded size say which words and
+pairs may have LEAST: where they say so wrongly, a context falls out by its exact
+count, and a word is a symbol of its own, in training and scoring alike.
 
 Scoring. Each token takes its probability from the longest suffix in the tree,
 mixed with the share of its word among the earlier tokens of its own text, with
-a weight that grows with their number. The most frequent words (``HEAD`` at most)
-travel to the tasks; all others get their numbers by a join, after each document's
+a weight that grows with their number. The most frequent contexts (``HEAD_CONTEXTS``
+and ``HEAD_ENTRIES`` at most) travel to the tasks; tokens after others get theirs by
+a join on the hash of the context. The most frequent words (``HEAD`` at most)
+travel as well; all others get their numbers by a join, after each document's
 have been summed up by word, so every count is exact. A word outside the head
 counts with its training share at its first place in a text and with the text's
 own share from then on, which leaves the sum over all words at 1 or less.
+
+:class:`Tree` is the same tree for two words in plain arrays, for small vocabularies.
 """
 
 from __future__ import annotations
@@ -31,10 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholarlens.llm.common import WordMemo, byte_texts, hash_word, mapped, remainder, stored
+from scholarlens.llm.common import MULTIPLIER, WordMemo, byte_texts, hash_word, mapped, mixed, remainder, stored
 
-SHARE, GAIN, WEIGHT = 5e-5, 8.0, 20.0
+LEAST, DEPTH, GAIN, WEIGHT = 10, 4, 8.0, 20.0
 HEAD, HELD = 150_000, 400_000
+#: Contexts and their entries that travel to the tasks, bits of a bit table at most, tokens worked on at once.
+HEAD_CONTEXTS, HEAD_ENTRIES = 400_000, 2_500_000
+MOST_BITS, CHUNK = 27, 100_000
 #: Most weight of the text so far, and the number of tokens at which it has half of that.
 OWN, OWN_HALF = 0.35, 100
 #: Stands for the end of a text; it can be no word.
@@ -83,51 +90,6 @@ class Frequent:
         return np.fromiter((self.numbers.get(w, 0) for w in words), np.int64, len(words))
 
 
-def _context_codes(frequent: Frequent, pairs: np.ndarray | None):
-    """Counts of context * size + symbol: after each frequent word, or after each of ``pairs`` (sorted codes)."""
-    size = frequent.size
-
-    def codes(text: bytes) -> np.ndarray:
-        at = frequent.of(tokens_of(text))
-        if pairs is None:
-            return (at[:-1] * size + at[1:])[at[:-1] > 0]
-        before = at[:-2] * size + at[1:-1]
-        place = np.searchsorted(pairs, before)
-        hit = place < len(pairs)
-        hit[hit] = pairs[place[hit]] == before[hit]
-        return place[hit] * size + at[2:][hit]
-
-    def run(batches):
-        held: list[np.ndarray] = []
-        waiting = 0
-
-        def out():
-            codes_, counts = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(codes_), pa.array(counts, pa.int64())], names=["code", "n"])
-
-        for batch in batches:
-            for text in byte_texts(batch, "text"):
-                held.append(codes(text))
-                waiting += len(held[-1])
-            if waiting > 4_000_000:
-                yield out()
-                waiting = 0
-        if waiting:
-            yield out()
-
-    return run
-
-
-def _counts(texts: DataFrame, frequent: Frequent, pairs: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted codes and counts over all texts of the contexts; their number is bounded by contexts x frequent words."""
-    raw = texts.select("text").mapInArrow(_context_codes(frequent, pairs), "code long, n long")
-    found = raw.groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    codes, n = (found.column(c).to_numpy() for c in ("code", "n"))
-    order = np.argsort(codes)
-    return codes[order], n[order]
-
-
 class Level:
     """Contexts of one length: for each its next symbols, by code context * size + symbol, and the weight left to its suffix."""
 
@@ -190,27 +152,254 @@ class Tree:
         return out
 
 
-def grown(texts: DataFrame, words: DataFrame, tokens: int, fresh: float, share: float = SHARE) -> Tree:
+class Bits:
+    """A set of 64-bit hashes as a bit table of bounded size; it may hold others too, and misses none."""
+
+    def __init__(self, hashes: DataFrame, n: int):
+        """``hashes`` has column h; ``n`` is about how many they are."""
+        self.log = min(MOST_BITS, max(16, math.ceil(math.log2(64 * max(1, n)))))
+        place = F.shiftrightunsigned("h", 64 - self.log)
+        words = hashes.select(F.shiftright(place, 6).alias("k"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - self.log}) & 63 as int))").alias("b"))
+        found = words.groupBy("k").agg(F.bit_or("b").alias("b")).toArrow()
+        self.table = np.zeros(1 << (self.log - 6), np.uint64)
+        self.table[found.column("k").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        place = hashes >> np.uint64(64 - self.log)
+        return (self.table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) != 0
+
+
+def deeper(old: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Hashes of contexts with one more word before them."""
+    return mixed(context * MULTIPLIER + old)
+
+
+def coded(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """Hashes of a context and what follows it."""
+    return mixed(mixed(context + np.uint64(0x5851F42D)) * MULTIPLIER + symbol)
+
+
+def contexts_of(symbols: np.ndarray, pairs: Bits | None, depth: int):
+    """For each length from 1 on: (places, hashes of the contexts before them), over texts that end in END.
+
+    ``symbols`` are next symbols; a context has no symbol of the class of others and
+    no end of a text, which have 0 in it, and no pair outside ``pairs``.
+    """
+    inner = np.where(symbols == _END_SYMBOL, np.uint64(0), symbols)
+    at = np.flatnonzero(inner[:-1]) + 1
+    context = inner[at - 1]
+    yield at, context
+    linked = None
+    for length in range(2, depth + 1):
+        more = at > length - 1
+        at, context = at[more], context[more]
+        more = inner[at - length] != 0
+        at, context = at[more], context[more]
+        if linked is None:
+            context = deeper(inner[at - 2], context)
+            more = pairs.has(context)
+            linked = np.zeros(len(symbols), bool)
+            linked[at[more]] = True
+        else:
+            more = linked[at - length + 2]
+            context = deeper(inner[at - length], context)
+        at, context = at[more], context[more]
+        yield at, context
+
+
+class _Symbols:
+    """Next symbols of words: their hashes if the bit table has them, else 0."""
+
+    def __init__(self, known: Bits):
+        self.known, self.memo = known, None
+
+    def _of(self, word: bytes) -> int:
+        h = hash_word(word)
+        return h if self.known.has(np.array([h], np.uint64))[0] or word == END else 0
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        if self.memo is None:
+            self.memo = WordMemo(self._of)
+        return self.memo.values_of(words, np.uint64)
+
+
+_END_SYMBOL = np.uint64(hash_word(END))
+
+
+def _chunks(batches, size: int):
+    """Words of whole texts, ``size`` or a little more at a time."""
+    held = []
+    for batch in batches:
+        for text in byte_texts(batch, "text"):
+            held += tokens_of(text)
+            if len(held) >= size:
+                yield held
+                held = []
+    if held:
+        yield held
+
+
+COUNTED = "level int, ctx long, suffix long, symbol long, n long"
+
+
+def _count_contexts(symbols: _Symbols, pairs: Bits | None, lengths: range):
+    """Counts of next symbols after the contexts of ``lengths``, summed up before the shuffle."""
+
+    def out(level, parts):
+        context, suffix, symbol = (np.concatenate(x) for x in zip(*parts))
+        _, first, n = np.unique(coded(context, symbol), return_index=True, return_counts=True)
+        columns = [pa.array(np.full(len(n), level, np.int32)), *[pa.array(x[first].view(np.int64)) for x in (context, suffix, symbol)], pa.array(n)]
+        return pa.RecordBatch.from_arrays(columns, names=["level", "ctx", "suffix", "symbol", "n"])
+
+    def run(batches):
+        held = {k: [] for k in lengths}
+        waiting = dict.fromkeys(lengths, 0)
+        for words in _chunks(batches, CHUNK):
+            at_symbol = symbols(words)
+            before = np.zeros(len(words), np.uint64)
+            for level, (at, context) in enumerate(contexts_of(at_symbol, pairs, lengths[-1]), 1):
+                if level in held and len(at):
+                    held[level].append((context, before[at], at_symbol[at]))
+                    waiting[level] += len(at)
+                    if waiting[level] > 3_000_000:
+                        yield out(level, held[level])
+                        held[level], waiting[level] = [], 0
+                before[at] = context
+        for level, parts in held.items():
+            if parts:
+                yield out(level, parts)
+
+    return run
+
+
+def _pair_hashes(batch):
+    old, new = (batch.column(c).to_numpy().view(np.uint64) for c in ("ctx", "symbol"))
+    return {"h": deeper(old, new).view(np.int64)}
+
+
+def _word_hashes(batch):
+    return {"h": np.array([hash_word(w) for w in batch.column("word").to_pylist()], np.uint64).view(np.int64), "n": batch.column("n")}
+
+
+class _Rare:
+    """Counts of the words that are no symbols."""
+
+    def __init__(self, known: Bits):
+        self.known = known
+
+    def __call__(self, batch):
+        n = batch.column("n").to_numpy()
+        symbol = self.known.has(batch.column("h").to_numpy().view(np.uint64)) | (batch.column("h").to_numpy().view(np.uint64) == _END_SYMBOL)
+        return {"n": [int(n[~symbol].sum())]}
+
+
+class Grown:
+    """The tree as tables: ``contexts`` (level, ctx, total, kinds, left) and ``entries`` (level, ctx, symbol, ratio)."""
+
+    def __init__(self, symbols: _Symbols, pairs: Bits, contexts: DataFrame, entries: DataFrame):
+        self.symbols, self.pairs, self.contexts, self.entries = symbols, pairs, contexts, entries
+
+
+def grow_table(counted: DataFrame, parents: DataFrame, level: int, least: int, gain: float = GAIN) -> tuple[DataFrame, DataFrame]:
+    """(contexts, entries) of one length from counts and from the entries of the next shorter one; dropped contexts pass on what they got.
+
+    ``counted`` is as COUNTED; ``parents`` has (suffix, symbol, root, below), where below
+    is a multiple of root.
+    """
+    by = ["suffix", "symbol"] if level > 1 else ["symbol"]
+    met = stored(counted.filter(F.col("level") == level).join(parents, by).select("ctx", "symbol", "n", "root", "below"), "lm-met")
+    total, kinds = F.col("total"), F.col("kinds")
+    back = F.greatest(F.lit(WEIGHT), kinds)
+    contexts = met.groupBy("ctx").agg(
+        F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum(F.col("n") * F.ln(F.col("n") / (F.col("root") * F.col("below")))).alias("d")
+    )
+    contexts = contexts.filter(total >= least).select(
+        F.lit(level).alias("level"), "ctx", "total", "kinds",
+        (F.col("d") - total * F.ln(total) >= gain * kinds).alias("kept"), (back / (total + back)).alias("left"),
+    )
+    contexts = stored(contexts, "lm-contexts")
+    own = F.col("n") / (total + back) / F.col("root") + F.col("left") * F.col("below")
+    entries = met.join(contexts, "ctx").select(
+        F.lit(level).alias("level"), "ctx", "symbol", "root", "kept", F.when(F.col("kept"), own).otherwise(F.col("below")).alias("ratio")
+    )
+    return contexts, stored(entries, "lm-entries")
+
+
+def grown(texts: DataFrame, words: DataFrame, tokens: int, fresh: float, least: int = LEAST, depth: int = DEPTH) -> Grown:
     """The suffix tree of training texts (text), given their words (word, n)."""
-    top = words.filter(F.col("n") >= max(2.0, share * tokens)).orderBy(F.desc("n"), "word").toArrow()
-    frequent = Frequent(top.column("word").to_pylist())
-    size = frequent.size
-    root = np.append(0.0, top.column("n").to_numpy()) / max(1, tokens) * (1 - fresh)
-    root[0] = 1 - root.sum()
-    none = np.empty(0, np.int64)
-    one = two = Level(none, none, np.empty(0), np.empty(0))
-    if size > 1:
-        codes, n = _counts(texts, frequent, None)
-        contexts = np.arange(1, size)
-        one = grow_level(contexts, codes - size, n, size, lambda c, s: root[s])
-        pair = codes % size > 0
-        pairs = codes[pair][n[pair] >= max(2.0, share * tokens)]
-        if len(pairs):
-            codes, n = _counts(texts, frequent, pairs)
-            two = grow_level(
-                pairs, codes, n, size, lambda c, s: one.refine(one.places(c % size), s, size, root[s])
-            )
-    return Tree(frequent, root, one, two)
+    hashed = stored(mapped(words, _word_hashes, "h long, n long"), "lm-words")
+    often = hashed.filter(F.col("n") >= least)
+    known = Bits(often, often.count())
+    symbols = _Symbols(known)
+    rest = mapped(hashed, _Rare(known), "n long").agg(F.sum("n")).first()[0] or 0
+    share = (1 - fresh) / max(1, tokens)
+    other = rest * share + fresh
+
+    def counts(pairs, lengths):
+        raw = texts.select("text").mapInArrow(_count_contexts(symbols, pairs, lengths), COUNTED)
+        return stored(raw.groupBy("level", "ctx", "suffix", "symbol").agg(F.sum("n").alias("n")), "lm-counts")
+
+    none = np.uint64(0).astype(np.int64).item()
+    roots = hashed.select(F.col("h").alias("symbol"), (F.col("n") * share).alias("root"))
+    roots = roots.unionByName(texts.sparkSession.createDataFrame([(none, other)], "symbol long, root double"))
+    counted = counts(None, range(1, 2))
+    parents = roots.withColumn("below", F.lit(1.0))
+    levels = [grow_table(counted, parents, 1, least)]
+    end = int(_END_SYMBOL.astype(np.int64))
+    frequent = counted.filter((F.col("n") >= least) & ~F.col("symbol").isin(none, end))
+    pairs = Bits(mapped(frequent.select("ctx", "symbol"), _pair_hashes, "h long"), frequent.count())
+    counted = counts(pairs, range(2, depth + 1))
+    for level in range(2, depth + 1):
+        parents = levels[-1][1].select(F.col("ctx").alias("suffix"), "symbol", "root", F.col("ratio").alias("below"))
+        levels.append(grow_table(counted, parents, level, least))
+    contexts, entries = levels[0]
+    for c, e in levels[1:]:
+        contexts, entries = contexts.unionByName(c), entries.unionByName(e)
+    return Grown(symbols, pairs, contexts.filter("kept").drop("kept"), entries.filter("kept").drop("kept", "root"))
+
+
+class Head:
+    """The most frequent contexts of a tree, with all their entries, as sorted arrays, and a bit table of all contexts."""
+
+    def __init__(self, tree: Grown):
+        self.symbols, self.pairs = tree.symbols, tree.pairs
+        n = tree.contexts.count()
+        self.bits = Bits(tree.contexts.select(F.col("ctx").alias("h")), n)
+        top = tree.contexts.orderBy(F.desc("total"), "level", "ctx").limit(HEAD_CONTEXTS).select("ctx", "kinds", "left").toArrow()
+        fits = int((np.cumsum(top.column("kinds").to_numpy()) <= HEAD_ENTRIES).sum())
+        self.whole = fits == n
+        context = top.column("ctx").to_numpy()[:fits].view(np.uint64)
+        order = np.argsort(context)
+        self.context, self.left = context[order], top.column("left").to_numpy()[:fits][order]
+        entries = tree.entries
+        if not self.whole:
+            entries = mapped(entries, _Among(self.context), "level int, ctx long, symbol long, ratio double")
+        found = mapped(entries, _codes, "code long, ratio double").toArrow()
+        code, self.ratio = found.column("code").to_numpy().view(np.uint64), found.column("ratio").to_numpy()
+        order = np.argsort(code)
+        self.code, self.ratio = code[order], self.ratio[order]
+
+
+class _Among:
+    def __init__(self, contexts: np.ndarray):
+        self.contexts = contexts
+
+    def __call__(self, batch):
+        found = _place(self.contexts, batch.column("ctx").to_numpy().view(np.uint64)) >= 0
+        return {c: batch.column(c).filter(pa.array(found)) for c in batch.schema.names}
+
+
+def _codes(batch):
+    context, symbol = (batch.column(c).to_numpy().view(np.uint64) for c in ("ctx", "symbol"))
+    return {"code": coded(context, symbol).view(np.int64), "ratio": batch.column("ratio")}
+
+
+def _place(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Place of each wanted key in sorted keys, -1 where there is none."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
 
 
 def own_share(kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -229,10 +418,13 @@ def _key(word: bytes) -> int:
     return hash_word(word) - (1 << 63)
 
 
+PENDING = "array<struct<at:int,level:int,ctx:long,code:long,a:double,b:double,top:int,ratio:double,rest:double>>"
+
+
 class _Score:
-    """Sums over the frequent words of texts, and the other words for the join that follows."""
+    """Sums over the frequent words of texts, and for the joins that follow the other words and the tokens after other contexts."""
 
-    def __init__(self, tree: Tree, head: dict[bytes, int], tokens: int, kinds: int, fresh: float):
+    def __init__(self, tree: Head, head: dict[bytes, int], tokens: int, kinds: int, fresh: float):
         self.tree, self.head, self.memo = tree, head, None
         self.tokens, self.bottom, self.fresh = tokens, math.log10(tokens + kinds + 1), fresh
 
@@ -240,43 +432,106 @@ class _Score:
         k = len(self.names)
         if k == len(self.symbol):
             self.symbol = np.concatenate([self.symbol, np.zeros_like(self.symbol)])
-            self.within, self.base = (np.concatenate([x, np.full(len(x), np.nan)]) for x in (self.within, self.base))
-        self.symbol[k] = self.tree.frequent.numbers.get(word, 0)
+            self.share, self.base = (np.concatenate([x, np.full(len(x), np.nan)]) for x in (self.share, self.base))
         n = self.head.get(word)
         if n is not None:
-            # a word of the class of others has its share of the class
-            self.within[k] = 1.0 if self.symbol[k] else n / self.tokens * (1 - self.fresh) / self.tree.root[0]
+            self.share[k] = n / self.tokens * (1 - self.fresh)
             self.base[k] = math.log10(n + 1) - self.bottom
+        self.symbol[k] = self.tree.symbols._of(word)
         self.names.append(word)
         return k
 
     def _reset(self):
-        self.symbol, self.names = np.zeros(1024, np.int64), []
-        self.within, self.base = np.full(1024, np.nan), np.full(1024, np.nan)
+        self.symbol, self.names = np.zeros(1024, np.uint64), []
+        self.share, self.base = np.full(1024, np.nan), np.full(1024, np.nan)
         self.memo = WordMemo(self._facts, 1 << 62)
 
-    def __call__(self, batch):
-        out = {k: [] for k in ("n_tokens", "score", "base", "n_head", "rare")}
-        for text in byte_texts(batch, "text"):
-            if self.memo is None or len(self.memo) > 300_000:
-                self._reset()
-            words = tokens_of(text)
-            at = self.memo.values_of(words, np.int64)
-            within, base = self.within[at], self.base[at]
+    def _chances(self, symbol: np.ndarray):
+        """For each token: the longest context with an entry, its ratio, the product of what longer contexts leave; and what the head lacks."""
+        tree = self.tree
+        top, ratio, rest = np.zeros(len(symbol), np.int32), np.ones(len(symbol)), np.ones(len(symbol))
+        open_ = []
+        for level, (at, context) in enumerate(contexts_of(symbol, tree.pairs, DEPTH), 1):
+            near = tree.bits.has(context)
+            at, context = at[near], context[near]
+            place = _place(tree.context, context)
+            hit = place >= 0
+            code = coded(context, symbol[at])
+            entry = np.full(len(at), -1)
+            entry[hit] = _place(tree.code, code[hit])
+            own, none = entry >= 0, hit & (entry < 0)
+            top[at[own]], ratio[at[own]] = level, tree.ratio[entry[own]]
+            rest[at[none]] *= tree.left[place[none]]
+            if not tree.whole and not hit.all():
+                open_.append((at[~hit], np.full(int((~hit).sum()), level, np.int32), context[~hit], code[~hit]))
+        return top, ratio, rest, open_
+
+    def _group(self, texts: list[list[bytes]], out: dict) -> None:
+        if self.memo is None or len(self.memo) > 300_000:
+            self._reset()
+        kinds = [self.memo.values_of(words, np.int64) for words in texts]
+        ends = np.cumsum([len(k) for k in kinds])
+        top, ratio, rest, open_ = self._chances(self.symbol[np.concatenate(kinds)])
+        a, b = np.empty(ends[-1]), np.empty(ends[-1])
+        for at, end in zip(kinds, ends.tolist()):
+            here = slice(end - len(at), end)
+            base, share = self.base[at], self.share[at]
             frequent = ~np.isnan(base)
             weight, own, new = own_share(at)
-            chance = self.tree.probabilities(self.symbol[at])
-            # the class's chance over its root share stands for a rare word, whose own share the join adds
-            chance *= np.where(frequent, within, new / self.tree.root[0])
-            out["n_tokens"].append(len(words))
-            out["score"].append(float(np.log10((1 - weight) * chance + weight * own).sum()))
+            # a rare word's own share is added by the join
+            a[here], b[here] = (1 - weight) * np.where(frequent, share, new), weight * own
+            out["n_tokens"].append(len(at))
+            out["score"].append(float(np.log10(a[here] * ratio[here] * rest[here] + b[here]).sum()))
             out["base"].append(float(base[frequent].sum()))
             out["n_head"].append(int(frequent.sum()))
             rare, times = np.unique(at[~frequent], return_counts=True)
             out["rare"].append([{"h": _key(self.names[k]), "n": n} for k, n in zip(rare.tolist(), times.tolist())])
+        fields = [np.concatenate(x) for x in zip(*open_)] if open_ else [np.empty(0, t) for t in (np.int64, np.int32, np.uint64, np.uint64)]
+        order = np.argsort(fields[0], kind="stable")
+        at, level, context, code = (x[order] for x in fields)
+        counts = np.diff(np.searchsorted(at, np.append(0, ends)))
+        rows = [at.astype(np.int32), level, context.view(np.int64), code.view(np.int64), a[at], b[at], top[at], ratio[at], rest[at]]
+        out["pending"].append((counts, rows))
+
+    def __call__(self, batch):
+        out = {k: [] for k in ("n_tokens", "score", "base", "n_head", "rare", "pending")}
+        group, size = [], 0
+        for text in byte_texts(batch, "text"):
+            group.append(tokens_of(text))
+            size += len(group[-1])
+            if size >= CHUNK:
+                self._group(group, out)
+                group, size = [], 0
+        if group:
+            self._group(group, out)
+        counts = np.concatenate([c for c, _ in out["pending"]])
+        rows = [pa.array(np.concatenate(x)) for x in zip(*[r for _, r in out["pending"]])]
+        inner = pa.StructArray.from_arrays(rows, ["at", "level", "ctx", "code", "a", "b", "top", "ratio", "rest"])
+        out["pending"] = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), inner)
         return {"row": batch.column("row"), "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), **out}
 
 
+def past_head(scored: DataFrame, tree: Grown) -> DataFrame:
+    """(row, more): what the contexts outside the head add to the scores of rows (row, pending).
+
+    A symbol that has an entry after a context has one after each suffix, so a token's
+    ratio is that of the longest context with one, times what the longer ones leave.
+    """
+    looked = scored.select("row", F.explode("pending").alias("p")).select("row", "p.*")
+    hits = looked.join(tree.contexts.select("ctx", "level", "left"), ["ctx", "level"])
+    entries = mapped(tree.entries.select("ctx", "symbol", "ratio"), _codes, "code long, ratio double").withColumnRenamed("ratio", "own")
+    hits = hits.join(entries, "code", "left")
+    token = hits.groupBy("row", "at").agg(
+        *[F.first(c).alias(c) for c in ("a", "b", "top", "ratio", "rest")],
+        F.max(F.when(F.col("own").isNotNull(), F.struct("level", "own"))).alias("best"),
+        F.coalesce(F.sum(F.when(F.col("own").isNull(), F.ln("left"))), F.lit(0.0)).alias("leaves"),
+    )
+    ratio = F.when(F.col("best.level") > F.col("top"), F.col("best.own")).otherwise(F.col("ratio"))
+    now = F.log10(F.col("a") * ratio * F.col("rest") * F.exp("leaves") + F.col("b"))
+    was = F.log10(F.col("a") * F.col("ratio") * F.col("rest") + F.col("b"))
+    return token.groupBy("row").agg(F.sum(now - was).alias("more"))
+
+
 def _keyed(batch):
     return {"h": [_key(w) for w in batch.column("word").to_pylist()], "c": batch.column("n")}
 
@@ -304,11 +559,12 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     # the unknown symbol has the mass of the words seen once
     fresh = (size.once + 1) / (tokens + 2)
     tree = grown(training, words, tokens, fresh)
+    near = Head(tree)
     top = words.orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
     head = dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist()))
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, score double, base double, n_head long, rare array<struct<h:long,n:long>>"
-    scored = stored(mapped(numbered, _Score(tree, head, tokens, kinds, fresh), schema), "scores")
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, score double, base double, n_head long, rare array<struct<h:long,n:long>>, pending " + PENDING
+    scored = stored(mapped(numbered, _Score(near, head, tokens, kinds, fresh), schema), "scores")
 
     # what the frequent words leave: counts of the other words, by a join on their hashes
     others = mapped(words.filter(F.col("n") <= min(head.values(), default=0)), _keyed, "h long, c long")
@@ -320,7 +576,10 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
         F.sum(F.col("k") * (F.log10(F.col("c") + 1) - F.lit(bottom))).alias("found"),
         F.sum(F.coalesce(own, F.lit(math.log10(fresh)))).alias("gained"),
     )
-    joined = scored.drop("rare").join(found, "row", "left")
+    joined = scored.drop("rare", "pending").join(found, "row", "left")
+    if not near.whole:
+        joined = joined.join(past_head(scored, tree), "row", "left")
+    more = F.lit(0.0) if near.whole else F.coalesce("more", F.lit(0.0))
     n_found = F.coalesce("n_found", F.lit(0))
     n_new = F.col("n_tokens") - F.col("n_head") - n_found
     return joined.select(
@@ -330,5 +589,5 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
         (F.col("n_head") + n_found).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("found", F.lit(0.0)) - n_new * F.lit(bottom)).alias("base_score"),
-        (F.col("score") + F.coalesce("gained", F.lit(0.0))).alias("score"),
+        (F.col("score") + F.coalesce("gained", F.lit(0.0)) + more).alias("score"),
     )

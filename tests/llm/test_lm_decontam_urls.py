@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import Row
 
+from scholarlens.llm.common import hash_word
 from scholarlens.llm.decontam import leaks
 from scholarlens.llm.queries import op2_url_filters
 from scholarlens.llm.suffix_lm import Frequent, Level, Tree, grow_level, lm_scores, own_share
@@ -179,3 +180,69 @@ def test_captures_against_brute_force(spark):
     assert listed_captures(frame.withColumnRenamed("entry", "k"), listed.limit(0)).filter("blocked").collect() == []
     spans = validity(listed).collect()
     assert all(s.valid_to is None or s.valid_from < s.valid_to for s in spans)
+
+
+def markov(n, seed=4, oldest=3):
+    """Texts in which what follows is told by the three words before, or by two of them if ``oldest`` is 0."""
+    rng = np.random.default_rng(seed)
+    texts = []
+    for _ in range(n):
+        words = [int(x) for x in rng.integers(0, 4, 3)]
+        while len(words) < 60:
+            words.append((words[-3] * oldest + words[-2] + (rng.random() < 0.1)) % 4)
+        texts.append(" ".join(f"m{w}" for w in words))
+    return texts
+
+
+def test_contexts_grow_with_the_corpus_and_reach_past_two_words(spark):
+    from scholarlens.llm.suffix_lm import grown, word_counts
+
+    # the phrase is 20 of more than 450,000 tokens, far below a share of 5e-5
+    rare = ["alpha beta gamma delta"] * 20
+    filler = [" ".join(f"f{(k * 7 + j * j) % 900}" for j in range(450)) for k in range(1000)]
+    texts = spark.createDataFrame([(t,) for t in markov(60) + rare + filler], "text string")
+    words = word_counts(texts)
+    tokens = sum(r.n for r in words.collect())
+    tree = grown(texts, words, tokens, 1 / tokens)
+    levels = {r.level for r in tree.contexts.select("level").distinct().collect()}
+    assert {1, 3} <= levels
+    alpha = int(np.uint64(hash_word(b"alpha")).astype(np.int64))
+    assert [r.total for r in tree.contexts.filter(f"level = 1 and ctx = {alpha}").collect()] == [20]
+
+
+def test_scores_do_not_depend_on_the_head_of_contexts(spark, monkeypatch):
+    frame = spark.createDataFrame(list(enumerate(markov(150))), "doc_id long, text string")
+    whole = {r.doc_id: r.score for r in lm_scores(frame).collect()}
+    for contexts, entries in ((3, 8), (0, 0), (12, 1000)):
+        monkeypatch.setattr("scholarlens.llm.suffix_lm.HEAD_CONTEXTS", contexts)
+        monkeypatch.setattr("scholarlens.llm.suffix_lm.HEAD_ENTRIES", entries)
+        assert {r.doc_id: r.score for r in lm_scores(frame).collect()} == pytest.approx(whole, rel=1e-9)
+
+
+def test_table_of_contexts_equals_the_plain_tree(spark):
+    from scholarlens.llm.suffix_lm import grown, word_counts
+
+    texts = markov(80, oldest=0)
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    tree = grown(frame, word_counts(frame), sum(len(tokens(t)) for t in texts), 0.01, depth=2)
+    runs = [[b" " if w is None else w.encode() for w in tokens(t)] for t in texts]
+    number = Counter(w for r in runs for w in r)
+    frequent = Frequent([w for w, _ in number.most_common()])
+    size, n = frequent.size, sum(number.values())
+    root = np.array([0.01, *(0.99 * c / n for _, c in number.most_common())])
+    ones, twos = Counter(), Counter()
+    for r in runs:
+        at = frequent.of(r).tolist()
+        ones.update(a * size + b for a, b in zip(at, at[1:]))
+        twos.update(((a * size + b), c) for a, b, c in zip(at, at[1:], at[2:]))
+    singles = np.array(sorted({c // size for c in ones}))
+    codes = np.array(sorted(ones))
+    one = grow_level(singles, np.searchsorted(singles, codes // size) * size + codes % size, np.array([ones[c] for c in codes]), size, lambda c, s: root[s])
+    pairs = np.array(sorted({p for p, _ in twos if sum(v for (q, _), v in twos.items() if q == p) >= 10}))
+    keys = sorted(k for k in twos if k[0] in set(pairs.tolist()))
+    codes = np.array([np.searchsorted(pairs, p) * size + s for p, s in keys])
+    two = grow_level(pairs, codes, np.array([twos[k] for k in keys]), size, lambda c, s: one.refine(one.places(c % size), s, size, root[s]))
+    plain = Tree(frequent, root, one, two)
+    expect = sorted(plain.probabilities(np.array([p // size, p % size, s]))[-1] / root[s] for p, s in keys if two.places(np.array([p]))[0] >= 0)
+    got = sorted(r.ratio for r in tree.entries.filter("level = 2").collect())
+    assert len(got) > 8 and got == pytest.approx(expect, rel=1e-6)
