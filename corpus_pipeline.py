@@ -17,6 +17,9 @@ from scholarlens.llm.packing import packed
 from scholarlens.llm.quality import accepted
 from scholarlens.llm.secrets import redacted
 
+#: Similarity in percent from which the stage takes documents for near duplicates.
+NEAR = 80
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts. Null texts are judged as empty ones; null ids may stay."""
@@ -29,7 +32,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Documents without an id or without words belong to no group and stay; rows that
     repeat the id that stays all stay, as one document.
     """
-    gone = near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
+    gone = near_duplicates(docs, NEAR).filter(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 

@@ -3,7 +3,7 @@
 Plan
 ----
 1. One pass over the texts gives each document's set size, a digest of the set
-   and ``BANDS`` bucket keys from a one-permutation sketch with optimal
+   and bucket keys from a one-permutation sketch with optimal
    densification. Equal sets collapse to their least document by the digest.
 2. Buckets with two or more sets get a star: the most central document (the one
    with the most company over all its buckets) is tied to every other member,
@@ -15,8 +15,9 @@ Plan
    in common with it, and elements that it lacks, so an equality join on those
    elements finds all pairs that can be linked, and no others are formed.
 
-Links of similarity ``PERCENT`` / 100 share a bucket but for a chance of about
-3e-7 (32 bands of 6 bins), so the components are those of all links.
+The threshold is a parameter, ``PERCENT`` unless given. Links of that similarity share
+a bucket but for a chance of ``MISSED`` at most (32 bands of 6 bins at 85 %, 38 of 5 at
+80 %), so the components are those of all links.
 """
 
 from __future__ import annotations
@@ -37,9 +38,8 @@ from scholarlens.llm.common import (
 )
 from scholarlens.llm.components import components
 
-BINS, BANDS, WIDTH, PERCENT = 192, 32, 5, 85
-ROWS = BINS // BANDS
-DRAWS = 64
+BINS, WIDTH, PERCENT = 192, 5, 85
+MISSED, DRAWS = 3e-7, 64
 
 _EDGES = np.array([-(-i * 2**64 // BINS) for i in range(BINS)], dtype=np.uint64)
 
@@ -83,11 +83,18 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return values
 
 
-def band_keys(sketches: np.ndarray) -> np.ndarray:
-    """Bucket keys (documents x BANDS) of a stack of sketches; the band's number is part of the key."""
-    parts = mixed(sketches).reshape(len(sketches), BANDS, ROWS)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * np.uint64(0xA24BAED4963EE407)
-    for r in range(ROWS):
+def rows_of(percent: int) -> int:
+    """Bins of a band: the most with which links of ``percent`` share no bucket with a chance of MISSED at most."""
+    fit = [r for r in range(1, BINS + 1) if (1 - (percent / 100) ** r) ** (BINS // r) <= MISSED]
+    return max(fit, default=1)
+
+
+def band_keys(sketches: np.ndarray, rows: int) -> np.ndarray:
+    """Bucket keys (documents x bands) of a stack of sketches, ``rows`` bins a band; the band's number is part of the key."""
+    bands = BINS // rows
+    parts = mixed(sketches[:, : bands * rows]).reshape(len(sketches), bands, rows)
+    key = np.arange(1, bands + 1, dtype=np.uint64)[None, :] * np.uint64(0xA24BAED4963EE407)
+    for r in range(rows):
         key = mixed(key ^ parts[:, :, r])
     return key
 
@@ -105,8 +112,8 @@ class _Words:
 
 
 class _Features:
-    def __init__(self):
-        self.words = _Words()
+    def __init__(self, percent: int):
+        self.words, self.rows = _Words(), rows_of(percent)
 
     def __call__(self, batch):
         sizes, digests, keys = [], [], []
@@ -116,7 +123,7 @@ class _Features:
             digests.append(xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None)
             keys.append(sketch(shingles) if len(shingles) else None)
         filled = [k for k in keys if k is not None]
-        rows = iter(band_keys(np.stack(filled)).view(np.int64) if filled else ())
+        rows = iter(band_keys(np.stack(filled), self.rows).view(np.int64) if filled else ())
         return {
             "doc_id": batch.column("doc_id"),
             "n_shingles": sizes,
@@ -146,59 +153,64 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def _measure(batch):
+class _Measure:
     """Overlap and link of the pairs; for each the elements of x that c lacks and that a partner of x could share.
 
-    A partner y of x has at least PERCENT / 100 of x, of which c has ``both`` at most,
+    A partner y of x has at least ``percent`` / 100 of x, of which c has ``both`` at most,
     so the rest lies in what c lacks; all but (rest - 1) of those elements, in order of
     hash, must hold one that y has too.
     """
-    out = {k: [] for k in ("n_c", "n_x", "both", "linked", "added_size", "added")}
-    for c, x in zip(batch.column("set_c"), batch.column("set_x")):
-        c, x = (np.frombuffer(s.as_buffer(), np.uint64) for s in (c, x))
-        at = np.minimum(np.searchsorted(c, x), len(c) - 1)
-        added = x[c[at] != x]
-        both = len(x) - len(added)
-        rest = max(1, -(-PERCENT * len(x) // 100) - both)
-        row = (
-            len(c),
-            len(x),
-            both,
-            100 * both >= PERCENT * (len(c) + len(added)),
-            len(added),
-            added[: max(0, len(added) - rest + 1)].view(np.int64),
-        )
-        for column, value in zip(out.values(), row):
-            column.append(value)
-    return {"c": batch.column("c"), "x": batch.column("x"), **out}
+
+    def __init__(self, percent: int):
+        self.percent = percent
+
+    def __call__(self, batch):
+        out = {k: [] for k in ("n_c", "n_x", "both", "linked", "added_size", "added")}
+        for c, x in zip(batch.column("set_c"), batch.column("set_x")):
+            c, x = (np.frombuffer(s.as_buffer(), np.uint64) for s in (c, x))
+            at = np.minimum(np.searchsorted(c, x), len(c) - 1)
+            added = x[c[at] != x]
+            both = len(x) - len(added)
+            rest = max(1, -(-self.percent * len(x) // 100) - both)
+            row = (
+                len(c),
+                len(x),
+                both,
+                100 * both >= self.percent * (len(c) + len(added)),
+                len(added),
+                added[: max(0, len(added) - rest + 1)].view(np.int64),
+            )
+            for column, value in zip(out.values(), row):
+                column.append(value)
+        return {"c": batch.column("c"), "x": batch.column("x"), **out}
 
 
 MEASURED = "c long, x long, n_c long, n_x long, both long, linked boolean, added_size long, added array<long>"
 
 
-def _sizes_allow(a: str, b: str) -> str:
+def _sizes_allow(a: str, b: str, percent: int) -> str:
     """Similarity is at most the ratio of the sizes."""
-    return f"100 * least({a}, {b}) >= {PERCENT} * greatest({a}, {b})"
+    return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
 
 
-def _enough(both: str, a: str, b: str) -> str:
+def _enough(both: str, a: str, b: str, percent: int) -> str:
     """An overlap of ``both`` links sets of sizes ``a`` and ``b``."""
-    return f"{100 + PERCENT} * ({both}) >= {PERCENT} * ({a} + {b})"
+    return f"{100 + percent} * ({both}) >= {percent} * ({a} + {b})"
 
 
-def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (c, x) held against each other on their full sets; see MEASURED."""
     found = (
         pairs.join(sets.select(F.col("doc").alias("c"), F.col("shingles").alias("set_c")), "c")
         .join(sets.select(F.col("doc").alias("x"), F.col("shingles").alias("set_x")), "x")
         .select("c", "x", "set_c", "set_x")
     )
-    return mapped(found, _measure, MEASURED)
+    return mapped(found, _Measure(percent), MEASURED)
 
 
-def links_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def links_of(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (c, x) that are linked, as edges (a, b)."""
-    return measured(pairs, sets).filter("linked").select(F.col("c").alias("a"), F.col("x").alias("b"))
+    return measured(pairs, sets, percent).filter("linked").select(F.col("c").alias("a"), F.col("x").alias("b"))
 
 
 def _placed(rows: DataFrame, components_of: DataFrame, node: str, name: str) -> DataFrame:
@@ -207,7 +219,7 @@ def _placed(rows: DataFrame, components_of: DataFrame, node: str, name: str) ->
     return rows.join(known, node, "left").withColumn(name, F.coalesce(name, node))
 
 
-def _between(stars: DataFrame) -> DataFrame:
+def _between(stars: DataFrame, percent: int) -> DataFrame:
     """Pairs (c, x) of the members of a star in different components that may still be linked.
 
     Two members share at most what both have in common with the centre and what the
@@ -219,26 +231,26 @@ def _between(stars: DataFrame) -> DataFrame:
     fields = ["x", "n_x", "both", "added_size", "component"]
     left = outside.select("c", *[F.col(f).alias(f"{f}_1") for f in fields], "added")
     right = rows.select("c", *[F.col(f).alias(f"{f}_2") for f in fields], "added")
-    apart = F.expr("component_1 <> component_2") & F.expr(_sizes_allow("n_x_1", "n_x_2"))
-    inside = f"100 * both >= {PERCENT} * n_x"
+    apart = F.expr("component_1 <> component_2") & F.expr(_sizes_allow("n_x_1", "n_x_2", percent))
+    inside = f"100 * both >= {percent} * n_x"
     first = left.filter(inside.replace("both", "both_1").replace("n_x", "n_x_1")).drop("added").alias("l").join(
         right.filter(inside.replace("both", "both_2").replace("n_x", "n_x_2")).drop("added").alias("r"),
-        (F.col("l.c") == F.col("r.c")) & apart & F.expr(_enough("least(both_1, both_2)", "n_x_1", "n_x_2")),
+        (F.col("l.c") == F.col("r.c")) & apart & F.expr(_enough("least(both_1, both_2)", "n_x_1", "n_x_2", percent)),
     )
     share = "least(both_1, both_2) + least(added_size_1, added_size_2)"
     second = left.withColumn("e", F.explode("added")).drop("added").alias("l").join(
         right.withColumn("e", F.explode("added")).drop("added").alias("r"),
-        (F.col("l.c") == F.col("r.c")) & (F.col("l.e") == F.col("r.e")) & apart & F.expr(_enough(share, "n_x_1", "n_x_2")),
+        (F.col("l.c") == F.col("r.c")) & (F.col("l.e") == F.col("r.e")) & apart & F.expr(_enough(share, "n_x_1", "n_x_2", percent)),
     )
     both = first.select("x_1", "x_2").unionByName(second.select("x_1", "x_2"))
     return both.select(F.least("x_1", "x_2").alias("c"), F.greatest("x_1", "x_2").alias("x")).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
 
     Documents are linked when their sets of 5-word shingles (words lower-cased in
-    A-Z, split at ASCII white space) have similarity of at least 85 %;
+    A-Z, split at ASCII white space) have similarity of at least ``percent`` %;
     ``component_id`` is the least doc_id reachable over links.
 
     Null or blank texts have an empty set and stand alone. A null doc_id gets a
@@ -248,7 +260,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     features = stored(
-        mapped(docs, _Features(), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "sketches"
+        mapped(docs, _Features(percent), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "sketches"
     )
     named = features.filter("doc_id is not null and n_shingles > 0")
     one = named.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("x"))
@@ -265,7 +277,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = stored(members.select("bucket", "doc").join(centre, "bucket"), "stars")
     best = stars.groupBy("doc").agg(F.max("best").alias("best"))
     pairs = best.select((-F.col("best.col2")).alias("c"), F.col("doc").alias("x")).filter("c <> x")
-    links = stored(links_of(pairs, sets), "links")
+    links = stored(links_of(pairs, sets, percent), "links")
     placed = stored(components(links), "components")
 
     # buckets that are still split, each member against the bucket's own centre
@@ -273,15 +285,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     split = open_stars.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     open_stars = open_stars.join(split.filter("lo < hi").select("bucket"), "bucket")
     pairs = open_stars.select((-F.col("best.col2")).alias("c"), F.col("doc").alias("x")).filter("c <> x").distinct()
-    held = stored(measured(pairs, sets), "measured")
+    held = stored(measured(pairs, sets, percent), "measured")
     links = links.unionByName(held.filter("linked").select(F.col("c").alias("a"), F.col("x").alias("b")))
     placed = stored(components(links), "components")
 
     # members of one star that could still be linked past their centre
     held = _placed(_placed(held, placed, "x", "component"), placed, "c", "centre_component")
-    rest = stored(_between(held), "rest")
+    rest = stored(_between(held, percent), "rest")
     known = placed.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    final = stored(components(known.unionByName(links_of(rest, sets))), "components")
+    final = stored(components(known.unionByName(links_of(rest, sets, percent))), "components")
 
     groups = named.groupBy("set_key").agg(F.min("doc_id").alias("node"))
     groups = _placed(groups, final, "node", "component").select("set_key", "component")

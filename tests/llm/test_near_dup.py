@@ -102,3 +102,35 @@ def test_sketch_estimates_similarity():
         key = np.uint64(rng.integers(1, 2**62) | 1)
         trials.append((sketch(np.unique(a * key)) == sketch(np.unique(b * key))).mean())
     assert abs(np.mean(trials) - overlap(a, b) / 12) < 0.05
+
+
+def test_pipeline_stage_against_brute_force_at_80(spark):
+    import corpus_pipeline
+
+    texts = [t for seed in range(4) for t in family(seed, 40, edits=6)]
+    sets = [shingles(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    between = 0
+    for a, b in combinations(range(len(texts)), 2):
+        share = 100 * len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+        between += 80 <= share < 85
+        if share >= 80:
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    alone = {i for i, (_, component) in brute(list(enumerate(texts))).items() if i == component}
+    assert between and kept == {root(i) for i in range(len(texts))} and kept < alone
+
+
+def test_bands_miss_few_links():
+    from scholarlens.llm.near_dup import BINS, rows_of
+
+    assert rows_of(85) == 6 and rows_of(80) == 5
+    assert all((1 - (p / 100) ** rows_of(p)) ** (BINS // rows_of(p)) <= 3e-7 for p in (75, 80, 85, 90))
