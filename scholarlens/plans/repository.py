@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -155,6 +159,30 @@ def constraint_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return works(spark, sf_dir).select("id", broken.alias("violations")).filter("violations <> ''")
 
 
+def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of the digests h of each status, rows being in order of status; a task holds one batch and one hash.
+
+    Null digests are left out; a status with no other has a null hash.
+    """
+    names = ["status", "fingerprint"]
+
+    def row(status, state):
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in (status, state and state.hexdigest())], names=names)
+
+    begun, at, state = False, None, None
+    for batch in batches:
+        for status, h in zip(batch.column("status").to_pylist(), batch.column("h").to_pylist()):
+            if begun and status != at:
+                yield row(at, state)
+            if not begun or status != at:
+                begun, at, state = True, status, None
+            if h is not None:
+                state = state or hashlib.sha256()
+                state.update(h.encode())
+    if begun:
+        yield row(at, state)
+
+
 @query(
     "corpus_fingerprint",
     f"""WITH {WORKS_SQL}, digests AS (
@@ -166,12 +194,10 @@ def corpus_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     sep = F.lit("\x1f")
     row = F.sha2(F.concat("id", sep, "title", sep, "abstract", sep, "program"), 256)
     digests = works(spark, sf_dir).select("status", "id", row.alias("h"))
-    listed = F.array_sort(F.collect_list(F.struct("id", "h")))
-    return digests.groupBy("status").agg(
-        F.count("*").alias("n"),
-        F.max("id").alias("last_id"),
-        F.sha2(F.array_join(F.transform(listed, lambda x: x["h"]), ""), 256).alias("fingerprint"),
-    )
+    counted = digests.groupBy("status").agg(F.count("*").alias("n"), F.max("id").alias("last_id"))
+    ordered = digests.repartition("status").sortWithinPartitions("status", "id")
+    hashed = ordered.select("status", "h").mapInArrow(chained, "status string, fingerprint string")
+    return counted.join(hashed, counted["status"].eqNullSafe(hashed["status"])).select(counted["status"], "n", "last_id", "fingerprint")
 
 
 @query(
