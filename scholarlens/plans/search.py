@@ -193,14 +193,24 @@ edges AS (SELECT DISTINCT doc_id AS citing, item_id AS cited FROM texts, targets
 def citation_edges(docs: DataFrame, targets: DataFrame, words: int = 8) -> DataFrame:
     """(citing, cited): documents (doc_id, text) in which the first words of a target (item_id, text) stand in order.
 
-    The runs of ``words`` words of a document are joined with the titles by equality,
-    so that no text is held against titles that it shares nothing with.
+    Targets of fewer than ``words`` words are found by all they have. The runs of a
+    document, of each length that a target's key has, are joined with the keys by
+    equality, so that no text is held against titles that it shares nothing with.
     """
     tokens = plain_words("text")
-    n = F.size("w") - words + 1
-    runs = docs.select("doc_id", tokens.alias("w")).filter(n > 0)
-    runs = runs.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice("w", i, words), " "))).alias("title"))
-    titles = targets.select("item_id", F.array_join(F.slice(tokens, 1, words), " ").alias("title"))
+    titles = targets.filter("text is not null").select("item_id", F.slice(tokens, 1, words).alias("k"))
+    lengths = sorted(r.n for r in titles.select(F.size("k").alias("n")).distinct().collect())
+    titles = titles.select("item_id", F.array_join("k", " ").alias("title"))
+
+    def runs_of(n: int) -> Column:
+        last = F.size("w") - n + 1
+        found = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice("w", i, n), " "))
+        # a target without words stands in texts without words alone
+        fits = last > 0 if n else last == 1
+        return F.when(fits, found).otherwise(F.array().cast("array<string>"))
+
+    runs = docs.filter("text is not null").select("doc_id", tokens.alias("w"))
+    runs = runs.select("doc_id", F.explode(F.concat(F.array().cast("array<string>"), *map(runs_of, lengths))).alias("title"))
     return runs.join(titles, "title").select(F.col("doc_id").alias("citing"), F.col("item_id").alias("cited")).distinct()
 
 
