@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scholarlens.plans.events import DAY
 from scholarlens.registry import oracle_of, query
-from scholarlens.streaming.limiter import drained, limited
+from scholarlens.streaming.limiter import limited
 
 
 def _folder(spark: SparkSession) -> str:
@@ -21,4 +21,4 @@ def stream_window_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a file stream takes a folder or a pattern, but no single file
     events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events.parque?")
     second = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)
-    return drained(limited(events.select("user_id", "event_id", second.alias("second")), DAY, 3), _folder(spark))
+    return limited(events.select("user_id", "event_id", second.alias("second")), DAY, 3, _folder(spark))

@@ -5,46 +5,70 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
 
+STATE = "user_id long, opened double, hits long"
 OUTPUT = "user_id long, event_id long, opened double, hits long, refused boolean"
+_NAMES = ["user_id", "event_id", "opened", "hits", "refused", "second"]
+_TYPES = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.bool_(), pa.float64()]
 
 
-def limited(stream: DataFrame, seconds: int, limit: int) -> DataFrame:
-    """A stream (user_id, event_id, second) held against a budget whose window opens with a user's first hit.
+def counted(seconds: int, limit: int):
+    """A fold over rows in order of user and time, each with the state its user had before the micro-batch; a frame in, a frame out."""
 
-    State is two numbers a user. Input has no order inside a micro-batch, so a user's
-    rows of one batch are sorted first; rows that come in a later batch than younger
-    ones count in the window that is open then.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, at, opened, count = False, None, None, 0
+        for batch in batches:
+            out = []
+            for user, event, second, was_opened, had in zip(*[batch.column(c).to_pylist() for c in ("user_id", "event_id", "second", "was_opened", "had")]):
+                if not begun or user != at:
+                    begun, at, opened, count = True, user, was_opened, had or 0
+                if opened is None or second >= opened + seconds:
+                    opened, count = second, 0
+                count += 1
+                out.append((user, event, opened, count, count > limit, second))
+            columns = zip(*out) if out else [()] * len(_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], names=_NAMES)
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened, count = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(batches)).sort_values(["second", "event_id"])
-        out = []
-        for event_id, second in zip(rows["event_id"], rows["second"]):
-            if opened is None or second >= opened + seconds:
-                opened, count = float(second), 0
-            count += 1
-            out.append((key[0], event_id, opened, count, count > limit))
-        state.update((opened, count))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "opened", "hits", "refused"])
+    return run
 
-    return stream.groupBy("user_id").applyInPandasWithState(run, OUTPUT, "opened double, hits long", "append", GroupStateTimeout.NoTimeout)
 
+def limited(stream: DataFrame, seconds: int, limit: int, folder: str) -> DataFrame:
+    """A stream (user_id, event_id, second) held against a budget whose window opens with a user's first hit.
 
-def drained(stream: DataFrame, folder: str) -> DataFrame:
-    """Run a stream over all that is there now, append its rows to ``folder`` and read them back."""
+    Runs over all that is there now, appends the rows to ``folder`` and reads them back.
+    A micro-batch is dealt by user and sorted by Spark, which spills, so a task holds one
+    frame and two numbers, however many rows a user has. State is two numbers a user,
+    a table written with each micro-batch; a batch that is repeated writes the same again.
+    Rows that come in a later batch than younger ones count in the window open then.
+    """
     spark: SparkSession = stream.sparkSession
     run = uuid.uuid4().hex
-    path = f"{folder.rstrip('/')}/stream-{run}"
+    path, states = f"{folder.rstrip('/')}/stream-{run}", f"{folder.rstrip('/')}/stream-users-{run}"
+
+    def step(rows: DataFrame, batch: int) -> None:
+        own = rows.sparkSession
+        before = own.read.schema(STATE).parquet(f"{states}/{batch - 1}") if batch else own.createDataFrame([], STATE)
+        known = before.select(F.col("user_id").alias("known"), F.col("opened").alias("was_opened"), F.col("hits").alias("had"))
+        met = rows.join(known, F.col("user_id").eqNullSafe(F.col("known")), "left").drop("known")
+        ordered = met.repartition("user_id").sortWithinPartitions("user_id", "second", "event_id")
+        out = ordered.mapInArrow(counted(seconds, limit), f"{OUTPUT}, second double")
+        out.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        written = own.read.schema(f"{OUTPUT}, second double").parquet(f"{path}/batch={batch}")
+        last = written.groupBy("user_id").agg(F.max_by(F.struct("opened", "hits"), F.struct("second", "event_id")).alias("x"))
+        last = last.select("user_id", "x.opened", "x.hits")
+        rest = before.alias("b").join(last.select(F.col("user_id").alias("new")), F.col("b.user_id").eqNullSafe(F.col("new")), "left_anti")
+        rest.unionByName(last).write.mode("overwrite").parquet(f"{states}/{batch}")
+
     query = (
-        stream.writeStream.format("parquet")
+        stream.writeStream.foreachBatch(step)
         .option("checkpointLocation", f"{folder.rstrip('/')}/stream-state-{run}")
         .trigger(availableNow=True)
-        .start(path)
+        .start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    if query.lastProgress is None:
+        return spark.createDataFrame([], OUTPUT)
+    return spark.read.schema(f"{OUTPUT}, batch long").parquet(path).drop("batch")
