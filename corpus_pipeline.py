@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarlens.llm.common import stored, table
+from scholarlens.llm.common import free_name, stored, table
 from scholarlens.llm.decontam import leaks
 from scholarlens.llm.near_dup import near_duplicates
 from scholarlens.llm.packing import packed
@@ -37,9 +37,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents into which no benchmark item leaks. Documents without an id are judged by no pair and stay."""
-    found = leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").filter("doc_id is not null").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """Documents into which no benchmark item leaks. Rows are judged by their texts, so their ids may be null or repeated."""
+    key = free_name("text_key", docs.columns)
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    found = leaks(keyed.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return keyed.join(found.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti").select(docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -191,7 +191,7 @@ def redacted(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
     """``docs`` with every reported span replaced by ``mark``; all rows and columns stay, n_chars follows the text.
 
     Spans come back by doc_id and a digest of the text, so rows that share an id but
-    not a text keep their own; null ids and null texts match nothing and stay as they are.
+    not a text keep their own, and a null id is an id like others; null texts stay as they are.
     """
     columns = docs.columns
     own_key, own_id, name = (free_name(n, columns) for n in ("text_key", "found_id", "cuts"))
@@ -200,7 +200,7 @@ def redacted(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
     found = found.select(F.col("doc_id").alias(own_id), F.col("text_key").alias("spans_key"), cuts.alias(name))
     found = found.dropDuplicates([own_id, "spans_key"])
     keyed = docs.withColumn(own_key, F.xxhash64("text"))
-    joined = keyed.join(found, (keyed["doc_id"] == found[own_id]) & (keyed[own_key] == found["spans_key"]), "left")
+    joined = keyed.join(found, keyed["doc_id"].eqNullSafe(found[own_id]) & (keyed[own_key] == found["spans_key"]), "left")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     out = mapped(joined.select(*[keyed[c] for c in columns], found[name]), _mask(mark, name), schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in columns else out

@@ -55,3 +55,13 @@ def test_run_is_a_registered_query(spark, sf_dir):
 
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
     assert corpus_pipeline.run(spark, sf_dir).columns[:5] == ["doc_id", "piece", "start", "length", "ids_crc32"]
+
+
+def test_rows_without_an_id_lose_secrets_and_leaks(spark, sf_dir):
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first().text
+    rows = [(None, "password = abcdefgh12345 and more", 0), (None, f"Some words. {item}", 0), (None, "a calm river", 0), (7, "a calm river", 0), (7, item, 0), (None, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    masked = corpus_pipeline.mask_secrets(spark, docs, sf_dir).collect()
+    assert len(masked) == 6 and any("<secret>" in (r.text or "") for r in masked) and not any("abcdefgh12345" in (r.text or "") for r in masked)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_leaks(spark, docs, sf_dir).collect()]
+    assert sorted(kept, key=str) == sorted([rows[0][:2], rows[2][:2], rows[3][:2], rows[5][:2]], key=str)
