@@ -27,10 +27,11 @@ EPOCHS, RATE, DECAY = 6, 0.5, 1e-4
 #: Tags that do not break a block, tags without an end, tags whose content is not text, and
 #: tags that end an open one of their own kind.
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr "
+    "math semantics mrow mi mn mo ms mtext mspace mstyle msub msup msubsup mfrac msqrt mroot mover munder munderover".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript iframe noembed noframes xmp svg math object".split())
+RAW = frozenset("script style template iframe noembed noframes".split())
 SELF_ENDING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Tags that end an open paragraph.
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -74,6 +75,7 @@ def blocks(page: str) -> list[Block]:
     parts: list[str] = []
     links: list[str] = []
     at, size, in_link = 0, len(page), 0
+    unclosed: set[str] = set()
 
     def flush():
         if parts:
@@ -117,9 +119,12 @@ def blocks(page: str) -> list[Block]:
                     break
             continue
         if tag in RAW:
-            if not attributes.endswith("/"):
+            if not attributes.endswith("/") and tag not in unclosed:
                 close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = close.end() if close else size
+                if close:
+                    at = close.end()
+                else:
+                    unclosed.add(tag)
             continue
         if tag == "br":
             add(" ")

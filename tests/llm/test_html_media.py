@@ -125,3 +125,13 @@ def test_media_columns_round_trip(spark, sf_dir, tmp_path):
         by_text.setdefault(r.payload_sha256, set()).add((r.media_sha256, r.feature, r.shard, r.offset))
     assert all(len(v) == 1 for v in by_text.values())
     assert media_columns(docs.limit(0), str(tmp_path / "none")).collect() == []
+
+
+def test_only_scripts_and_the_like_are_dropped():
+    page = ("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p><svg><text>A label</text></svg><object>Fallback</object><noscript>No script</noscript>"
+            "<xmp>Plain</xmp><script>var a</script><style>b {}</style><p>The <svg>end</p>")
+    text = " ".join(b.text for b in blocks(page))
+    assert text == "Let x=2 hold. A label Fallback No script Plain The end"
+    for tag in ("svg", "object", "math", "script", "template"):
+        assert [b.text for b in blocks(f"<p>Before</p><{tag}><p>After</p>")] == ["Before", "After"]
+    assert [b.text for b in blocks("<script>" * 100_000 + "<p>x</p>")] == ["x"]
