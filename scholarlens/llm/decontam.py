@@ -5,6 +5,10 @@ other figures or persons in it keeps its template. Windows of ``WIDTH`` template
 words are looked up in the benchmark's windows; an item leaks into a document
 when ``COVERAGE`` of its distinct windows occur there and the slots agree: what
 stands in the document for a value of the item is the same wherever it stands.
+Whether a capital marks a name depends on what stands before it, so a line break
+counts as the start of a sentence and as none, and an item's first word as a name
+and as none. A second set of windows, of the words as they are but for case, finds
+whole items whatever stands before them and in any case; either set is enough.
 
 The benchmark side is taken in blocks of whole items of bounded size. Each block
 is a hash table that travels to the tasks, and every document is held against
@@ -35,6 +39,8 @@ UNITS = frozenset(
 _NUMBER = re.compile(rb"[+-]?[$\xe2\x82\xac]*\d[\d.,:/]*%?")
 _EDGE = b".,;:!?\"'()[]{}<>|*#&$%/\\-_~`^=+"
 _CAPITAL, _STOP, _SLOT = 1, 2, 4
+#: A line break becomes a word that ends a sentence.
+_BREAK, _MARK, _MARK_WORD = re.compile(rb"[\r\n]+"), b" .|. ", b".|."
 
 
 def _word(word: bytes) -> int:
@@ -45,7 +51,7 @@ def _word(word: bytes) -> int:
         return stop
     if _NUMBER.fullmatch(bare):
         return NUMBER << 3 | _SLOT | stop
-    lower = bare.decode().lower().encode()
+    lower = bare.decode().casefold().encode()
     if lower in UNITS:
         return UNIT << 3 | _SLOT | stop
     letters = bare.decode()
@@ -59,50 +65,56 @@ class Template:
     def __init__(self):
         self.memo = None
 
-    def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(template word hashes, value hashes, slot marks) of the words that have letters or digits.
+    def __call__(self, text: bytes) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, bool]:
+        """(forms, value hashes, slot marks, does it begin with a capital?) of the words that have letters or digits.
 
-        A name is a capitalised word that does not begin a sentence or the text.
+        A form is the template words' hashes. A name is a capitalised word that does not
+        begin a sentence or the text; there is a second form if line breaks change that.
         """
+        broken = _BREAK.search(text) is not None
+        if broken:
+            text = _BREAK.sub(_MARK, text)
         if self.memo is None:
             self.memo = kept_in_worker(("template",), lambda: WordMemo(_word))
         words = text.split()
         codes = self.memo.values_of(words, np.uint64)
         flags = codes & np.uint64(7)
         form = codes >> np.uint64(3)
+        stop = (flags & np.uint64(_STOP)) != 0
         opening = np.ones(len(codes), bool)
-        opening[1:] = (flags[:-1] & np.uint64(_STOP)) != 0
+        opening[1:] = stop[:-1]
         slot = (flags & np.uint64(_SLOT)) != 0
-        name = ((flags & np.uint64(_CAPITAL)) != 0) & ~opening
+        capital = (flags & np.uint64(_CAPITAL)) != 0
+        name = capital & ~opening
         value = form.copy()
         if slot.any():
             at = np.flatnonzero(slot)
-            value[at] = [hash_word(words[k].strip(_EDGE)) for k in at]
-        form = np.where(name, np.uint64(NAME), form)
+            value[at] = [hash_word(words[k].strip(_EDGE).lower()) for k in at]
         kept = form != 0
-        return form[kept], value[kept], (slot | name)[kept]
-
-
-class Index:
-    """Windows of benchmark items, held as sorted hashes with the item and position of each."""
-
-    def __init__(self, items: list[tuple[int, bytes]], width: int):
-        self.width, form = width, Template()
-        hashes, owner, place, self.items = [], [], [], []
-        for n, (item, text) in enumerate(items):
-            words, values, slots = form(text)
-            windows = window_hashes(words, min(width, max(1, len(words))))
-            self.items.append((item, len(words), values, slots, len(np.unique(windows))))
-            # an item shorter than a window is known by its whole sequence
-            hashes.append(windows)
-            owner.append(np.full(len(windows), n))
-            place.append(np.arange(len(windows)))
-        self.hashes = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+        forms = [np.where(name, np.uint64(NAME), form)[kept]]
+        if broken:
+            # without the breaks: a word after one begins a sentence if the word before the break ended one
+            real = np.flatnonzero(np.fromiter((w != _MARK_WORD for w in words), bool, len(words)))
+            inner = np.ones(len(codes), bool)
+            inner[real[1:]] = stop[real[:-1]]
+            more = capital & ~inner
+            if (more != name).any():
+                forms.append(np.where(more, np.uint64(NAME), form)[kept])
+                name = name | more
+        return forms, value[kept], (slot | name)[kept], bool(kept.any() and capital[np.argmax(kept)])
+
+
+class Windows:
+    """Windows of benchmark items, held as sorted hashes with the item, the position and the number in its item of each."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, int, np.ndarray, np.ndarray]], widths: list[int]):
+        """``rows``: hashes, item, positions and numbers."""
+        self.hashes = np.concatenate([r[0] for r in rows]) if rows else np.empty(0, np.uint64)
         order = np.argsort(self.hashes, kind="stable")
         self.hashes = self.hashes[order]
-        self.owner = np.concatenate(owner)[order] if owner else np.empty(0, np.int64)
-        self.place = np.concatenate(place)[order] if place else np.empty(0, np.int64)
-        self.widths = sorted({min(width, n) for _, n, *_ in self.items if n})
+        self.owner = np.concatenate([np.full(len(r[0]), r[1]) for r in rows])[order] if rows else np.empty(0, np.int64)
+        self.place, self.number = (np.concatenate([r[k] for r in rows])[order] if rows else np.empty(0, np.int64) for k in (2, 3))
+        self.widths = widths
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
 
@@ -124,6 +136,38 @@ class Index:
         return np.concatenate(entries), np.concatenate(places)
 
 
+class Index:
+    """Benchmark items with their windows, as templates and as plain words."""
+
+    def __init__(self, items: list[tuple[int, bytes]], width: int):
+        self.width, form = width, Template()
+        template, plain, self.items = [], [], []
+        for n, (item, text) in enumerate(items):
+            forms, values, slots, capital = form(text)
+            # an item shorter than a window is known by its whole sequence
+            span = min(width, max(1, len(values)))
+            windows = window_hashes(forms[0], span)
+            at = np.arange(len(windows))
+            kinds, number = np.unique(windows, return_inverse=True)
+            template.append((windows, n, at, number))
+            if capital and len(values) >= width:
+                for words in list(forms):
+                    words = words.copy()
+                    words[0] = NAME
+                    forms.append(words)
+            for words in forms[1:]:
+                # another form of a window stands for the window
+                other = window_hashes(words, span)
+                new = other != windows
+                template.append((other[new], n, at[new], number[new]))
+            words = window_hashes(values, span)
+            plain_kinds, number = np.unique(words, return_inverse=True)
+            plain.append((words, n, at, number))
+            self.items.append((item, len(values), values, slots, len(kinds), len(plain_kinds)))
+        widths = sorted({min(width, n) for _, n, *_ in self.items if n})
+        self.template, self.plain = Windows(template, widths), Windows(plain, widths)
+
+
 class _Leaks:
     def __init__(self, index: Index, coverage: float, agreement: float):
         self.index, self.coverage, self.agreement, self.form = index, coverage, agreement, Template()
@@ -133,10 +177,10 @@ class _Leaks:
 
         Runs of windows lie on diagonals; each is read once from its first to its last word.
         """
-        _, _, item_values, item_slots, _ = item
+        _, _, item_values, item_slots, *_ = item
         pairs = set()
         for e, p in zip(entries, places):
-            q = int(self.index.place[e])
+            q = int(self.index.template.place[e])
             for k in range(min(self.index.width, len(item_values) - q, len(values) - p)):
                 if item_slots[q + k] or slots[p + k]:
                     pairs.add((q + k, p + k))
@@ -151,22 +195,29 @@ class _Leaks:
     def __call__(self, batch):
         out = {k: [] for k in ("doc_id", "item_id", "matched_windows", "item_windows", "coverage", "slot_agreement")}
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), byte_texts(batch, "text")):
-            words, values, slots = self.form(text)
-            entries, places = self.index.hits(words)
-            if not len(entries):
+            forms, values, slots, _ = self.form(text)
+            found = [self.index.template.hits(words) for words in forms]
+            entries, places = (np.concatenate(x) for x in zip(*found))
+            exact, _ = self.index.plain.hits(values)
+            if not len(entries) and not len(exact):
                 continue
-            owners = self.index.owner[entries]
-            for n in np.unique(owners):
+            owners, whole = self.index.template.owner[entries], self.index.plain.owner[exact]
+            for n in np.union1d(owners, whole):
                 item = self.index.items[n]
                 mine = owners == n
-                matched = len(np.unique(self.index.hashes[entries[mine]]))
-                if matched < self.coverage * item[4]:
-                    continue
-                agreement = self.agreed(entries[mine], places[mine], item, values, slots)
-                if agreement >= self.agreement:
-                    row = (doc_id, item[0], matched, item[4], matched / item[4], agreement)
-                    for column, value in zip(out.values(), row):
-                        column.append(value)
+                matched, windows = len(np.unique(self.index.template.number[entries[mine]])), item[4]
+                agreement = 0.0
+                if matched and matched >= self.coverage * windows:
+                    agreement = self.agreed(entries[mine], places[mine], item, values, slots)
+                if agreement < self.agreement:
+                    matched, windows = len(np.unique(self.index.plain.number[exact[whole == n]])), item[5]
+                    if not matched or matched < self.coverage * windows:
+                        continue
+                    # the words are the item's own
+                    agreement = 1.0
+                row = (doc_id, item[0], matched, windows, matched / windows, agreement)
+                for column, value in zip(out.values(), row):
+                    column.append(value)
         return out
 
 

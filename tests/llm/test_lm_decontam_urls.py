@@ -246,3 +246,23 @@ def test_table_of_contexts_equals_the_plain_tree(spark):
     expect = sorted(plain.probabilities(np.array([p // size, p % size, s]))[-1] / root[s] for p, s in keys if two.places(np.array([p]))[0] >= 0)
     got = sorted(r.ratio for r in tree.entries.filter("level = 2").collect())
     assert len(got) > 8 and got == pytest.approx(expect, rel=1e-6)
+
+
+def pairs(spark, items, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return sorted((r.doc_id, r.item_id) for r in leaks(docs, bench).collect())
+
+
+def test_whole_items_leak_whatever_stands_before_them_and_in_any_case(spark):
+    items = ["What is the capital of France?", "Which planet has the most moons today?", "Is water wet?",
+             "Then Paul and Mary walked with Peter to the house of Anna in Berlin before the sun set", "die Straße nach Köln ist heute gesperrt"]
+    texts = ["Question 4\nWhat is the capital of France?", "a quiz asked, Which planet has the most moons today?", "they asked, Is water wet? and left",
+             items[3].lower(), items[3].upper(), items[4].upper(), "What is the price of bread?"]
+    assert pairs(spark, items, texts) == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 3), (5, 4)]
+
+
+def test_templates_past_line_breaks_and_first_names(spark):
+    items = ["Anna has 12 apples and gives five of them to Boris who eats two at home"]
+    other = items[0].replace("Anna", "Clara").replace("Boris", "Dora").replace("12", "80")
+    assert pairs(spark, items, [f"so that {other}", f"a heading\n{other}", other.replace("to Dora", "to\nDora")]) == [(0, 0), (1, 0), (2, 0)]
