@@ -2,15 +2,17 @@
 
 Texts become pieces of at most ``CAPACITY`` tokens in one pass. Pieces are dealt
 at random into blocks of about ``BLOCK`` pieces, each packed by its own task.
-Bins that a block leaves well below capacity return their pieces to a pool, which
-is dealt and packed again in fewer blocks, until one block is left; every task
-sees a bounded number of pieces, and only partly filled bins are ever moved.
+Of the bins that a block leaves well below capacity the emptiest return their pieces,
+half of the block's at most, to a pool, which is dealt and packed again in fewer
+blocks, until one block is left; every task sees a bounded number of pieces, only
+partly filled bins are ever moved, and the rounds are as many as halvings of the input.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from itertools import combinations
@@ -22,74 +24,70 @@ from pyspark.sql import functions as F
 from scholarlens.llm.common import WordMemo, byte_texts, kept_in_worker, mapped, stored
 
 CAPACITY, BLOCK, POOL_BELOW = 4096, 4000, 0.98
-SEPARATOR, END = "<|startoftext|>", 1
-#: Words and parts of one generation of the memos: at most twice as many are held, some 200 bytes each.
-WORDS_KEPT, PARTS_KEPT = 300_000, 125_000
+END = 1
+#: Words and runs of one generation of the memos: at most twice as many are held, some 200 bytes each.
+WORDS_KEPT, RUNS_KEPT = 600_000, 250_000
+
+
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where it prints, else one from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in prints]
+    return dict(zip(prints, prints)) | {b: 256 + k for k, b in enumerate(others)}
+
+
+_LETTERS = byte_letters()
+#: Runs of ASCII and of Latin letters up to U+024F in a word, as the vocabulary splits it after lower-casing.
+_RUN = re.compile(r"[a-zß-öø-\u024f]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[!-/:-@\[-`{-~]+")
+#: The common case of one run of letters and punctuation after it.
+_SIMPLE = re.compile(r"([a-zß-öø-\u024f]+)([!-/:-@\[-`{-~]*)")
 
 
 class Tokenizer:
     """Token ids of a text as little-endian unsigned 32-bit bytes, from a public vocabulary file.
 
-    The vocabulary never joins text across white space, nor letters with punctuation
-    after them, so the ids of a text are those of its words and a word's those of its
-    parts; each distinct word and part is worked out once and kept. Unknown parts of
-    a text are encoded together, parted by a token of the vocabulary.
+    The vocabulary never joins text across white space, nor letters with digits or
+    punctuation, so the ids of a text are those of its words and a word's those of its
+    runs; each distinct word and run is worked out once and kept. Words with other
+    characters than those of _RUN are encoded whole.
     """
 
     def __init__(self, name: str = "word_bpe_49k.json"):
-        self.name, self.memo = name, None
+        self.name, self.runs = name, None
 
     def _open(self):
         import public_tokenizers
         from tokenizers import Tokenizer as Reader
 
         self.reader = Reader.from_file(public_tokenizers.path(self.name))
-        self.parting = self.reader.token_to_id(SEPARATOR)
-        self.parts = WordMemo(lambda part: self._ids(part).tobytes(), PARTS_KEPT)
-        self.memo = WordMemo(lambda word: b"".join(self.parts[p] for p in _parts(word)), WORDS_KEPT)
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.reader.encode(text, add_special_tokens=False).ids, "<u4")
+        self.pairs = self.reader.model.tokenize
+        self.runs = WordMemo(self._run, RUNS_KEPT)
+        self.words = WordMemo(self._word, WORDS_KEPT)
+
+    def _whole(self, text: bytes) -> bytes:
+        return np.array(self.reader.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _run(self, run: str) -> bytes:
+        if not run.isascii():
+            run = run.encode().decode("latin-1").translate(_LETTERS)
+        ids = [t.id for t in self.pairs(run)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode().lower()
+        if simple := _SIMPLE.fullmatch(text):
+            letters, marks = simple.groups()
+            return self.runs[letters] + self.runs[marks] if marks else self.runs[letters]
+        runs = _RUN.findall(text)
+        # what the runs leave out is of another kind
+        return b"".join([self.runs[r] for r in runs]) if sum(map(len, runs)) == len(text) else self._whole(word)
 
     def __call__(self, text: bytes) -> bytes:
-        if self.memo is None:
+        if self.runs is None:
             self._open()
-        words = text.split()
-        ids = list(map(self.memo.get, words))
-        if None in ids:
-            self._learn({w for w, x in zip(words, ids) if x is None})
-            ids = map(self.memo.__getitem__, words)
-        return b"".join(ids)
-
-    def _learn(self, words: set[bytes]) -> None:
-        """Encode what is unknown in a set of words, all in one call."""
-        parts, old = self.parts, self.memo.old
-        split = [(w, _parts(w)) for w in words if w not in old]
-        new = {p for _, ps in split for p in ps if p not in parts and p not in parts.old and "<|" not in p}
-        if len(new) > 1:
-            new = list(new)
-            ids = self._ids(SEPARATOR.join(new))
-            cuts = np.flatnonzero(ids == self.parting)
-            if len(cuts) == len(new) - 1:
-                starts, ends = np.append(0, cuts + 1) * 4, np.append(cuts, len(ids)) * 4
-                raw = ids.tobytes()
-                for p, a, b in zip(new, starts.tolist(), ends.tolist()):
-                    parts.put(p, raw[a:b])
-        for w, ps in split:
-            self.memo.put(w, parts[ps[0]] + parts[ps[1]] if len(ps) == 2 else parts[ps[0]])
-
-
-_SIMPLE = re.compile(r"([^\W\d_]+)([!-&(-/:;=-@\[-`{-~]*)")
-
-
-def _parts(word: bytes) -> tuple[str, ...]:
-    """A word's letters and the ASCII punctuation after them; the whole word if it is anything else."""
-    text = word.decode()
-    match = _SIMPLE.fullmatch(text)
-    if match is None or not match[1].isalpha():
-        return (text,)
-    letters = match[1].lower() if match[1].isascii() else match[1]
-    return (letters, match[2]) if match[2] else (letters,)
+        if b"<|" in text:
+            return self._whole(text)
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
 class _Pieces:
@@ -237,9 +235,15 @@ def _packer(capacity: int, turn: int):
             ends = np.cumsum(lengths[members])
             sequence[members], offset[members] = number, ends - lengths[members]
             fill[members] = ends[-1]
+        # only bins below the bound go on, the emptiest first, with half of the block's pieces at most
+        fills, held = np.unique(sequence, return_counts=True)
+        fills[sequence] = fill
+        order = np.argsort(fills, kind="stable")
+        goes = np.zeros(len(fills), bool)
+        goes[order] = (np.cumsum(held[order]) <= len(pdf) / 2) & (fills[order] < POOL_BELOW * capacity)
         # the turn, the block and the bin in it make a number of their own
         base = (turn << 58) + (int(pdf["block"].iloc[0]) << 26)
-        return pdf.drop(columns=["block"]).assign(sequence_id=base + sequence, offset=offset, fill=fill)
+        return pdf.drop(columns=["block"]).assign(sequence_id=base + sequence, offset=offset, goes=goes[sequence])
 
     return run
 
@@ -261,23 +265,17 @@ def packed(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int
         .withColumn("offset", F.lit(0).cast("long"))
         .select(columns)
     ]
-    pool, turn, before = made.filter(F.col("length") < capacity), 0, None
-    while True:
-        count = pool.count()
-        if count == 0:
-            break
-        blocks = max(1, math.ceil(count / block))
-        # a pool that hardly shrinks has nothing more to gain
-        last = blocks == 1 or (before is not None and count > 0.9 * before)
+    pool, turn = made.filter(F.col("length") < capacity), 0
+    while (count := pool.count()) > 0:
+        blocks = math.ceil(count / block)
         dealt = pool.withColumn("block", F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(blocks)))
-        schema = f"{PIECES}, row long, sequence_id long, offset long, fill long"
+        schema = f"{PIECES}, row long, sequence_id long, offset long, goes boolean"
         fitted = stored(dealt.groupBy("block").applyInPandas(_packer(capacity, turn), schema), "packed")
-        if last:
+        if blocks == 1:
             done.append(fitted.select(columns))
             break
-        full = F.col("fill") >= POOL_BELOW * capacity
-        done.append(fitted.filter(full).select(columns))
-        pool, turn, before = fitted.filter(~full).drop("sequence_id", "offset", "fill"), turn + 1, count
+        done.append(fitted.filter("not goes").select(columns))
+        pool, turn = fitted.filter("goes").drop("sequence_id", "offset", "goes"), turn + 1
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
