@@ -1,49 +1,53 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-The symbols are the words with ``LEAST`` occurrences in the training texts, and one
-class for all others. A context is a run of 1 to ``DEPTH`` symbol words that occurs
-``LEAST`` times, an absolute count, so the tree grows with the corpus.
-
-Growing. Counts, divergences and the tree are tables of hashes, made by group-bys and
-joins and written; each task sums up before the shuffle. A context stays in the tree
-when the divergence of its next symbols from those of its suffix, times its count,
-passes ``GAIN`` for each symbol that it adds. Counts are smoothed with the
-distribution of the suffix. An entry holds the chance of a symbol after a context as a
-multiple of its chance at the root. Bit tables of bounded size say which words and
-pairs may have LEAST: where they say so wrongly, a context falls out by its exact
-count, and a word is a symbol of its own, in training and scoring alike.
-
-Scoring. Each token takes its probability from the longest suffix in the tree,
-mixed with the share of its word among the earlier tokens of its own text, with
-a weight that grows with their number. The most frequent contexts (``HEAD_CONTEXTS``
-and ``HEAD_ENTRIES`` at most) travel to the tasks; tokens after others get theirs by
-a join on the hash of the context. The most frequent words (``HEAD`` at most)
-travel as well; all others get their numbers by a join, after each document's
-have been summed up by word, so every count is exact. A word outside the head
-counts with its training share at its first place in a text and with the text's
-own share from then on, which leaves the sum over all words at 1 or less.
-
-:class:`Tree` is the same tree for two words in plain arrays, for small vocabularies.
+Symbols. A word with ``LEAST`` occurrences in the training texts belongs to the class
+of its 32-bit hash, all others to class 0. After a context the classes get
+probabilities, and a word has its share of its class, so the sum over all words is 1
+whatever shares a class. A word's own share comes from its count; words outside the
+training vocabulary are one symbol, as in the base score, with the mass of the words
+seen once.
+
+Growing. A context is a run of 1 to ``DEPTH`` symbol words with LEAST occurrences, an
+absolute count, so the tree grows with the corpus. Its entries are the next classes
+seen twice or more; each gives up ``DISCOUNT`` of its count, and what all give up,
+with the next classes seen once, goes to the distribution of the suffix. A context
+stays in the tree when its entries and the rest diverge from its suffix by ``GAIN`` nats
+for each entry; others pass on their suffix's probabilities.
+
+Counts go from tasks to buckets of bounded size as lists by context, a context with
+more than one in a thousand of all words to several by the next class. They are made
+for all texts, and the divergence tests are joins on hashes over what occurs twice.
+Bit tables of bounded size say which words and pairs may have LEAST. Where they err, a
+context falls out by its exact count and a word is a symbol of its own.
+
+Scoring. The score of a text is the sum of its words' own shares and, for each
+context of the tree before a word, of one number: how the word's entry changes its
+probability against the suffix, or the mass left to words without an entry. So the
+longest suffix in the tree decides, and each part of the sum may be found anywhere:
+the most frequent words and contexts (``HEAD``, ``HEAD_CONTEXTS``, ``HEAD_ENTRIES`` at
+most) travel to the tasks, all others come by joins on hashes, with equal scores.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholarlens.llm.common import MULTIPLIER, WordMemo, byte_texts, hash_word, mapped, mixed, remainder, stored
+from scholarlens.llm.common import MULTIPLIER, WordMemo, byte_texts, dropped, hash_word, mapped, mixed, remainder, stored
 
-LEAST, DEPTH, GAIN, WEIGHT = 10, 4, 8.0, 20.0
+LEAST, DEPTH, GAIN, DISCOUNT = 10, 4, 8.0, 0.75
 HEAD, HELD = 150_000, 400_000
-#: Contexts and their entries that travel to the tasks, bits of a bit table at most, tokens worked on at once.
+#: Contexts and their entries that travel to the tasks.
 HEAD_CONTEXTS, HEAD_ENTRIES = 400_000, 2_500_000
-MOST_BITS, CHUNK = 27, 100_000
-#: Most weight of the text so far, and the number of tokens at which it has half of that.
-OWN, OWN_HALF = 0.35, 100
+#: Bits of a bit table at most, tokens worked on at once, next words held by a task before they are summed up, tokens of a bucket.
+MOST_BITS, CHUNK, WAITING, BUCKET = 27, 100_000, 2_000_000, 500_000
+#: A context is hot with one in so many of all words, and is then dealt to so many buckets.
+HOT, DEALT = 1000, 64
 #: Stands for the end of a text; it can be no word.
 END = b" "
 
@@ -57,7 +61,7 @@ def tokens_of(text: bytes) -> list[bytes]:
 
 def _count_words(batches):
     """Sums the words of a task before the shuffle, in batches of a bounded number of distinct words."""
-    held: dict[bytes, int] = {}
+    held: Counter = Counter()
 
     def out():
         words, counts = list(held), list(held.values())
@@ -66,10 +70,9 @@ def _count_words(batches):
 
     for batch in batches:
         for text in byte_texts(batch, "text"):
-            for word in tokens_of(text):
-                held[word] = held.get(word, 0) + 1
-        if len(held) > HELD:
-            yield out()
+            held.update(tokens_of(text))
+            if len(held) > HELD:
+                yield out()
     if held:
         yield out()
 
@@ -79,79 +82,6 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Frequent:
-    """Numbers of frequent words from 1 on, by falling count; 0 for all others."""
-
-    def __init__(self, words: list[bytes]):
-        self.size = len(words) + 1
-        self.numbers = {w: k + 1 for k, w in enumerate(words)}
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter((self.numbers.get(w, 0) for w in words), np.int64, len(words))
-
-
-class Level:
-    """Contexts of one length: for each its next symbols, by code context * size + symbol, and the weight left to its suffix."""
-
-    def __init__(self, contexts: np.ndarray, codes: np.ndarray, shares: np.ndarray, left: np.ndarray):
-        self.contexts, self.codes, self.shares, self.left = contexts, codes, shares, left
-
-    def places(self, wanted: np.ndarray) -> np.ndarray:
-        """Place of each wanted context, -1 where the tree has none."""
-        if not len(self.contexts):
-            return np.full(len(wanted), -1)
-        at = np.minimum(np.searchsorted(self.contexts, wanted), len(self.contexts) - 1)
-        return np.where(self.contexts[at] == wanted, at, -1)
-
-    def refine(self, place: np.ndarray, symbol: np.ndarray, size: int, below: np.ndarray) -> np.ndarray:
-        """Probabilities of symbols from those of the suffix; where ``place`` is -1 they stay."""
-        hit = place >= 0
-        out = below.copy()
-        if hit.any() and len(self.codes):
-            code = place[hit] * size + symbol[hit]
-            at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-            own = np.where(self.codes[at] == code, self.shares[at], 0.0)
-            out[hit] = own + self.left[place[hit]] * below[hit]
-        return out
-
-
-def grow_level(contexts: np.ndarray, codes: np.ndarray, n: np.ndarray, size: int, below, gain: float = GAIN) -> Level:
-    """Contexts (sorted) whose next symbols diverge from ``below(contexts, symbols)``, their suffixes' probabilities.
-
-    ``codes`` number contexts by their place. The divergence, n ln(p / q) summed over
-    the symbols, has to pass ``gain`` for each symbol.
-    """
-    context, symbol = codes // size, codes % size
-    total = np.bincount(context, n, len(contexts))
-    kinds = np.bincount(context, minlength=len(contexts))
-    q = below(contexts[context], symbol)
-    divergence = np.bincount(context, n * np.log(n / total[context] / np.maximum(q, 1e-300)), len(contexts))
-    keep = (total > 0) & (divergence >= gain * kinds)
-    number = np.cumsum(keep) - 1
-    kept = keep[context]
-    back = np.maximum(WEIGHT, kinds)
-    shares = n / (total + back)[context]
-    return Level(contexts[keep], number[context[kept]] * size + symbol[kept], shares[kept], (back / (total + back))[keep])
-
-
-class Tree:
-    """The retained contexts over the root; symbols are numbers of frequent words, 0 for the class of all others."""
-
-    def __init__(self, frequent: Frequent, root: np.ndarray, one: Level, two: Level):
-        self.frequent, self.root, self.one, self.two = frequent, root, one, two
-
-    def probabilities(self, at: np.ndarray) -> np.ndarray:
-        """Probability of each symbol of a text after the longest suffix of what stands before it."""
-        size = self.frequent.size
-        out = self.root[at]
-        if len(at) > 1:
-            out[1:] = self.one.refine(self.one.places(at[:-1]), at[1:], size, out[1:])
-        if len(at) > 2:
-            pair = np.where((at[:-2] > 0) & (at[1:-1] > 0), at[:-2] * size + at[1:-1], -1)
-            out[2:] = self.two.refine(self.two.places(pair), at[2:], size, out[2:])
-        return out
-
-
 class Bits:
     """A set of 64-bit hashes as a bit table of bounded size; it may hold others too, and misses none."""
 
@@ -159,8 +89,8 @@ class Bits:
         """``hashes`` has column h; ``n`` is about how many they are."""
         self.log = min(MOST_BITS, max(16, math.ceil(math.log2(64 * max(1, n)))))
         place = F.shiftrightunsigned("h", 64 - self.log)
-        words = hashes.select(F.shiftright(place, 6).alias("k"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - self.log}) & 63 as int))").alias("b"))
-        found = words.groupBy("k").agg(F.bit_or("b").alias("b")).toArrow()
+        bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - self.log}) & 63 as int))")
+        found = hashes.select(F.shiftright(place, 6).alias("k"), bit.alias("b")).groupBy("k").agg(F.bit_or("b").alias("b")).toArrow()
         self.table = np.zeros(1 << (self.log - 6), np.uint64)
         self.table[found.column("k").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
 
@@ -169,63 +99,98 @@ class Bits:
         return (self.table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) != 0
 
 
-def deeper(old: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """Hashes of contexts with one more word before them."""
-    return mixed(context * MULTIPLIER + old)
+class Places:
+    """Sorted 64-bit hashes, found by their leading bits."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.shift = np.uint64(64 - max(1, len(keys).bit_length()))
+        leading = np.arange((1 << max(1, len(keys).bit_length())) + 1, dtype=np.uint64)
+        self.starts = np.append(np.searchsorted(keys >> self.shift, leading[:-1]), len(keys))
+
+    def of(self, wanted: np.ndarray) -> np.ndarray:
+        """Place of each wanted hash, -1 where there is none."""
+        lead = (wanted >> self.shift).astype(np.int64)
+        at, end = self.starts[lead], self.starts[lead + 1]
+        out = np.full(len(wanted), -1)
+        open_ = np.flatnonzero(at < end)
+        at = at[open_]
+        while len(open_):
+            same = self.keys[at] == wanted[open_]
+            out[open_[same]] = at[same]
+            at = at + 1
+            more = ~same & (at < end[open_])
+            open_, at = open_[more], at[more]
+        return out
+
+
+def class_of(h: int) -> int:
+    """The class of a symbol word by its hash; never 0."""
+    return (h >> 32) or 1
+
+
+END_CLASS = np.uint64(class_of(hash_word(END)))
+
+
+def value_of(symbols: np.ndarray) -> np.ndarray:
+    """What a class adds to the hash of a context, before the power of its place."""
+    return mixed(symbols.astype(np.uint64) + np.uint64(0x5851F42D))
+
+
+def longer(symbols: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Hash of the run of a context and the class after it, as a context: the newest word has the lowest power."""
+    return value_of(symbols) + MULTIPLIER * context
 
 
 def coded(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """Hashes of a context and what follows it."""
-    return mixed(mixed(context + np.uint64(0x5851F42D)) * MULTIPLIER + symbol)
+    """Hash of a context and the class after it."""
+    return mixed(mixed(context) * MULTIPLIER + symbol.astype(np.uint64))
 
 
 def contexts_of(symbols: np.ndarray, pairs: Bits | None, depth: int):
     """For each length from 1 on: (places, hashes of the contexts before them), over texts that end in END.
 
-    ``symbols`` are next symbols; a context has no symbol of the class of others and
-    no end of a text, which have 0 in it, and no pair outside ``pairs``.
+    A context has no word of class 0 and no end of a text in it, and no pair outside ``pairs``.
     """
-    inner = np.where(symbols == _END_SYMBOL, np.uint64(0), symbols)
+    inner = (symbols != 0) & (symbols != END_CLASS)
+    value = value_of(symbols)
     at = np.flatnonzero(inner[:-1]) + 1
-    context = inner[at - 1]
+    context, linked = value[at - 1], None
     yield at, context
-    linked = None
     for length in range(2, depth + 1):
+        power = np.uint64(int(MULTIPLIER) ** (length - 1) % 2**64)
         more = at > length - 1
         at, context = at[more], context[more]
-        more = inner[at - length] != 0
+        more = inner[at - length]
         at, context = at[more], context[more]
+        if linked is not None:
+            more = linked[at - length + 2]
+            at, context = at[more], context[more]
+        context = context + power * value[at - length]
         if linked is None:
-            context = deeper(inner[at - 2], context)
             more = pairs.has(context)
+            at, context = at[more], context[more]
             linked = np.zeros(len(symbols), bool)
-            linked[at[more]] = True
-        else:
-            more = linked[at - length + 2]
-            context = deeper(inner[at - length], context)
-        at, context = at[more], context[more]
+            linked[at] = True
         yield at, context
 
 
-class _Symbols:
-    """Next symbols of words: their hashes if the bit table has them, else 0."""
+class Symbols:
+    """Classes of words: by their hash if the bit table has it, else 0."""
 
     def __init__(self, known: Bits):
         self.known, self.memo = known, None
 
-    def _of(self, word: bytes) -> int:
+    def of(self, word: bytes) -> int:
         h = hash_word(word)
-        return h if self.known.has(np.array([h], np.uint64))[0] or word == END else 0
+        return class_of(h) if word == END or self.known.has(np.array([h], np.uint64))[0] else 0
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         if self.memo is None:
-            self.memo = WordMemo(self._of)
+            self.memo = WordMemo(self.of)
         return self.memo.values_of(words, np.uint64)
 
 
-_END_SYMBOL = np.uint64(hash_word(END))
-
-
 def _chunks(batches, size: int):
     """Words of whole texts, ``size`` or a little more at a time."""
     held = []
@@ -239,259 +204,307 @@ def _chunks(batches, size: int):
         yield held
 
 
-COUNTED = "level int, ctx long, suffix long, symbol long, n long"
+LISTED = "bucket int, level int, ctx array<long>, suffix array<long>, kinds array<int>, symbol array<int>, n array<int>"
+COUNTED = "level int, ctx long, code long, below long, run long, n long"
 
 
-def _count_contexts(symbols: _Symbols, pairs: Bits | None, lengths: range):
-    """Counts of next symbols after the contexts of ``lengths``, summed up before the shuffle."""
+def dealt_key(context: np.ndarray, suffix: np.ndarray, symbol: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The key by which counts go to buckets: the context, and for a hot one a part of the next class too.
 
-    def out(level, parts):
-        context, suffix, symbol = (np.concatenate(x) for x in zip(*parts))
-        _, first, n = np.unique(coded(context, symbol), return_index=True, return_counts=True)
-        columns = [pa.array(np.full(len(n), level, np.int32)), *[pa.array(x[first].view(np.int64)) for x in (context, suffix, symbol)], pa.array(n)]
-        return pa.RecordBatch.from_arrays(columns, names=["level", "ctx", "suffix", "symbol", "n"])
+    A context of more words counts as hot where its last two words do.
+    """
+    key = context.copy()
+    if len(hot):
+        at = np.flatnonzero(np.isin(suffix, hot))
+        key[at] = mixed(context[at] + symbol[at] % np.uint64(DEALT) * MULTIPLIER)
+    return key
+
+
+def _listed(level: int, parts: list, buckets: int, hot: np.ndarray) -> pa.RecordBatch:
+    """Sums of (context, suffix, last pair, symbol) as one row a bucket."""
+    context, suffix, last, symbol = (np.concatenate(x) for x in zip(*parts))
+    _, first, n = np.unique(coded(context, symbol), return_index=True, return_counts=True)
+    context, suffix, last, symbol = (x[first] for x in (context, suffix, last, symbol))
+    key = dealt_key(context, last, symbol, hot)
+    order = np.argsort(key)
+    key, n = key[order], n[order]
+    new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    kinds = np.diff(np.append(new, len(key)))
+    edges = np.array([-(-k * 2**64 // buckets) for k in range(1, buckets)], np.uint64)
+    at = np.concatenate([[0], np.searchsorted(key[new], edges), [len(new)]])
+    inner = np.append(new, len(key))[at]
+    used = np.flatnonzero(np.diff(at))
+    at, inner = (np.append(x[used], x[-1]).astype(np.int32) for x in (at, inner))
+
+    def lists(values, offsets, kind):
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(kind)))
+
+    heads = order[new]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(used.astype(np.int32)),
+            pa.array(np.full(len(used), level, np.int32)),
+            lists(context[heads].view(np.int64), at, np.int64),
+            lists(suffix[heads].view(np.int64), at, np.int64),
+            lists(kinds, at, np.int32),
+            lists(symbol[order].astype(np.uint32).view(np.int32), inner, np.int32),
+            lists(n, inner, np.int32),
+        ],
+        names=["bucket", "level", "ctx", "suffix", "kinds", "symbol", "n"],
+    )
+
+
+def _count_contexts(symbols: Symbols, pairs: Bits | None, lengths: range, buckets: int, hot: np.ndarray):
+    """Counts of next classes after the contexts of ``lengths``, summed up before the shuffle; see LISTED."""
 
     def run(batches):
-        held = {k: [] for k in lengths}
-        waiting = dict.fromkeys(lengths, 0)
+        held, waiting = {k: [] for k in lengths}, 0
         for words in _chunks(batches, CHUNK):
-            at_symbol = symbols(words)
-            before = np.zeros(len(words), np.uint64)
-            for level, (at, context) in enumerate(contexts_of(at_symbol, pairs, lengths[-1]), 1):
+            classes = symbols(words)
+            before, pair = np.zeros(len(words), np.uint64), np.zeros(len(words), np.uint64)
+            for level, (at, context) in enumerate(contexts_of(classes, pairs, lengths[-1]), 1):
+                if level <= 2:
+                    pair[at] = context
                 if level in held and len(at):
-                    held[level].append((context, before[at], at_symbol[at]))
-                    waiting[level] += len(at)
-                    if waiting[level] > 3_000_000:
-                        yield out(level, held[level])
-                        held[level], waiting[level] = [], 0
+                    held[level].append((context, before[at], pair[at], classes[at]))
+                    waiting += len(at)
                 before[at] = context
+            if waiting > WAITING:
+                for level, parts in held.items():
+                    if parts:
+                        yield _listed(level, parts, buckets, hot)
+                held, waiting = {k: [] for k in lengths}, 0
         for level, parts in held.items():
             if parts:
-                yield out(level, parts)
+                yield _listed(level, parts, buckets, hot)
 
     return run
 
 
-def _pair_hashes(batch):
-    old, new = (batch.column(c).to_numpy().view(np.uint64) for c in ("ctx", "symbol"))
-    return {"h": deeper(old, new).view(np.int64)}
+def _merge(least: int):
+    """Sums a bucket's counts; what occurs once is left out."""
 
+    def run(table: pa.Table) -> pa.Table:
+        def flat(name):
+            return np.concatenate([c.flatten().to_numpy() for c in table.column(name).chunks])
 
-def _word_hashes(batch):
-    return {"h": np.array([hash_word(w) for w in batch.column("word").to_pylist()], np.uint64).view(np.int64), "n": batch.column("n")}
+        kinds = flat("kinds")
+        contexts = np.concatenate([pa.compute.list_value_length(c).to_numpy() for c in table.column("ctx").chunks])
+        of = np.repeat(np.arange(len(kinds)), kinds)
+        context, suffix, symbol = flat("ctx").view(np.uint64), flat("suffix").view(np.uint64), flat("symbol").view(np.uint32)
+        level = np.repeat(table.column("level").to_numpy(), contexts)
+        code = coded(context[of], symbol)
+        order = np.argsort(code)
+        starts = np.flatnonzero(np.append(True, code[order][1:] != code[order][:-1]))
+        n = np.add.reduceat(flat("n")[order].astype(np.int64), starts)
+        often = n >= 2
+        first, n = order[starts[often]], n[often]
+        at, symbol = of[first], symbol[first].astype(np.uint64)
+        below = np.where(level[at] == 1, symbol, coded(suffix[at], symbol))
+        run = longer(symbol, context[at]).view(np.int64)
+        none = (n < least) | (symbol == 0) | (symbol == END_CLASS)
+        columns = [pa.array(level[at]), *(pa.array(x.view(np.int64)) for x in (context[at], code[first], below)), pa.array(run, mask=none), pa.array(n)]
+        return pa.Table.from_arrays(columns, names=["level", "ctx", "code", "below", "run", "n"])
 
+    return run
 
-class _Rare:
-    """Counts of the words that are no symbols."""
 
-    def __init__(self, known: Bits):
-        self.known = known
+class _Classes:
+    """Words as (h, class, n)."""
+
+    def __init__(self, symbols: Symbols):
+        self.known = symbols.known
 
     def __call__(self, batch):
-        n = batch.column("n").to_numpy()
-        symbol = self.known.has(batch.column("h").to_numpy().view(np.uint64)) | (batch.column("h").to_numpy().view(np.uint64) == _END_SYMBOL)
-        return {"n": [int(n[~symbol].sum())]}
+        h = np.array([hash_word(w) for w in batch.column("word").to_pylist()], np.uint64)
+        known = self.known.has(h) | (h == np.uint64(hash_word(END)))
+        classes = np.where(known, np.maximum(h >> np.uint64(32), np.uint64(1)), np.uint64(0))
+        return {"class": classes.view(np.int64), "n": batch.column("n")}
+
+
+def _hashes(batch):
+    return {"h": np.array([hash_word(w) for w in batch.column("word").to_pylist()], np.uint64).view(np.int64)}
 
 
 class Grown:
-    """The tree as tables: ``contexts`` (level, ctx, total, kinds, left) and ``entries`` (level, ctx, symbol, ratio)."""
+    """The tree: ``entries`` (ctx, code, value) and ``contexts`` (ctx, total, kinds, left), values in log10."""
 
-    def __init__(self, symbols: _Symbols, pairs: Bits, contexts: DataFrame, entries: DataFrame):
+    def __init__(self, symbols: Symbols, pairs: Bits, contexts: DataFrame, entries: DataFrame):
         self.symbols, self.pairs, self.contexts, self.entries = symbols, pairs, contexts, entries
 
 
-def grow_table(counted: DataFrame, parents: DataFrame, level: int, least: int, gain: float = GAIN) -> tuple[DataFrame, DataFrame]:
-    """(contexts, entries) of one length from counts and from the entries of the next shorter one; dropped contexts pass on what they got.
+def grow_level(counted: DataFrame, totals: DataFrame, parents: DataFrame, fixed: dict[int, float], gain: float) -> DataFrame:
+    """Entries of all contexts of one length with LEAST occurrences: ctx, total, kinds, left, code, p, value.
 
-    ``counted`` is as COUNTED; ``parents`` has (suffix, symbol, root, below), where below
-    is a multiple of root.
+    ``counted`` is as COUNTED, ``totals`` (ctx, total), ``parents`` (below, q) probabilities
+    after the suffix; ``fixed`` has those of keys that very many rows share. Where the
+    context does not stay, value and left are null and p is q.
     """
-    by = ["suffix", "symbol"] if level > 1 else ["symbol"]
-    met = stored(counted.filter(F.col("level") == level).join(parents, by).select("ctx", "symbol", "n", "root", "below"), "lm-met")
-    total, kinds = F.col("total"), F.col("kinds")
-    back = F.greatest(F.lit(WEIGHT), kinds)
-    contexts = met.groupBy("ctx").agg(
-        F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum(F.col("n") * F.ln(F.col("n") / (F.col("root") * F.col("below")))).alias("d")
-    )
-    contexts = contexts.filter(total >= least).select(
-        F.lit(level).alias("level"), "ctx", "total", "kinds",
-        (F.col("d") - total * F.ln(total) >= gain * kinds).alias("kept"), (back / (total + back)).alias("left"),
-    )
-    contexts = stored(contexts, "lm-contexts")
-    own = F.col("n") / (total + back) / F.col("root") + F.col("left") * F.col("below")
-    entries = met.join(contexts, "ctx").select(
-        F.lit(level).alias("level"), "ctx", "symbol", "root", "kept", F.when(F.col("kept"), own).otherwise(F.col("below")).alias("ratio")
+    many = list(fixed)
+    met = counted.filter(~F.col("below").isin(many)).join(parents, "below")
+    for key, q in fixed.items():
+        met = met.unionByName(counted.filter(F.col("below") == key).withColumn("q", F.lit(q)))
+    met = met.select("ctx", "code", "n", "q").join(totals, "ctx")
+    over = Window.partitionBy("ctx")
+    n, q, total = F.col("n"), F.col("q"), F.col("total")
+    summed = met.select(
+        "*",
+        F.sum("n").over(over).alias("seen"),
+        F.count("*").over(over).alias("kinds"),
+        F.sum("q").over(over).alias("expected"),
+        F.sum(n * F.ln(n / (total * q))).over(over).alias("nats"),
     )
-    return contexts, stored(entries, "lm-entries")
+    rest = total - F.col("seen")
+    gap = F.when(rest > 0, rest * F.ln(rest / (total * F.greatest(1 - F.col("expected"), F.lit(1e-12))))).otherwise(0.0)
+    left = (rest + DISCOUNT * F.col("kinds")) / total
+    judged = summed.withColumn("left", F.when(F.col("nats") + gap >= gain * F.col("kinds"), left))
+    p = F.when(F.col("left").isNotNull(), (n - DISCOUNT) / total + F.col("left") * q).otherwise(q)
+    return judged.select("ctx", "total", "kinds", F.log10("left").alias("left"), "code", p.alias("p"), F.when(F.col("left").isNotNull(), F.log10(p / q)).alias("value"))
 
 
-def grown(texts: DataFrame, words: DataFrame, tokens: int, fresh: float, least: int = LEAST, depth: int = DEPTH) -> Grown:
+def grown(texts: DataFrame, words: DataFrame, tokens: int, fresh: float, least: int = LEAST, depth: int = DEPTH, gain: float = GAIN) -> Grown:
     """The suffix tree of training texts (text), given their words (word, n)."""
-    hashed = stored(mapped(words, _word_hashes, "h long, n long"), "lm-words")
-    often = hashed.filter(F.col("n") >= least)
-    known = Bits(often, often.count())
-    symbols = _Symbols(known)
-    rest = mapped(hashed, _Rare(known), "n long").agg(F.sum("n")).first()[0] or 0
+    often = words.filter(F.col("n") >= least)
+    symbols = Symbols(Bits(mapped(often.select("word"), _hashes, "h long"), often.count()))
+    spark = texts.sparkSession
+    classes = stored(mapped(words, _Classes(symbols), "class long, n long").groupBy("class").agg(F.sum("n").alias("n")), "lm-classes")
     share = (1 - fresh) / max(1, tokens)
-    other = rest * share + fresh
-
-    def counts(pairs, lengths):
-        raw = texts.select("text").mapInArrow(_count_contexts(symbols, pairs, lengths), COUNTED)
-        return stored(raw.groupBy("level", "ctx", "suffix", "symbol").agg(F.sum("n").alias("n")), "lm-counts")
-
-    none = np.uint64(0).astype(np.int64).item()
-    roots = hashed.select(F.col("h").alias("symbol"), (F.col("n") * share).alias("root"))
-    roots = roots.unionByName(texts.sparkSession.createDataFrame([(none, other)], "symbol long, root double"))
-    counted = counts(None, range(1, 2))
-    parents = roots.withColumn("below", F.lit(1.0))
-    levels = [grow_table(counted, parents, 1, least)]
-    end = int(_END_SYMBOL.astype(np.int64))
-    frequent = counted.filter((F.col("n") >= least) & ~F.col("symbol").isin(none, end))
-    pairs = Bits(mapped(frequent.select("ctx", "symbol"), _pair_hashes, "h long"), frequent.count())
-    counted = counts(pairs, range(2, depth + 1))
+    end = int(END_CLASS)
+    ends = classes.filter(F.col("class").isin(0, end)).toArrow()
+    sums = dict(zip(ends.column("class").to_pylist(), ends.column("n").to_pylist()))
+    fixed = {0: sums.get(0, 0) * share + fresh, end: max(1, sums.get(end, 0)) * share}
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // BUCKET)
+
+    def counts(pairs, lengths, hot):
+        listed = texts.select("text").mapInArrow(_count_contexts(symbols, pairs, lengths, buckets, hot), LISTED)
+        return stored(listed.groupBy("bucket").applyInArrow(_merge(least), COUNTED), "lm-counts")
+
+    def hot_of(found, key):
+        """At most HOT hashes of contexts."""
+        rows = found.filter(F.col("n") * HOT > tokens).select(key).toArrow()
+        return np.sort(rows.column(0).to_numpy().view(np.uint64))
+
+    real = classes.filter(~F.col("class").isin(0, end))
+    hot = value_of(hot_of(real, "class"))
+    counted = counts(None, range(1, 2), hot)
+    valued = mapped(real, lambda b: {"ctx": value_of(b.column("class").to_numpy()).view(np.int64), "total": b.column("n")}, "ctx long, total long")
+    parents = real.select(F.col("class").alias("below"), (F.col("n") * share).alias("q"))
+    levels = [stored(grow_level(counted, valued.filter(F.col("total") >= least), parents, fixed, gain), "lm-level")]
+    runs = counted.filter("run is not null")
+    pairs = Bits(runs.select(F.col("run").alias("h")), runs.count())
+    deeper = counts(pairs, range(2, depth + 1), hot_of(runs, "run"))
     for level in range(2, depth + 1):
-        parents = levels[-1][1].select(F.col("ctx").alias("suffix"), "symbol", "root", F.col("ratio").alias("below"))
-        levels.append(grow_table(counted, parents, level, least))
-    contexts, entries = levels[0]
-    for c, e in levels[1:]:
-        contexts, entries = contexts.unionByName(c), entries.unionByName(e)
-    return Grown(symbols, pairs, contexts.filter("kept").drop("kept"), entries.filter("kept").drop("kept", "root"))
+        before = counted if level == 2 else deeper.filter(F.col("level") == level - 1)
+        totals = before.filter("run is not null").select(F.col("run").alias("ctx"), F.col("n").alias("total"))
+        parents = levels[-1].select(F.col("code").alias("below"), F.col("p").alias("q"))
+        levels.append(stored(grow_level(deeper.filter(F.col("level") == level), totals, parents, {}, gain), "lm-level"))
+    for table in (counted, deeper, classes):
+        dropped(table)
+    kept = levels[0].filter("value is not null")
+    for more in levels[1:]:
+        kept = kept.unionByName(more.filter("value is not null"))
+    contexts = kept.groupBy("ctx").agg(F.max("total").alias("total"), F.max("kinds").alias("kinds"), F.max("left").alias("left"))
+    return Grown(symbols, pairs, stored(contexts, "lm-contexts"), kept.select("ctx", "code", "value"))
 
 
 class Head:
-    """The most frequent contexts of a tree, with all their entries, as sorted arrays, and a bit table of all contexts."""
+    """The most frequent contexts of a tree, with all their entries, and a bit table of all contexts."""
 
     def __init__(self, tree: Grown):
         self.symbols, self.pairs = tree.symbols, tree.pairs
         n = tree.contexts.count()
         self.bits = Bits(tree.contexts.select(F.col("ctx").alias("h")), n)
-        top = tree.contexts.orderBy(F.desc("total"), "level", "ctx").limit(HEAD_CONTEXTS).select("ctx", "kinds", "left").toArrow()
+        top = tree.contexts.orderBy(F.desc("total"), "ctx").limit(HEAD_CONTEXTS).select("ctx", "kinds", "left").toArrow()
         fits = int((np.cumsum(top.column("kinds").to_numpy()) <= HEAD_ENTRIES).sum())
         self.whole = fits == n
         context = top.column("ctx").to_numpy()[:fits].view(np.uint64)
         order = np.argsort(context)
-        self.context, self.left = context[order], top.column("left").to_numpy()[:fits][order]
+        self.contexts, self.left = Places(context[order]), top.column("left").to_numpy()[:fits][order]
         entries = tree.entries
         if not self.whole:
-            entries = mapped(entries, _Among(self.context), "level int, ctx long, symbol long, ratio double")
-        found = mapped(entries, _codes, "code long, ratio double").toArrow()
-        code, self.ratio = found.column("code").to_numpy().view(np.uint64), found.column("ratio").to_numpy()
+            entries = mapped(entries, _Among(self.contexts), "code long, value double")
+        found = entries.select("code", F.col("value").cast("float").alias("value")).toArrow()
+        code = found.column("code").to_numpy().view(np.uint64)
         order = np.argsort(code)
-        self.code, self.ratio = code[order], self.ratio[order]
+        self.codes, self.value = Places(code[order]), found.column("value").to_numpy()[order]
 
 
 class _Among:
-    def __init__(self, contexts: np.ndarray):
+    def __init__(self, contexts: Places):
         self.contexts = contexts
 
     def __call__(self, batch):
-        found = _place(self.contexts, batch.column("ctx").to_numpy().view(np.uint64)) >= 0
-        return {c: batch.column(c).filter(pa.array(found)) for c in batch.schema.names}
-
-
-def _codes(batch):
-    context, symbol = (batch.column(c).to_numpy().view(np.uint64) for c in ("ctx", "symbol"))
-    return {"code": coded(context, symbol).view(np.int64), "ratio": batch.column("ratio")}
-
-
-def _place(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Place of each wanted key in sorted keys, -1 where there is none."""
-    if not len(keys):
-        return np.full(len(wanted), -1)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1)
-
-
-def own_share(kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each token of a text, by its kind: weight of the text so far, share of the kind in it, and is it new?"""
-    n = len(kinds)
-    order = np.argsort(kinds, kind="stable")
-    ordered = kinds[order]
-    new = np.append(True, ordered[1:] != ordered[:-1])
-    place = np.arange(n)
-    earlier = np.empty(n, np.int64)
-    earlier[order] = place - np.maximum.accumulate(np.where(new, place, 0))
-    return OWN * place / (place + OWN_HALF), earlier / np.maximum(place, 1), earlier == 0
+        found = pa.array(self.contexts.of(batch.column("ctx").to_numpy().view(np.uint64)) >= 0)
+        return {c: batch.column(c).filter(found) for c in ("code", "value")}
 
 
 def _key(word: bytes) -> int:
     return hash_word(word) - (1 << 63)
 
 
-PENDING = "array<struct<at:int,level:int,ctx:long,code:long,a:double,b:double,top:int,ratio:double,rest:double>>"
-
-
 class _Score:
-    """Sums over the frequent words of texts, and for the joins that follow the other words and the tokens after other contexts."""
+    """Sums over what travels to the tasks, and for the joins that follow the other words and contexts."""
 
     def __init__(self, tree: Head, head: dict[bytes, int], tokens: int, kinds: int, fresh: float):
         self.tree, self.head, self.memo = tree, head, None
-        self.tokens, self.bottom, self.fresh = tokens, math.log10(tokens + kinds + 1), fresh
+        self.bottom, self.share = math.log10(tokens + kinds + 1), math.log10((1 - fresh) / max(1, tokens))
 
     def _facts(self, word: bytes) -> int:
         k = len(self.names)
         if k == len(self.symbol):
             self.symbol = np.concatenate([self.symbol, np.zeros_like(self.symbol)])
-            self.share, self.base = (np.concatenate([x, np.full(len(x), np.nan)]) for x in (self.share, self.base))
+            self.own, self.base = (np.concatenate([x, np.full(len(x), np.nan)]) for x in (self.own, self.base))
         n = self.head.get(word)
         if n is not None:
-            self.share[k] = n / self.tokens * (1 - self.fresh)
+            self.own[k] = math.log10(n) + self.share
             self.base[k] = math.log10(n + 1) - self.bottom
-        self.symbol[k] = self.tree.symbols._of(word)
+        self.symbol[k] = self.tree.symbols.of(word)
         self.names.append(word)
         return k
 
     def _reset(self):
         self.symbol, self.names = np.zeros(1024, np.uint64), []
-        self.share, self.base = np.full(1024, np.nan), np.full(1024, np.nan)
+        self.own, self.base = np.full(1024, np.nan), np.full(1024, np.nan)
         self.memo = WordMemo(self._facts, 1 << 62)
 
-    def _chances(self, symbol: np.ndarray):
-        """For each token: the longest context with an entry, its ratio, the product of what longer contexts leave; and what the head lacks."""
-        tree = self.tree
-        top, ratio, rest = np.zeros(len(symbol), np.int32), np.ones(len(symbol)), np.ones(len(symbol))
-        open_ = []
-        for level, (at, context) in enumerate(contexts_of(symbol, tree.pairs, DEPTH), 1):
+    def _gains(self, symbol: np.ndarray):
+        """What the contexts in the head add at each token, and (places, contexts, codes) of those that are not in it."""
+        tree, gain, open_ = self.tree, np.zeros(len(symbol)), []
+        for at, context in contexts_of(symbol, tree.pairs, DEPTH):
             near = tree.bits.has(context)
             at, context = at[near], context[near]
-            place = _place(tree.context, context)
+            place = tree.contexts.of(context)
             hit = place >= 0
             code = coded(context, symbol[at])
-            entry = np.full(len(at), -1)
-            entry[hit] = _place(tree.code, code[hit])
-            own, none = entry >= 0, hit & (entry < 0)
-            top[at[own]], ratio[at[own]] = level, tree.ratio[entry[own]]
-            rest[at[none]] *= tree.left[place[none]]
+            inside, place = at[hit], place[hit]
+            entry = tree.codes.of(code[hit])
+            gain[inside] += np.where(entry >= 0, tree.value[entry], tree.left[place]) if len(tree.value) else 0
             if not tree.whole and not hit.all():
-                open_.append((at[~hit], np.full(int((~hit).sum()), level, np.int32), context[~hit], code[~hit]))
-        return top, ratio, rest, open_
+                open_.append((at[~hit], context[~hit], code[~hit]))
+        return gain, open_
 
     def _group(self, texts: list[list[bytes]], out: dict) -> None:
-        if self.memo is None or len(self.memo) > 300_000:
+        if self.memo is None or len(self.memo) > 200_000:
             self._reset()
         kinds = [self.memo.values_of(words, np.int64) for words in texts]
+        every = np.concatenate(kinds)
         ends = np.cumsum([len(k) for k in kinds])
-        top, ratio, rest, open_ = self._chances(self.symbol[np.concatenate(kinds)])
-        a, b = np.empty(ends[-1]), np.empty(ends[-1])
-        for at, end in zip(kinds, ends.tolist()):
-            here = slice(end - len(at), end)
-            base, share = self.base[at], self.share[at]
-            frequent = ~np.isnan(base)
-            weight, own, new = own_share(at)
-            # a rare word's own share is added by the join
-            a[here], b[here] = (1 - weight) * np.where(frequent, share, new), weight * own
-            out["n_tokens"].append(len(at))
-            out["score"].append(float(np.log10(a[here] * ratio[here] * rest[here] + b[here]).sum()))
-            out["base"].append(float(base[frequent].sum()))
-            out["n_head"].append(int(frequent.sum()))
-            rare, times = np.unique(at[~frequent], return_counts=True)
-            out["rare"].append([{"h": _key(self.names[k]), "n": n} for k, n in zip(rare.tolist(), times.tolist())])
-        fields = [np.concatenate(x) for x in zip(*open_)] if open_ else [np.empty(0, t) for t in (np.int64, np.int32, np.uint64, np.uint64)]
+        starts = np.append(0, ends[:-1])
+        gain, open_ = self._gains(self.symbol[every])
+        base, own = self.base[every], self.own[every]
+        frequent = ~np.isnan(base)
+        out["n_tokens"].append(ends - starts)
+        out["base"].append(np.add.reduceat(np.where(frequent, base, 0.0), starts))
+        out["score"].append(np.add.reduceat(np.where(frequent, own, 0.0) + gain, starts))
+        out["n_head"].append(np.add.reduceat(frequent.astype(np.int64), starts))
+        rare = np.flatnonzero(~frequent)
+        names = self.names
+        hashes = np.array([_key(names[k]) for k in every[rare].tolist()], np.int64)
+        out["rare"].append((np.diff(np.searchsorted(rare, np.append(0, ends))), [hashes]))
+        fields = [np.concatenate(x) for x in zip(*open_)] if open_ else [np.empty(0, np.int64), *[np.empty(0, np.uint64)] * 2]
         order = np.argsort(fields[0], kind="stable")
-        at, level, context, code = (x[order] for x in fields)
-        counts = np.diff(np.searchsorted(at, np.append(0, ends)))
-        rows = [at.astype(np.int32), level, context.view(np.int64), code.view(np.int64), a[at], b[at], top[at], ratio[at], rest[at]]
-        out["pending"].append((counts, rows))
+        at, context, code = (x[order] for x in fields)
+        out["pending"].append((np.diff(np.searchsorted(at, np.append(0, ends))), [context.view(np.int64), code.view(np.int64)]))
 
     def __call__(self, batch):
         out = {k: [] for k in ("n_tokens", "score", "base", "n_head", "rare", "pending")}
@@ -504,32 +517,27 @@ class _Score:
                 group, size = [], 0
         if group:
             self._group(group, out)
-        counts = np.concatenate([c for c, _ in out["pending"]])
-        rows = [pa.array(np.concatenate(x)) for x in zip(*[r for _, r in out["pending"]])]
-        inner = pa.StructArray.from_arrays(rows, ["at", "level", "ctx", "code", "a", "b", "top", "ratio", "rest"])
-        out["pending"] = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), inner)
-        return {"row": batch.column("row"), "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), **out}
+        columns = {k: np.concatenate(out[k]) for k in ("n_tokens", "score", "base", "n_head")}
+        for name in ("rare", "pending"):
+            counts = np.concatenate([c for c, _ in out[name]])
+            rows = [pa.array(np.concatenate(x)) for x in zip(*[r for _, r in out[name]])]
+            inner = rows[0] if len(rows) == 1 else pa.StructArray.from_arrays(rows, ["ctx", "code"])
+            columns[name] = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), inner)
+        return {"row": batch.column("row"), "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), **columns}
 
 
-def past_head(scored: DataFrame, tree: Grown) -> DataFrame:
-    """(row, more): what the contexts outside the head add to the scores of rows (row, pending).
+SCORED = (
+    "row long, doc_id long, held_out boolean, n_tokens long, score double, base double, n_head long, "
+    "rare array<long>, pending array<struct<ctx:long,code:long>>"
+)
 
-    A symbol that has an entry after a context has one after each suffix, so a token's
-    ratio is that of the longest context with one, times what the longer ones leave.
-    """
-    looked = scored.select("row", F.explode("pending").alias("p")).select("row", "p.*")
-    hits = looked.join(tree.contexts.select("ctx", "level", "left"), ["ctx", "level"])
-    entries = mapped(tree.entries.select("ctx", "symbol", "ratio"), _codes, "code long, ratio double").withColumnRenamed("ratio", "own")
-    hits = hits.join(entries, "code", "left")
-    token = hits.groupBy("row", "at").agg(
-        *[F.first(c).alias(c) for c in ("a", "b", "top", "ratio", "rest")],
-        F.max(F.when(F.col("own").isNotNull(), F.struct("level", "own"))).alias("best"),
-        F.coalesce(F.sum(F.when(F.col("own").isNull(), F.ln("left"))), F.lit(0.0)).alias("leaves"),
-    )
-    ratio = F.when(F.col("best.level") > F.col("top"), F.col("best.own")).otherwise(F.col("ratio"))
-    now = F.log10(F.col("a") * ratio * F.col("rest") * F.exp("leaves") + F.col("b"))
-    was = F.log10(F.col("a") * F.col("ratio") * F.col("rest") + F.col("b"))
-    return token.groupBy("row").agg(F.sum(now - was).alias("more"))
+
+def past_head(scored: DataFrame, tree: Grown) -> DataFrame:
+    """(row, more): what the contexts outside the head add to the scores of rows (row, pending)."""
+    looked = scored.select("row", F.explode("pending").alias("p")).groupBy("row", "p.ctx", "p.code").agg(F.count("*").alias("k"))
+    hits = looked.join(tree.contexts.select("ctx", "left"), "ctx").join(tree.entries.select("code", "value"), "code", "left")
+    # as in the head, entries have single precision
+    return hits.groupBy("row").agg(F.sum(F.col("k") * F.coalesce(F.col("value").cast("float"), "left")).alias("more"))
 
 
 def _keyed(batch):
@@ -563,18 +571,17 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     top = words.orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
     head = dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist()))
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, score double, base double, n_head long, rare array<struct<h:long,n:long>>, pending " + PENDING
-    scored = stored(mapped(numbered, _Score(near, head, tokens, kinds, fresh), schema), "scores")
+    scored = stored(mapped(numbered, _Score(near, head, tokens, kinds, fresh), SCORED), "scores")
 
     # what the frequent words leave: counts of the other words, by a join on their hashes
     others = mapped(words.filter(F.col("n") <= min(head.values(), default=0)), _keyed, "h long, c long")
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", F.col("r.h").alias("h"), F.col("r.n").alias("k"))
+    rare = scored.select("row", F.explode("rare").alias("h")).groupBy("row", "h").agg(F.count("*").alias("k"))
     bottom = math.log10(tokens + kinds + 1)
     own = F.log10(F.col("c") * F.lit((1 - fresh) / max(1, tokens)))
     found = rare.join(others, "h", "left").groupBy("row").agg(
         F.sum(F.when(F.col("c").isNotNull(), F.col("k"))).alias("n_found"),
         F.sum(F.col("k") * (F.log10(F.col("c") + 1) - F.lit(bottom))).alias("found"),
-        F.sum(F.coalesce(own, F.lit(math.log10(fresh)))).alias("gained"),
+        F.sum(F.col("k") * F.coalesce(own, F.lit(math.log10(fresh)))).alias("gained"),
     )
     joined = scored.drop("rare", "pending").join(found, "row", "left")
     if not near.whole:
