@@ -10,11 +10,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORDS_KEPT = 250_000
+_CLEANS = "spark.sql.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +53,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again; cuts lineage and survives executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    # shuffle files that led to the table are of no more use
+    cleans = spark.conf.get(_CLEANS, "false")
+    spark.conf.set(_CLEANS, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANS, cleans)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -135,9 +143,18 @@ def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
     return mixed(total)
 
 
+def valid_texts(batch: pa.RecordBatch, column: str) -> pa.Array:
+    """Texts of a string or binary column, "" for null; bytes that are not UTF-8 become U+FFFD, in all operators alike."""
+    raw = batch.column(column).cast(pa.binary())
+    try:
+        return pa.compute.fill_null(raw.cast(pa.string()), "")
+    except pa.ArrowInvalid:
+        return pa.array([(x or b"").decode(errors="replace") for x in raw.to_pylist()], pa.string())
+
+
 def byte_texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
-    """UTF-8 texts of a string or binary column, b"" for null."""
-    return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
+    """UTF-8 bytes of :func:`valid_texts`."""
+    return valid_texts(batch, column).cast(pa.binary()).to_pylist()
 
 
 def mapped(df: DataFrame, make, schema: str) -> DataFrame:

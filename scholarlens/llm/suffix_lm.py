@@ -5,7 +5,7 @@ of its 32-bit hash, all others to class 0. After a context the classes get
 probabilities, and a word has its share of its class, so the sum over all words is 1
 whatever shares a class. A word's own share comes from its count; words outside the
 training vocabulary are one symbol, as in the base score, with the mass of the words
-seen once.
+seen once. Words are told apart by 64-bit hashes.
 
 Growing. A context is a run of 1 to ``DEPTH`` symbol words with LEAST occurrences, an
 absolute count, so the tree grows with the corpus. Its entries are the next classes
@@ -31,55 +31,82 @@ most) travel to the tasks, all others come by joins on hashes, with equal scores
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholarlens.llm.common import MULTIPLIER, WordMemo, byte_texts, dropped, hash_word, mapped, mixed, remainder, stored
+from scholarlens.llm.common import MULTIPLIER, dropped, hash_word, mapped, mixed, remainder, stored, valid_texts
 
 LEAST, DEPTH, GAIN, DISCOUNT = 10, 4, 8.0, 0.75
-HEAD, HELD = 150_000, 400_000
+HEAD = 150_000
 #: Contexts and their entries that travel to the tasks.
 HEAD_CONTEXTS, HEAD_ENTRIES = 400_000, 2_500_000
-#: Bits of a bit table at most, tokens worked on at once, next words held by a task before they are summed up, tokens of a bucket.
-MOST_BITS, CHUNK, WAITING, BUCKET = 27, 100_000, 2_000_000, 500_000
+#: Bits of a bit table at most, bytes of text worked on at once, words of a bucket.
+MOST_BITS, CHUNK, BUCKET = 27, 12_000_000, 500_000
 #: A context is hot with one in so many of all words, and is then dealt to so many buckets.
 HOT, DEALT = 1000, 64
 #: Stands for the end of a text; it can be no word.
 END = b" "
 
 
-def tokens_of(text: bytes) -> list[bytes]:
-    """Words lower-cased in A-Z and split at ASCII white space, and the end of the text."""
-    words = text.lower().split()
-    words.append(END)
-    return words
+END_HASH = np.uint64(hash_word(END))
 
 
-def _count_words(batches):
-    """Sums the words of a task before the shuffle, in batches of a bounded number of distinct words."""
-    held: Counter = Counter()
+class Words:
+    """Words of some texts, lower-cased in A-Z and split at ASCII white space, each text followed by END.
+
+    ``hashes`` has each word once, END last; ``at`` numbers all words in order; ``ends`` are the places of END.
+    """
 
-    def out():
-        words, counts = list(held), list(held.values())
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64())], names=["word", "n"])
+    def __init__(self, texts: pa.Array):
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        found = lists.flatten().dictionary_encode()
+        number = found.indices.to_numpy(zero_copy_only=False)
+        words = found.dictionary.cast(pa.binary()).to_pylist()
+        # white space at the ends of a text gives empty words
+        real = number != words.index(b"") if b"" in words else np.ones(len(number), bool)
+        before = np.append(0, np.cumsum(real))
+        edges = lists.offsets.to_numpy()
+        self.ends = before[edges[1:] - edges[0]] + np.arange(len(texts))
+        self.at = np.full(len(texts) + int(before[-1]), len(words), np.int64)
+        inner = np.ones(len(self.at), bool)
+        inner[self.ends] = False
+        self.at[inner] = number[real]
+        self.hashes = np.fromiter(map(hash_word, words), np.uint64, len(words))
+        self.hashes = np.append(self.hashes, END_HASH)
+
+    @property
+    def starts(self) -> np.ndarray:
+        return np.append(0, self.ends[:-1] + 1)
+
+
+def chunks_of(batch) -> list[pa.Array]:
+    """The texts of a batch in runs of about CHUNK bytes; a longer text is a run of its own."""
+    texts = valid_texts(batch, "text")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy())
+    cuts, at = [0], 0
+    while at < len(texts):
+        at = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, "right")))
+        cuts.append(at)
+    return [texts.slice(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
+
+def _count_words(batches):
+    """Counts of words by their hash, summed up in a run of texts."""
     for batch in batches:
-        for text in byte_texts(batch, "text"):
-            held.update(tokens_of(text))
-            if len(held) > HELD:
-                yield out()
-    if held:
-        yield out()
+        for texts in chunks_of(batch):
+            words = Words(texts)
+            n = np.bincount(words.at, minlength=len(words.hashes))
+            used = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(words.hashes[used].view(np.int64)), pa.array(n[used])], names=["h", "n"])
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n) over whole texts, ends of texts included."""
-    return texts.select("text").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    """(h, n): counts of whole texts' words, ends of texts included, by 64-bit hash."""
+    return texts.select("text").mapInArrow(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 class Bits:
@@ -124,12 +151,18 @@ class Places:
         return out
 
 
-def class_of(h: int) -> int:
-    """The class of a symbol word by its hash; never 0."""
-    return (h >> 32) or 1
+END_CLASS = max(END_HASH >> np.uint64(32), np.uint64(1))
 
 
-END_CLASS = np.uint64(class_of(hash_word(END)))
+class Symbols:
+    """Classes of words by their hashes: 32 bits of it if the bit table has it, else 0."""
+
+    def __init__(self, known: Bits):
+        self.known = known
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        symbol = self.known.has(hashes) | (hashes == END_HASH)
+        return np.where(symbol, np.maximum(hashes >> np.uint64(32), np.uint64(1)), np.uint64(0))
 
 
 def value_of(symbols: np.ndarray) -> np.ndarray:
@@ -175,59 +208,12 @@ def contexts_of(symbols: np.ndarray, pairs: Bits | None, depth: int):
         yield at, context
 
 
-class Symbols:
-    """Classes of words: by their hash if the bit table has it, else 0."""
+LISTED = "bucket int, level int, dealt boolean, ctx array<long>, suffix array<long>, kinds array<int>, symbol array<int>, n array<int>"
+COUNTED = "level int, ctx long, code long, below long, run long, n long, total long"
 
-    def __init__(self, known: Bits):
-        self.known, self.memo = known, None
 
-    def of(self, word: bytes) -> int:
-        h = hash_word(word)
-        return class_of(h) if word == END or self.known.has(np.array([h], np.uint64))[0] else 0
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        if self.memo is None:
-            self.memo = WordMemo(self.of)
-        return self.memo.values_of(words, np.uint64)
-
-
-def _chunks(batches, size: int):
-    """Words of whole texts, ``size`` or a little more at a time."""
-    held = []
-    for batch in batches:
-        for text in byte_texts(batch, "text"):
-            held += tokens_of(text)
-            if len(held) >= size:
-                yield held
-                held = []
-    if held:
-        yield held
-
-
-LISTED = "bucket int, level int, ctx array<long>, suffix array<long>, kinds array<int>, symbol array<int>, n array<int>"
-COUNTED = "level int, ctx long, code long, below long, run long, n long"
-
-
-def dealt_key(context: np.ndarray, suffix: np.ndarray, symbol: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """The key by which counts go to buckets: the context, and for a hot one a part of the next class too.
-
-    A context of more words counts as hot where its last two words do.
-    """
-    key = context.copy()
-    if len(hot):
-        at = np.flatnonzero(np.isin(suffix, hot))
-        key[at] = mixed(context[at] + symbol[at] % np.uint64(DEALT) * MULTIPLIER)
-    return key
-
-
-def _listed(level: int, parts: list, buckets: int, hot: np.ndarray) -> pa.RecordBatch:
-    """Sums of (context, suffix, last pair, symbol) as one row a bucket."""
-    context, suffix, last, symbol = (np.concatenate(x) for x in zip(*parts))
-    _, first, n = np.unique(coded(context, symbol), return_index=True, return_counts=True)
-    context, suffix, last, symbol = (x[first] for x in (context, suffix, last, symbol))
-    key = dealt_key(context, last, symbol, hot)
-    order = np.argsort(key)
-    key, n = key[order], n[order]
+def _listed(level: int, dealt: bool, key, context, suffix, symbol, n, buckets: int) -> pa.RecordBatch:
+    """Counts, sorted by ``key``, as one row for each bucket, a range of keys; a key is a context, or a part of one."""
     new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     kinds = np.diff(np.append(new, len(key)))
     edges = np.array([-(-k * 2**64 // buckets) for k in range(1, buckets)], np.uint64)
@@ -239,91 +225,153 @@ def _listed(level: int, parts: list, buckets: int, hot: np.ndarray) -> pa.Record
     def lists(values, offsets, kind):
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(kind)))
 
-    heads = order[new]
     return pa.RecordBatch.from_arrays(
         [
             pa.array(used.astype(np.int32)),
             pa.array(np.full(len(used), level, np.int32)),
-            lists(context[heads].view(np.int64), at, np.int64),
-            lists(suffix[heads].view(np.int64), at, np.int64),
+            pa.array(np.full(len(used), dealt)),
+            lists(context[new].view(np.int64), at, np.int64),
+            lists(suffix[new].view(np.int64), at, np.int64),
             lists(kinds, at, np.int32),
-            lists(symbol[order].astype(np.uint32).view(np.int32), inner, np.int32),
+            lists(symbol.astype(np.uint32).view(np.int32), inner, np.int32),
             lists(n, inner, np.int32),
         ],
-        names=["bucket", "level", "ctx", "suffix", "kinds", "symbol", "n"],
+        names=["bucket", "level", "dealt", "ctx", "suffix", "kinds", "symbol", "n"],
     )
 
 
-def _count_contexts(symbols: Symbols, pairs: Bits | None, lengths: range, buckets: int, hot: np.ndarray):
-    """Counts of next classes after the contexts of ``lengths``, summed up before the shuffle; see LISTED."""
+def _rows(level: int, key, context, suffix, symbol, n, hot, buckets: int):
+    """Rows of :func:`_listed` for counts that are sorted by ``key``; the hot ones are dealt by a part of the next class."""
+    for dealt in (False, True):
+        some = hot == dealt
+        if some.all():
+            parts = key, context, suffix, symbol, n
+        elif some.any():
+            parts = tuple(x[some] for x in (key, context, suffix, symbol, n))
+        else:
+            continue
+        if dealt:
+            spread = mixed(parts[1] + parts[3].astype(np.uint64) % np.uint64(DEALT) * MULTIPLIER)
+            order = np.argsort(spread)
+            parts = spread[order], *(x[order] for x in parts[1:])
+        yield _listed(level, dealt, *parts, buckets)
+
+
+def _boundaries(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin, and their lengths."""
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    return first, np.diff(np.append(first, len(ordered)))
+
+
+def _count_first(symbols: Symbols, hot: np.ndarray, buckets: int):
+    """Counts of next classes after each class of ``real`` words; see LISTED."""
+    hot = Places(hot)
+
+    def run(batches):
+        for batch in batches:
+            for texts in chunks_of(batch):
+                words = Words(texts)
+                classes = symbols(words.hashes)[words.at]
+                inner = (classes != 0) & (classes != END_CLASS)
+                at = np.flatnonzero(inner[:-1])
+                if not len(at):
+                    continue
+                both = np.sort(classes[at] << np.uint64(32) | classes[at + 1])
+                first, n = _boundaries(both)
+                both = both[first]
+                old, symbol = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
+                # classes are hashes themselves
+                yield from _rows(1, old << np.uint64(32), value_of(old), np.zeros_like(old), symbol, n, hot.of(old) >= 0, buckets)
+
+    return run
+
+
+def _count_deeper(symbols: Symbols, pairs: Bits, depth: int, hot: np.ndarray, buckets: int):
+    """Counts of next classes after contexts of 2 to ``depth`` words; hot are those whose last two words are; see LISTED."""
+    hot = Places(hot)
 
     def run(batches):
-        held, waiting = {k: [] for k in lengths}, 0
-        for words in _chunks(batches, CHUNK):
-            classes = symbols(words)
-            before, pair = np.zeros(len(words), np.uint64), np.zeros(len(words), np.uint64)
-            for level, (at, context) in enumerate(contexts_of(classes, pairs, lengths[-1]), 1):
-                if level <= 2:
-                    pair[at] = context
-                if level in held and len(at):
-                    held[level].append((context, before[at], pair[at], classes[at]))
-                    waiting += len(at)
-                before[at] = context
-            if waiting > WAITING:
-                for level, parts in held.items():
-                    if parts:
-                        yield _listed(level, parts, buckets, hot)
-                held, waiting = {k: [] for k in lengths}, 0
-        for level, parts in held.items():
-            if parts:
-                yield _listed(level, parts, buckets, hot)
+        for batch in batches:
+            for texts in chunks_of(batch):
+                words = Words(texts)
+                classes = symbols(words.hashes)[words.at]
+                before, common = np.zeros(len(classes), np.uint64), np.zeros(len(classes), bool)
+                for level, (at, context) in enumerate(contexts_of(classes, pairs, depth), 1):
+                    if level == 2:
+                        common[at] = hot.of(context) >= 0
+                    if level > 1 and len(at):
+                        symbol = classes[at]
+                        code = coded(context, symbol)
+                        order = np.argsort(code)
+                        first, n = _boundaries(code[order])
+                        first = order[first]
+                        order = np.argsort(context[first])
+                        first, n = first[order], n[order]
+                        place = at[first]
+                        yield from _rows(level, context[first], context[first], before[place], symbol[first], n, common[place], buckets)
+                    before[at] = context
 
     return run
 
 
 def _merge(least: int):
-    """Sums a bucket's counts; what occurs once is left out."""
+    """Sums a bucket's counts; what occurs once and what follows contexts under ``least`` is left out.
+
+    A dealt context has no total yet, and a row without a code for its part of it.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         def flat(name):
             return np.concatenate([c.flatten().to_numpy() for c in table.column(name).chunks])
 
-        kinds = flat("kinds")
-        contexts = np.concatenate([pa.compute.list_value_length(c).to_numpy() for c in table.column("ctx").chunks])
+        kinds, times = flat("kinds"), flat("n").astype(np.int64)
+        contexts = np.concatenate([pc.list_value_length(c).to_numpy() for c in table.column("ctx").chunks])
         of = np.repeat(np.arange(len(kinds)), kinds)
         context, suffix, symbol = flat("ctx").view(np.uint64), flat("suffix").view(np.uint64), flat("symbol").view(np.uint32)
-        level = np.repeat(table.column("level").to_numpy(), contexts)
+        level, dealt = (np.repeat(table.column(c).to_numpy(), contexts) for c in ("level", "dealt"))
+        _, own, same = np.unique(context, return_index=True, return_inverse=True)
+        whole = np.bincount(same[of], times).astype(np.int64)
         code = coded(context[of], symbol)
         order = np.argsort(code)
-        starts = np.flatnonzero(np.append(True, code[order][1:] != code[order][:-1]))
-        n = np.add.reduceat(flat("n")[order].astype(np.int64), starts)
-        often = n >= 2
-        first, n = order[starts[often]], n[often]
-        at, symbol = of[first], symbol[first].astype(np.uint64)
-        below = np.where(level[at] == 1, symbol, coded(suffix[at], symbol))
-        run = longer(symbol, context[at]).view(np.int64)
-        none = (n < least) | (symbol == 0) | (symbol == END_CLASS)
-        columns = [pa.array(level[at]), *(pa.array(x.view(np.int64)) for x in (context[at], code[first], below)), pa.array(run, mask=none), pa.array(n)]
-        return pa.Table.from_arrays(columns, names=["level", "ctx", "code", "below", "run", "n"])
+        starts, _ = _boundaries(code[order])
+        n = np.add.reduceat(times[order], starts)
+        first = order[starts]
+        at = of[first]
+        good = (n >= 2) & (dealt[at] | (whole[same[at]] >= least))
+        first, n, at = first[good], n[good], at[good]
+        after = symbol[first].astype(np.uint64)
+        below = np.where(level[at] == 1, after, coded(suffix[at], after))
+        none = (n < least) | (after == 0) | (after == END_CLASS)
+        parts = own[dealt[own]]
+        gap = np.zeros(len(parts), np.int64)
+        columns = [
+            (np.append(level[at], level[parts]), False),
+            (np.append(context[at], context[parts]).view(np.int64), False),
+            *((np.append(x.view(np.int64), gap), np.append(mask, gap == 0)) for x, mask in ((code[first], none & False), (below, none & False), (longer(after, context[at]), none))),
+            (np.append(n, whole[same[parts]]), False),
+            (np.append(whole[same[at]], gap), np.append(dealt[at], gap == 0)),
+        ]
+        arrays = [pa.array(x) if mask is False else pa.array(x, mask=mask) for x, mask in columns]
+        return pa.Table.from_arrays(arrays, names=["level", "ctx", "code", "below", "run", "n", "total"])
 
     return run
 
 
+def with_totals(counted: DataFrame, least: int) -> DataFrame:
+    """Entries of ``counted``, those of dealt contexts with the sum of their parts."""
+    whole = counted.filter("code is null").groupBy("ctx").agg(F.sum("n").alias("total")).filter(F.col("total") >= least)
+    real = counted.filter("code is not null")
+    return real.filter("total is not null").unionByName(real.filter("total is null").drop("total").join(whole, "ctx"))
+
+
 class _Classes:
-    """Words as (h, class, n)."""
+    """Words (h, n) as (class, n)."""
 
     def __init__(self, symbols: Symbols):
-        self.known = symbols.known
+        self.symbols = symbols
 
     def __call__(self, batch):
-        h = np.array([hash_word(w) for w in batch.column("word").to_pylist()], np.uint64)
-        known = self.known.has(h) | (h == np.uint64(hash_word(END)))
-        classes = np.where(known, np.maximum(h >> np.uint64(32), np.uint64(1)), np.uint64(0))
-        return {"class": classes.view(np.int64), "n": batch.column("n")}
-
-
-def _hashes(batch):
-    return {"h": np.array([hash_word(w) for w in batch.column("word").to_pylist()], np.uint64).view(np.int64)}
+        return {"class": self.symbols(batch.column("h").to_numpy().view(np.uint64)).view(np.int64), "n": batch.column("n")}
 
 
 class Grown:
@@ -333,18 +381,16 @@ class Grown:
         self.symbols, self.pairs, self.contexts, self.entries = symbols, pairs, contexts, entries
 
 
-def grow_level(counted: DataFrame, totals: DataFrame, parents: DataFrame, fixed: dict[int, float], gain: float) -> DataFrame:
-    """Entries of all contexts of one length with LEAST occurrences: ctx, total, kinds, left, code, p, value.
+def grow_level(counted: DataFrame, parents: DataFrame, fixed: dict[int, float], gain: float) -> DataFrame:
+    """Entries of all contexts of one length: ctx, total, kinds, left, code, p, value.
 
-    ``counted`` is as COUNTED, ``totals`` (ctx, total), ``parents`` (below, q) probabilities
+    ``counted`` has ctx, code, below, n and total, ``parents`` (below, q) probabilities
     after the suffix; ``fixed`` has those of keys that very many rows share. Where the
     context does not stay, value and left are null and p is q.
     """
-    many = list(fixed)
-    met = counted.filter(~F.col("below").isin(many)).join(parents, "below")
+    met = counted.filter(~F.col("below").isin(list(fixed))).join(parents, "below").select("ctx", "code", "n", "total", "q")
     for key, q in fixed.items():
-        met = met.unionByName(counted.filter(F.col("below") == key).withColumn("q", F.lit(q)))
-    met = met.select("ctx", "code", "n", "q").join(totals, "ctx")
+        met = met.unionByName(counted.filter(F.col("below") == key).select("ctx", "code", "n", "total", F.lit(q).alias("q")))
     over = Window.partitionBy("ctx")
     n, q, total = F.col("n"), F.col("q"), F.col("total")
     summed = met.select(
@@ -365,7 +411,7 @@ def grow_level(counted: DataFrame, totals: DataFrame, parents: DataFrame, fixed:
 def grown(texts: DataFrame, words: DataFrame, tokens: int, fresh: float, least: int = LEAST, depth: int = DEPTH, gain: float = GAIN) -> Grown:
     """The suffix tree of training texts (text), given their words (word, n)."""
     often = words.filter(F.col("n") >= least)
-    symbols = Symbols(Bits(mapped(often.select("word"), _hashes, "h long"), often.count()))
+    symbols = Symbols(Bits(often.select("h"), often.count()))
     spark = texts.sparkSession
     classes = stored(mapped(words, _Classes(symbols), "class long, n long").groupBy("class").agg(F.sum("n").alias("n")), "lm-classes")
     share = (1 - fresh) / max(1, tokens)
@@ -375,29 +421,26 @@ def grown(texts: DataFrame, words: DataFrame, tokens: int, fresh: float, least:
     fixed = {0: sums.get(0, 0) * share + fresh, end: max(1, sums.get(end, 0)) * share}
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // BUCKET)
 
-    def counts(pairs, lengths, hot):
-        listed = texts.select("text").mapInArrow(_count_contexts(symbols, pairs, lengths, buckets, hot), LISTED)
+    def counts(count):
+        listed = texts.select("text").mapInArrow(count, LISTED)
         return stored(listed.groupBy("bucket").applyInArrow(_merge(least), COUNTED), "lm-counts")
 
     def hot_of(found, key):
-        """At most HOT hashes of contexts."""
+        """Less than HOT hashes."""
         rows = found.filter(F.col("n") * HOT > tokens).select(key).toArrow()
         return np.sort(rows.column(0).to_numpy().view(np.uint64))
 
     real = classes.filter(~F.col("class").isin(0, end))
-    hot = value_of(hot_of(real, "class"))
-    counted = counts(None, range(1, 2), hot)
-    valued = mapped(real, lambda b: {"ctx": value_of(b.column("class").to_numpy()).view(np.int64), "total": b.column("n")}, "ctx long, total long")
+    counted = counts(_count_first(symbols, hot_of(real, "class"), buckets))
     parents = real.select(F.col("class").alias("below"), (F.col("n") * share).alias("q"))
-    levels = [stored(grow_level(counted, valued.filter(F.col("total") >= least), parents, fixed, gain), "lm-level")]
+    levels = [stored(grow_level(with_totals(counted, least), parents, fixed, gain), "lm-level")]
     runs = counted.filter("run is not null")
     pairs = Bits(runs.select(F.col("run").alias("h")), runs.count())
-    deeper = counts(pairs, range(2, depth + 1), hot_of(runs, "run"))
+    deeper = counts(_count_deeper(symbols, pairs, depth, hot_of(runs, "run"), buckets))
     for level in range(2, depth + 1):
-        before = counted if level == 2 else deeper.filter(F.col("level") == level - 1)
-        totals = before.filter("run is not null").select(F.col("run").alias("ctx"), F.col("n").alias("total"))
         parents = levels[-1].select(F.col("code").alias("below"), F.col("p").alias("q"))
-        levels.append(stored(grow_level(deeper.filter(F.col("level") == level), totals, parents, {}, gain), "lm-level"))
+        some = with_totals(deeper.filter(F.col("level") == level), least)
+        levels.append(stored(grow_level(some, parents, {}, gain), "lm-level"))
     for table in (counted, deeper, classes):
         dropped(table)
     kept = levels[0].filter("value is not null")
@@ -438,34 +481,15 @@ class _Among:
         return {c: batch.column(c).filter(found) for c in ("code", "value")}
 
 
-def _key(word: bytes) -> int:
-    return hash_word(word) - (1 << 63)
-
-
 class _Score:
     """Sums over what travels to the tasks, and for the joins that follow the other words and contexts."""
 
-    def __init__(self, tree: Head, head: dict[bytes, int], tokens: int, kinds: int, fresh: float):
-        self.tree, self.head, self.memo = tree, head, None
-        self.bottom, self.share = math.log10(tokens + kinds + 1), math.log10((1 - fresh) / max(1, tokens))
-
-    def _facts(self, word: bytes) -> int:
-        k = len(self.names)
-        if k == len(self.symbol):
-            self.symbol = np.concatenate([self.symbol, np.zeros_like(self.symbol)])
-            self.own, self.base = (np.concatenate([x, np.full(len(x), np.nan)]) for x in (self.own, self.base))
-        n = self.head.get(word)
-        if n is not None:
-            self.own[k] = math.log10(n) + self.share
-            self.base[k] = math.log10(n + 1) - self.bottom
-        self.symbol[k] = self.tree.symbols.of(word)
-        self.names.append(word)
-        return k
-
-    def _reset(self):
-        self.symbol, self.names = np.zeros(1024, np.uint64), []
-        self.own, self.base = np.full(1024, np.nan), np.full(1024, np.nan)
-        self.memo = WordMemo(self._facts, 1 << 62)
+    def __init__(self, tree: Head, head: tuple[np.ndarray, np.ndarray], tokens: int, kinds: int, fresh: float):
+        """``head``: sorted hashes of words and their counts."""
+        self.tree, self.head = tree, Places(head[0])
+        # the last place is that of all other words
+        self.own = np.append(np.log10(head[1]) + math.log10((1 - fresh) / max(1, tokens)), np.nan)
+        self.base = np.append(np.log10(head[1] + 1) - math.log10(tokens + kinds + 1), np.nan)
 
     def _gains(self, symbol: np.ndarray):
         """What the contexts in the head add at each token, and (places, contexts, codes) of those that are not in it."""
@@ -483,40 +507,27 @@ class _Score:
                 open_.append((at[~hit], context[~hit], code[~hit]))
         return gain, open_
 
-    def _group(self, texts: list[list[bytes]], out: dict) -> None:
-        if self.memo is None or len(self.memo) > 200_000:
-            self._reset()
-        kinds = [self.memo.values_of(words, np.int64) for words in texts]
-        every = np.concatenate(kinds)
-        ends = np.cumsum([len(k) for k in kinds])
-        starts = np.append(0, ends[:-1])
-        gain, open_ = self._gains(self.symbol[every])
-        base, own = self.base[every], self.own[every]
-        frequent = ~np.isnan(base)
-        out["n_tokens"].append(ends - starts)
+    def _group(self, texts: pa.Array, out: dict) -> None:
+        words = Words(texts)
+        gain, open_ = self._gains(self.tree.symbols(words.hashes)[words.at])
+        starts, edges = words.starts, np.append(0, words.ends + 1)
+        place = self.head.of(words.hashes)[words.at]
+        base, own, frequent = self.base[place], self.own[place], place >= 0
+        out["n_tokens"].append(np.diff(edges))
         out["base"].append(np.add.reduceat(np.where(frequent, base, 0.0), starts))
         out["score"].append(np.add.reduceat(np.where(frequent, own, 0.0) + gain, starts))
         out["n_head"].append(np.add.reduceat(frequent.astype(np.int64), starts))
         rare = np.flatnonzero(~frequent)
-        names = self.names
-        hashes = np.array([_key(names[k]) for k in every[rare].tolist()], np.int64)
-        out["rare"].append((np.diff(np.searchsorted(rare, np.append(0, ends))), [hashes]))
+        out["rare"].append((np.diff(np.searchsorted(rare, edges)), [words.hashes[words.at[rare]].view(np.int64)]))
         fields = [np.concatenate(x) for x in zip(*open_)] if open_ else [np.empty(0, np.int64), *[np.empty(0, np.uint64)] * 2]
-        order = np.argsort(fields[0], kind="stable")
+        order = np.argsort(fields[0])
         at, context, code = (x[order] for x in fields)
-        out["pending"].append((np.diff(np.searchsorted(at, np.append(0, ends))), [context.view(np.int64), code.view(np.int64)]))
+        out["pending"].append((np.diff(np.searchsorted(at, edges)), [context.view(np.int64), code.view(np.int64)]))
 
     def __call__(self, batch):
         out = {k: [] for k in ("n_tokens", "score", "base", "n_head", "rare", "pending")}
-        group, size = [], 0
-        for text in byte_texts(batch, "text"):
-            group.append(tokens_of(text))
-            size += len(group[-1])
-            if size >= CHUNK:
-                self._group(group, out)
-                group, size = [], 0
-        if group:
-            self._group(group, out)
+        for texts in chunks_of(batch):
+            self._group(texts, out)
         columns = {k: np.concatenate(out[k]) for k in ("n_tokens", "score", "base", "n_head")}
         for name in ("rare", "pending"):
             counts = np.concatenate([c for c, _ in out[name]])
@@ -540,10 +551,6 @@ def past_head(scored: DataFrame, tree: Grown) -> DataFrame:
     return hits.groupBy("row").agg(F.sum(F.col("k") * F.coalesce(F.col("value").cast("float"), "left")).alias("more"))
 
 
-def _keyed(batch):
-    return {"h": [_key(w) for w in batch.column("word").to_pylist()], "c": batch.column("n")}
-
-
 def lm_scores(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     """Scores of every row of ``docs`` (doc_id, text), learned from rows whose crc32 of the id mod ``modulus`` is not ``held``.
 
@@ -568,13 +575,14 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     fresh = (size.once + 1) / (tokens + 2)
     tree = grown(training, words, tokens, fresh)
     near = Head(tree)
-    top = words.orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
-    head = dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist()))
+    top = words.orderBy(F.desc("n"), "h").limit(HEAD).toArrow()
+    h, n = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    head = h[np.argsort(h)], n[np.argsort(h)]
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
     scored = stored(mapped(numbered, _Score(near, head, tokens, kinds, fresh), SCORED), "scores")
 
     # what the frequent words leave: counts of the other words, by a join on their hashes
-    others = mapped(words.filter(F.col("n") <= min(head.values(), default=0)), _keyed, "h long, c long")
+    others = words.filter(F.col("n") <= int(n.min(initial=0 if not len(n) else n[0]))).select("h", F.col("n").alias("c"))
     rare = scored.select("row", F.explode("rare").alias("h")).groupBy("row", "h").agg(F.count("*").alias("k"))
     bottom = math.log10(tokens + kinds + 1)
     own = F.log10(F.col("c") * F.lit((1 - fresh) / max(1, tokens)))
