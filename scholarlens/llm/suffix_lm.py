@@ -44,8 +44,8 @@ LEAST, DEPTH, GAIN, DISCOUNT = 10, 4, 8.0, 0.75
 HEAD = 150_000
 #: Contexts and their entries that travel to the tasks.
 HEAD_CONTEXTS, HEAD_ENTRIES = 400_000, 2_500_000
-#: Bits of a bit table at most, bytes of text worked on at once, words of a bucket.
-MOST_BITS, CHUNK, BUCKET = 27, 12_000_000, 500_000
+#: Bits of a bit table at most, bytes of text counted and scored at once, words of a bucket.
+MOST_BITS, COUNT_BYTES, SCORE_BYTES, BUCKET = 27, 8_000_000, 3_000_000, 500_000
 #: A context is hot with one in so many of all words, and is then dealt to so many buckets.
 HOT, DEALT = 1000, 64
 #: Stands for the end of a text; it can be no word.
@@ -83,13 +83,13 @@ class Words:
         return np.append(0, self.ends[:-1] + 1)
 
 
-def chunks_of(batch) -> list[pa.Array]:
-    """The texts of a batch in runs of about CHUNK bytes; a longer text is a run of its own."""
+def chunks_of(batch, size: int) -> list[pa.Array]:
+    """The texts of a batch in runs of about ``size`` bytes; a longer text is a run of its own."""
     texts = valid_texts(batch, "text")
     ends = np.cumsum(pc.binary_length(texts).to_numpy())
     cuts, at = [0], 0
     while at < len(texts):
-        at = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, "right")))
+        at = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
         cuts.append(at)
     return [texts.slice(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
@@ -97,7 +97,7 @@ def chunks_of(batch) -> list[pa.Array]:
 def _count_words(batches):
     """Counts of words by their hash, summed up in a run of texts."""
     for batch in batches:
-        for texts in chunks_of(batch):
+        for texts in chunks_of(batch, COUNT_BYTES):
             words = Words(texts)
             n = np.bincount(words.at, minlength=len(words.hashes))
             used = np.flatnonzero(n)
@@ -130,14 +130,19 @@ class Places:
     """Sorted 64-bit hashes, found by their leading bits."""
 
     def __init__(self, keys: np.ndarray):
-        self.keys = keys
-        self.shift = np.uint64(64 - max(1, len(keys).bit_length()))
-        leading = np.arange((1 << max(1, len(keys).bit_length())) + 1, dtype=np.uint64)
-        self.starts = np.append(np.searchsorted(keys >> self.shift, leading[:-1]), len(keys))
+        self.keys, self.starts = keys, None
+        self.log = max(1, len(keys).bit_length())
+
+    def __getstate__(self):
+        return {**self.__dict__, "starts": None}
 
     def of(self, wanted: np.ndarray) -> np.ndarray:
         """Place of each wanted hash, -1 where there is none."""
-        lead = (wanted >> self.shift).astype(np.int64)
+        shift = np.uint64(64 - self.log)
+        if self.starts is None:
+            leading = np.arange((1 << self.log) + 1, dtype=np.uint64)
+            self.starts = np.append(np.searchsorted(self.keys >> shift, leading[:-1]), len(self.keys)).astype(np.int32)
+        lead = (wanted >> shift).astype(np.int64)
         at, end = self.starts[lead], self.starts[lead + 1]
         out = np.full(len(wanted), -1)
         open_ = np.flatnonzero(at < end)
@@ -269,7 +274,7 @@ def _count_first(symbols: Symbols, hot: np.ndarray, buckets: int):
 
     def run(batches):
         for batch in batches:
-            for texts in chunks_of(batch):
+            for texts in chunks_of(batch, COUNT_BYTES):
                 words = Words(texts)
                 classes = symbols(words.hashes)[words.at]
                 inner = (classes != 0) & (classes != END_CLASS)
@@ -292,7 +297,7 @@ def _count_deeper(symbols: Symbols, pairs: Bits, depth: int, hot: np.ndarray, bu
 
     def run(batches):
         for batch in batches:
-            for texts in chunks_of(batch):
+            for texts in chunks_of(batch, COUNT_BYTES):
                 words = Words(texts)
                 classes = symbols(words.hashes)[words.at]
                 before, common = np.zeros(len(classes), np.uint64), np.zeros(len(classes), bool)
@@ -360,8 +365,8 @@ def _merge(least: int):
 def with_totals(counted: DataFrame, least: int) -> DataFrame:
     """Entries of ``counted``, those of dealt contexts with the sum of their parts."""
     whole = counted.filter("code is null").groupBy("ctx").agg(F.sum("n").alias("total")).filter(F.col("total") >= least)
-    real = counted.filter("code is not null")
-    return real.filter("total is not null").unionByName(real.filter("total is null").drop("total").join(whole, "ctx"))
+    real = counted.filter("code is not null").withColumn("dealt", F.col("total").isNull())
+    return real.filter("not dealt").unionByName(real.filter("dealt").drop("total").join(whole, "ctx"))
 
 
 class _Classes:
@@ -384,28 +389,28 @@ class Grown:
 def grow_level(counted: DataFrame, parents: DataFrame, fixed: dict[int, float], gain: float) -> DataFrame:
     """Entries of all contexts of one length: ctx, total, kinds, left, code, p, value.
 
-    ``counted`` has ctx, code, below, n and total, ``parents`` (below, q) probabilities
-    after the suffix; ``fixed`` has those of keys that very many rows share. Where the
-    context does not stay, value and left are null and p is q.
+    ``counted`` has ctx, code, below, n, total and dealt, ``parents`` (below, q)
+    probabilities after the suffix; ``fixed`` has those of keys that very many rows
+    share. Where the context does not stay, value and left are null and p is q.
     """
-    met = counted.filter(~F.col("below").isin(list(fixed))).join(parents, "below").select("ctx", "code", "n", "total", "q")
+    columns = ["ctx", "code", "n", "total", "dealt"]
+    met = counted.filter(~F.col("below").isin(list(fixed))).join(parents, "below").select(*columns, "q")
     for key, q in fixed.items():
-        met = met.unionByName(counted.filter(F.col("below") == key).select("ctx", "code", "n", "total", F.lit(q).alias("q")))
-    over = Window.partitionBy("ctx")
+        met = met.unionByName(counted.filter(F.col("below") == key).select(*columns, F.lit(q).alias("q")))
     n, q, total = F.col("n"), F.col("q"), F.col("total")
-    summed = met.select(
-        "*",
-        F.sum("n").over(over).alias("seen"),
-        F.count("*").over(over).alias("kinds"),
-        F.sum("q").over(over).alias("expected"),
-        F.sum(n * F.ln(n / (total * q))).over(over).alias("nats"),
-    )
+    sums = {"seen": F.sum("n"), "kinds": F.count("*"), "expected": F.sum("q"), "nats": F.sum(n * F.ln(n / (total * q)))}
+    over = Window.partitionBy("ctx")
+    summed = met.filter("not dealt").select("*", *[x.over(over).alias(name) for name, x in sums.items()])
+    # contexts with very many entries are summed up before the shuffle
+    hot = met.filter("dealt")
+    summed = summed.unionByName(hot.join(hot.groupBy("ctx").agg(*[x.alias(name) for name, x in sums.items()]), "ctx"))
     rest = total - F.col("seen")
     gap = F.when(rest > 0, rest * F.ln(rest / (total * F.greatest(1 - F.col("expected"), F.lit(1e-12))))).otherwise(0.0)
     left = (rest + DISCOUNT * F.col("kinds")) / total
     judged = summed.withColumn("left", F.when(F.col("nats") + gap >= gain * F.col("kinds"), left))
     p = F.when(F.col("left").isNotNull(), (n - DISCOUNT) / total + F.col("left") * q).otherwise(q)
-    return judged.select("ctx", "total", "kinds", F.log10("left").alias("left"), "code", p.alias("p"), F.when(F.col("left").isNotNull(), F.log10(p / q)).alias("value"))
+    value = F.when(F.col("left").isNotNull(), F.log10(p / q)).cast("float")
+    return judged.select("ctx", "total", "kinds", F.log10("left").alias("left"), "code", p.cast("float").alias("p"), value.alias("value"))
 
 
 def grown(texts: DataFrame, words: DataFrame, tokens: int, fresh: float, least: int = LEAST, depth: int = DEPTH, gain: float = GAIN) -> Grown:
@@ -433,21 +438,27 @@ def grown(texts: DataFrame, words: DataFrame, tokens: int, fresh: float, least:
     real = classes.filter(~F.col("class").isin(0, end))
     counted = counts(_count_first(symbols, hot_of(real, "class"), buckets))
     parents = real.select(F.col("class").alias("below"), (F.col("n") * share).alias("q"))
-    levels = [stored(grow_level(with_totals(counted, least), parents, fixed, gain), "lm-level")]
+    level = stored(grow_level(with_totals(counted, least), parents, fixed, gain), "lm-level")
     runs = counted.filter("run is not null")
-    pairs = Bits(runs.select(F.col("run").alias("h")), runs.count())
-    deeper = counts(_count_deeper(symbols, pairs, depth, hot_of(runs, "run"), buckets))
-    for level in range(2, depth + 1):
-        parents = levels[-1].select(F.col("code").alias("below"), F.col("p").alias("q"))
-        some = with_totals(deeper.filter(F.col("level") == level), least)
-        levels.append(stored(grow_level(some, parents, {}, gain), "lm-level"))
-    for table in (counted, deeper, classes):
+    pairs, hot = Bits(runs.select(F.col("run").alias("h")), runs.count()), hot_of(runs, "run")
+    for table in (counted, classes):
+        dropped(table)
+    columns = ["ctx", "total", "kinds", "left", "code", "value"]
+    kept = [stored(level.filter("value is not null").select(columns), "lm-kept")]
+    deeper = counts(_count_deeper(symbols, pairs, depth, hot, buckets))
+    for k in range(2, depth + 1):
+        parents = level.select(F.col("code").alias("below"), F.col("p").cast("double").alias("q"))
+        above = level
+        level = stored(grow_level(with_totals(deeper.filter(F.col("level") == k), least), parents, {}, gain), "lm-level")
+        dropped(above)
+        kept.append(stored(level.filter("value is not null").select(columns), "lm-kept"))
+    for table in (deeper, level):
         dropped(table)
-    kept = levels[0].filter("value is not null")
-    for more in levels[1:]:
-        kept = kept.unionByName(more.filter("value is not null"))
-    contexts = kept.groupBy("ctx").agg(F.max("total").alias("total"), F.max("kinds").alias("kinds"), F.max("left").alias("left"))
-    return Grown(symbols, pairs, stored(contexts, "lm-contexts"), kept.select("ctx", "code", "value"))
+    entries = kept[0]
+    for more in kept[1:]:
+        entries = entries.unionByName(more)
+    contexts = entries.groupBy("ctx").agg(F.max("total").alias("total"), F.max("kinds").alias("kinds"), F.max("left").alias("left"))
+    return Grown(symbols, pairs, stored(contexts, "lm-contexts"), entries.select("ctx", "code", "value"))
 
 
 class Head:
@@ -465,8 +476,8 @@ class Head:
         self.contexts, self.left = Places(context[order]), top.column("left").to_numpy()[:fits][order]
         entries = tree.entries
         if not self.whole:
-            entries = mapped(entries, _Among(self.contexts), "code long, value double")
-        found = entries.select("code", F.col("value").cast("float").alias("value")).toArrow()
+            entries = mapped(entries, _Among(self.contexts), "code long, value float")
+        found = entries.select("code", "value").toArrow()
         code = found.column("code").to_numpy().view(np.uint64)
         order = np.argsort(code)
         self.codes, self.value = Places(code[order]), found.column("value").to_numpy()[order]
@@ -526,7 +537,7 @@ class _Score:
 
     def __call__(self, batch):
         out = {k: [] for k in ("n_tokens", "score", "base", "n_head", "rare", "pending")}
-        for texts in chunks_of(batch):
+        for texts in chunks_of(batch, SCORE_BYTES):
             self._group(texts, out)
         columns = {k: np.concatenate(out[k]) for k in ("n_tokens", "score", "base", "n_head")}
         for name in ("rare", "pending"):
@@ -547,8 +558,7 @@ def past_head(scored: DataFrame, tree: Grown) -> DataFrame:
     """(row, more): what the contexts outside the head add to the scores of rows (row, pending)."""
     looked = scored.select("row", F.explode("pending").alias("p")).groupBy("row", "p.ctx", "p.code").agg(F.count("*").alias("k"))
     hits = looked.join(tree.contexts.select("ctx", "left"), "ctx").join(tree.entries.select("code", "value"), "code", "left")
-    # as in the head, entries have single precision
-    return hits.groupBy("row").agg(F.sum(F.col("k") * F.coalesce(F.col("value").cast("float"), "left")).alias("more"))
+    return hits.groupBy("row").agg(F.sum(F.col("k") * F.coalesce("value", "left")).alias("more"))
 
 
 def lm_scores(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:

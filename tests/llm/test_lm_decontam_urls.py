@@ -10,7 +10,8 @@ from pyspark.sql import Row
 from scholarlens.llm.common import hash_word
 from scholarlens.llm.decontam import leaks
 from scholarlens.llm.queries import op2_url_filters
-from scholarlens.llm.suffix_lm import Frequent, Level, Tree, grow_level, lm_scores, own_share
+from scholarlens.llm import suffix_lm
+from scholarlens.llm.suffix_lm import Places, Words, lm_scores
 from scholarlens.llm.url_lists import listed_captures, validity
 from tests.oracles import oracle_rows, rows_of
 
@@ -48,10 +49,129 @@ def test_counts_and_base_scores_of_all_documents(spark, sf_dir):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_rare_words_past_the_head(spark, sf_dir, monkeypatch):
-    monkeypatch.setattr("scholarlens.llm.suffix_lm.HEAD", 50)
+def plain_tree(texts, least=suffix_lm.LEAST, depth=suffix_lm.DEPTH, gain=suffix_lm.GAIN, discount=suffix_lm.DISCOUNT):
+    """Scores of texts by the same tree, with counts in dictionaries and without hashes, heads or buckets."""
+    training = [tokens(x) for i, x in texts if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+    count = Counter(t for words in training for t in words)
+    n = sum(count.values())
+    fresh = (sum(c == 1 for c in count.values()) + 1) / (n + 2)
+    share = (1 - fresh) / max(1, n)
+    often = [hash_word(w.encode()) for w, c in count.items() if w is not None and c >= least] + [hash_word(b" ")] * (count[None] >= least)
+    log = max(16, math.ceil(math.log2(64 * max(1, len(often)))))
+    bits = {h >> (64 - log) for h in often}
+
+    def class_of(w):
+        return "end" if w is None else w if hash_word(w.encode()) >> (64 - log) in bits else 0
+
+    root = Counter()
+    for w, c in count.items():
+        root[class_of(w)] += c * share
+    root[0] += fresh
+    after = {}
+
+    def contexts(classes, at):
+        """Contexts before a place by length, newest word first."""
+        out, run = [], ()
+        for back in range(1, depth + 1):
+            if at - back < 0 or classes[at - back] in (0, "end"):
+                break
+            run = (*run, classes[at - back])
+            out.append(run)
+        return out
+
+    for words in training:
+        classes = [class_of(w) for w in words]
+        for at, s in enumerate(classes):
+            for run in contexts(classes, at):
+                after.setdefault(run, Counter())[s] += 1
+    known = {}
+
+    def judged(run):
+        """(total, entries, mass left) of a context that stays, else None."""
+        if run not in known:
+            total, entries = sum(after.get(run, {}).values()), {s: c for s, c in after.get(run, {}).items() if c >= 2}
+            known[run] = None
+            if total >= least and entries:
+                q = {s: chance(run[:-1], s) for s in entries}
+                rest = total - sum(entries.values())
+                nats = sum(c * math.log(c / (total * q[s])) for s, c in entries.items())
+                nats += rest * math.log(rest / (total * max(1 - sum(q.values()), 1e-12))) if rest else 0
+                if nats >= gain * len(entries):
+                    known[run] = total, entries, (rest + discount * len(entries)) / total
+        return known[run]
+
+    def chance(run, s):
+        if not run:
+            # an unknown word that the bit table takes for a symbol has no class to share: only the masses left count
+            return root[s] or 1.0
+        below, kept = chance(run[:-1], s), judged(run)
+        if kept is None:
+            return below
+        total, entries, left = kept
+        return (entries[s] - discount if s in entries else 0) / total + left * below
+
+    scores = {}
+    for i, x in texts:
+        words = tokens(x)
+        classes = [class_of(w) for w in words]
+        score = 0.0
+        for at, (w, s) in enumerate(zip(words, classes)):
+            run = contexts(classes, at)
+            own = count[w] * share if w in count else fresh
+            score += math.log10(own / (root[s] or 1.0) * chance(run[-1] if run else (), s))
+        scores.setdefault(i, []).append(score)
+    return scores, chance, root, sum(x is not None for x in known.values())
+
+
+def test_scores_equal_those_of_a_plain_tree(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    expect, chance, root, kept = plain_tree(texts)
+    got = {r.doc_id: r.score for r in lm_scores(docs).collect()}
+    assert kept > 50
+    assert all(got[i] == pytest.approx(expect[i][0], rel=1e-6, abs=1e-5) for i, _ in texts)
+    assert sum(chance((), s) for s in root) == pytest.approx(1)
+
+
+@pytest.mark.parametrize("head", [(50, 400_000, 2_500_000), (150_000, 20, 100), (7, 0, 0)])
+def test_scores_do_not_depend_on_what_travels_to_the_tasks(spark, sf_dir, monkeypatch, head):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    check_scores(lm_scores(docs).collect(), [(r.doc_id, r.text) for r in docs.collect()])
+    expect = {r.doc_id: (r.score, r.base_score) for r in lm_scores(docs).collect()}
+    for name, value in zip(("HEAD", "HEAD_CONTEXTS", "HEAD_ENTRIES"), head):
+        monkeypatch.setattr(suffix_lm, name, value)
+    rows = lm_scores(docs).collect()
+    check_scores(rows, [(r.doc_id, r.text) for r in docs.collect()])
+    assert all((r.score, r.base_score) == pytest.approx(expect[r.doc_id], rel=1e-9) for r in rows)
+
+
+def test_hot_contexts_are_dealt_and_give_equal_scores(spark, monkeypatch):
+    words = ["alpha", "beta", "gamma", "delta", "eps"]
+    texts = [(k, " ".join(words[(k * j * j + j) % 5] for j in range(40))) for k in range(60)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    expect, *_ = plain_tree(texts)
+    for hot in (1000, 10**9):
+        monkeypatch.setattr(suffix_lm, "HOT", hot)
+        got = {r.doc_id: r.score for r in lm_scores(frame).collect()}
+        assert all(got[i] == pytest.approx(expect[i][0], rel=1e-6) for i, _ in texts)
+
+
+def test_words_of_texts_and_their_ends():
+    import pyarrow as pa
+
+    texts = ["", " a  B\x0bb ", "É\u00a0x\x1cy z\n", "  "]
+    words = Words(pa.array(texts))
+    want = [w for t in texts for w in [*t.encode().lower().split(), b" "]]
+    assert [words.hashes[k] for k in words.at] == [hash_word(w) for w in want]
+    assert words.ends.tolist() == [k for k, w in enumerate(want) if w == b" "]
+
+
+def test_places_of_hashes():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 2**64, 1000, np.uint64))
+    wanted = np.concatenate([keys[::3], rng.integers(0, 2**64, 500, np.uint64)])
+    table = {int(k): n for n, k in enumerate(keys)}
+    assert Places(keys).of(wanted).tolist() == [table.get(int(w), -1) for w in wanted]
+    assert Places(keys[:0]).of(wanted).tolist() == [-1] * len(wanted)
 
 
 def test_lm_edge_cases(spark):
@@ -63,35 +183,6 @@ def test_lm_edge_cases(spark):
     check_scores(lm_scores(spark.createDataFrame(only, "doc_id long, text string")).collect(), only)
 
 
-def test_tree_gives_distributions():
-    rng = np.random.default_rng(0)
-    frequent = Frequent([b"a", b"b", b"c"])
-    size = frequent.size
-    root = np.array([0.4, 0.3, 0.2, 0.1])
-    codes = np.sort(rng.choice(3 * size, 9, replace=False))
-    one = grow_level(np.arange(1, size), codes, rng.integers(500, 900, 9), size, lambda c, s: root[s], gain=0)
-    pairs = np.array([1 * size + 2, 2 * size + 2])
-    codes = np.arange(2 * size)
-    two = grow_level(pairs, codes, rng.integers(500, 900, len(codes)), size, lambda c, s: one.refine(one.places(c % size), s, size, root[s]), gain=0)
-    tree = Tree(frequent, root, one, two)
-    for before in ([0, 1], [1, 2], [2, 2], [3, 0], [3, 3]):
-        total = sum(tree.probabilities(np.array([*before, s]))[-1] for s in range(size))
-        assert total == pytest.approx(1)
-    assert isinstance(one, Level) and len(two.contexts) == 2
-
-
-def test_divergence_drops_contexts_that_tell_nothing():
-    root = np.array([0.5, 0.5])
-    level = grow_level(np.array([1]), np.array([0, 1]), np.array([5000, 5000]), 2, lambda c, s: root[s])
-    assert len(level.contexts) == 0 and level.places(np.array([1])).tolist() == [-1]
-
-
-def test_share_of_the_text_so_far():
-    weight, own, new = own_share(np.array([5, 7, 5, 5, 7]))
-    assert own.tolist() == [0, 0, 0.5, 2 / 3, 0.25] and new.tolist() == [True, True, False, False, False]
-    assert weight[0] == 0 and (np.diff(weight) > 0).all()
-
-
 ITEM = "If Anna has 12 apples and gives 5 kg to Boris, how many apples does Anna keep for the winter feast?"
 OTHER = "A completely different question about rivers and the names of towns that lie along their banks."
 
@@ -204,10 +295,8 @@ def test_contexts_grow_with_the_corpus_and_reach_past_two_words(spark):
     words = word_counts(texts)
     tokens = sum(r.n for r in words.collect())
     tree = grown(texts, words, tokens, 1 / tokens)
-    levels = {r.level for r in tree.contexts.select("level").distinct().collect()}
-    assert {1, 3} <= levels
-    alpha = int(np.uint64(hash_word(b"alpha")).astype(np.int64))
-    assert [r.total for r in tree.contexts.filter(f"level = 1 and ctx = {alpha}").collect()] == [20]
+    alpha = suffix_lm.value_of(tree.symbols(np.array([hash_word(b"alpha")], np.uint64)))
+    assert [r.total for r in tree.contexts.filter(f"ctx = {alpha.view(np.int64)[0]}").collect()] == [20]
 
 
 def test_scores_do_not_depend_on_the_head_of_contexts(spark, monkeypatch):
@@ -219,33 +308,11 @@ def test_scores_do_not_depend_on_the_head_of_contexts(spark, monkeypatch):
         assert {r.doc_id: r.score for r in lm_scores(frame).collect()} == pytest.approx(whole, rel=1e-9)
 
 
-def test_table_of_contexts_equals_the_plain_tree(spark):
-    from scholarlens.llm.suffix_lm import grown, word_counts
-
-    texts = markov(80, oldest=0)
-    frame = spark.createDataFrame([(t,) for t in texts], "text string")
-    tree = grown(frame, word_counts(frame), sum(len(tokens(t)) for t in texts), 0.01, depth=2)
-    runs = [[b" " if w is None else w.encode() for w in tokens(t)] for t in texts]
-    number = Counter(w for r in runs for w in r)
-    frequent = Frequent([w for w, _ in number.most_common()])
-    size, n = frequent.size, sum(number.values())
-    root = np.array([0.01, *(0.99 * c / n for _, c in number.most_common())])
-    ones, twos = Counter(), Counter()
-    for r in runs:
-        at = frequent.of(r).tolist()
-        ones.update(a * size + b for a, b in zip(at, at[1:]))
-        twos.update(((a * size + b), c) for a, b, c in zip(at, at[1:], at[2:]))
-    singles = np.array(sorted({c // size for c in ones}))
-    codes = np.array(sorted(ones))
-    one = grow_level(singles, np.searchsorted(singles, codes // size) * size + codes % size, np.array([ones[c] for c in codes]), size, lambda c, s: root[s])
-    pairs = np.array(sorted({p for p, _ in twos if sum(v for (q, _), v in twos.items() if q == p) >= 10}))
-    keys = sorted(k for k in twos if k[0] in set(pairs.tolist()))
-    codes = np.array([np.searchsorted(pairs, p) * size + s for p, s in keys])
-    two = grow_level(pairs, codes, np.array([twos[k] for k in keys]), size, lambda c, s: one.refine(one.places(c % size), s, size, root[s]))
-    plain = Tree(frequent, root, one, two)
-    expect = sorted(plain.probabilities(np.array([p // size, p % size, s]))[-1] / root[s] for p, s in keys if two.places(np.array([p]))[0] >= 0)
-    got = sorted(r.ratio for r in tree.entries.filter("level = 2").collect())
-    assert len(got) > 8 and got == pytest.approx(expect, rel=1e-6)
+def test_scores_of_a_third_order_source_equal_those_of_a_plain_tree(spark):
+    texts = list(enumerate(markov(80)))
+    expect, _, _, kept = plain_tree(texts)
+    rows = lm_scores(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert kept > 20 and all(r.score == pytest.approx(expect[r.doc_id][0], rel=1e-6) for r in rows)
 
 
 def pairs(spark, items, texts):
