@@ -49,12 +49,18 @@ def test_citation_styles():
 TERMS = [("IoT", "internet of things", False), ("IT", "information technology", True)]
 
 
-def test_query_expansion():
-    assert g.expand_query("iot farms", TERMS) == ["iot farms", "internet of things farms"]
-    assert g.expand_query("Internet-of-Things", TERMS) == ["Internet-of-Things", "iot"]
-    assert g.expand_query("is it good", TERMS) == ["is it good"]
-    assert g.expand_query("IT SERVICES", TERMS) == ["IT SERVICES"]
-    assert g.expand_query("IT", TERMS) == ["IT", "information technology"]
+def test_query_expansion(spark):
+    queries = ["iot farms", "Internet-of-Things", "is it good", "IT SERVICES", "IT", "IoT and iots", None, " "]
+    assert column(spark, queries, g.expansions("x", TERMS)) == [
+        ["iot farms", "internet of things farms"],
+        ["Internet-of-Things", "iot"],
+        ["is it good"],
+        ["IT SERVICES"],
+        ["IT", "information technology"],
+        ["IoT and iots", "internet of things and internet of thingss"],
+        [],
+        [],
+    ]
 
 
 def test_mentions_and_references(spark):
@@ -64,16 +70,25 @@ def test_mentions_and_references(spark):
     assert column(spark, ["uses a Support Vector Machine (SVM) and Bag of Words (BW)", None], g.acronym_candidates(F.col("x"))) == [["SVM\tSupport Vector Machine", "BW\tBag of Words"], []]
 
 
+TITLE = "A Study of Old Maps in the North of Town"
+
+
 @pytest.mark.parametrize(
     ("text", "hit"),
     [
         ("Cruz (2020). A study of old maps in the north of town.", True),
         ("A study of old maps in the north", True),
+        ("first line\n  A study of old-maps in the north, 3rd", True),
         ("See a study of old maps in the north.", False),
         ('"A study of old maps in the north of the sea"', False),
         ("Also (2020). A study of old mops in the north.", False),
+        ("B. A study of old maps in the north of town and sea.", False),
+        ("A study of old maps in the north of\ntown", True),
+        ("One, two. Four small words here?", True),
+        ("Four small words here too.", False),
     ],
 )
-def test_cited_titles(text, hit):
-    assert bool(re.search(g.cited_pattern("A Study of Old Maps in the North of Town"), text)) == hit
-    assert g.cited_pattern("Too short title") is None
+def test_cited_titles(spark, text, hit):
+    lists = spark.createDataFrame([(1, text), (2, None), (3, "")], "citing long, text string")
+    titles = spark.createDataFrame([(7, TITLE), (8, "Too short title"), (9, None), (10, "Four small words here")], "cited long, title string")
+    assert bool(g.titles_listed(lists, titles).collect()) == hit
