@@ -24,6 +24,8 @@ from scholarlens.llm.common import mapped
 
 SAMPLE_PAGES, SAMPLE_CHARS = 300, 200_000
 EPOCHS, RATE, DECAY = 6, 0.5, 1e-4
+#: Elements above a block, from the nearest on, that give it features.
+ABOVE = 100
 #: Tags that do not break a block, tags without an end, tags whose content is not text, and
 #: tags that end an open one of their own kind.
 INLINE = frozenset(
@@ -32,13 +34,13 @@ INLINE = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template iframe noembed noframes".split())
+SECTIONS = frozenset("article aside body dialog footer form head header main menu nav section".split())
 SELF_ENDING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Tags that end an open paragraph.
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>", re.S
-)
+_NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
+_QUOTED = re.compile(r"[^>\"']*+")
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -50,15 +52,18 @@ _OUTER_NAMES = {"ad", "advert", "nav", "menu", "sidebar", "footer", "comment", "
 
 
 class Block:
-    """A leaf block: its text, the share of it in links, and the tags and names above it."""
+    """A leaf block: its text, the share of it in links, and the tags and names of the nearest elements above it."""
 
-    __slots__ = ("text", "linked", "tags", "names", "tag")
+    __slots__ = ("text", "linked", "tags", "names", "tag", "nearest")
 
     def __init__(self, text: str, linked: int, stack: list):
         self.text, self.linked = text, linked
-        self.tags = [tag for tag, _ in stack]
-        self.names = {n for _, names in stack for n in names}
+        near = stack[-ABOVE:]
+        self.tags = [tag for tag, _ in near]
+        self.names = {n for _, names in near for n in names}
         self.tag = next((t for t in reversed(self.tags) if t not in INLINE), "")
+        # the nearest element that groups blocks: a sectioning one, or one with a name
+        self.nearest = next(((t, names) for t, names in reversed(near) if t in SECTIONS or (names and t not in INLINE)), ("", ()))
 
 
 def _names(attributes: str) -> tuple:
@@ -68,81 +73,135 @@ def _names(attributes: str) -> tuple:
     return tuple({w.lower().rstrip("s") or w.lower() for v in values for w in _PART.findall(v)})
 
 
+class _Tags:
+    """Markup of a page, one piece after another, in time linear in its length."""
+
+    def __init__(self, page: str):
+        self.page, self.quotes, self.absent = page, True, set()
+
+    def _end(self, at: int) -> int:
+        """Place of the bracket that ends a tag from ``at`` on: outside quotes, or the first one where quotes are never closed."""
+        page, first = self.page, self.page.find(">", at)
+        while self.quotes:
+            at = _QUOTED.match(page, at).end()
+            if at >= len(page):
+                # once is enough: later tags take the first bracket
+                self.quotes = False
+                break
+            mark = page[at]
+            if mark == ">":
+                return at
+            close = -1 if mark in self.absent else page.find(mark, at + 1)
+            if close < 0:
+                self.absent.add(mark)
+                return first
+            at = close + 1
+        return first
+
+    def next(self, at: int) -> tuple[int, int, str, str, str]:
+        """(start, end, slash, tag, attributes) of the next piece of markup; the tag is "" for comments and the like."""
+        page = self.page
+        last = page.rfind(">") if not hasattr(self, "last") else self.last
+        self.last = last
+        while (start := page.find("<", at)) >= 0:
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, len(page) if end < 0 else end + 3, "", "", ""
+            if start > last:
+                break
+            if page[start + 1] in "!?":
+                return start, page.find(">", start) + 1, "", "", ""
+            name = _NAME.match(page, start + 1)
+            if name:
+                end = self._end(name.end())
+                return start, end + 1, name[1], name[2].lower(), page[name.end() : end]
+            at = start + 1
+        return len(page), len(page), "", "", ""
+
+
+class _Open:
+    """The open elements, with the places of each tag and of those that break a block."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, tuple]] = []
+        self.places: dict[str, list[int]] = {}
+        self.breaks: list[int] = []
+
+    def push(self, tag: str, names: tuple) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag not in INLINE:
+            self.breaks.append(len(self.stack))
+        self.stack.append((tag, names))
+
+    def pop_to(self, count: int) -> None:
+        while len(self.stack) > count:
+            tag, _ = self.stack.pop()
+            self.places[tag].pop()
+            if tag not in INLINE:
+                self.breaks.pop()
+
+    def close(self, tag: str) -> None:
+        """An end tag closes the nearest element of its kind; an inline one only within its block."""
+        places = self.places.get(tag)
+        if places and (tag not in INLINE or not self.breaks or places[-1] > self.breaks[-1]):
+            self.pop_to(places[-1])
+
+    def end_before(self, tag: str) -> None:
+        """What a start tag ends: an element of its own kind, and a paragraph."""
+        ends = SELF_ENDING.get(tag, ())
+        for k in reversed(self.breaks):
+            name = self.stack[k][0]
+            if name in ends or (name == "p" and tag in _CLOSES_P):
+                self.pop_to(k)
+                break
+            if name != "p":
+                break
+
+    def within(self, tag: str) -> bool:
+        return bool(self.places.get(tag))
+
+
 def blocks(page: str) -> list[Block]:
     """Leaf blocks of a page in order; character references decoded, white space squeezed."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple]] = []
     parts: list[str] = []
-    links: list[str] = []
-    at, size, in_link = 0, len(page), 0
-    unclosed: set[str] = set()
+    linked, at = 0, 0
+    tags, open_, unclosed = _Tags(page), _Open(), set()
 
     def flush():
+        nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, len("".join(links)), stack))
+                out.append(Block(text, linked, open_.stack))
             parts.clear()
-            links.clear()
-
-    def pop(count: int):
-        nonlocal in_link
-        in_link -= sum(tag == "a" for tag, _ in stack[count:])
-        del stack[count:]
-
-    def add(text: str):
-        if text:
-            parts.append(text)
-            if in_link:
-                links.append(text)
-
-    while at < size:
-        token = _TOKEN.search(page, at)
-        if token is None:
-            add(page[at:])
-            break
-        add(page[at : token.start()])
-        at = token.end()
-        tag = (token[2] or token[5] or "").lower()
-        if not tag:
-            continue
-        end = token[1] or token[4]
-        attributes = token[3] or token[6] or ""
-        if end:
-            if tag not in INLINE:
-                flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
-            continue
-        if tag in RAW:
+            linked = 0
+
+    while at < len(page):
+        start, end, slash, tag, attributes = tags.next(at)
+        if start > at:
+            parts.append(page[at:start])
+            linked += (start - at) * open_.within("a")
+        at = end
+        if tag == "br":
+            parts.append(" ")
+        elif tag in RAW and not slash:
             if not attributes.endswith("/") and tag not in unclosed:
                 close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
                 if close:
                     at = close.end()
                 else:
                     unclosed.add(tag)
-            continue
-        if tag == "br":
-            add(" ")
-            continue
-        if tag not in INLINE:
-            flush()
-        ends = SELF_ENDING.get(tag, ())
-        if ends or tag in _CLOSES_P:
-            for k in range(len(stack) - 1, -1, -1):
-                name = stack[k][0]
-                if name in ends or (name == "p" and tag in _CLOSES_P):
-                    pop(k)
-                    break
-                if name not in INLINE and name != "p":
-                    break
-        if tag not in VOID and not attributes.endswith("/"):
-            stack.append((tag, _names(attributes)))
-            in_link += tag == "a"
+        elif tag:
+            if tag not in INLINE:
+                flush()
+            if slash:
+                open_.close(tag)
+                continue
+            if tag in SELF_ENDING or tag in _CLOSES_P:
+                open_.end_before(tag)
+            if tag not in VOID and not attributes.endswith("/"):
+                open_.push(tag, _names(attributes))
     flush()
     return out
 
@@ -155,9 +214,9 @@ def features(page: list[Block]) -> list[list[str]]:
         share = b.linked / len(b.text)
         size = min(7, words.bit_length())
         row = ["bias", f"tag={b.tag}", f"size={size}", f"links={int(min(1.0, share) * 3)}", f"end={b.text[-1] in '.!?'}"]
-        core, outer = bool(_CONTENT_TAGS & set(b.tags)), bool(_OUTER_TAGS & set(b.tags) or _OUTER_NAMES & b.names)
-        row.append(f"core={core}{outer}")
+        row += [f"before={size if k == 0 else min(7, (page[k - 1].text.count(' ') + 1).bit_length())}", f"same={k > 0 and page[k - 1].tags == b.tags}"]
         row += [f"in={t}" for t in set(b.tags)]
+        row += [f"near={b.nearest[0]}", *(f"near={b.nearest[0]}.{n}" for n in b.nearest[1])]
         row += [f"name={n}" for n in b.names]
         row.append(f"first={k == 0}")
         out.append(row)
@@ -253,7 +312,7 @@ def layouts(content: list[str], outer: list[str], turn: int) -> list[tuple[str,
         name = tag.split(" ")[0]
         return [(f"<{tag}><ul>", -1), *((f'<li><a href="#">{t}</a></li>', 0) for t in some(1, 5)), (f"</ul></{name}>", -1)]
 
-    long = [" ".join(content[i : i + 1])[:400] for i in range(min(3, len(content)))]
+    long = [content[i] for i in range(min(3, len(content)))]
     comments = [html.escape(t) for t in (long or ["Good."])]
     mains = ["article", "main", 'div class="content"', 'div id="main"', 'div class="post body"', 'section class="entry"', 'div class="article text"', "main><article"]
     main = mains[turn % len(mains)]
@@ -263,14 +322,14 @@ def layouts(content: list[str], outer: list[str], turn: int) -> list[tuple[str,
     forms = [wrap("form", some(2, 2), "label"), wrap('form class="search"', some(3), "button"), wrap('div class="newsletter subscribe"', some(4))]
     replies = [wrap('section class="comments"', comments), wrap('div id="comments"', comments, 'div class="comment"'), wrap('ol class="commentlist"', comments, "li"), wrap('div class="replies discussion"', comments)]
     feet = [wrap("footer", some(5)), wrap('div id="footer"', some(6, 2)), wrap('div class="footer copyright"', some(7))]
-    inner = [(f"<p>{t}</p>" if k else f"<h1>{t[:80]}</h1>", 1) for k, t in enumerate(c)]
+    inner = [(f"<p>{t}</p>" if k else f"<h1>{t}</h1>", 1) for k, t in enumerate(c)]
     cut = max(1, len(inner) // 2)
     if turn % 3 == 0:
         inner = inner[:cut] + notices[turn % 5] + inner[cut:]
     if turn % 5 == 0 and len(inner) > 3:
-        inner = [*inner[:1], ("<ul>", -1), (f"<li>{c[-1][:200]}</li>", 1), ("</ul>", -1), *inner[1:]]
+        inner = [*inner[:1], ("<ul>", -1), (f"<li>{c[-1]}</li>", 1), ("</ul>", -1), *inner[1:]]
     close = "".join(f"</{t.split(' ')[0].strip('<>')}>" for t in reversed(main.split("><")))
-    parts = [("<head>", -1), (f"<title>{c[0][:60]}</title>", 0), ("</head><body>", -1), *heads[turn % 5], *notices[(turn + 1) % 5]]
+    parts = [("<head>", -1), (f"<title>{c[0]}</title>", 0), ("</head><body>", -1), *heads[turn % 5], *notices[(turn + 1) % 5]]
     if turn % 2:
         parts += sides[turn % 4]
     parts += [(f"<{main}>", -1), *inner]
@@ -291,7 +350,7 @@ def lessons(pages: list[str]) -> list[tuple[list[list[str]], np.ndarray]]:
         if labels is None:
             continue
         out.append((features(found), labels))
-        content = [b.text for b, y in zip(found, labels) if y][:12]
+        content = [b.text for b, y in zip(found, labels) if y]
         outer = [b.text for b, y in zip(found, labels) if not y]
         if content:
             pieces = layouts(content, outer, turn)
@@ -347,8 +406,10 @@ class _Extract:
 
 def sampled_pages(pages: DataFrame, count: int = SAMPLE_PAGES, chars: int = SAMPLE_CHARS) -> list[str]:
     """At most ``count`` pages of at most ``chars`` characters, by the least hash of their html."""
-    rows = pages.filter(F.length("html").between(1, chars)).select("html", F.xxhash64("html").alias("h"))
-    return [r.html for r in rows.orderBy("h", "html").limit(count).collect()]
+    hashed = pages.filter(F.length("html").between(1, chars)).select("html", F.xxhash64("html").alias("h"))
+    wanted = [r.h for r in hashed.select("h").distinct().orderBy("h").limit(count).collect()]
+    rows = hashed.filter(F.col("h").isin(wanted)).groupBy("h").agg(F.min("html").alias("html")).orderBy("h")
+    return [r.html for r in rows.collect()]
 
 
 def extracted(pages: DataFrame, chain: Chain | None = None) -> DataFrame:

@@ -4,14 +4,16 @@ import io
 import random
 import re
 import tarfile
+import time
 import zlib
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Row
 
-from scholarlens.llm.html_text import STARTER, Chain, blocks, extracted, features, lessons, main_text, train
+from scholarlens.llm.html_text import STARTER, Chain, blocks, extracted, features, lessons, main_text, marked, train
 from scholarlens.llm.media import Shard, from_png, media_columns, payload_of, png_head, to_png
 
 
@@ -61,8 +63,32 @@ def test_any_markup_is_read(page):
     assert all(b.text and b.text == " ".join(b.text.split()) for b in blocks(page))
 
 
-def test_unclosed_tags_take_linear_time():
-    assert isinstance(blocks("<a href='" * 3000 + "<b " * 3000), list)
+@pytest.mark.parametrize("piece", ["<b ", "<div>", "<div>x", "<b '>'", "<a href='", "<!", "<p>x", "<li><p>x", "<script>", "<i><b></i>", "<div><b></i>", "<!--"])
+def test_odd_markup_takes_linear_time(piece):
+    """From 16 KB to 256 KB the time grows about 16 times, and not 256."""
+
+    def seconds(size):
+        page = piece * (size // len(piece))
+        began = time.process_time()
+        blocks(page)
+        return time.process_time() - began
+
+    small = min(seconds(16_000) for _ in range(3))
+    assert seconds(256_000) < 60 * small + 0.2
+
+
+def test_pages_without_article_tags(spark, sf_dir):
+    """Where the pages' article and main tags become plain divisions, 98 % of their blocks are still told apart."""
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").collect()]
+    chain = train(pages[::2])
+    right = total = 0
+    for page in pages[1::2]:
+        wanted = marked(blocks(page))
+        plain = blocks(re.sub(r"<(/?)(?:article|main)\b[^>]*>", r"<\1div>", page))
+        got = chain.viterbi(chain.scores(chain.rows(features(plain))))
+        right += int((np.array(got) == wanted).sum())
+        total += len(wanted)
+    assert right >= 0.98 * total
 
 
 def test_viterbi_equals_enumeration():
