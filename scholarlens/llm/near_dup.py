@@ -11,9 +11,8 @@ Plan
    against its best centre alone, on the full sets; the links are contracted to
    components, and only buckets that stay split get their whole star confirmed.
 3. What a star can miss, a link between two members that are in different
-   components, is found past the centre: two members share at most what both have
-   in common with it, and elements that it lacks, so an equality join on those
-   elements finds all pairs that can be linked, and no others are formed.
+   components, is found past the centre: such members share an element that it lacks,
+   or lack one that it has, so an equality join on those elements finds all of them.
 
 The threshold is a parameter, ``PERCENT`` unless given. Links of that similarity share
 a bucket but for a chance of ``MISSED`` at most (32 bands of 6 bins at 85 %, 38 of 5 at
@@ -154,24 +153,36 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 
 class _Measure:
-    """Overlap and link of the pairs; for each the elements of x that c lacks and that a partner of x could share.
+    """Overlap and link of the pairs; for each the elements that two linked members of c's star must share one of.
 
     A partner y of x has at least ``percent`` / 100 of x, of which c has ``both`` at most,
     so the rest lies in what c lacks; all but (rest - 1) of those elements, in order of
     hash, must hold one that y has too.
+
+    A partner that shares nothing with x that c lacks shares with it what both lack of c.
+    Where a and b elements of c are missing in x and y, which have p and q others, the
+    common part is c - a - b + i, and a link needs (100 + percent) * i of at least
+    100 * (a + b) + percent * (p + q) - (100 - percent) * c. This is above 0 for all y
+    if x is not linked to c, and all but (i - 1) of what is missing in x must hold one
+    that is missing in y too.
     """
 
     def __init__(self, percent: int):
         self.percent = percent
 
     def __call__(self, batch):
-        out = {k: [] for k in ("n_c", "n_x", "both", "linked", "added_size", "added")}
+        out = {k: [] for k in ("n_c", "n_x", "both", "linked", "added_size", "added", "missing")}
         for c, x in zip(batch.column("set_c"), batch.column("set_x")):
             c, x = (np.frombuffer(s.as_buffer(), np.uint64) for s in (c, x))
             at = np.minimum(np.searchsorted(c, x), len(c) - 1)
-            added = x[c[at] != x]
+            hit = c[at] == x
+            added = x[~hit]
+            lacks = np.ones(len(c), bool)
+            lacks[at[hit]] = False
+            missing = c[lacks]
             both = len(x) - len(added)
             rest = max(1, -(-self.percent * len(x) // 100) - both)
+            shared = max(1, -(-(100 * len(missing) + self.percent * len(added) - (100 - self.percent) * len(c)) // (100 + self.percent)))
             row = (
                 len(c),
                 len(x),
@@ -179,13 +190,14 @@ class _Measure:
                 100 * both >= self.percent * (len(c) + len(added)),
                 len(added),
                 added[: max(0, len(added) - rest + 1)].view(np.int64),
+                missing[: max(0, len(missing) - shared + 1)].view(np.int64),
             )
             for column, value in zip(out.values(), row):
                 column.append(value)
         return {"c": batch.column("c"), "x": batch.column("x"), **out}
 
 
-MEASURED = "c long, x long, n_c long, n_x long, both long, linked boolean, added_size long, added array<long>"
+MEASURED = "c long, x long, n_c long, n_x long, both long, linked boolean, added_size long, added array<long>, missing array<long>"
 
 
 def _sizes_allow(a: str, b: str, percent: int) -> str:
@@ -222,27 +234,21 @@ def _placed(rows: DataFrame, components_of: DataFrame, node: str, name: str) ->
 def _between(stars: DataFrame, percent: int) -> DataFrame:
     """Pairs (c, x) of the members of a star in different components that may still be linked.
 
-    Two members share at most what both have in common with the centre and what the
-    centre lacks in both. So either the first alone is enough, or they share an added
-    element. At least one of a pair is outside the centre's component.
+    At least one of a pair is outside the centre's component, so the two share an added
+    or a missing element; see _Measure.
     """
-    rows = stars.select("c", "x", "n_x", "both", "added", "added_size", "component", "centre_component")
-    outside = rows.filter("component <> centre_component")
+    rows = stars.select("c", "x", "n_x", "both", "added", "missing", "added_size", "component", "centre_component")
     fields = ["x", "n_x", "both", "added_size", "component"]
-    left = outside.select("c", *[F.col(f).alias(f"{f}_1") for f in fields], "added")
-    right = rows.select("c", *[F.col(f).alias(f"{f}_2") for f in fields], "added")
+    keyed = rows.select(
+        "c", *fields, "centre_component",
+        F.explode(F.concat(F.transform("added", lambda e: F.struct(F.lit(True).alias("more"), e.alias("e"))), F.transform("missing", lambda e: F.struct(F.lit(False).alias("more"), e.alias("e"))))).alias("k"),
+    ).select("c", *fields, "centre_component", "k.more", "k.e")
+    key = ["c", "more", "e"]
+    left = keyed.filter("component <> centre_component").select(*key, *[F.col(f).alias(f"{f}_1") for f in fields])
+    right = keyed.select(*key, *[F.col(f).alias(f"{f}_2") for f in fields])
     apart = F.expr("component_1 <> component_2") & F.expr(_sizes_allow("n_x_1", "n_x_2", percent))
-    inside = f"100 * both >= {percent} * n_x"
-    first = left.filter(inside.replace("both", "both_1").replace("n_x", "n_x_1")).drop("added").alias("l").join(
-        right.filter(inside.replace("both", "both_2").replace("n_x", "n_x_2")).drop("added").alias("r"),
-        (F.col("l.c") == F.col("r.c")) & apart & F.expr(_enough("least(both_1, both_2)", "n_x_1", "n_x_2", percent)),
-    )
     share = "least(both_1, both_2) + least(added_size_1, added_size_2)"
-    second = left.withColumn("e", F.explode("added")).drop("added").alias("l").join(
-        right.withColumn("e", F.explode("added")).drop("added").alias("r"),
-        (F.col("l.c") == F.col("r.c")) & (F.col("l.e") == F.col("r.e")) & apart & F.expr(_enough(share, "n_x_1", "n_x_2", percent)),
-    )
-    both = first.select("x_1", "x_2").unionByName(second.select("x_1", "x_2"))
+    both = left.join(right, key).filter(apart & F.expr(_enough(share, "n_x_1", "n_x_2", percent)))
     return both.select(F.least("x_1", "x_2").alias("c"), F.greatest("x_1", "x_2").alias("x")).distinct()
 
 
@@ -296,10 +302,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     final = stored(components(known.unionByName(links_of(rest, sets, percent))), "components")
 
     groups = named.groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    groups = _placed(groups, final, "node", "component").select("set_key", "component")
-    joined = features.select("doc_id", "n_shingles", "set_key").join(groups, "set_key", "left")
+    # a table of its own, so that a key with very many copies may be split in the join
+    groups = stored(_placed(groups, final, "node", "component").select("set_key", "component"), "groups")
+    rows = features.select("doc_id", "n_shingles", "set_key")
+    joined = rows.filter("set_key is not null").join(groups, "set_key", "left").drop("set_key")
+    alone = rows.filter("set_key is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return joined.select(
+    return joined.unionByName(alone).select(
         "doc_id",
         "n_shingles",
         component.alias("component_id"),

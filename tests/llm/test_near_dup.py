@@ -134,3 +134,29 @@ def test_bands_miss_few_links():
 
     assert rows_of(85) == 6 and rows_of(80) == 5
     assert all((1 - (p / 100) ** rows_of(p)) ** (BINS // rows_of(p)) <= 3e-7 for p in (75, 80, 85, 90))
+
+
+def test_linked_members_of_a_star_share_a_key():
+    """Of two linked sets of which one is not linked to the centre, the keys past the centre have one in common."""
+    import pyarrow as pa
+
+    from scholarlens.llm.near_dup import _Measure
+
+    rng = np.random.default_rng(8)
+    met = 0
+    for _ in range(4000):
+        c = rng.choice(200, rng.integers(1, 60), replace=False)
+        x = np.concatenate([c[rng.random(len(c)) < rng.uniform(0.5, 1)], 200 + rng.choice(60, rng.integers(0, 9), replace=False)])
+        y = x.copy()
+        y = np.unique(np.concatenate([y[rng.random(len(y)) < 0.97], rng.choice(c, rng.integers(0, 3))]))
+        c, x, y = (np.sort(s).astype(np.uint64) for s in (c, x, y))
+        if not len(x) or not len(y):
+            continue
+        batch = pa.RecordBatch.from_arrays([pa.array([0, 0]), pa.array([1, 2]), pa.array([c.tobytes()] * 2, pa.binary()), pa.array([x.tobytes(), y.tobytes()], pa.binary())],
+                                           names=["c", "x", "set_c", "set_x"])
+        out = _Measure(85)(batch)
+        linked = 100 * len(np.intersect1d(x, y)) >= 85 * len(np.union1d(x, y))
+        if linked and not out["linked"][0]:
+            met += 1
+            assert set(out["added"][0].tolist()) & set(out["added"][1].tolist()) or set(out["missing"][0].tolist()) & set(out["missing"][1].tolist())
+    assert met > 300
