@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import sys
 import tempfile
 import types
@@ -129,6 +130,25 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 MULTIPLIER = np.uint64(0x100000001B3)
+#: Logarithm of the most bits of a bit table.
+MOST_BITS = 27
+
+
+class Bits:
+    """A set of 64-bit hashes as a bit table of bounded size; it may hold others too, and misses none."""
+
+    def __init__(self, hashes: DataFrame, n: int, least: int = 16):
+        """``hashes`` has column h; ``n`` is about how many they are; the table has 2 ** ``least`` bits or more."""
+        self.log = min(MOST_BITS, max(least, math.ceil(math.log2(64 * max(1, n)))))
+        place = F.shiftrightunsigned("h", 64 - self.log)
+        bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - self.log}) & 63 as int))")
+        found = hashes.select(F.shiftright(place, 6).alias("k"), bit.alias("b")).groupBy("k").agg(F.bit_or("b").alias("b")).toArrow()
+        self.table = np.zeros(1 << (self.log - 6), np.uint64)
+        self.table[found.column("k").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        place = hashes >> np.uint64(64 - self.log)
+        return (self.table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) != 0
 
 
 def window_hashes(h: np.ndarray, width: int) -> np.ndarray:

@@ -10,25 +10,24 @@ counts as the start of a sentence and as none, and an item's first word as a nam
 and as none. A second set of windows, of the words as they are but for case, finds
 whole items whatever stands before them and in any case; either set is enough.
 
-The benchmark side is taken in blocks of whole items of bounded size. Each block
-is a hash table that travels to the tasks, and every document is held against
-every block, so no document text is ever shuffled.
+An item of w distinct windows that leaks has more than w - ``COVERAGE`` w of any of them in
+the document, so the windows that the fewest items share, just as many that one of
+them must be there, are the item's keys. A bit table of bounded size picks the
+documents that may have one; their windows are joined with the table of keys, and
+each pair found is held against each other whole.
 """
 
 from __future__ import annotations
 
-import math
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholarlens.llm.common import WordMemo, byte_texts, hash_word, kept_in_worker, mapped, window_hashes
+from scholarlens.llm.common import Bits, WordMemo, byte_texts, hash_word, kept_in_worker, mapped, stored, window_hashes
 
 WIDTH, COVERAGE, AGREEMENT = 5, 0.8, 0.8
-#: Characters of benchmark text in one block.
-BLOCK_CHARS = 8_000_000
 NUMBER, UNIT, NAME = 3, 5, 7
 #: Units of measure and money, as they stand behind a number.
 UNITS = frozenset(
@@ -104,119 +103,127 @@ class Template:
         return forms, value[kept], (slot | name)[kept], bool(kept.any() and capital[np.argmax(kept)])
 
 
-class Windows:
-    """Windows of benchmark items, held as sorted hashes with the item, the position and the number in its item of each."""
-
-    def __init__(self, rows: list[tuple[np.ndarray, int, np.ndarray, np.ndarray]], widths: list[int]):
-        """``rows``: hashes, item, positions and numbers."""
-        self.hashes = np.concatenate([r[0] for r in rows]) if rows else np.empty(0, np.uint64)
-        order = np.argsort(self.hashes, kind="stable")
-        self.hashes = self.hashes[order]
-        self.owner = np.concatenate([np.full(len(r[0]), r[1]) for r in rows])[order] if rows else np.empty(0, np.int64)
-        self.place, self.number = (np.concatenate([r[k] for r in rows])[order] if rows else np.empty(0, np.int64) for k in (2, 3))
-        self.widths = widths
-        self.filter = np.zeros(1 << 20, bool)
-        self.filter[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
-
-    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(entry of the index, position in the text) of all windows of the text that items have."""
-        entries, places = [], []
-        for width in self.widths:
-            found = window_hashes(words, width)
-            at = np.flatnonzero(self.filter[(found >> np.uint64(44)).astype(np.int64)])
-            lo = np.searchsorted(self.hashes, found[at], "left")
-            hi = np.searchsorted(self.hashes, found[at], "right")
-            count = hi - lo
-            if count.any():
-                starts = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
-                entries.append(starts + np.arange(count.sum()))
-                places.append(np.repeat(at, count))
-        if not entries:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        return np.concatenate(entries), np.concatenate(places)
-
-
-class Index:
-    """Benchmark items with their windows, as templates and as plain words."""
-
-    def __init__(self, items: list[tuple[int, bytes]], width: int):
-        self.width, form = width, Template()
-        template, plain, self.items = [], [], []
-        for n, (item, text) in enumerate(items):
-            forms, values, slots, capital = form(text)
-            # an item shorter than a window is known by its whole sequence
-            span = min(width, max(1, len(values)))
-            windows = window_hashes(forms[0], span)
-            at = np.arange(len(windows))
-            kinds, number = np.unique(windows, return_inverse=True)
-            template.append((windows, n, at, number))
-            if capital and len(values) >= width:
-                for words in list(forms):
-                    words = words.copy()
-                    words[0] = NAME
-                    forms.append(words)
-            for words in forms[1:]:
-                # another form of a window stands for the window
-                other = window_hashes(words, span)
-                new = other != windows
-                template.append((other[new], n, at[new], number[new]))
-            words = window_hashes(values, span)
-            plain_kinds, number = np.unique(words, return_inverse=True)
-            plain.append((words, n, at, number))
-            self.items.append((item, len(values), values, slots, len(kinds), len(plain_kinds)))
-        widths = sorted({min(width, n) for _, n, *_ in self.items if n})
-        self.template, self.plain = Windows(template, widths), Windows(plain, widths)
+class Item:
+    """A benchmark item: its windows as templates, in all their forms, and as plain words."""
+
+    def __init__(self, text: bytes, width: int, form: Template):
+        forms, self.values, self.slots, capital = form(text)
+        # an item shorter than a window is known by its whole sequence
+        self.span = min(width, max(1, len(self.values)))
+        if capital and len(self.values) >= width:
+            for words in list(forms):
+                words = words.copy()
+                words[0] = NAME
+                forms.append(words)
+        self.forms = [window_hashes(words, self.span) for words in forms]
+        self.plain = np.unique(window_hashes(self.values, self.span))
+        # another form of a window stands for the window
+        self.kinds, number = np.unique(self.forms[0], return_inverse=True)
+        self.number: dict[int, int] = {}
+        self.first: dict[int, int] = {}
+        for windows in self.forms:
+            for at, (h, n) in enumerate(zip(windows.tolist(), number.tolist())):
+                self.number.setdefault(h, n)
+                self.first.setdefault(h, at)
+
+
+class _Windows:
+    """Windows of items as rows (item, kind, h, number), kind 0 as templates and 1 as plain words, and how many each kind has."""
+
+    def __init__(self, width: int):
+        self.width, self.form = width, Template()
+
+    def __call__(self, batch):
+        out = {k: [] for k in ("item", "kind", "h", "number", "span", "windows")}
+        for row, text in zip(batch.column("item").to_pylist(), byte_texts(batch, "text")):
+            item = Item(text, self.width, self.form)
+            sets = [(0, h, n) for h, n in item.number.items()], [(1, h, n) for n, h in enumerate(item.plain.tolist())]
+            for found, size in zip(sets, (len(item.kinds), len(item.plain))):
+                for kind, h, n in found:
+                    for column, value in zip(out.values(), (row, kind, h - (1 << 63), n, item.span, size)):
+                        column.append(value)
+        return out
+
+
+class _Candidates:
+    """Documents that have windows of the bit table, with those windows: (doc_id, text, hits)."""
+
+    def __init__(self, known: Bits, spans: list[int]):
+        self.known, self.spans, self.form = known, spans, Template()
+
+    def hits(self, words: np.ndarray) -> np.ndarray:
+        found = [window_hashes(words, span) for span in self.spans]
+        return np.unique(np.concatenate([h[self.known.has(h)] for h in found])) if found else np.empty(0, np.uint64)
+
+    def __call__(self, batch):
+        out = {k: [] for k in ("doc_id", "text", "hits")}
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), byte_texts(batch, "text")):
+            forms, values, _, _ = self.form(text)
+            hits = np.unique(np.concatenate([*map(self.hits, forms), self.hits(values)]))
+            if len(hits):
+                for column, value in zip(out.values(), (doc_id, text, (hits ^ np.uint64(1 << 63)).view(np.int64))):
+                    column.append(value)
+        return out
+
+
+def slot_agreement(item: Item, windows: list[np.ndarray], values: np.ndarray, slots: np.ndarray) -> float:
+    """Share of slot meetings in which an item's value stands for its usual value in the document.
+
+    Windows of the document are read in order. One that goes on where the item's last
+    window left off meets the item's next one, any other the item's first of its kind,
+    so each place is read once however often windows repeat.
+    """
+    keys = np.array(list(item.first), np.uint64)
+    at = np.unique(np.concatenate([np.flatnonzero(np.isin(w, keys)) for w in windows]))
+    pairs, shift = set(), None
+    for p in at.tolist():
+        here = [int(w[p]) for w in windows]
+        q = -1 if shift is None else p - shift
+        if not (0 <= q < len(item.forms[0]) and any(int(f[q]) in here for f in item.forms)):
+            q = next(item.first[h] for h in here if h in item.first)
+            shift = p - q
+        for k in range(item.span):
+            if item.slots[q + k] or slots[p + k]:
+                pairs.add((q + k, p + k))
+    met: dict[int, dict[int, int]] = {}
+    for q, p in pairs:
+        row = met.setdefault(int(item.values[q]), {})
+        row[int(values[p])] = row.get(int(values[p]), 0) + 1
+    return sum(max(row.values()) for row in met.values()) / len(pairs) if pairs else 1.0
 
 
 class _Leaks:
-    def __init__(self, index: Index, coverage: float, agreement: float):
-        self.index, self.coverage, self.agreement, self.form = index, coverage, agreement, Template()
+    """Pairs (doc_id, text, item_id, item_text) held against each other whole; those that leak stay."""
 
-    def agreed(self, entries, places, item, values, slots) -> float:
-        """Share of slot meetings in which an item's value stands for its usual value in the document.
+    def __init__(self, width: int, coverage: float, agreement: float):
+        self.width, self.coverage, self.agreement, self.form = width, coverage, agreement, Template()
+        self.last, self.read = None, None
 
-        Runs of windows lie on diagonals; each is read once from its first to its last word.
-        """
-        _, _, item_values, item_slots, *_ = item
-        pairs = set()
-        for e, p in zip(entries, places):
-            q = int(self.index.template.place[e])
-            for k in range(min(self.index.width, len(item_values) - q, len(values) - p)):
-                if item_slots[q + k] or slots[p + k]:
-                    pairs.add((q + k, p + k))
-        if not pairs:
-            return 1.0
-        met: dict[int, dict[int, int]] = {}
-        for q, p in pairs:
-            row = met.setdefault(int(item_values[q]), {})
-            row[int(values[p])] = row.get(int(values[p]), 0) + 1
-        return sum(max(row.values()) for row in met.values()) / len(pairs)
+    def judged(self, item: Item, forms: list[np.ndarray], values: np.ndarray, slots: np.ndarray) -> tuple | None:
+        windows = [window_hashes(words, item.span) for words in forms]
+        found = np.unique(np.concatenate(windows)).tolist()
+        matched, size, agreement = len({item.number[h] for h in found if h in item.number}), len(item.kinds), 0.0
+        if matched and matched >= self.coverage * size:
+            agreement = slot_agreement(item, windows, values, slots)
+        if agreement < self.agreement:
+            matched, size = len(np.intersect1d(window_hashes(values, item.span), item.plain)), len(item.plain)
+            if not matched or matched < self.coverage * size:
+                return None
+            # the words are the item's own
+            agreement = 1.0
+        return matched, size, matched / size, agreement
 
     def __call__(self, batch):
         out = {k: [] for k in ("doc_id", "item_id", "matched_windows", "item_windows", "coverage", "slot_agreement")}
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), byte_texts(batch, "text")):
-            forms, values, slots, _ = self.form(text)
-            found = [self.index.template.hits(words) for words in forms]
-            entries, places = (np.concatenate(x) for x in zip(*found))
-            exact, _ = self.index.plain.hits(values)
-            if not len(entries) and not len(exact):
-                continue
-            owners, whole = self.index.template.owner[entries], self.index.plain.owner[exact]
-            for n in np.union1d(owners, whole):
-                item = self.index.items[n]
-                mine = owners == n
-                matched, windows = len(np.unique(self.index.template.number[entries[mine]])), item[4]
-                agreement = 0.0
-                if matched and matched >= self.coverage * windows:
-                    agreement = self.agreed(entries[mine], places[mine], item, values, slots)
-                if agreement < self.agreement:
-                    matched, windows = len(np.unique(self.index.plain.number[exact[whole == n]])), item[5]
-                    if not matched or matched < self.coverage * windows:
-                        continue
-                    # the words are the item's own
-                    agreement = 1.0
-                row = (doc_id, item[0], matched, windows, matched / windows, agreement)
-                for column, value in zip(out.values(), row):
+        rows = zip(batch.column("doc_id").to_pylist(), byte_texts(batch, "text"), batch.column("item_id").to_pylist(), byte_texts(batch, "item_text"))
+        for doc_id, text, item_id, item_text in rows:
+            # pairs of a document follow each other
+            if text != self.last:
+                self.last, self.read = text, self.form(text)
+            forms, values, slots, _ = self.read
+            leak = self.judged(Item(item_text, self.width, self.form), forms, values, slots)
+            if leak is not None:
+                for column, value in zip(out.values(), (doc_id, item_id, *leak)):
                     column.append(value)
         return out
 
@@ -224,6 +231,18 @@ class _Leaks:
 LEAKS = "doc_id long, item_id long, matched_windows long, item_windows long, coverage double, slot_agreement double"
 
 
+def item_keys(windows: DataFrame, coverage: float) -> DataFrame:
+    """(kind, h, item): for each item and kind the windows that the fewest items share, one of which a leak must have."""
+    shared = windows.groupBy("kind", "h").agg(F.count("*").alias("items"))
+    rated = windows.join(shared, ["kind", "h"])
+    # the forms of a window are as common as the commonest of them
+    common = rated.groupBy("item", "kind", "number", "windows").agg(F.max("items").alias("items"), F.collect_list("h").alias("forms"))
+    order = F.row_number().over(Window.partitionBy("item", "kind").orderBy("items", "number"))
+    needed = F.greatest(F.lit(1), F.ceil(F.col("windows") * coverage - 1e-9))
+    keys = common.withColumn("rank", order).filter(F.col("rank") <= F.col("windows") - needed + 1)
+    return keys.select("kind", F.explode("forms").alias("h"), "item")
+
+
 def leaks(
     docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: float = COVERAGE, agreement: float = AGREEMENT
 ) -> DataFrame:
@@ -236,12 +255,18 @@ def leaks(
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     items = benchmark.filter("text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    size = items.agg(F.sum(F.length("text")), F.max(F.length("text"))).first()
-    blocks = max(1, math.ceil((size[0] or 0) / BLOCK_CHARS))
-    out = None
-    for k in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        index = Index([(r.item_id, bytes(r.text)) for r in block.toLocalIterator()], width)
-        part = mapped(docs, _Leaks(index, coverage, agreement), LEAKS)
-        out = part if out is None else out.unionByName(part)
-    return out
+    items = stored(items.withColumn("item", F.monotonically_increasing_id()), "items")
+    schema = "item long, kind int, h long, number long, span int, windows long"
+    windows = stored(mapped(items.select("item", "text"), _Windows(width), schema), "windows")
+    spans = sorted(r.span for r in windows.select("span").distinct().collect())
+    keys = stored(item_keys(windows, coverage), "keys")
+    # keys are kept with the sign bit turned; a table of 2 MB errs in less than one of a thousand places for small benchmarks
+    known = Bits(keys.select((F.col("h").bitwiseXOR(F.lit(-(1 << 63)))).alias("h")), keys.count(), 24)
+    near = mapped(docs, _Candidates(known, spans), "doc_id long, text binary, hits array<long>")
+    near = stored(near.withColumn("row", F.monotonically_increasing_id()), "near")
+    hits = near.select("row", F.explode("hits").alias("h"))
+    pairs = hits.join(keys.select("h", "item").distinct(), "h").select("row", "item").distinct()
+    held = pairs.join(near.select("row", "doc_id", "text"), "row")
+    held = held.join(items.select("item", "item_id", F.col("text").alias("item_text")), "item")
+    held = held.sortWithinPartitions("row").select("doc_id", "text", "item_id", "item_text")
+    return mapped(held, _Leaks(width, coverage, agreement), LEAKS)

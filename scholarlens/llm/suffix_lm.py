@@ -38,14 +38,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholarlens.llm.common import MULTIPLIER, dropped, hash_word, mapped, mixed, remainder, stored, valid_texts
+from scholarlens.llm.common import MULTIPLIER, Bits, dropped, hash_word, mapped, mixed, remainder, stored, valid_texts
 
 LEAST, DEPTH, GAIN, DISCOUNT = 10, 4, 8.0, 0.75
 HEAD = 150_000
 #: Contexts and their entries that travel to the tasks.
 HEAD_CONTEXTS, HEAD_ENTRIES = 400_000, 2_500_000
-#: Bits of a bit table at most, bytes of text counted and scored at once, words of a bucket.
-MOST_BITS, COUNT_BYTES, SCORE_BYTES, BUCKET = 27, 8_000_000, 3_000_000, 500_000
+#: Bytes of text counted and scored at once, words of a bucket.
+COUNT_BYTES, SCORE_BYTES, BUCKET = 8_000_000, 3_000_000, 500_000
 #: A context is hot with one in so many of all words, and is then dealt to so many buckets.
 HOT, DEALT = 1000, 64
 #: Stands for the end of a text; it can be no word.
@@ -109,23 +109,6 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-class Bits:
-    """A set of 64-bit hashes as a bit table of bounded size; it may hold others too, and misses none."""
-
-    def __init__(self, hashes: DataFrame, n: int):
-        """``hashes`` has column h; ``n`` is about how many they are."""
-        self.log = min(MOST_BITS, max(16, math.ceil(math.log2(64 * max(1, n)))))
-        place = F.shiftrightunsigned("h", 64 - self.log)
-        bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - self.log}) & 63 as int))")
-        found = hashes.select(F.shiftright(place, 6).alias("k"), bit.alias("b")).groupBy("k").agg(F.bit_or("b").alias("b")).toArrow()
-        self.table = np.zeros(1 << (self.log - 6), np.uint64)
-        self.table[found.column("k").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
-
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        place = hashes >> np.uint64(64 - self.log)
-        return (self.table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) != 0
-
-
 class Places:
     """Sorted 64-bit hashes, found by their leading bits."""
 
