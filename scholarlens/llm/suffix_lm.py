@@ -40,12 +40,12 @@ from pyspark.sql import functions as F
 
 from scholarlens.llm.common import MULTIPLIER, Bits, dropped, hash_word, mapped, mixed, remainder, stored, valid_texts
 
-LEAST, DEPTH, GAIN, DISCOUNT = 10, 4, 8.0, 0.75
+LEAST, DEPTH, GAIN, DISCOUNT = 20, 3, 8.0, 0.75
 HEAD = 150_000
 #: Contexts and their entries that travel to the tasks.
 HEAD_CONTEXTS, HEAD_ENTRIES = 400_000, 2_500_000
-#: Bytes of text counted and scored at once, words of a bucket.
-COUNT_BYTES, SCORE_BYTES, BUCKET = 8_000_000, 3_000_000, 500_000
+#: Bytes of text counted and scored at once, next classes held by a task before they are summed up, words of a bucket.
+COUNT_BYTES, SCORE_BYTES, WAITING, BUCKET = 8_000_000, 3_000_000, 5_000_000, 500_000
 #: A context is hot with one in so many of all words, and is then dealt to so many buckets.
 HOT, DEALT = 1000, 64
 #: Stands for the end of a text; it can be no word.
@@ -158,6 +158,10 @@ def value_of(symbols: np.ndarray) -> np.ndarray:
     return mixed(symbols.astype(np.uint64) + np.uint64(0x5851F42D))
 
 
+#: What the places of a context's words count, from the newest on.
+POWERS = np.array([int(MULTIPLIER) ** k % 2**64 for k in range(16)], np.uint64)
+
+
 def longer(symbols: np.ndarray, context: np.ndarray) -> np.ndarray:
     """Hash of the run of a context and the class after it, as a context: the newest word has the lowest power."""
     return value_of(symbols) + MULTIPLIER * context
@@ -179,7 +183,6 @@ def contexts_of(symbols: np.ndarray, pairs: Bits | None, depth: int):
     context, linked = value[at - 1], None
     yield at, context
     for length in range(2, depth + 1):
-        power = np.uint64(int(MULTIPLIER) ** (length - 1) % 2**64)
         more = at > length - 1
         at, context = at[more], context[more]
         more = inner[at - length]
@@ -187,7 +190,7 @@ def contexts_of(symbols: np.ndarray, pairs: Bits | None, depth: int):
         if linked is not None:
             more = linked[at - length + 2]
             at, context = at[more], context[more]
-        context = context + power * value[at - length]
+        context = context + POWERS[length - 1] * value[at - length]
         if linked is None:
             more = pairs.has(context)
             at, context = at[more], context[more]
@@ -196,11 +199,11 @@ def contexts_of(symbols: np.ndarray, pairs: Bits | None, depth: int):
         yield at, context
 
 
-LISTED = "bucket int, level int, dealt boolean, ctx array<long>, suffix array<long>, kinds array<int>, symbol array<int>, n array<int>"
+LISTED = "bucket int, level int, dealt boolean, ctx array<long>, oldest array<int>, kinds array<int>, symbol array<int>, n array<int>"
 COUNTED = "level int, ctx long, code long, below long, run long, n long, total long"
 
 
-def _listed(level: int, dealt: bool, key, context, suffix, symbol, n, buckets: int) -> pa.RecordBatch:
+def _listed(level: int, dealt: bool, key, context, oldest, symbol, n, buckets: int) -> pa.RecordBatch:
     """Counts, sorted by ``key``, as one row for each bucket, a range of keys; a key is a context, or a part of one."""
     new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     kinds = np.diff(np.append(new, len(key)))
@@ -219,23 +222,23 @@ def _listed(level: int, dealt: bool, key, context, suffix, symbol, n, buckets: i
             pa.array(np.full(len(used), level, np.int32)),
             pa.array(np.full(len(used), dealt)),
             lists(context[new].view(np.int64), at, np.int64),
-            lists(suffix[new].view(np.int64), at, np.int64),
+            lists(oldest[new].astype(np.uint32).view(np.int32), at, np.int32),
             lists(kinds, at, np.int32),
             lists(symbol.astype(np.uint32).view(np.int32), inner, np.int32),
             lists(n, inner, np.int32),
         ],
-        names=["bucket", "level", "dealt", "ctx", "suffix", "kinds", "symbol", "n"],
+        names=["bucket", "level", "dealt", "ctx", "oldest", "kinds", "symbol", "n"],
     )
 
 
-def _rows(level: int, key, context, suffix, symbol, n, hot, buckets: int):
+def _rows(level: int, key, context, oldest, symbol, n, hot, buckets: int):
     """Rows of :func:`_listed` for counts that are sorted by ``key``; the hot ones are dealt by a part of the next class."""
     for dealt in (False, True):
         some = hot == dealt
         if some.all():
-            parts = key, context, suffix, symbol, n
+            parts = key, context, oldest, symbol, n
         elif some.any():
-            parts = tuple(x[some] for x in (key, context, suffix, symbol, n))
+            parts = tuple(x[some] for x in (key, context, oldest, symbol, n))
         else:
             continue
         if dealt:
@@ -269,7 +272,7 @@ def _count_first(symbols: Symbols, hot: np.ndarray, buckets: int):
                 both = both[first]
                 old, symbol = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
                 # classes are hashes themselves
-                yield from _rows(1, old << np.uint64(32), value_of(old), np.zeros_like(old), symbol, n, hot.of(old) >= 0, buckets)
+                yield from _rows(1, old << np.uint64(32), value_of(old), old, symbol, n, hot.of(old) >= 0, buckets)
 
     return run
 
@@ -278,26 +281,37 @@ def _count_deeper(symbols: Symbols, pairs: Bits, depth: int, hot: np.ndarray, bu
     """Counts of next classes after contexts of 2 to ``depth`` words; hot are those whose last two words are; see LISTED."""
     hot = Places(hot)
 
+    def summed(level, parts):
+        context, oldest, symbol, common = (np.concatenate(x) for x in zip(*parts))
+        code = coded(context, symbol)
+        order = np.argsort(code)
+        first, n = _boundaries(code[order])
+        first = order[first]
+        order = np.argsort(context[first])
+        first, n = first[order], n[order]
+        return _rows(level, context[first], context[first], oldest[first], symbol[first], n, common[first], buckets)
+
     def run(batches):
+        held, waiting = {k: [] for k in range(2, depth + 1)}, 0
         for batch in batches:
             for texts in chunks_of(batch, COUNT_BYTES):
                 words = Words(texts)
                 classes = symbols(words.hashes)[words.at]
-                before, common = np.zeros(len(classes), np.uint64), np.zeros(len(classes), bool)
+                common = np.zeros(len(classes), bool)
                 for level, (at, context) in enumerate(contexts_of(classes, pairs, depth), 1):
                     if level == 2:
                         common[at] = hot.of(context) >= 0
                     if level > 1 and len(at):
-                        symbol = classes[at]
-                        code = coded(context, symbol)
-                        order = np.argsort(code)
-                        first, n = _boundaries(code[order])
-                        first = order[first]
-                        order = np.argsort(context[first])
-                        first, n = first[order], n[order]
-                        place = at[first]
-                        yield from _rows(level, context[first], context[first], before[place], symbol[first], n, common[place], buckets)
-                    before[at] = context
+                        held[level].append((context, classes[at - level].astype(np.uint32), classes[at].astype(np.uint32), common[at]))
+                        waiting += len(at)
+                if waiting > WAITING:
+                    for level, parts in held.items():
+                        if parts:
+                            yield from summed(level, parts)
+                    held, waiting = {k: [] for k in range(2, depth + 1)}, 0
+        for level, parts in held.items():
+            if parts:
+                yield from summed(level, parts)
 
     return run
 
@@ -315,8 +329,10 @@ def _merge(least: int):
         kinds, times = flat("kinds"), flat("n").astype(np.int64)
         contexts = np.concatenate([pc.list_value_length(c).to_numpy() for c in table.column("ctx").chunks])
         of = np.repeat(np.arange(len(kinds)), kinds)
-        context, suffix, symbol = flat("ctx").view(np.uint64), flat("suffix").view(np.uint64), flat("symbol").view(np.uint32)
+        context, oldest, symbol = flat("ctx").view(np.uint64), flat("oldest").view(np.uint32), flat("symbol").view(np.uint32)
         level, dealt = (np.repeat(table.column(c).to_numpy(), contexts) for c in ("level", "dealt"))
+        # a context without its oldest word
+        suffix = context - POWERS[level - 1] * value_of(oldest)
         _, own, same = np.unique(context, return_index=True, return_inverse=True)
         whole = np.bincount(same[of], times).astype(np.int64)
         code = coded(context[of], symbol)
@@ -426,20 +442,17 @@ def grown(texts: DataFrame, words: DataFrame, tokens: int, fresh: float, least:
     pairs, hot = Bits(runs.select(F.col("run").alias("h")), runs.count()), hot_of(runs, "run")
     for table in (counted, classes):
         dropped(table)
-    columns = ["ctx", "total", "kinds", "left", "code", "value"]
-    kept = [stored(level.filter("value is not null").select(columns), "lm-kept")]
-    deeper = counts(_count_deeper(symbols, pairs, depth, hot, buckets))
+    levels = [level]
+    deeper = counts(_count_deeper(symbols, pairs, depth, hot, buckets)) if depth > 1 else None
     for k in range(2, depth + 1):
-        parents = level.select(F.col("code").alias("below"), F.col("p").cast("double").alias("q"))
-        above = level
-        level = stored(grow_level(with_totals(deeper.filter(F.col("level") == k), least), parents, {}, gain), "lm-level")
-        dropped(above)
-        kept.append(stored(level.filter("value is not null").select(columns), "lm-kept"))
-    for table in (deeper, level):
-        dropped(table)
-    entries = kept[0]
-    for more in kept[1:]:
+        parents = levels[-1].select(F.col("code").alias("below"), F.col("p").cast("double").alias("q"))
+        levels.append(stored(grow_level(with_totals(deeper.filter(F.col("level") == k), least), parents, {}, gain), "lm-level"))
+    if deeper is not None:
+        dropped(deeper)
+    entries = levels[0]
+    for more in levels[1:]:
         entries = entries.unionByName(more)
+    entries = entries.filter("value is not null")
     contexts = entries.groupBy("ctx").agg(F.max("total").alias("total"), F.max("kinds").alias("kinds"), F.max("left").alias("left"))
     return Grown(symbols, pairs, stored(contexts, "lm-contexts"), entries.select("ctx", "code", "value"))
 
