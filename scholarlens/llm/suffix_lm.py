@@ -9,14 +9,14 @@ seen once. Words are told apart by 64-bit hashes.
 
 Growing. A context is a run of 1 to ``DEPTH`` symbol words with LEAST occurrences, an
 absolute count, so the tree grows with the corpus. Its entries are the next classes
-seen twice or more; each gives up ``DISCOUNT`` of its count, and what all give up,
-with the next classes seen once, goes to the distribution of the suffix. A context
+seen ``ENTRY`` times or more; each gives up ``DISCOUNT`` of its count, and what all give
+up, with the counts of rarer next classes, goes to the distribution of the suffix. A context
 stays in the tree when its entries and the rest diverge from its suffix by ``GAIN`` nats
 for each entry; others pass on their suffix's probabilities.
 
 Counts go from tasks to buckets of bounded size as lists by context, a context with
 more than one in a thousand of all words to several by the next class. They are made
-for all texts, and the divergence tests are joins on hashes over what occurs twice.
+for all texts, and the divergence tests are joins on hashes over the entries.
 Bit tables of bounded size say which words and pairs may have LEAST. Where they err, a
 context falls out by its exact count and a word is a symbol of its own.
 
@@ -40,10 +40,10 @@ from pyspark.sql import functions as F
 
 from scholarlens.llm.common import MULTIPLIER, Bits, dropped, hash_word, mapped, mixed, remainder, stored, valid_texts
 
-LEAST, DEPTH, GAIN, DISCOUNT = 20, 3, 8.0, 0.75
+LEAST, DEPTH, ENTRY, GAIN, DISCOUNT = 20, 3, 5, 8.0, 0.75
 HEAD = 150_000
 #: Contexts and their entries that travel to the tasks.
-HEAD_CONTEXTS, HEAD_ENTRIES = 400_000, 2_500_000
+HEAD_CONTEXTS, HEAD_ENTRIES = 400_000, 3_000_000
 #: Bytes of text counted and scored at once, next classes held by a task before they are summed up, words of a bucket.
 COUNT_BYTES, SCORE_BYTES, WAITING, BUCKET = 8_000_000, 3_000_000, 5_000_000, 500_000
 #: A context is hot with one in so many of all words, and is then dealt to so many buckets.
@@ -317,7 +317,7 @@ def _count_deeper(symbols: Symbols, pairs: Bits, depth: int, hot: np.ndarray, bu
 
 
 def _merge(least: int):
-    """Sums a bucket's counts; what occurs once and what follows contexts under ``least`` is left out.
+    """Sums a bucket's counts; what occurs less than ENTRY times and what follows contexts under ``least`` is left out.
 
     A dealt context has no total yet, and a row without a code for its part of it.
     """
@@ -341,7 +341,7 @@ def _merge(least: int):
         n = np.add.reduceat(times[order], starts)
         first = order[starts]
         at = of[first]
-        good = (n >= 2) & (dealt[at] | (whole[same[at]] >= least))
+        good = (n >= ENTRY) & (dealt[at] | (whole[same[at]] >= least))
         first, n, at = first[good], n[good], at[good]
         after = symbol[first].astype(np.uint64)
         below = np.where(level[at] == 1, after, coded(suffix[at], after))

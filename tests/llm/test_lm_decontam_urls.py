@@ -89,7 +89,7 @@ def plain_tree(texts, least=suffix_lm.LEAST, depth=suffix_lm.DEPTH, gain=suffix_
     def judged(run):
         """(total, entries, mass left) of a context that stays, else None."""
         if run not in known:
-            total, entries = sum(after.get(run, {}).values()), {s: c for s, c in after.get(run, {}).items() if c >= 2}
+            total, entries = sum(after.get(run, {}).values()), {s: c for s, c in after.get(run, {}).items() if c >= suffix_lm.ENTRY}
             known[run] = None
             if total >= least and entries:
                 q = {s: chance(run[:-1], s) for s in entries}
