@@ -62,8 +62,8 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL cannot express the trained classifier, the sketches, the templates and the packing; the tests hold
-#: every stage against a brute-force version instead.
+#: SQL cannot express the trained classifier, the sketches, the templates and the packing; the tests hold near
+#: duplicates against all pairs, packing against whole-text ids, and the other stages against their operators.
 ORACLE_SQL = None
 
 
