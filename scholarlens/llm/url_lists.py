@@ -37,15 +37,16 @@ def entries_above(url: str) -> Column:
 def validity(events: DataFrame) -> DataFrame:
     """(entry, category, valid_from, valid_to) from dated events (entry, category, at, listed boolean).
 
-    An interval runs from a listing to the next event of its entry and category,
+    Entries are compared in lower case. An interval runs from a listing to the next event of its entry and category,
     open-ended if there is none. Of events at one time the delisting wins; events
     without entry, time or flag are ignored; repeated events count once.
     """
+    events = events.withColumn("entry", F.lower("entry"))
     known = events.filter("entry is not null and at is not null and listed is not null").groupBy("entry", "category", "at")
     known = known.agg(F.bool_and("listed").alias("listed"))
     following = F.lead("at").over(Window.partitionBy("entry", "category").orderBy("at"))
     return known.withColumn("valid_to", following).filter("listed").select(
-        F.lower("entry").alias("entry"), "category", F.col("at").alias("valid_from"), "valid_to"
+        "entry", "category", F.col("at").alias("valid_from"), "valid_to"
     )
 
 

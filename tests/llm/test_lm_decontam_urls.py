@@ -333,3 +333,8 @@ def test_templates_past_line_breaks_and_first_names(spark):
     items = ["Anna has 12 apples and gives five of them to Boris who eats two at home"]
     other = items[0].replace("Anna", "Clara").replace("Boris", "Dora").replace("12", "80")
     assert pairs(spark, items, [f"so that {other}", f"a heading\n{other}", other.replace("to Dora", "to\nDora")]) == [(0, 0), (1, 0), (2, 0)]
+
+
+def test_entries_in_any_case_are_one(spark):
+    events = spark.createDataFrame([("Example.org", "spam", 1, True), ("example.ORG", "spam", 5, False)], "entry string, category string, at long, listed boolean")
+    assert [tuple(r) for r in validity(events).collect()] == [("example.org", "spam", 1, 5)]
