@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholarlens.llm.common import (
@@ -156,8 +156,8 @@ class _Measure:
     """Overlap and link of the pairs; for each the elements that two linked members of c's star must share one of.
 
     A partner y of x has at least ``percent`` / 100 of x, of which c has ``both`` at most,
-    so the rest lies in what c lacks; all but (rest - 1) of those elements, in order of
-    hash, must hold one that y has too.
+    so the rest lies in what c lacks; all but (rest - 1) of those elements, in any order
+    that x and y have in common, must hold one that y has too.
 
     A partner that shares nothing with x that c lacks shares with it what both lack of c.
     Where a and b elements of c are missing in x and y, which have p and q others, the
@@ -165,13 +165,17 @@ class _Measure:
     100 * (a + b) + percent * (p + q) - (100 - percent) * c. This is above 0 for all y
     if x is not linked to c, and all but (i - 1) of what is missing in x must hold one
     that is missing in y too.
+
+    A set of which c has less than ``percent`` / 100 shares an added element with every
+    partner, so it needs no missing ones. ``added_keys`` and ``missing_keys`` say how many
+    elements that leaves; the elements are left out where no ``keys`` are wanted.
     """
 
-    def __init__(self, percent: int):
-        self.percent = percent
+    def __init__(self, percent: int, keys: bool = True):
+        self.percent, self.keys = percent, keys
 
     def __call__(self, batch):
-        out = {k: [] for k in ("n_c", "n_x", "both", "linked", "added_size", "added", "missing")}
+        out = {k: [] for k in ("n_c", "n_x", "both", "linked", "added_size", "added_keys", "missing_keys", "added", "missing")}
         for c, x in zip(batch.column("set_c"), batch.column("set_x")):
             c, x = (np.frombuffer(s.as_buffer(), np.uint64) for s in (c, x))
             at = np.minimum(np.searchsorted(c, x), len(c) - 1)
@@ -181,7 +185,7 @@ class _Measure:
             lacks[at[hit]] = False
             missing = c[lacks]
             both = len(x) - len(added)
-            rest = max(1, -(-self.percent * len(x) // 100) - both)
+            rest = -(-self.percent * len(x) // 100) - both
             shared = max(1, -(-(100 * len(missing) + self.percent * len(added) - (100 - self.percent) * len(c)) // (100 + self.percent)))
             row = (
                 len(c),
@@ -189,15 +193,17 @@ class _Measure:
                 both,
                 100 * both >= self.percent * (len(c) + len(added)),
                 len(added),
-                added[: max(0, len(added) - rest + 1)].view(np.int64),
-                missing[: max(0, len(missing) - shared + 1)].view(np.int64),
+                max(0, len(added) - max(1, rest) + 1),
+                max(0, len(missing) - shared + 1) if rest < 1 else 0,
+                added.view(np.int64) if self.keys else None,
+                missing.view(np.int64) if self.keys else None,
             )
             for column, value in zip(out.values(), row):
                 column.append(value)
         return {"c": batch.column("c"), "x": batch.column("x"), **out}
 
 
-MEASURED = "c long, x long, n_c long, n_x long, both long, linked boolean, added_size long, added array<long>, missing array<long>"
+MEASURED = "c long, x long, n_c long, n_x long, both long, linked boolean, added_size long, added_keys long, missing_keys long, added array<long>, missing array<long>"
 
 
 def _sizes_allow(a: str, b: str, percent: int) -> str:
@@ -210,19 +216,19 @@ def _enough(both: str, a: str, b: str, percent: int) -> str:
     return f"{100 + percent} * ({both}) >= {percent} * ({a} + {b})"
 
 
-def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def measured(pairs: DataFrame, sets: DataFrame, percent: int, keys: bool = True) -> DataFrame:
     """The pairs (c, x) held against each other on their full sets; see MEASURED."""
     found = (
         pairs.join(sets.select(F.col("doc").alias("c"), F.col("shingles").alias("set_c")), "c")
         .join(sets.select(F.col("doc").alias("x"), F.col("shingles").alias("set_x")), "x")
         .select("c", "x", "set_c", "set_x")
     )
-    return mapped(found, _Measure(percent), MEASURED)
+    return mapped(found, _Measure(percent, keys), MEASURED)
 
 
 def links_of(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (c, x) that are linked, as edges (a, b)."""
-    return measured(pairs, sets, percent).filter("linked").select(F.col("c").alias("a"), F.col("x").alias("b"))
+    return measured(pairs, sets, percent, keys=False).filter("linked").select(F.col("c").alias("a"), F.col("x").alias("b"))
 
 
 def _placed(rows: DataFrame, components_of: DataFrame, node: str, name: str) -> DataFrame:
@@ -235,19 +241,27 @@ def _between(stars: DataFrame, percent: int) -> DataFrame:
     """Pairs (c, x) of the members of a star in different components that may still be linked.
 
     At least one of a pair is outside the centre's component, so the two share an added
-    or a missing element; see _Measure.
+    or a missing element; see _Measure. Elements are taken in order of how many members
+    of the star have them, the rarest first, and those that one component alone has, which
+    no pair can share, before all others. Missing elements are needed for pairs that share
+    no added one, whose overlap therefore lies in the centre.
     """
-    rows = stars.select("c", "x", "n_x", "both", "added", "missing", "added_size", "component", "centre_component")
-    fields = ["x", "n_x", "both", "added_size", "component"]
-    keyed = rows.select(
-        "c", *fields, "centre_component",
-        F.explode(F.concat(F.transform("added", lambda e: F.struct(F.lit(True).alias("more"), e.alias("e"))), F.transform("missing", lambda e: F.struct(F.lit(False).alias("more"), e.alias("e"))))).alias("k"),
-    ).select("c", *fields, "centre_component", "k.more", "k.e")
-    key = ["c", "more", "e"]
+    fields, key = ["x", "n_x", "both", "added_size", "component"], ["c", "more", "e"]
+    sides = [
+        F.struct(F.lit(True).alias("more"), F.col("added_keys").alias("take"), F.col("added").alias("es")),
+        F.struct(F.lit(False).alias("more"), F.col("missing_keys").alias("take"), F.col("missing").alias("es")),
+    ]
+    halves = stars.select("c", *fields, "centre_component", F.explode(F.array(*sides)).alias("s")).filter("s.take > 0")
+    every = halves.select("c", *fields, "centre_component", "s.more", "s.take", F.explode("s.es").alias("e"))
+    shared = every.groupBy(*key).agg(F.count("*").alias("holders"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    shared = shared.filter("lo < hi").select(*key, "holders")
+    order = Window.partitionBy("c", "x", "more").orderBy(F.coalesce("holders", F.lit(0)), "e")
+    keyed = every.join(shared, key, "left").withColumn("place", F.row_number().over(order))
+    keyed = keyed.filter("place <= take and holders is not null").select("c", *fields, "centre_component", "more", "e")
     left = keyed.filter("component <> centre_component").select(*key, *[F.col(f).alias(f"{f}_1") for f in fields])
     right = keyed.select(*key, *[F.col(f).alias(f"{f}_2") for f in fields])
     apart = F.expr("component_1 <> component_2") & F.expr(_sizes_allow("n_x_1", "n_x_2", percent))
-    share = "least(both_1, both_2) + least(added_size_1, added_size_2)"
+    share = "least(both_1, both_2) + if(more, least(added_size_1, added_size_2), 0)"
     both = left.join(right, key).filter(apart & F.expr(_enough(share, "n_x_1", "n_x_2", percent)))
     return both.select(F.least("x_1", "x_2").alias("c"), F.greatest("x_1", "x_2").alias("x")).distinct()
 
