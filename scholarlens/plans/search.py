@@ -107,17 +107,20 @@ norms AS (SELECT id, sqrt(sum(w * w)) AS l FROM kept GROUP BY id),
 weights AS (SELECT k.id, k.topic, k.term, k.w / norms.l AS w FROM kept k JOIN norms ON norms.id = k.id)"""
 
 
-def tfidf(docs: DataFrame, min_df: int = 2, max_share: float = 0.95) -> DataFrame:
+def tfidf(docs: DataFrame, min_df: int | None = 2, max_share: float = 0.95, terms: Column | None = None) -> DataFrame:
     """(id, topic, term, w): term weights of documents (id, topic, text), of length 1 for each document.
 
     Sublinear counts, smoothed inverse document frequency; terms in fewer than
-    ``min_df`` documents or more than ``max_share`` of them are left out.
+    ``min_df`` documents (None: 1 of fewer than five documents, else 2) or more than
+    ``max_share`` of them are left out. ``terms`` is an array of a document's terms, its words if not given.
     """
-    terms = docs.select("id", "topic", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z][a-z\-]{2,}"), F.lit(0))).alias("term"))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z][a-z\-]{2,}"), F.lit(0))
+    terms = docs.select("id", "topic", F.explode(words if terms is None else terms).alias("term"))
     counts = terms.groupBy("id", "topic", "term").agg(F.count("*").alias("c"))
     total = counts.agg(F.count_distinct("id").alias("n"))
     spread = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(total)
-    spread = spread.filter((F.col("df") >= min_df) & (F.col("df") <= F.col("n") * max_share))
+    least = F.when(F.col("n") < 5, 1).otherwise(2) if min_df is None else F.lit(min_df)
+    spread = spread.filter((F.col("df") >= least) & (F.col("df") <= F.col("n") * max_share))
     idf = spread.select("term", (F.log((1.0 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     kept = counts.join(idf, "term").select("id", "topic", "term", ((1 + F.log("c")) * F.col("idf")).alias("w"))
     length = kept.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("l"))
