@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scholarlens.llm.centroids import CLUSTERS, DIM, ROUNDS, SEED, clustered
 from scholarlens.llm.common import table
 from scholarlens.llm.decontam import leaks
 from scholarlens.llm.html_text import extracted
@@ -12,10 +13,12 @@ from scholarlens.llm.media import media_columns
 from scholarlens.llm.near_dup import near_duplicates
 from scholarlens.llm.packing import packed
 from scholarlens.llm.quality import quality
+from scholarlens.llm.ranked_search import ranked
 from scholarlens.llm.secrets import secret_digests
 from scholarlens.llm.suffix_lm import lm_scores
 from scholarlens.llm.toxicity import toxicity
 from scholarlens.llm.url_lists import derived_events, listed_captures
+from scholarlens.llm.warc import archived
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,6 +114,79 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(table(spark, sf_dir, "pages"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents for every benchmark item."""
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_TERMS = rf"regexp_extract_all(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP11_SQL = f"""
+WITH counts AS (
+  SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM documents) GROUP BY doc_id, term
+), lengths AS (
+  SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM counts GROUP BY doc_id
+), corpus AS (
+  SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS total FROM lengths
+), wanted AS (
+  SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * max(n_docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counts, corpus GROUP BY term
+), scored AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // total)))) AS BIGINT) AS score
+  FROM wanted JOIN counts USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id), corpus GROUP BY item_id, doc_id
+), placed AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 50
+"""
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every embedding after five rounds."""
+    return clustered(table(spark, sf_dir, "embeddings"))
+
+
+def _op12_sql() -> str:
+    nearest = """SELECT v.vec_id, v.q, min((list_sum(list_transform(list_zip(v.q, c.q), lambda x: (x[1] - x[2]) * (x[1] - x[2]))), c.cluster)) AS best
+      FROM vectors v, {c} c GROUP BY v.vec_id, v.q"""
+    steps = [
+        f"""vectors AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS q FROM embeddings
+      WHERE len(embedding) = {DIM} AND len(list_filter(embedding, lambda x: isfinite(x))) = {DIM})""",
+        f"""c0 AS (SELECT CAST(row_number() OVER (ORDER BY h) - 1 AS INT) AS cluster, q FROM
+      (SELECT sha256('{SEED}:' || CAST(vec_id AS VARCHAR)) AS h, q FROM vectors ORDER BY h LIMIT {CLUSTERS}))""",
+    ]
+    for k in range(ROUNDS):
+        steps += [
+            f"a{k} AS ({nearest.format(c=f'c{k}')})",
+            f"""m{k} AS (SELECT cluster, list(x ORDER BY i) AS q FROM (SELECT cluster, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS x FROM
+          (SELECT best[2] AS cluster, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM a{k}) GROUP BY cluster, i) GROUP BY cluster)""",
+            f"c{k + 1} AS (SELECT c.cluster, coalesce(m.q, c.q) AS q FROM c{k} c LEFT JOIN m{k} m ON m.cluster = c.cluster)",
+        ]
+    steps.append(f"placed AS (SELECT vec_id, best[2] AS cluster, CAST(best[1] AS BIGINT) AS distance FROM ({nearest.format(c=f'c{ROUNDS}')}))")
+    return f"""WITH {", ".join(steps)}
+    SELECT p.vec_id, p.cluster, p.distance, CAST(sum(p.distance) OVER (PARTITION BY p.cluster) AS BIGINT) AS cluster_inertia,
+      CAST(sum(p.distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+    FROM placed p JOIN c{ROUNDS} c ON c.cluster = p.cluster"""
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, written to WARC archives and read back."""
+    read = archived(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP13_SQL = """
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+seen AS (
+  SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest,
+    min(page_id) OVER (PARTITION BY sha256(html)) AS first FROM payloads
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM seen
+"""
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_url_filters": op2_url_filters,
@@ -122,6 +198,11 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_media_columns": op9_media_columns,
     "op10_html_extraction": op10_html_extraction,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_warc": op13_warc,
 }
 
-ORACLES: dict[str, str] = {"op2_url_filters": OP2_SQL}
+ORACLES: dict[str, str] = {
+    "op2_url_filters": OP2_SQL, "op11_ranked_search": OP11_SQL, "op12_centroid_clusters": _op12_sql(), "op13_warc": OP13_SQL,
+}
