@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["corpus", "repository", "vectors", "search", "events", "streams", "manuscripts", "groups", "listings", "titles"]
+MODULES = ["corpus", "repository", "vectors", "search", "events", "streams", "manuscripts", "groups", "listings", "titles", "text_search"]
 
 
 def load_all() -> None:
