@@ -1,24 +1,28 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-Symbols. A word with ``LEAST`` occurrences in the training texts belongs to the class
+Symbols. A word with ``least`` occurrences in the training texts belongs to the class
 of its 32-bit hash, all others to class 0. After a context the classes get
 probabilities, and a word has its share of its class, so the sum over all words is 1
 whatever shares a class. A word's own share comes from its count; words outside the
 training vocabulary are one symbol, as in the base score, with the mass of the words
 seen once. Words are told apart by 64-bit hashes.
 
-Growing. A context is a run of 1 to ``DEPTH`` symbol words with LEAST occurrences, an
-absolute count, so the tree grows with the corpus. Its entries are the next classes
-seen ``ENTRY`` times or more; each gives up ``DISCOUNT`` of its count, and what all give
-up, with the counts of rarer next classes, goes to the distribution of the suffix. A context
-stays in the tree when its entries and the rest diverge from its suffix by ``GAIN`` nats
-for each entry; others pass on their suffix's probabilities.
-
+Growing. A context is a run of 1 to ``depth`` symbol words with ``least`` occurrences,
+an absolute count, so the tree grows with the corpus. Its entries are the next classes
+seen ``entry`` times or more, all of them by default; each gives up ``DISCOUNT`` of its
+count, and what all give up, with the counts of rarer next classes, goes to the
+distribution of the suffix. A context stays in the tree when its entries and the rest
+diverge from its suffix by ``gain`` nats for each entry; others pass on their suffix's
+probabilities. The three bounds are arguments of :func:`lm_scores`.
+
+The tree grows level by level. A run can have ``least`` occurrences only if the run
+without its newest word, followed by that word, was counted so often at the level
+before, so only such runs are counted; a level's counts go when its entries are written.
 Counts go from tasks to buckets of bounded size as lists by context, a context with
 more than one in a thousand of all words to several by the next class. They are made
 for all texts, and the divergence tests are joins on hashes over the entries.
-Bit tables of bounded size say which words and pairs may have LEAST. Where they err, a
-context falls out by its exact count and a word is a symbol of its own.
+Bit tables of bounded size say which words and runs may have ``least``. Where they err,
+a context falls out by its exact count and a word is a symbol of its own.
 
 Scoring. The score of a text is the sum of its words' own shares and, for each
 context of the tree before a word, of one number: how the word's entry changes its
@@ -40,7 +44,7 @@ from pyspark.sql import functions as F
 
 from scholarlens.llm.common import MULTIPLIER, Bits, dropped, hash_word, mapped, mixed, remainder, stored, valid_texts
 
-LEAST, DEPTH, ENTRY, GAIN, DISCOUNT = 20, 3, 5, 8.0, 0.75
+LEAST, DEPTH, ENTRY, GAIN, DISCOUNT = 10, 4, 1, 8.0, 0.75
 HEAD = 150_000
 #: Contexts and their entries that travel to the tasks.
 HEAD_CONTEXTS, HEAD_ENTRIES = 400_000, 3_000_000
@@ -172,30 +176,28 @@ def coded(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     return mixed(mixed(context) * MULTIPLIER + symbol.astype(np.uint64))
 
 
-def contexts_of(symbols: np.ndarray, pairs: Bits | None, depth: int):
+def contexts_of(symbols: np.ndarray, runs: list[Bits]):
     """For each length from 1 on: (places, hashes of the contexts before them), over texts that end in END.
 
-    A context has no word of class 0 and no end of a text in it, and no pair outside ``pairs``.
+    ``runs`` has the runs that may be contexts of 2, 3 ... words. A context has no word
+    of class 0 and no end of a text in it, and its older and newer words are runs as well.
     """
     inner = (symbols != 0) & (symbols != END_CLASS)
     value = value_of(symbols)
     at = np.flatnonzero(inner[:-1]) + 1
-    context, linked = value[at - 1], None
+    context = value[at - 1]
+    linked = np.zeros(len(symbols), bool)
+    linked[at] = True
     yield at, context
-    for length in range(2, depth + 1):
-        more = at > length - 1
-        at, context = at[more], context[more]
-        more = inner[at - length]
+    for length, known in enumerate(runs, 2):
+        # the run without its newest word ends one place before
+        more = (at > length - 1) & linked[at - 1]
         at, context = at[more], context[more]
-        if linked is not None:
-            more = linked[at - length + 2]
-            at, context = at[more], context[more]
         context = context + POWERS[length - 1] * value[at - length]
-        if linked is None:
-            more = pairs.has(context)
-            at, context = at[more], context[more]
-            linked = np.zeros(len(symbols), bool)
-            linked[at] = True
+        more = known.has(context)
+        at, context = at[more], context[more]
+        linked = np.zeros(len(symbols), bool)
+        linked[at] = True
         yield at, context
 
 
@@ -277,47 +279,41 @@ def _count_first(symbols: Symbols, hot: np.ndarray, buckets: int):
     return run
 
 
-def _count_deeper(symbols: Symbols, pairs: Bits, depth: int, hot: np.ndarray, buckets: int):
-    """Counts of next classes after contexts of 2 to ``depth`` words; hot are those whose last two words are; see LISTED."""
-    hot = Places(hot)
+def _count_level(symbols: Symbols, runs: list[Bits], hot: np.ndarray, buckets: int):
+    """Counts of next classes after contexts of as many words as the last of ``runs`` has; ``hot`` are contexts; see LISTED."""
+    hot, level = Places(hot), len(runs) + 1
 
-    def summed(level, parts):
-        context, oldest, symbol, common = (np.concatenate(x) for x in zip(*parts))
+    def summed(parts):
+        context, oldest, symbol = (np.concatenate(x) for x in zip(*parts))
         code = coded(context, symbol)
         order = np.argsort(code)
         first, n = _boundaries(code[order])
         first = order[first]
         order = np.argsort(context[first])
         first, n = first[order], n[order]
-        return _rows(level, context[first], context[first], oldest[first], symbol[first], n, common[first], buckets)
+        return _rows(level, context[first], context[first], oldest[first], symbol[first], n, hot.of(context[first]) >= 0, buckets)
 
     def run(batches):
-        held, waiting = {k: [] for k in range(2, depth + 1)}, 0
+        held, waiting = [], 0
         for batch in batches:
             for texts in chunks_of(batch, COUNT_BYTES):
                 words = Words(texts)
                 classes = symbols(words.hashes)[words.at]
-                common = np.zeros(len(classes), bool)
-                for level, (at, context) in enumerate(contexts_of(classes, pairs, depth), 1):
-                    if level == 2:
-                        common[at] = hot.of(context) >= 0
-                    if level > 1 and len(at):
-                        held[level].append((context, classes[at - level].astype(np.uint32), classes[at].astype(np.uint32), common[at]))
-                        waiting += len(at)
+                *_, (at, context) = contexts_of(classes, runs)
+                if len(at):
+                    held.append((context, classes[at - level].astype(np.uint32), classes[at].astype(np.uint32)))
+                    waiting += len(at)
                 if waiting > WAITING:
-                    for level, parts in held.items():
-                        if parts:
-                            yield from summed(level, parts)
-                    held, waiting = {k: [] for k in range(2, depth + 1)}, 0
-        for level, parts in held.items():
-            if parts:
-                yield from summed(level, parts)
+                    yield from summed(held)
+                    held, waiting = [], 0
+        if held:
+            yield from summed(held)
 
     return run
 
 
-def _merge(least: int):
-    """Sums a bucket's counts; what occurs less than ENTRY times and what follows contexts under ``least`` is left out.
+def _merge(least: int, entry: int):
+    """Sums a bucket's counts; what occurs less than ``entry`` times and what follows contexts under ``least`` is left out.
 
     A dealt context has no total yet, and a row without a code for its part of it.
     """
@@ -341,7 +337,7 @@ def _merge(least: int):
         n = np.add.reduceat(times[order], starts)
         first = order[starts]
         at = of[first]
-        good = (n >= ENTRY) & (dealt[at] | (whole[same[at]] >= least))
+        good = (n >= entry) & (dealt[at] | (whole[same[at]] >= least))
         first, n, at = first[good], n[good], at[good]
         after = symbol[first].astype(np.uint64)
         below = np.where(level[at] == 1, after, coded(suffix[at], after))
@@ -379,10 +375,10 @@ class _Classes:
 
 
 class Grown:
-    """The tree: ``entries`` (ctx, code, value) and ``contexts`` (ctx, total, kinds, left), values in log10."""
+    """The tree: ``entries`` (ctx, code, value) and ``contexts`` (ctx, total, kinds, left), values in log10; ``runs`` for each length from 2 on."""
 
-    def __init__(self, symbols: Symbols, pairs: Bits, contexts: DataFrame, entries: DataFrame):
-        self.symbols, self.pairs, self.contexts, self.entries = symbols, pairs, contexts, entries
+    def __init__(self, symbols: Symbols, runs: list[Bits], contexts: DataFrame, entries: DataFrame):
+        self.symbols, self.runs, self.contexts, self.entries = symbols, runs, contexts, entries
 
 
 def grow_level(counted: DataFrame, parents: DataFrame, fixed: dict[int, float], gain: float) -> DataFrame:
@@ -412,7 +408,9 @@ def grow_level(counted: DataFrame, parents: DataFrame, fixed: dict[int, float],
     return judged.select("ctx", "total", "kinds", F.log10("left").alias("left"), "code", p.cast("float").alias("p"), value.alias("value"))
 
 
-def grown(texts: DataFrame, words: DataFrame, tokens: int, fresh: float, least: int = LEAST, depth: int = DEPTH, gain: float = GAIN) -> Grown:
+def grown(
+    texts: DataFrame, words: DataFrame, tokens: int, fresh: float, least: int = LEAST, depth: int = DEPTH, gain: float = GAIN, entry: int = ENTRY
+) -> Grown:
     """The suffix tree of training texts (text), given their words (word, n)."""
     often = words.filter(F.col("n") >= least)
     symbols = Symbols(Bits(often.select("h"), often.count()))
@@ -427,7 +425,7 @@ def grown(texts: DataFrame, words: DataFrame, tokens: int, fresh: float, least:
 
     def counts(count):
         listed = texts.select("text").mapInArrow(count, LISTED)
-        return stored(listed.groupBy("bucket").applyInArrow(_merge(least), COUNTED), "lm-counts")
+        return stored(listed.groupBy("bucket").applyInArrow(_merge(least, entry), COUNTED), "lm-counts")
 
     def hot_of(found, key):
         """Less than HOT hashes."""
@@ -437,31 +435,33 @@ def grown(texts: DataFrame, words: DataFrame, tokens: int, fresh: float, least:
     real = classes.filter(~F.col("class").isin(0, end))
     counted = counts(_count_first(symbols, hot_of(real, "class"), buckets))
     parents = real.select(F.col("class").alias("below"), (F.col("n") * share).alias("q"))
-    level = stored(grow_level(with_totals(counted, least), parents, fixed, gain), "lm-level")
-    runs = counted.filter("run is not null")
-    pairs, hot = Bits(runs.select(F.col("run").alias("h")), runs.count()), hot_of(runs, "run")
-    for table in (counted, classes):
-        dropped(table)
-    levels = [level]
-    deeper = counts(_count_deeper(symbols, pairs, depth, hot, buckets)) if depth > 1 else None
-    for k in range(2, depth + 1):
-        parents = levels[-1].select(F.col("code").alias("below"), F.col("p").cast("double").alias("q"))
-        levels.append(stored(grow_level(with_totals(deeper.filter(F.col("level") == k), least), parents, {}, gain), "lm-level"))
-    if deeper is not None:
-        dropped(deeper)
-    entries = levels[0]
-    for more in levels[1:]:
+    dropped_later, parts, runs = [classes], [], []
+    for k in range(1, depth + 1):
+        level = stored(grow_level(with_totals(counted, least), parents, fixed if k == 1 else {}, gain), "lm-level")
+        found = counted.filter("run is not null") if k < depth else None
+        if found is not None:
+            runs.append(Bits(found.select(F.col("run").alias("h")), found.count()))
+            hot = hot_of(found, "run")
+        for table in (counted, *dropped_later):
+            dropped(table)
+        parts.append(stored(level.filter("value is not null").drop("p"), "lm-entries"))
+        dropped_later = [level]
+        if found is not None:
+            parents = level.select(F.col("code").alias("below"), F.col("p").cast("double").alias("q"))
+            counted = counts(_count_level(symbols, runs, hot, buckets))
+    dropped(level)
+    entries = parts[0]
+    for more in parts[1:]:
         entries = entries.unionByName(more)
-    entries = entries.filter("value is not null")
     contexts = entries.groupBy("ctx").agg(F.max("total").alias("total"), F.max("kinds").alias("kinds"), F.max("left").alias("left"))
-    return Grown(symbols, pairs, stored(contexts, "lm-contexts"), entries.select("ctx", "code", "value"))
+    return Grown(symbols, runs, stored(contexts, "lm-contexts"), entries.select("ctx", "code", "value"))
 
 
 class Head:
     """The most frequent contexts of a tree, with all their entries, and a bit table of all contexts."""
 
     def __init__(self, tree: Grown):
-        self.symbols, self.pairs = tree.symbols, tree.pairs
+        self.symbols, self.runs = tree.symbols, tree.runs
         n = tree.contexts.count()
         self.bits = Bits(tree.contexts.select(F.col("ctx").alias("h")), n)
         top = tree.contexts.orderBy(F.desc("total"), "ctx").limit(HEAD_CONTEXTS).select("ctx", "kinds", "left").toArrow()
@@ -501,7 +501,7 @@ class _Score:
     def _gains(self, symbol: np.ndarray):
         """What the contexts in the head add at each token, and (places, contexts, codes) of those that are not in it."""
         tree, gain, open_ = self.tree, np.zeros(len(symbol)), []
-        for at, context in contexts_of(symbol, tree.pairs, DEPTH):
+        for at, context in contexts_of(symbol, tree.runs):
             near = tree.bits.has(context)
             at, context = at[near], context[near]
             place = tree.contexts.of(context)
@@ -557,9 +557,14 @@ def past_head(scored: DataFrame, tree: Grown) -> DataFrame:
     return hits.groupBy("row").agg(F.sum(F.col("k") * F.coalesce("value", "left")).alias("more"))
 
 
-def lm_scores(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
+def lm_scores(
+    docs: DataFrame, modulus: int = 7, held: int = 2, least: int = LEAST, depth: int = DEPTH, entry: int = ENTRY, gain: float = GAIN
+) -> DataFrame:
     """Scores of every row of ``docs`` (doc_id, text), learned from rows whose crc32 of the id mod ``modulus`` is not ``held``.
 
+    Contexts have up to ``depth`` words and ``least`` occurrences, their entries
+    ``entry``; a context stays for ``gain`` nats an entry. Words have ``least``, too.
+
     The score is over the whole text, its end included, with all words outside the
     training vocabulary as one symbol, as in the base score.
 
@@ -579,7 +584,7 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     tokens, kinds = size.tokens or 0, size.kinds
     # the unknown symbol has the mass of the words seen once
     fresh = (size.once + 1) / (tokens + 2)
-    tree = grown(training, words, tokens, fresh)
+    tree = grown(training, words, tokens, fresh, least, depth, gain, entry)
     near = Head(tree)
     top = words.orderBy(F.desc("n"), "h").limit(HEAD).toArrow()
     h, n = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
