@@ -22,7 +22,7 @@ def test_each_stage_on_its_own_input(spark, sf_dir, tmp_path):
             labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
             assert kept == {r.doc_id for r in quality(docs, labels).filter("predicted = 1").collect()}
         elif name == "near_duplicates":
-            assert kept == {r.doc_id for r in near_duplicates(docs).filter("kept").collect()}
+            assert kept == {r.doc_id for r in near_duplicates(docs, corpus_pipeline.NEAR).filter("kept").collect()}
         elif name == "decontamination":
             bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
             assert given - kept == {r.doc_id for r in leaks(docs, bench).collect()}
