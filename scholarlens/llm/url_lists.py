@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholarlens.llm.common import free_name
+
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 PATH = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)"
 
@@ -56,8 +58,10 @@ def listed_captures(captures: DataFrame, events: DataFrame) -> DataFrame:
     ``entries`` names what covers the URL at its time of fetching as category:entry,
     sorted and comma-joined. A null URL, a URL without host and a null time match
     nothing and are not blocked. Every row of ``captures`` stays, repeated ones too;
-    its columns must not be named like the three that are added.
+    columns of it that are named like the three that are added, in any case, give way.
     """
+    captures = captures.drop(*[c for c in captures.columns if c.lower() in ("n_entries", "entries", "blocked")])
+    url_name, at_name, found_name = (free_name(c, captures.columns) for c in ("found_url", "found_at", "found_names"))
     key = captures.select("url", "fetched_at").filter("url is not null and fetched_at is not null").distinct()
     wanted = key.select("url", "fetched_at", F.explode(entries_above("url")).alias("entry"))
     intervals = validity(events)
@@ -69,13 +73,13 @@ def listed_captures(captures: DataFrame, events: DataFrame) -> DataFrame:
     )
     name = F.concat_ws(":", F.coalesce("i.category", F.lit("")), "w.entry")
     found = active.groupBy("w.url", "w.fetched_at").agg(F.array_sort(F.collect_set(name)).alias("names"))
-    found = found.select(F.col("url").alias("_url"), F.col("fetched_at").alias("_at"), "names")
-    joined = captures.join(found, (F.col("url") == F.col("_url")) & (F.col("fetched_at") == F.col("_at")), "left")
-    count = F.when(F.col("names").isNull(), 0).otherwise(F.size("names"))
+    found = found.select(F.col("url").alias(url_name), F.col("fetched_at").alias(at_name), F.col("names").alias(found_name))
+    joined = captures.join(found, (F.col("url") == F.col(url_name)) & (F.col("fetched_at") == F.col(at_name)), "left")
+    count = F.when(F.col(found_name).isNull(), 0).otherwise(F.size(found_name))
     return joined.select(
         *[captures[c] for c in captures.columns],
         count.cast("long").alias("n_entries"),
-        F.coalesce(F.array_join("names", ","), F.lit("")).alias("entries"),
+        F.coalesce(F.array_join(found_name, ","), F.lit("")).alias("entries"),
         (count > 0).alias("blocked"),
     )
 

@@ -338,3 +338,20 @@ def test_templates_past_line_breaks_and_first_names(spark):
 def test_entries_in_any_case_are_one(spark):
     events = spark.createDataFrame([("Example.org", "spam", 1, True), ("example.ORG", "spam", 5, False)], "entry string, category string, at long, listed boolean")
     assert [tuple(r) for r in validity(events).collect()] == [("example.org", "spam", 1, 5)]
+
+
+def test_captures_with_clashing_columns(spark):
+    frame = spark.createDataFrame([Row(url="http://a.b/x", fetched_at=5, Entries="old", blocked=7, found_url="u", found_at="t", found_names="n", w=1)])
+    listed = spark.createDataFrame([Row(entry="a.b", category="spam", at=1, listed=True)])
+    got = listed_captures(frame, listed)
+    assert got.columns == ["url", "fetched_at", "found_url", "found_at", "found_names", "w", "n_entries", "entries", "blocked"]
+    assert [tuple(r) for r in got.collect()] == [("http://a.b/x", 5, "u", "t", "n", 1, 1, "spam:a.b", True)]
+
+
+def test_leaks_with_null_and_repeated_ids(spark):
+    text = "the quick brown fox jumps over the lazy dog near the old stone bridge"
+    docs = spark.createDataFrame([Row(doc_id=d, text=t, item_id=9) for d, t in ((None, text), (1, f"so {text} again"), (1, text), (2, "nothing of it"), (3, None))], "doc_id long, text string, item_id long")
+    items = spark.createDataFrame([Row(item_id=i, text=t) for i, t in ((None, text), (5, text), (5, text), (6, None))], "item_id long, text string")
+    got = sorted(((r.doc_id, r.item_id) for r in leaks(docs, items).collect()), key=repr)
+    assert got == sorted([(d, i) for d in (None, 1, 1) for i in (None, 5, 5)], key=repr)
+    assert leaks(docs, items.limit(0)).collect() == [] and leaks(docs.limit(0), items).collect() == []
