@@ -80,7 +80,18 @@ def fixed_window_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered_fold(events, "user_id", ["second", "event_id"], start, step, "user_id long, event_id long, opened double, hits long, refused boolean")
 
 
-@query("failure_limiter")
+@query(
+    "failure_limiter",
+    f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts) AS s, event_type = 'error' AS failed, event_type = 'signup' AS resets,
+      row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+    w AS (SELECT user_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS DOUBLE) AS opened, CAST(0 AS BIGINT) AS n, '' AS outcome FROM (SELECT DISTINCT user_id FROM e)
+      UNION ALL SELECT user_id, rn, event_id, CASE WHEN had > 2 THEN since WHEN failed THEN coalesce(since, s) WHEN resets THEN NULL ELSE since END,
+        CASE WHEN had > 2 THEN had WHEN failed THEN had + 1 WHEN resets THEN 0 ELSE had END,
+        CASE WHEN had > 2 OR (failed AND had + 1 > 2) THEN 'refused' WHEN failed THEN 'failed' ELSE 'passed' END
+      FROM (SELECT e.*, CASE WHEN e.s >= w.opened + {15 * DAY} THEN NULL ELSE w.opened END AS since, CASE WHEN e.s >= w.opened + {15 * DAY} THEN 0 ELSE w.n END AS had
+        FROM w JOIN e ON e.user_id = w.user_id AND e.rn = w.rn + 1))
+    SELECT user_id, event_id, n AS failures, outcome FROM w WHERE rn > 0""",
+)
 def failure_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attempts of a user against a limit on failures alone: errors fail, signups reset, the rest pass."""
     events = read(spark, sf_dir, "events").select(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scholarlens.operators.agreement import adjusted_rand, cosine_silhouettes, stability
 from scholarlens.operators.chains import families
-from scholarlens.operators.vectors import unit_vector
+from scholarlens.operators.vectors import dot, unit_vector
 from scholarlens.plans.groups import topic_groups
 from scholarlens.plans.vectors import DIM
 from scholarlens.registry import query
@@ -119,3 +119,39 @@ def topic_group_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = topic_groups(spark, sf_dir).select("id", F.col("group_id").alias("b"))
     rows = subjects(spark, sf_dir).select("id", F.col("subject").alias("a")).join(placed, "id")
     return adjusted_rand(rows.withColumn("pair", F.lit("topic_groups")), ["pair"]).select("pair", "n", F.round("ari", 6).alias("ari"))
+
+
+@query(
+    "suggestion_accuracy",
+    """WITH v AS (SELECT vec_id AS id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS u FROM embeddings),
+    flat AS (SELECT id, label, unnest(u) AS x, generate_subscripts(u, 1) AS k FROM v),
+    rest AS (SELECT v.id, f.label, f.k, sum(f.x) AS x, count(*) AS n FROM v JOIN flat f ON f.id <> v.id GROUP BY v.id, f.label, f.k),
+    scored AS (SELECT r.id, r.label, round(sum(r.x * f.x) / sqrt(sum(r.x * r.x)), 9) AS s FROM rest r JOIN flat f ON f.id = r.id AND f.k = r.k GROUP BY r.id, r.label),
+    ranked AS (SELECT s.id, s.label, row_number() OVER (PARTITION BY s.id ORDER BY s.s DESC, s.label) AS r FROM scored s)
+    SELECT count(*) AS works, round(avg(CASE WHEN r.r = 1 THEN 1.0 ELSE 0 END), 6) AS first, round(avg(CASE WHEN r.r <= 2 THEN 1.0 ELSE 0 END), 6) AS first_two,
+      round((SELECT max(n) FROM (SELECT count(*) AS n FROM v GROUP BY label)) / CAST(count(*) AS DOUBLE), 6) AS most_common FROM v LEFT JOIN ranked r ON r.id = v.id AND r.label = v.label""",
+)
+def suggestion_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often a work's own subject is the first or among the first two suggested, when the work itself is left out of its subject's centroid.
+
+    The product of a work with the centroid of the others comes from sums by subject:
+    what the work adds to its own is taken off, so that no pair of works is formed.
+    """
+    rows = subjects(spark, sf_dir).select("id", "subject", unit_vector("vector", DIM).alias("vector")).filter("vector is not null")
+    flat = rows.select("subject", F.posexplode("vector").alias("k", "x")).groupBy("subject", "k").agg(F.sum("x").alias("x"))
+    sums = flat.groupBy("subject").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("total"))
+    sums = sums.join(rows.groupBy("subject").agg(F.count("*").alias("n")), "subject").withColumn("square", dot("total", "total"))
+    sums = sums.withColumnRenamed("subject", "other")
+    own, product = F.col("subject") == F.col("other"), F.col("product")
+    met = rows.crossJoin(sums).withColumn("product", dot("vector", "total")).filter(~own | (F.col("n") > 1))
+    score = F.when(own, (product - 1) / F.sqrt(F.col("square") - 2 * product + 1)).otherwise(product / F.sqrt("square"))
+    scored = met.select("id", "subject", "other", F.round(score, 9).alias("s"))
+    mine = F.max(F.when(F.col("subject") == F.col("other"), F.struct("s", (-F.col("other")).alias("o"))))
+    better = scored.groupBy("id").agg(mine.alias("mine")).join(scored, "id").filter(F.struct("s", (-F.col("other")).alias("o")) > F.col("mine"))
+    ahead = better.groupBy("id").agg(F.count("*").alias("ahead"))
+    placed = scored.filter("subject = other").select("id").join(ahead, "id", "left").select(F.coalesce("ahead", F.lit(0)).alias("ahead"))
+    told = placed.agg(F.sum(F.when(F.col("ahead") == 0, 1.0).otherwise(0.0)).alias("one"), F.sum(F.when(F.col("ahead") < 2, 1.0).otherwise(0.0)).alias("two"))
+    size = rows.groupBy("subject").agg(F.count("*").alias("n")).agg(F.sum("n").alias("works"), F.max("n").alias("most"))
+    return told.crossJoin(size).select(
+        "works", F.round(F.col("one") / F.col("works"), 6).alias("first"), F.round(F.col("two") / F.col("works"), 6).alias("first_two"), F.round(F.col("most") / F.col("works"), 6).alias("most_common")
+    )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scholarlens.functions import manuscripts as m
 from scholarlens.functions.text import squeezed
+from scholarlens.operators.keyword_lines import detected_keywords
 from scholarlens.registry import query
 from scholarlens.sources.views import KEYWORDS_SQL, WORKS_SQL, read, works
 
@@ -66,6 +67,36 @@ def manuscript_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain.unionByName(made).groupBy("kind", "outcome").agg(F.count("*").alias("n"))
 
 
+@query(
+    "keyword_blocks",
+    f"""WITH {WORKS_SQL}, {KEYWORDS_SQL}, k AS (SELECT id, keywords AS k, id % 8 AS layout FROM keyworded WHERE len(keywords) = 5)
+    SELECT id, CASE layout WHEN 0 THEN array_to_string(k, '; ') WHEN 3 THEN '' WHEN 1 THEN array_to_string(k[1:2], '; ') WHEN 5 THEN array_to_string(k[1:2], '; ') ELSE array_to_string(k[1:3], '; ') END AS keywords,
+      CASE WHEN layout = 3 THEN 'low' WHEN layout IN (1, 2, 5) THEN 'medium' ELSE 'high' END AS confidence FROM k""",
+)
+def keyword_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords of each work set in eight layouts by its number, and found by their lines.
+
+    Wrapped, under the label, cut off, no label at all, before an author, with an item
+    twice, with an open end, and before prose.
+    """
+    k, layout = F.col("keywords"), F.col("id") % 8
+    some = [F.get(k, F.lit(i)) for i in range(5)]
+    given = [
+        F.concat(F.lit("Keywords: "), F.array_join(F.slice(k, 1, 3), ", "), F.lit(",\n"), F.array_join(F.slice(k, 4, 2), ", ")),
+        F.concat(F.lit("KEYWORDS\n\n"), F.array_join(F.slice(k, 1, 2), "; "), F.lit("\n\nINTRODUCTION")),
+        F.concat(F.lit("Keywords: "), F.array_join(F.slice(k, 1, 3), ", "), F.lit(",")),
+        F.concat(F.lit("keywords, "), some[0], F.lit(" and others")),
+        F.concat(F.lit("Keywords: "), F.array_join(F.slice(k, 1, 3), ", "), F.lit("\nSantos, Juan P.")),
+        F.concat(F.lit("Index Terms — "), F.concat_ws(" | ", some[0], some[1], some[0])),
+        F.concat(F.lit("Keywords: "), F.array_join(F.slice(k, 1, 2), ", "), F.lit(",\n"), some[2]),
+        F.concat(F.lit("Keywords: "), F.array_join(F.slice(k, 1, 3), ", "), F.lit("\nThe study was done in town.")),
+    ]
+    text = F.concat(F.lit("ABSTRACT\nof it.\n"), F.coalesce(*[F.when(layout == i, x) for i, x in enumerate(given)]), F.lit("\n\nCHAPTER 1"))
+    made = works(spark, sf_dir).select("id", "keywords").filter(F.size(k) == 5).select("id", text.alias("manuscript"))
+    found = detected_keywords(made, "manuscript")
+    return found.select("id", F.array_join("found_keywords", "; ").alias("keywords"), F.col("keywords_confidence").alias("confidence"))
+
+
 PROGRAMS = {"AUTOMOBILE": "bscs", "BUILDING": "bsit", "FURNITURE": "bsis"}
 
 
