@@ -6,6 +6,8 @@ struct (value, confidence), both null where nothing was found.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,9 +27,17 @@ _STOPS = r"key\s?words?\b|chapter\b|table\s+of\s+contents|introduction\s*$|refer
 _MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december"
 
 
-def _field(value: Column, confidence: Column) -> Column:
-    found = value.isNotNull() & (value != "")
-    return F.struct(F.when(found, value).alias("value"), F.when(found, confidence).alias("confidence"))
+def _let(value: Column, made: Callable[[Column], Column]) -> Column:
+    """``made(value)``, with the value computed once however often it is named: it goes through an array of one."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
+def _field(value: Column, confidence: Callable[[Column], Column]) -> Column:
+    def field(v: Column) -> Column:
+        found = v.isNotNull() & (v != "")
+        return F.struct(F.when(found, v).alias("value"), F.when(found, confidence(v)).alias("confidence"))
+
+    return _let(value, field)
 
 
 def has_line(text: str, pattern: str) -> Column:
@@ -54,19 +64,27 @@ def abstract_of(text: str) -> Column:
     """What follows a line "abstract" up to the next section, if it reads like one."""
     body = F.regexp_extract(text, rf"(?mi)^[ \t]*abstract[ \t]*$\n([\s\S]*?)(?=^[ \t]*(?:{_STOPS})|\z)", 1)
     body = F.trim(F.regexp_replace(body, r"\s+", " "))
-    good = F.length(body).between(20, 6000) & (F.size(F.split(body, " ")) >= 20) & (letter_share(body) >= 0.6)
-    return _field(F.when(good, body), F.when(F.length(body) >= 200, "high").otherwise("medium"))
+
+    def good(b: Column) -> Column:
+        return F.when(F.length(b).between(20, 6000) & (F.size(F.split(b, " ")) >= 20) & (letter_share(b) >= 0.6), b)
+
+    return _field(_let(body, good), lambda b: F.when(F.length(b) >= 200, "high").otherwise("medium"))
 
 
 def keywords_of(text: str) -> Column:
     """Items of a line that begins with a keyword label, at most fifteen, repeats in another case left out."""
     line = F.regexp_extract(text, r"(?mi)^[ \t]*key\s?words?[ \t]*[:—-][ \t]*(.+)$", 1)
     items = F.filter(F.transform(F.split(line, r"[;,·•|]"), lambda x: F.trim(F.regexp_replace(x, r"[.\s]+$", ""))), lambda x: F.length(x).between(1, 64))
-    lower = F.transform(items, lambda x: F.lower(x))
-    first = F.filter(items, lambda x, i: F.array_position(lower, F.lower(x)) == i + 1)
-    kept = F.slice(first, 1, 15)
-    value = F.array_join(kept, "; ")
-    return _field(value, F.when(F.size(kept) >= 3, "high").otherwise("medium"))
+
+    def distinct(given: Column) -> Column:
+        lower = F.transform(given, lambda x: F.lower(x))
+        return F.slice(F.filter(given, lambda x, i: F.array_position(lower, F.lower(x)) == i + 1), 1, 15)
+
+    def field(kept: Column) -> Column:
+        sure = F.when(F.size(kept) >= 3, "high").otherwise("medium")
+        return F.struct(F.when(F.size(kept) > 0, F.array_join(kept, "; ")).alias("value"), F.when(F.size(kept) > 0, sure).alias("confidence"))
+
+    return _let(_let(items, distinct), field)
 
 
 def year_of(text: str, last: int) -> Column:
@@ -75,28 +93,31 @@ def year_of(text: str, last: int) -> Column:
     page = F.split(page, r"(?mi)^[ \t]*(?:abstract|chapter\b)", 2)[0]
     dated = F.regexp_extract_all(page, F.lit(rf"(?i)\b(?:{_MONTHS})\s+(?:[0-9]{{1,2}},?\s+)?((?:19|20)[0-9]{{2}})\b"), F.lit(1))
     alone = F.regexp_extract_all(page, F.lit(r"(?m)^[ \t]*((?:19|20)[0-9]{2})[ \t]*$"), F.lit(1))
-    known = F.filter(F.when(F.size(dated) > 0, dated).otherwise(alone), lambda y: y.cast("int").between(1980, last))
-    return _field(F.array_max(known), F.lit("high"))
+    found = _let(dated, lambda d: F.when(F.size(d) > 0, d).otherwise(alone))
+    return _field(F.array_max(F.filter(found, lambda y: y.cast("int").between(1980, last))), lambda y: F.lit("high"))
 
 
 def title_of(text: str) -> Column:
     """The lines before the first blank line, up to three, joined."""
     block = F.regexp_extract(text, r"\A\s*((?:[^\n]*\S[^\n]*\n?){1,3})", 1)
-    value = F.trim(F.regexp_replace(block, r"\s+", " "))
-    words = F.size(F.split(value, " "))
-    return _field(value, F.when(words.between(5, 15), "high").when(words >= 3, "medium").otherwise("low"))
+
+    def sure(title: Column) -> Column:
+        words = F.size(F.split(title, " "))
+        return F.when(words.between(5, 15), "high").when(words >= 3, "medium").otherwise("low")
+
+    return _field(F.trim(F.regexp_replace(block, r"\s+", " ")), sure)
 
 
 def authors_of(text: str) -> Column:
     """Name lines after a line "by", up to a blank line, at most twelve."""
     block = F.regexp_extract(text, r"(?mi)^[ \t]*(?:by|researchers?|authors?)[ \t]*:?[ \t]*$\n((?:[^\n]*\S[^\n]*(?:\n|\z)){1,12})", 1)
     names = F.filter(F.transform(F.split(block, r"\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(r"[0-9@]"))
-    return _field(F.array_join(names, "; "), F.lit("low"))
+    return _field(F.array_join(names, "; "), lambda n: F.lit("low"))
 
 
 def program_of(text: str, programs: dict[str, str]) -> Column:
     """The first program whose pattern stands on a line with a degree."""
     lines = F.filter(F.split(text, r"\n"), lambda x: x.rlike(r"(?i)\b(?:bachelor|master|doctor|degree|b\.?s\.?|m\.?s\.?)\b"))
     joined = F.lower(F.array_join(lines, "\n"))
-    value = F.coalesce(*[F.when(joined.rlike(p), F.lit(name)) for name, p in programs.items()])
-    return _field(value, F.lit("high"))
+    value = _let(joined, lambda j: F.coalesce(*[F.when(j.rlike(p), F.lit(name)) for name, p in programs.items()]))
+    return _field(value, lambda v: F.lit("high"))

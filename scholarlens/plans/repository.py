@@ -273,3 +273,42 @@ def uploader_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = works(spark, sf_dir).groupBy("uploader").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "approved").alias("approved"))
     name = F.coalesce(F.nullif(F.trim(F.coalesce("s_name", F.lit(""))), F.lit("")), F.col("uploader"))
     return counted.join(people, "uploader", "left").select("uploader", name.alias("display_name"), "n", "approved")
+
+
+#: Version of the fingerprint's form, and rows, then blocks, of one digest.
+FORM, ROWS_OF_A_BLOCK = "library-2", 10_000
+_COVERED = ["title", "abstract", "program", "uploader", "year", "created", "keywords"]
+_PREFIXED = " || ".join(f"coalesce(CAST(length({c}) AS VARCHAR) || ':' || {c}, '-')" for c in _COVERED)
+
+
+@query(
+    "library_fingerprint",
+    f"""WITH {WORKS_SQL}, {KEYWORDS_SQL}, covered AS (SELECT w.id, w.status, w.title, w.abstract, w.program, w.uploader, CAST(w.year AS VARCHAR) AS year,
+      CAST(epoch_us(w.created_at) AS VARCHAR) AS created, array_to_string(k.keywords, chr(31)) AS keywords FROM works w JOIN keyworded k ON k.id = w.id),
+    digests AS (SELECT status, id, sha256('{FORM}:' || CAST(id AS VARCHAR) || ':' || {_PREFIXED}) AS h FROM covered),
+    blocks AS (SELECT status, id // {ROWS_OF_A_BLOCK} AS b, count(*) AS n, sha256(string_agg(h, '' ORDER BY id, h)) AS h FROM digests GROUP BY ALL),
+    upper AS (SELECT status, b // {ROWS_OF_A_BLOCK} AS b, sum(n) AS n, sha256(string_agg(h, '' ORDER BY b)) AS h FROM blocks GROUP BY status, b // {ROWS_OF_A_BLOCK})
+    SELECT status, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(h, '' ORDER BY b)) AS fingerprint FROM upper GROUP BY status""",
+)
+def library_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A digest of each review state over digests of blocks of ten thousand rows, and of as many blocks.
+
+    Every field has its length before it, so that no two rows read alike, and the form
+    has a version. A block is a range of ids, so its digests are as many as it has ids,
+    and blocks of one state are hashed by different tasks.
+    """
+    rows = works(spark, sf_dir).select(
+        "id", "status", "title", "abstract", "program", "uploader", F.col("year").cast("string").alias("year"),
+        F.unix_micros(F.col("created_at").cast("timestamp")).cast("string").alias("created"), F.array_join("keywords", "\x1f").alias("keywords"),
+    )
+    prefixed = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in _COVERED]
+    row = F.sha2(F.concat(F.lit(f"{FORM}:"), F.col("id").cast("string"), F.lit(":"), *prefixed), 256)
+
+    def hashed(order: list[str]):
+        # as many as a block has members
+        return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "h"))), lambda x: x["h"]), ""), 256).alias("h")
+
+    level = rows.select("status", "id", row.alias("h")).groupBy("status", F.floor(F.col("id") / ROWS_OF_A_BLOCK).alias("b")).agg(F.count("*").alias("n"), hashed(["id"]))
+    level = level.groupBy("status", F.floor(F.col("b") / ROWS_OF_A_BLOCK).alias("c")).agg(F.sum("n").alias("n"), hashed(["b"]))
+    level = level.withColumnRenamed("c", "b").groupBy("status").agg(F.sum("n").alias("n"), hashed(["b"]))
+    return level.withColumnRenamed("h", "fingerprint")

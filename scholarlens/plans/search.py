@@ -198,23 +198,28 @@ def citation_edges(docs: DataFrame, targets: DataFrame, words: int = 8) -> DataF
 
     Targets of fewer than ``words`` words are found by all they have. The runs of a
     document, of each length that a target's key has, are joined with the keys by
-    equality, so that no text is held against titles that it shares nothing with.
+    64-bit hashes, so that no text is held against titles that it shares nothing with
+    and no run leaves its task as text; hits alone are compared word by word.
     """
     tokens = plain_words("text")
     titles = targets.filter("text is not null").select("item_id", F.slice(tokens, 1, words).alias("k"))
     lengths = sorted(r.n for r in titles.select(F.size("k").alias("n")).distinct().collect())
-    titles = titles.select("item_id", F.array_join("k", " ").alias("title"))
+    titles = titles.select("item_id", "k", F.size("k").alias("n"), F.xxhash64("k").alias("h"))
 
     def runs_of(n: int) -> Column:
         last = F.size("w") - n + 1
-        found = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice("w", i, n), " "))
+        found = F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.xxhash64(F.slice("w", i, n)).alias("h")))
         # a target without words stands in texts without words alone
         fits = last > 0 if n else last == 1
-        return F.when(fits, found).otherwise(F.array().cast("array<string>"))
-
-    runs = docs.filter("text is not null").select("doc_id", tokens.alias("w"))
-    runs = runs.select("doc_id", F.explode(F.concat(F.array().cast("array<string>"), *map(runs_of, lengths))).alias("title"))
-    return runs.join(titles, "title").select(F.col("doc_id").alias("citing"), F.col("item_id").alias("cited")).distinct()
+        return F.when(fits, found).otherwise(F.array().cast("array<struct<at:int,n:int,h:bigint>>"))
+
+    rows = docs.filter("text is not null")
+    runs = rows.select("doc_id", tokens.alias("w"))
+    runs = runs.select("doc_id", F.explode(F.concat(F.array().cast("array<struct<at:int,n:int,h:bigint>>"), *map(runs_of, lengths))).alias("r")).select("doc_id", "r.*")
+    hits = runs.join(titles, ["n", "h"]).select("doc_id", "at", "n", "k", "item_id").distinct()
+    same = hits.join(rows.select("doc_id", "text"), hits["doc_id"].eqNullSafe(rows["doc_id"])).select(hits["doc_id"], "at", "n", "k", "item_id", tokens.alias("w"))
+    same = same.filter(F.slice("w", F.col("at"), F.col("n")) == F.col("k"))
+    return same.select(F.col("doc_id").alias("citing"), F.col("item_id").alias("cited")).distinct()
 
 
 @query("citations", f"WITH {_CITED} SELECT citing, cited FROM edges")
