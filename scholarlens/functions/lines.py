@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,6 +34,11 @@ CONTACT = r"[\w.+-]+@[\w-]+\.[\w.-]+|(?:\+?63|0)[\s\-]?9\d{2}[\s\-]?\d{3}[\s\-]?
 _U = "(?U)"
 
 
+def let(value: Column, made: Callable[[Column], Column]) -> Column:
+    """``made(value)``, with the value computed once however often it is named: it goes through an array of one."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
 def like(line: Column, pattern: str) -> Column:
     """Words, digits and white space are those of all scripts."""
     return line.rlike(_U + pattern)
@@ -69,10 +76,10 @@ def author_line(line: Column) -> Column:
 
 def structural(line: Column) -> Column:
     """A line that is part of the frame: a heading, who it is by or for, an address. "By" with four words or more after it may be a title's."""
-    key = noise_key(line)
     rest = F.trim(F.regexp_replace(line, r"(?i)^by\b\s*:?", ""))
-    of_title = like(line, r"(?i)^by\b(?!:)") & (rest != "") & (F.size(words_of(rest)) > 3) & ~author_line(rest)
-    return key.isin(NOISE) | like(key, CHAPTER) | (like(line, BY) & ~of_title) | like(line, FRONT) | has_contact_details(line)
+    of_title = like(line, r"(?i)^by\b(?!:)") & let(rest, lambda r: (r != "") & (F.size(words_of(r)) > 3) & ~author_line(r))
+    heading = let(noise_key(line), lambda k: k.isin(NOISE) | like(k, CHAPTER))
+    return heading | (like(line, BY) & ~of_title) | like(line, FRONT) | has_contact_details(line)
 
 
 def ends_block(line: Column) -> Column:

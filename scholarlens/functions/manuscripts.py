@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scholarlens.functions.lines import let
+
 #: Line patterns that tell a thesis, in the order in which they are listed.
 MARKERS = {
     "abstract": r"abstract",
@@ -27,17 +29,12 @@ _STOPS = r"key\s?words?\b|chapter\b|table\s+of\s+contents|introduction\s*$|refer
 _MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december"
 
 
-def _let(value: Column, made: Callable[[Column], Column]) -> Column:
-    """``made(value)``, with the value computed once however often it is named: it goes through an array of one."""
-    return F.get(F.transform(F.array(value), made), F.lit(0))
-
-
 def _field(value: Column, confidence: Callable[[Column], Column]) -> Column:
     def field(v: Column) -> Column:
         found = v.isNotNull() & (v != "")
         return F.struct(F.when(found, v).alias("value"), F.when(found, confidence(v)).alias("confidence"))
 
-    return _let(value, field)
+    return let(value, field)
 
 
 def has_line(text: str, pattern: str) -> Column:
@@ -68,7 +65,7 @@ def abstract_of(text: str) -> Column:
     def good(b: Column) -> Column:
         return F.when(F.length(b).between(20, 6000) & (F.size(F.split(b, " ")) >= 20) & (letter_share(b) >= 0.6), b)
 
-    return _field(_let(body, good), lambda b: F.when(F.length(b) >= 200, "high").otherwise("medium"))
+    return _field(let(body, good), lambda b: F.when(F.length(b) >= 200, "high").otherwise("medium"))
 
 
 def keywords_of(text: str) -> Column:
@@ -84,7 +81,7 @@ def keywords_of(text: str) -> Column:
         sure = F.when(F.size(kept) >= 3, "high").otherwise("medium")
         return F.struct(F.when(F.size(kept) > 0, F.array_join(kept, "; ")).alias("value"), F.when(F.size(kept) > 0, sure).alias("confidence"))
 
-    return _let(_let(items, distinct), field)
+    return let(let(items, distinct), field)
 
 
 def year_of(text: str, last: int) -> Column:
@@ -93,7 +90,7 @@ def year_of(text: str, last: int) -> Column:
     page = F.split(page, r"(?mi)^[ \t]*(?:abstract|chapter\b)", 2)[0]
     dated = F.regexp_extract_all(page, F.lit(rf"(?i)\b(?:{_MONTHS})\s+(?:[0-9]{{1,2}},?\s+)?((?:19|20)[0-9]{{2}})\b"), F.lit(1))
     alone = F.regexp_extract_all(page, F.lit(r"(?m)^[ \t]*((?:19|20)[0-9]{2})[ \t]*$"), F.lit(1))
-    found = _let(dated, lambda d: F.when(F.size(d) > 0, d).otherwise(alone))
+    found = let(dated, lambda d: F.when(F.size(d) > 0, d).otherwise(alone))
     return _field(F.array_max(F.filter(found, lambda y: y.cast("int").between(1980, last))), lambda y: F.lit("high"))
 
 
@@ -119,5 +116,5 @@ def program_of(text: str, programs: dict[str, str]) -> Column:
     """The first program whose pattern stands on a line with a degree."""
     lines = F.filter(F.split(text, r"\n"), lambda x: x.rlike(r"(?i)\b(?:bachelor|master|doctor|degree|b\.?s\.?|m\.?s\.?)\b"))
     joined = F.lower(F.array_join(lines, "\n"))
-    value = _let(joined, lambda j: F.coalesce(*[F.when(j.rlike(p), F.lit(name)) for name, p in programs.items()]))
+    value = let(joined, lambda j: F.coalesce(*[F.when(j.rlike(p), F.lit(name)) for name, p in programs.items()]))
     return _field(value, lambda v: F.lit("high"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scholarlens.functions import manuscripts as m
 from scholarlens.functions.text import squeezed
+from scholarlens.operators.author_lines import detected_authors
 from scholarlens.operators.keyword_lines import detected_keywords
 from scholarlens.registry import query
 from scholarlens.sources.views import KEYWORDS_SQL, WORKS_SQL, read, works
@@ -97,6 +98,33 @@ def keyword_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", F.array_join("found_keywords", "; ").alias("keywords"), F.col("keywords_confidence").alias("confidence"))
 
 
+@query(
+    "author_blocks",
+    f"""WITH {WORKS_SQL}, {KEYWORDS_SQL}, k AS (SELECT id, id % 4 AS layout, upper(keywords[1][1]) || keywords[1][2:] AS a, upper(keywords[2][1]) || keywords[2][2:] AS b FROM keyworded
+      WHERE len(keywords) = 5 AND regexp_matches(keywords[1] || keywords[2], '^[a-z]+$'))
+    SELECT id, CASE layout WHEN 0 THEN a || ' B. ' || b || '; ' || b || ' ' || a WHEN 1 THEN a || ' ' || b || '; ' || b || ' C. ' || a WHEN 2 THEN a || ', ' || b || ' P.; ' || b || ', ' || a ELSE '' END AS authors FROM k""",
+)
+def author_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Authors of each work set on a title page in four ways by its number: under "by", beside it, in one line by surnames, and in prose, which names nobody."""
+    k = F.col("keywords")
+    rows = works(spark, sf_dir).filter(F.size(k) == 5).select("id", "title", F.get(k, F.lit(0)).alias("x"), F.get(k, F.lit(1)).alias("y"))
+    rows = rows.filter(F.concat("x", "y").rlike("^[a-z]+$"))
+
+    def capital(word: str):
+        return F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, 2, 99999))
+
+    rows = rows.select("id", "title", capital("x").alias("a"), capital("y").alias("b"))
+    a, b = F.col("a"), F.col("b")
+    given = (
+        F.when(F.col("id") % 4 == 0, F.concat(F.lit("by\n\n"), a, F.lit(" B. "), b, F.lit(" one@two.edu\n"), b, F.lit(" "), a, F.lit("\n\n\n\nThe rest")))
+        .when(F.col("id") % 4 == 1, F.concat(F.lit("Submitted by: "), a, F.lit(" "), b, F.lit("\n"), b, F.lit(" C. "), a, F.lit("\nINTRODUCTION")))
+        .when(F.col("id") % 4 == 2, F.concat(F.lit("Researchers: "), a, F.lit(", "), b, F.lit(" P. "), b, F.lit(", "), a))
+        .otherwise(F.concat(F.lit("Researchers used the old way.\n"), a, F.lit(" B. "), b))
+    )
+    made = rows.select("id", "title", F.concat("title", F.lit("\n"), given).alias("page"))
+    return detected_authors(made, "page", "title").select("id", F.array_join("found_authors", "; ").alias("authors"))
+
+
 PROGRAMS = {"AUTOMOBILE": "bscs", "BUILDING": "bsit", "FURNITURE": "bsis"}
 
 
