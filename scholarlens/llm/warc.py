@@ -341,7 +341,9 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = False) -> D
                             rows, held = [], 0
         yield made(rows)
 
-    return manifest.select("file").repartition("file").mapInArrow(run, _READ)
+    files = manifest.select("file")
+    # names are a few bytes, so without a number the archives would all go to one task
+    return files.repartition(max(1, files.count())).mapInArrow(run, _READ)
 
 
 def page_records(pages: DataFrame) -> DataFrame:
