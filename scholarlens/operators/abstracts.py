@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholarlens.functions.lines import let
+from scholarlens.sources.folders import stored
+
 #: Pages looked at, lines of a margin, longest margin line, and the bounds of an abstract.
 PAGES, MARGIN, MARGIN_LENGTH = 15, 3, 120
 MOST_CHARS, FEWEST_WORDS, LETTERS, SINGLE, SHORT = 6000, 20, 0.7, 0.12, 80
@@ -78,7 +81,8 @@ def recovered(lines: DataFrame, scanned: bool = False) -> DataFrame:
     Every line is typed once; a heading meets the lines of its page and the next by an
     equality join, so a document costs its lines, twice where headings are.
     """
-    clean = cleaned_lines(lines)
+    # read for headings, for contents and for what follows
+    clean = stored(cleaned_lines(lines), "page-lines")
     contents = clean.filter(_like(F.col("line"), CONTENTS)).select("doc", "page").distinct()
     heads = clean.filter(_like(F.col("line"), HEADING)).join(contents, ["doc", "page"], "left_anti")
     rest = F.regexp_extract("line", "(?U)" + HEADING, 1)
@@ -108,15 +112,19 @@ def recovered(lines: DataFrame, scanned: bool = False) -> DataFrame:
     parts = F.filter(F.concat(F.array(F.col("rest")), middle, F.array(F.coalesce(tail, F.lit("")))), lambda x: x != "")
     size = F.length("rest") + F.aggregate(middle, F.lit(0), lambda n, x: n + F.length(x))
     told = found.filter(size <= MOST_CHARS).select("doc", "from", "at", parts.alias("parts")).filter(F.size("parts") > 0)
-    told = told.withColumn("abstract", _joined("parts")).withColumn("words", F.split("abstract", " "))
-    text, words = F.col("abstract"), F.col("words")
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
-    single = F.size(F.filter(words, lambda w: w.rlike(r"^\p{L}$")))
-    good = (
-        (F.length(text) <= MOST_CHARS) & (F.size(words) >= FEWEST_WORDS) & (letters >= LETTERS * F.length(text))
-        & text.rlike(FINISHED) & (single <= SINGLE * F.size(words)) & ~F.contains(text, F.lit("�"))
-    )
-    broken = F.size(F.filter("parts", lambda p: F.size(F.split(p, " ")) <= 2)) * 3 > F.size("parts")
-    sure = F.when(F.lit(scanned) | broken | (F.size(words) < SHORT), "medium").otherwise("high")
-    first = told.filter(good).groupBy("doc").agg(F.min_by(F.struct(F.col("from").alias("page"), "abstract", sure.alias("confidence")), F.struct("from", "at")).alias("x"))
+
+    def judged(text: Column, words: Column) -> Column:
+        """(abstract, confidence), null for a text that reads like none."""
+        letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
+        single = F.size(F.filter(words, lambda w: w.rlike(r"^\p{L}$")))
+        good = (
+            (F.length(text) <= MOST_CHARS) & (F.size(words) >= FEWEST_WORDS) & (letters >= LETTERS * F.length(text))
+            & text.rlike(FINISHED) & (single <= SINGLE * F.size(words)) & ~F.contains(text, F.lit("�"))
+        )
+        broken = F.size(F.filter("parts", lambda p: F.size(F.split(p, " ")) <= 2)) * 3 > F.size("parts")
+        sure = F.when(F.lit(scanned) | broken | (F.size(words) < SHORT), "medium").otherwise("high")
+        return F.when(good, F.struct(text.alias("abstract"), sure.alias("confidence")))
+
+    told = told.select("doc", "from", "at", let(_joined("parts"), lambda t: let(F.split(t, " "), lambda w: judged(t, w))).alias("told"))
+    first = told.filter("told is not null").groupBy("doc").agg(F.min_by(F.struct(F.col("from").alias("page"), "told.abstract", "told.confidence"), F.struct("from", "at")).alias("x"))
     return first.select("doc", "x.page", "x.abstract", "x.confidence")
