@@ -177,7 +177,7 @@ def cluster_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def search_with_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Semantic search with a floor, from which works that name the query are exempt; they keep their low score."""
-    one = subjects(spark, sf_dir).filter("id = 0").select(F.col("vector").alias("q"))
+    one = subjects(spark, sf_dir).filter("id = 0").select(F.col("vector").alias("q")).orderBy("q").limit(1)
     rows = works(spark, sf_dir).filter("status = 'approved'").select("id", "title", "abstract")
     scored = rows.join(subjects(spark, sf_dir).select("id", "vector"), "id").join(F.broadcast(one)).withColumn("s", dot("vector", "q"))
     title = whole_word("title", "tion")

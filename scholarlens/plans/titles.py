@@ -52,7 +52,7 @@ def title_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     # one row of two words
     asked = words.select(F.inline(each)).filter("word is not null")
-    one = subjects(spark, sf_dir).filter("id = 0").select(F.col("vector").alias("q"))
+    one = subjects(spark, sf_dir).filter("id = 0").select(F.col("vector").alias("q")).orderBy("q").limit(1)
     scored = good.select("id").join(subjects(spark, sf_dir).select("id", "vector"), "id").join(F.broadcast(one))
     scored = scored.select("id", F.round(dot("vector", "q"), 4).alias("score"))
     named = worded.join(F.broadcast(asked.filter(F.col("n") <= NAMED)), "word").select("asked", "id", F.lit(0).alias("kind"))
@@ -82,7 +82,7 @@ _TOKENS = _SPACED.format
 def list_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page of a ranked listing for one reader: rescued works are kept below the floor and sort by their raw score."""
     rows = works(spark, sf_dir).filter("(status = 'approved' or uploader = 'src3') and year >= 2016").select("id", "year", "title", "abstract", "uploader")
-    one = subjects(spark, sf_dir).filter("id = 0").select(F.col("vector").alias("q"))
+    one = subjects(spark, sf_dir).filter("id = 0").select(F.col("vector").alias("q")).orderBy("q").limit(1)
     scored = rows.join(subjects(spark, sf_dir).select("id", "vector"), "id").join(F.broadcast(one))
     title = whole_word("title", "tion")
     found = scored.select(

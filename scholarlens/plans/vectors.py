@@ -24,7 +24,7 @@ def semantic_rank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty rows nearest to either variant of a query, by their clipped best dot product; ties by id."""
     rows = subjects(spark, sf_dir).select("id", "vector")
     # the query is two rows
-    wanted = rows.filter("id in (0, 1)").select(F.col("vector").alias("q"))
+    wanted = rows.filter("id in (0, 1)").groupBy("id").agg(F.min("vector").alias("q")).select("q")
     scored = rows.filter("id > 1").join(F.broadcast(wanted)).groupBy("id").agg(F.max(dot("vector", "q")).alias("s"))
     score = F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("s"))), 4)
     return scored.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(20)
@@ -40,7 +40,7 @@ def semantic_rank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def similarity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many rows fall into each band of similarity to one, how many pass the floor, and the best of each band."""
     rows = subjects(spark, sf_dir).select("id", "vector")
-    one = rows.filter("id = 3").select(F.col("vector").alias("q"))
+    one = rows.filter("id = 3").select(F.col("vector").alias("q")).orderBy("q").limit(1)
     scored = rows.filter("id <> 3").join(F.broadcast(one)).select(F.round(dot("vector", "q"), 4).alias("s"))
     return scored.groupBy(band("s").alias("band")).agg(
         F.count("*").alias("n"), F.count_if(F.col("s") >= 0.35).alias("relevant"), F.max("s").alias("best")
@@ -172,7 +172,7 @@ def trend_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
 def title_topic_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five works nearest to a title above the floor, and the trend that the number of all such works means."""
     rows = subjects(spark, sf_dir)
-    one = rows.filter("id = 7").select(F.col("vector").alias("q"))
+    one = rows.filter("id = 7").select(F.col("vector").alias("q")).orderBy("q").limit(1)
     related = rows.filter("id <> 7").join(F.broadcast(one)).select("id", F.round(dot("vector", "q"), 4).alias("score"))
     kept = related.filter("score >= 0.35")
     count = kept.agg(F.count("*").alias("related"))
