@@ -11,12 +11,12 @@ LAYOUTS = [
     (f"{T}\nResearchers used the old way.\nCruz, Juan P.\nSantos, Maria L.", []),
     (f"{T}\nby\nJuan Cruz juan@psu.edu.ph 09171234567\nMaria Santos\nINTRODUCTION\nPedro Reyes", ["Juan Cruz", "Maria Santos"]),
     (f"{T}\nby\n\n\n\nJuan Cruz", []),
-    (f"{T}\nBY AI CHATBOT AND EMERGENCY RESPONSE\nby\nAna Lim", ["Ana Lim"]),
+    (f"{T}\nBY SMART SENSORS AND EARLY WARNING\nby\nAna Lim", ["Ana Lim"]),
     (f"{T}\nAbstract\nby\nAna Lim", []),
     (f"{T}\nby\nAna Lim\nANA LIM\nana reyes", ["Ana Lim"]),
     (f"{T}\nprepared by Maria Clara Santos and others of the town", []),
     (f"{T}\n\nCRUZ, JUAN PEDRO\nSANTOS, MARIA CLARA\n\nA Thesis Presented to the Faculty", ["CRUZ, JUAN PEDRO", "SANTOS, MARIA CLARA"]),
-    (f"{T}\nCRISTOPHER B. AMPA, Don Honorio Ventura State University\nJOHN PAUL B. ARNAIZ, Don Honorio Ventura State University", ["CRISTOPHER B. AMPA", "JOHN PAUL B. ARNAIZ"]),
+    (f"{T}\nPEDRO LUIS B. LUNA, Don Honorio Ventura State University\nMARIO PAUL B. REYES, Don Honorio Ventura State University", ["PEDRO LUIS B. LUNA", "MARIO PAUL B. REYES"]),
     (f"{T}\nJuan P. Cruz\nPampanga State University\njuan@psu.edu.ph\nMaria L. Santos\nBarangay Uno, Mexico, Pampanga\n0917 123 4567\nJose R. Lim\nAdviser: Ana M. Reyes\nPio T. Go", ["Juan P. Cruz", "Maria L. Santos", "Jose R. Lim"]),
     (f"{T}\nJuan P. Cruz\n\nThe rest", []),
     (f"{T}\nSome other line\nJuan P. Cruz\nMaria L. Santos", []),

@@ -51,12 +51,12 @@ def matches(query, title, corpus):
 
 
 TITLES = [
-    "Thesix: Centralized IoT store", "Thesix - a second one", "thesix", "Web-Based Farming", "web based farming", "The internet-of-things cart", "Patriot carts",
+    "Farmix: Centralized IoT store", "Farmix - a second one", "farmix", "Web-Based Farming", "web based farming", "The internet-of-things cart", "Patriot carts",
     "C++ for all", "C + + for none", "System one", "A system", "Systems", "system three", "The System: four", "Rare gem", None, "", "   ", "IT in schools", "it in schools",
     "Users' user interfaces", "Café — straße", "CAFE", "a.b", "a.b.c", "axb", "(OCR) reader", "optical\tcharacter recognition", "under_score word", "score",
 ]
 QUERIES = [
-    None, "", "  ", "Thesix", "THESIX", "iot", "Internet of Things", "internet-of-things", "IT", "it", "web-based", "Web Based", "system", "gem", "ge", "rare gem", "c++", "+", "a.b",
+    None, "", "  ", "Farmix", "FARMIX", "iot", "Internet of Things", "internet-of-things", "IT", "it", "web-based", "Web Based", "system", "gem", "ge", "rare gem", "c++", "+", "a.b",
     "a.b.", "ocr", "user interface", "UIs", "café", "STRASSE", "cart", "carts", "score", "one", "centralized iot", "(ocr)", "Farming", "in schools", "b", ".",
 ]
 
