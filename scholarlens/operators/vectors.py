@@ -6,12 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TIE = 1e-6
 #: Probes of one block of a search; a block of vectors of 1024 numbers is 16 MB.
 BLOCK = 2_000
+#: Rows that one cell of a grid streams past its probes, and the most tasks of a grid; a task takes several cells beyond that.
+ROWS_OF_A_CELL, MOST_TASKS = 500_000, 20_000
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -54,6 +56,12 @@ def band(score: str | Column) -> Column:
     return F.when(score >= 0.85, "HIGH").when(score >= 0.60, "MODERATE").otherwise("LOW")
 
 
+def _numbers(batch: pa.RecordBatch) -> np.ndarray:
+    """The column of vectors as a matrix in double precision."""
+    flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False)
+    return flat.astype(np.float64).reshape(batch.num_rows, -1)
+
+
 def _leading(probe_ids: np.ndarray, probes: np.ndarray):
     """Per batch and probe: every row within TIE of the batch's best score, the probe itself left out."""
 
@@ -62,8 +70,7 @@ def _leading(probe_ids: np.ndarray, probes: np.ndarray):
             if not batch.num_rows:
                 continue
             ids = batch.column("id").to_numpy()
-            rows = np.stack([np.asarray(v, np.float64) for v in batch.column("vector").to_pylist()])
-            scores = probes @ rows.T
+            scores = probes @ _numbers(batch).T
             scores[probe_ids[:, None] == ids[None, :]] = -np.inf
             best = scores.max(axis=1)
             p, r = np.nonzero((scores >= best[:, None] - TIE) & np.isfinite(best)[:, None])
@@ -74,30 +81,67 @@ def _leading(probe_ids: np.ndarray, probes: np.ndarray):
     return run
 
 
-def best_matches(corpus: DataFrame, probes: DataFrame, block: int = BLOCK) -> DataFrame:
+def _leading_in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As :func:`_leading` over sorted cells, each with its probes before its rows; only the probes of one cell are held."""
+    at, held, lead = None, [], None
+    for batch in batches:
+        cells, met = batch.column("cell").to_numpy(), batch.column("met").to_numpy(zero_copy_only=False)
+        edges = np.flatnonzero((np.diff(cells) != 0) | (met[1:] != met[:-1])) + 1
+        for start, end in zip([0, *edges], [*edges, batch.num_rows]):
+            if end == start:
+                continue
+            part = batch.slice(start, end - start)
+            if cells[start] != at:
+                at, held, lead = cells[start], [], None
+            if not met[start]:
+                held.append(part)
+            elif held:
+                if lead is None:
+                    lead = _leading(np.concatenate([b.column("id").to_numpy() for b in held]), np.concatenate([_numbers(b) for b in held]))
+                yield from lead([part])
+
+
+_LED = "probe long, id long, score double"
+
+
+def _grid(corpus: DataFrame, probes: DataFrame, block: int, rows_of_a_cell: int) -> DataFrame:
+    """Leaders by cells of a grid: blocks of probes against shards of rows, one plan whatever their number."""
+    spark = corpus.sparkSession
+    blocks = max(1, -(-probes.count() // block))
+    parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(1, -(-corpus.count() // rows_of_a_cell), -(-parallel // blocks))
+    shard, of_block = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)), F.pmod(F.xxhash64("id"), F.lit(blocks))
+    rows = corpus.select("id", "vector", shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+    asked = probes.select("id", "vector", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), of_block.alias("b"))
+    cell = (F.col("b").cast("long") * shards + F.col("shard")).alias("cell")
+    both = asked.select(cell, F.lit(False).alias("met"), "id", "vector").unionByName(rows.select(cell, F.lit(True).alias("met"), "id", "vector"))
+    placed = both.repartition(min(blocks * shards, MOST_TASKS), "cell").sortWithinPartitions("cell", "met")
+    return placed.mapInArrow(_leading_in_cells, _LED)
+
+
+def best_matches(corpus: DataFrame, probes: DataFrame, block: int = BLOCK, rows_of_a_cell: int = ROWS_OF_A_CELL) -> DataFrame:
     """(probe, id, score): for each probe (id, vector) the best other row of ``corpus`` (id, vector).
 
     Rows within 1e-6 of the best score tie, and the least id wins; the score is that
-    of the chosen row. Probes are taken in blocks of a bounded size, each of which
-    meets all rows by one matrix product a batch; only the leaders of a batch are
-    shuffled. Vectors must be usable and of one length.
+    of the chosen row. Up to ``block`` probes travel to the rows, which are then not
+    shuffled. More of them meet the rows in a grid: a cell holds about ``block``
+    probes and streams about ``rows_of_a_cell`` rows past them by one matrix product
+    a batch. Only the leaders of a batch are shuffled again. Vectors must be usable
+    and of one length, the ids of probes unique; without probes or without other
+    rows there is no row.
     """
-    count = probes.count()
-    blocks = max(1, -(-count // block))
-    numbered = probes.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    out = None
-    for k in range(blocks):
-        part = numbered.filter(F.col("block") == k).select("id", "vector").toArrow()
-        ids = part.column("id").to_numpy()
-        if not len(ids):
-            continue
-        vectors = np.array(part.column("vector").to_pylist(), np.float64)
-        led = corpus.select("id", "vector").mapInArrow(_leading(ids, vectors), "probe long, id long, score double")
-        out = led if out is None else out.unionByName(led)
-    if out is None:
-        return corpus.sparkSession.createDataFrame([], "probe long, id long, score double")
-    top = out.groupBy("probe").agg(F.max("score").alias("top"))
-    tied = out.join(top, "probe").filter(F.col("score") >= F.col("top") - TIE)
+    few = probes.select("id", "vector").limit(block + 1).toArrow()
+    if few.num_rows > block:
+        led = _grid(corpus.select("id", "vector"), probes.select("id", "vector"), block, rows_of_a_cell)
+    elif few.num_rows:
+        asked = few.combine_chunks().to_batches()[0]
+        led = corpus.select("id", "vector").mapInArrow(_leading(asked.column("id").to_numpy(), _numbers(asked)), _LED)
+    else:
+        return corpus.sparkSession.createDataFrame([], _LED)
+    # equal scores are one row before the shuffle, so that copies do not pile up on a probe
+    led = led.groupBy("probe", "score").agg(F.min("id").alias("id"))
+    top = F.max("score").over(Window.partitionBy("probe"))
+    tied = led.withColumn("top", top).filter(F.col("score") >= F.col("top") - TIE)
     chosen = tied.groupBy("probe").agg(F.min(F.struct("id", "score")).alias("m"))
     return chosen.select("probe", "m.id", "m.score")
 

@@ -67,6 +67,12 @@ def test_best_match_takes_the_earliest_of_a_tie(spark):
     for k in range(30):
         best = min(np.flatnonzero(scores[k] >= scores[k].max() - 1e-6))
         assert got[k][0] == best and math.isclose(got[k][1], scores[k][best], rel_tol=1e-9)
+    cells = best_matches(frame, frame.filter("id < 30"), block=7, rows_of_a_cell=11)
+    assert {r.probe: (r.id, r.score) for r in cells.collect()} == got
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    few = best_matches(frame, frame.filter("id < 30"))
+    assert {r.probe: r.id for r in few.collect()} == {p: m[0] for p, m in got.items()}
     assert best_matches(frame, frame.limit(0)).collect() == []
 
 
