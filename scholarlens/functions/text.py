@@ -37,6 +37,19 @@ def normal_title(texts: pd.Series) -> pd.Series:
     return texts.map(_normal_title)
 
 
+def _unaccented(text: str | None) -> str | None:
+    if text is None or text.isascii():
+        return text
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+
+
+# Spark has no Unicode normalisation
+@F.pandas_udf(StringType())
+def unaccented(texts: pd.Series) -> pd.Series:
+    """Compatibility form without accents: ligatures are split, wide forms narrowed; case stays."""
+    return texts.map(_unaccented)
+
+
 def plain_words(text: str | Column) -> Column:
     """Lower-case words of letters and digits."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
