@@ -15,7 +15,7 @@ _SMALL = frozenset("a an and as at by for from in of on or the to with".split())
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 MOBILE = r"(?:\+?63|0)[\s-]?9[0-9]{2}[\s-]?[0-9]{3}[\s-]?[0-9]{4}"
 DIGITS = r"[0-9]{7,}"
-_PARTICLES = frozenset("da de del dela der di la las los san santa van von".split())
+PARTICLES = frozenset("da de del dela der di la las los san santa van von".split())
 
 
 def has_contact(text: str | Column) -> Column:
@@ -129,7 +129,7 @@ def split_name(name: str) -> tuple[str, str]:
         return given.strip(), surname.strip()
     words = name.split()
     k = len(words) - 1
-    while k > 1 and words[k - 1].lower() in _PARTICLES:
+    while k > 1 and words[k - 1].lower() in PARTICLES:
         k -= 1
     return " ".join(words[:k]), " ".join(words[k:])
 
