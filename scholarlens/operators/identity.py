@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scholarlens.functions.lines import let
 from scholarlens.functions.names import token_set_ratio
 
 #: Programs and the spellings that stand for them, in the order in which a part of a name is looked for.
@@ -39,27 +40,34 @@ def normal_program(name: str | Column) -> Column:
     spelling, so it means the first program.
     """
     name = F.col(name) if isinstance(name, str) else name
-    clean = cleaned(name)
-    exact = F.coalesce(*[F.when(clean == a, F.lit(p)) for a, p in ALIASES])
-    part = F.coalesce(*[F.when(F.contains(clean, F.lit(a)) | F.contains(F.lit(a), clean), F.lit(p)) for a, p in ALIASES])
-    return F.when(F.length(name) > 0, F.coalesce(exact, part, name))
+    known = F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(p).alias("program")) for a, p in ALIASES])
+
+    def meant(clean: Column) -> Column:
+        exact = F.filter(known, lambda k: k["alias"] == clean)
+        part = F.filter(known, lambda k: F.contains(clean, k["alias"]) | F.contains(k["alias"], clean))
+        return F.coalesce(F.get(exact, F.lit(0))["program"], F.get(part, F.lit(0))["program"])
+
+    # a name is cleaned once; a branch for each spelling would not fit into one compiled method
+    return F.when(F.length(name) > 0, F.coalesce(let(cleaned(name), meant), name))
 
 
 def named_institution(name: str | Column) -> Column:
     """Which rule says without a doubt that a name is the institution's: "exact", "words" or "abbreviation"; null if none does."""
-    lower = F.lower(F.trim(F.col(name) if isinstance(name, str) else name))
-
-    def has(word):
-        return F.contains(lower, F.lit(word)).cast("int")
-
-    words = has("don") + has("honorio") + has("ventura")
-    cut = (has("ventur") == 1) & ((has("don") == 1) | (has("honorio") == 1))
-    return (
-        F.when(lower.isin([n.lower() for n in INSTITUTIONS]), "exact")
-        .when((has("pampanga") == 1) & (has("state") == 1), "words")
-        .when(has("dhvsu") == 1, "abbreviation")
-        .when((words >= 2) | cut, "words")
-    )
+
+    def told(lower: Column) -> Column:
+        def has(word):
+            return F.contains(lower, F.lit(word)).cast("int")
+
+        words = has("don") + has("honorio") + has("ventura")
+        cut = (has("ventur") == 1) & ((has("don") == 1) | (has("honorio") == 1))
+        return (
+            F.when(lower.isin([n.lower() for n in INSTITUTIONS]), "exact")
+            .when((has("pampanga") == 1) & (has("state") == 1), "words")
+            .when(has("dhvsu") == 1, "abbreviation")
+            .when((words >= 2) | cut, "words")
+        )
+
+    return let(F.lower(F.trim(F.col(name) if isinstance(name, str) else name)), told)
 
 
 def matched_institutions(rows: DataFrame, name: str) -> DataFrame:

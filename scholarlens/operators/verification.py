@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scholarlens.functions.lines import let
 from scholarlens.functions.text import unaccented
 from scholarlens.operators.identity import ALIASES, matched_institutions, normal_program
 
@@ -64,8 +65,8 @@ def number_on_document(email: str | Column, text: str | Column) -> Column:
 
 def first_held(text: str | Column, names: list[str]) -> Column:
     """The first of ``names`` that a text holds anywhere, in either case; null if none."""
-    lower = F.lower(_column(text))
-    return F.coalesce(*[F.when(F.contains(lower, F.lit(n.lower())), F.lit(n)) for n in names])
+    known = F.array(*[F.lit(n) for n in names])
+    return let(F.lower(_column(text)), lambda lower: F.get(F.filter(known, lambda n: F.contains(lower, F.lower(n))), F.lit(0)))
 
 
 def college_allowed(college: str | Column) -> Column:
@@ -75,9 +76,12 @@ def college_allowed(college: str | Column) -> Column:
 
 def institution_told(text: str | Column) -> Column:
     """Does a text tell the institution, by one telling word or by two supporting ones?"""
-    lower = F.lower(F.coalesce(_column(text), F.lit("")))
-    supporting = sum((F.contains(lower, F.lit(w)).cast("int") for w in SUPPORTING), F.lit(0))
-    return lower.rlike("|".join(TELLING)) | (supporting >= 2)
+
+    def told(lower: Column) -> Column:
+        supporting = sum((F.contains(lower, F.lit(w)).cast("int") for w in SUPPORTING), F.lit(0))
+        return lower.rlike("|".join(TELLING)) | (supporting >= 2)
+
+    return let(F.lower(F.coalesce(_column(text), F.lit(""))), told)
 
 
 def rule_failures(rows: DataFrame, negative: bool) -> DataFrame:

@@ -19,7 +19,7 @@ fields AS (SELECT *, CASE WHEN id % 11 <> 0 THEN f || ' ' || l END AS full_name,
   CASE WHEN id % 13 <> 0 THEN CAST(40 + (id * 7) % 60 AS DOUBLE) END AS confidence,
   CASE id % 10 WHEN 0 THEN 'approved' WHEN 1 THEN 'denied' ELSE 'processing' END AS state FROM named),
 applicants AS (SELECT *, concat_ws(chr(10), institution, college, CASE WHEN m = 1 AND id % 3 = 0 THEN 'Honorio' END,
-  CASE WHEN id % 5 = 0 THEN 'Name: ' || upper(f) ELSE 'Name: ' || upper(f) || ' ' || l END,
+  CASE WHEN id % 5 = 0 THEN 'Name: ' || f ELSE 'Name: ' || f || ' ' || l END,
   'No. 2023-' || CAST(100000 + id AS VARCHAR) || CASE WHEN id % 7 = 0 THEN '9' ELSE '' END || '.', abstract) AS text FROM fields)"""
 
 
@@ -39,7 +39,7 @@ def applicants(spark: SparkSession, sf_dir: str) -> DataFrame:
         "state": F.when(i % 10 == 0, "approved").when(i % 10 == 1, "denied").otherwise("processing"),
         "email": F.concat(number, F.lit("@school.edu")),
     })
-    shown = F.when(i % 5 == 0, F.upper("first_name")).otherwise(F.concat_ws(" ", F.upper("first_name"), "last_name"))
+    shown = F.when(i % 5 == 0, F.col("first_name")).otherwise(name)
     printed = F.concat(F.lit("No. 2023-"), (i + 100_000).cast("string"), F.when(i % 7 == 0, "9").otherwise(""), F.lit("."))
     hint = F.when((m == 1) & (i % 3 == 0), "Honorio")
     return rows.withColumn("text", F.concat_ws("\n", "institution", "college", hint, F.concat(F.lit("Name: "), shown), printed, "abstract"))
