@@ -56,6 +56,41 @@ def band(score: str | Column) -> Column:
     return F.when(score >= 0.85, "HIGH").when(score >= 0.60, "MODERATE").otherwise("LOW")
 
 
+#: What a reviewer is told for each overlap label; any other label says that nothing was measured.
+ADVICE = {
+    "High Overlap": "Very close to an existing approved thesis. Compare scope, methodology, and target users before approving.",
+    "Moderate": "Shares substantial wording with an existing thesis. May still be acceptable if the scope or implementation differ.",
+    "Clean": "No substantial title overlap with the approved corpus.",
+}
+NOT_MEASURED = "Similarity could not be measured for this record."
+
+
+def overlap_label(score: str | Column) -> Column:
+    score = F.col(score) if isinstance(score, str) else score
+    return F.when(score >= 0.85, "High Overlap").when(score >= 0.60, "Moderate").when(score.isNotNull(), "Clean").otherwise("Not computed")
+
+
+def advice(label: str | Column) -> Column:
+    known = F.create_map(*[F.lit(x) for pair in ADVICE.items() for x in pair])
+    label = F.col(label) if isinstance(label, str) else label
+    return F.coalesce(F.when(label.isNotNull(), F.try_element_at(known, label)), F.lit(NOT_MEASURED))
+
+
+def overlap_reports(corpus: DataFrame, probes: DataFrame, dim: int) -> DataFrame:
+    """(id, match_id, score, label, reason, corpus_size) of every probe (id, vector) against the usable rows of ``corpus``.
+
+    A probe that cannot be compared says why and is "Not computed"; so is one without
+    any other row ("empty_corpus"). Scores are rounded to four digits after the label is set.
+    """
+    usable = corpus.select("id", "vector").filter(fault("vector", dim).isNull())
+    judged = probes.select("id", "vector", fault("vector", dim).alias("reason"))
+    found = best_matches(usable, judged.filter("reason is null").select("id", "vector"))
+    size = usable.agg(F.count("*").alias("corpus_size"))
+    rows = judged.drop("vector").join(found.select(F.col("probe").alias("id"), F.col("id").alias("match_id"), "score"), "id", "left").crossJoin(size)
+    reason = F.coalesce("reason", F.when(F.col("score").isNull(), "empty_corpus"))
+    return rows.select("id", "match_id", F.round("score", 4).alias("score"), overlap_label("score").alias("label"), reason.alias("reason"), "corpus_size")
+
+
 def _numbers(batch: pa.RecordBatch) -> np.ndarray:
     """The column of vectors as a matrix in double precision."""
     flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["corpus", "repository", "vectors", "search", "events", "streams", "manuscripts", "groups", "listings", "titles", "text_search", "families", "scans", "verification", "forms", "facets"]
+MODULES = ["corpus", "repository", "vectors", "search", "events", "streams", "manuscripts", "groups", "listings", "titles", "text_search", "families", "scans", "verification", "forms", "facets", "stored"]
 
 
 def load_all() -> None:
