@@ -103,7 +103,7 @@ def _ratio(a: str, b: str) -> float:
     return 200.0 * row[-1] / (len(a) + len(b))
 
 
-def _token_set(a: str | None, b: str | None) -> float | None:
+def token_set(a: str | None, b: str | None) -> float | None:
     if a is None or b is None:
         return None
     x, y = set(a.lower().split()), set(b.lower().split())
@@ -119,7 +119,7 @@ def _token_set(a: str | None, b: str | None) -> float | None:
 @F.pandas_udf(DoubleType())
 def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Likeness of two texts as sets of words, 0 to 100; 100 when one holds the other."""
-    return pd.Series([_token_set(x, y) for x, y in zip(a, b)], dtype="float64")
+    return pd.Series([token_set(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
 def split_name(name: str) -> tuple[str, str]:

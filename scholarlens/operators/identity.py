@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from scholarlens.functions.lines import let
-from scholarlens.functions.names import token_set_ratio
+from scholarlens.functions.names import token_set
 
 #: Programs and the spellings that stand for them, in the order in which a part of a name is looked for.
 ALIASES = [
@@ -70,23 +73,31 @@ def named_institution(name: str | Column) -> Column:
     return let(F.lower(F.trim(F.col(name) if isinstance(name, str) else name)), told)
 
 
+def _likeness(name: str) -> float:
+    words, best = set(name.split()), 0.0
+    length = len(" ".join(words))
+    for known in (n.lower() for n in INSTITUTIONS):
+        # words in common, or lengths that allow three quarters of alike letters
+        if words & set(known.split()) or min(length, len(known)) >= ENOUGH / (200 - ENOUGH) * max(length, len(known)):
+            best = max(best, token_set(name, known))
+    return best
+
+
+@F.pandas_udf(DoubleType())
+def institution_likeness(names: pd.Series) -> pd.Series:
+    """The best likeness of lower-case names to the institution's as sets of words, of such as can reach the bar; each name of a batch once, 0 for null."""
+    places, distinct = pd.factorize(names)
+    return pd.Series(np.array([_likeness(n) for n in distinct] + [0.0])[places])
+
+
 def matched_institutions(rows: DataFrame, name: str) -> DataFrame:
     """``rows`` with ``rule``: how column ``name`` was found to be the institution's, null if it is not.
 
-    Rules on words decide first. Only distinct names that they leave open are held
-    against the institution's names as sets of words ("likeness"), which needs Python,
-    and of these only such as can reach the bar: without a word in common two texts are
-    75 % alike only if the shorter has three fifths of the other's length.
+    Rules on words decide first. Only names that they leave open are held against the
+    institution's names as sets of words ("likeness"), which needs Python: without a
+    word in common two texts are 75 % alike only if the shorter has three fifths of the
+    other's length. Rows stay where they are, so a name that many share costs no shuffle.
     """
-    open_ = rows.filter(F.col(name).isNotNull() & named_institution(name).isNull()).select(F.lower(F.trim(F.col(name))).alias("_lower")).distinct()
-    names = F.explode(F.array(*[F.lit(n.lower()) for n in INSTITUTIONS]))
-    pairs = open_.select("_lower", names.alias("known"))
-    # words in common, or lengths that allow three quarters of alike letters
-    words = F.array_distinct(F.split("_lower", r"(?U)\s+"))
-    shared, length = F.arrays_overlap(words, F.split("known", " ")), F.length(F.array_join(words, " "))
-    lengths = F.least(length, F.length("known")) / F.greatest(length, F.length("known"))
-    told = pairs.filter(shared | (lengths >= ENOUGH / (200 - ENOUGH))).withColumn("score", token_set_ratio("_lower", "known"))
-    alike = told.groupBy("_lower").agg(F.max("score").alias("score")).filter(F.col("score") >= ENOUGH)
-    joined = rows.join(alike, F.lower(F.trim(F.col(name))) == F.col("_lower"), "left")
-    rule = F.coalesce(named_institution(name), F.when(F.col("score").isNotNull(), "likeness"))
-    return joined.withColumn("rule", rule).drop("_lower", "score")
+    told = named_institution(name)
+    alike = institution_likeness(F.when(told.isNull(), F.lower(F.trim(name)))) >= ENOUGH
+    return rows.withColumn("rule", F.coalesce(told, F.when(alike, "likeness")))

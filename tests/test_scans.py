@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from scholarlens.functions.names import _token_set
+from scholarlens.functions.names import token_set
 from scholarlens.operators import abstracts as A
 from scholarlens.operators.agreement import adjusted_rand, cosine_silhouettes, stability
 from scholarlens.operators.chains import families
@@ -295,7 +295,7 @@ def test_institutions_against_the_rules(spark):
             return "abbreviation"
         if sum(w in low for w in ("don", "honorio", "ventura")) >= 2 or ("ventur" in low and ("don" in low or "honorio" in low)):
             return "words"
-        return "likeness" if max(_token_set(low, n.lower()) for n in INSTITUTIONS) >= 75 else None
+        return "likeness" if max(token_set(low, n.lower()) for n in INSTITUTIONS) >= 75 else None
 
     frame = spark.createDataFrame(list(enumerate(given)), "k long, name string")
     got = {r.k: r.rule for r in matched_institutions(frame, "name").collect()}
