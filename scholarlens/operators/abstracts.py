@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholarlens.functions.lines import let
-from scholarlens.sources.folders import stored
 
 #: Pages looked at, lines of a margin, longest margin line, and the bounds of an abstract.
 PAGES, MARGIN, MARGIN_LENGTH = 15, 3, 120
@@ -16,6 +15,8 @@ HEADING = r"(?i)^abstract\s*(?:[:.\-—]\s*(.*))?$"
 ROMAN = r"m*(?:c[md]|d?c{0,3})(?:x[cl]|l?x{0,3})(?:i[xv]|v?i{0,3})"
 NUMBER = rf"(?i)^(?:[\d\s]+|{ROMAN})$"
 INSTITUTION = r"(?i)^(?:.{0,90}\b(?:university|college)|college of .{1,80}|(?:main|\w+) campus)$"
+#: Stands in all that INSTITUTION matches, and is told faster.
+INSTITUTION_HINT = r"(?i)(?:university|college|campus)$|^college of "
 SECTION = (
     r"(?i)^(?:(?:\d+(?:\.\d+)*|[IVX]+)(?:[.)]\s*|\s+))?(?:introduction|background(?: of the study)?|methodology|methods?|materials and methods|"
     r"results(?: and discussion)?|discussion|conclusions?|recommendations?|literature review|review of related literature)\s*[:.]?$"
@@ -43,19 +44,24 @@ def cleaned_lines(lines: DataFrame) -> DataFrame:
     with all lines like it on its page if it is a margin on two pages or more, is no
     heading and no end of a sentence.
     """
-    squeezed = F.trim(F.regexp_replace("line", r"(?U)\s+", " "))
-    rows = lines.filter(F.col("page") < PAGES).select("doc", "page", "pos", squeezed.alias("line"))
-    page = Window.partitionBy("doc", "page")
-    real = rows.filter("line <> ''").withColumns({
-        "top": F.row_number().over(page.orderBy("pos")), "foot": F.row_number().over(page.orderBy(F.desc("pos"))),
-    })
-    margins = real.filter((F.col("top") <= MARGIN) | (F.col("foot") <= MARGIN)).select("doc", "page", "line").distinct()
-    repeated = margins.groupBy("doc", "line").agg(F.count("*").alias("pages")).filter("pages > 1")
-    gone = margins.join(repeated.drop("pages"), ["doc", "line"]).withColumn("margin", F.lit(True))
-    line = F.col("line")
+    # most lines have single spaces and nothing else to squeeze
+    squeezed = F.trim(F.when(F.col("line").rlike(r"[^ -~]|  "), F.regexp_replace("line", r"(?U)\s+", " ")).otherwise(F.col("line")))
+    rows = lines.filter((F.col("page") < PAGES) & F.col("doc").isNotNull() & F.col("line").isNotNull())
+    # one shuffle, by document, serves all windows and what follows
+    rows = rows.select("doc", "page", "pos", squeezed.alias("line")).repartition("doc")
+    line, page = F.col("line"), Window.partitionBy("doc", "page")
+    real = F.when(line != "", 1)
+    rows = rows.withColumns({"_top": F.count(real).over(page.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)), "_all": F.count(real).over(page)})
+    edge = (line != "") & ((F.col("_top") <= MARGIN) | (F.col("_all") - F.col("_top") < MARGIN))
+    rows = rows.withColumns({"_h": F.xxhash64("line"), "_edge": edge})
+    like = Window.partitionBy("doc", "_h", "line")
+    rows = rows.withColumn("_here", F.max("_edge").over(Window.partitionBy("doc", "_h", "line", "page")))
+    on = F.when(F.col("_edge"), F.col("page"))
+    margin = F.col("_here") & (F.min(on).over(like) < F.max(on).over(like))
+    rows = rows.withColumn("_margin", margin)
     keeps = (F.length(line) >= MARGIN_LENGTH) | _like(line, HEADING) | _like(line, STOP) | line.rlike(ENDED)
-    joined = rows.join(gone, ["doc", "page", "line"], "left")
-    return joined.filter((line == "") | ~(_like(line, NUMBER) | _like(line, INSTITUTION) | (F.col("margin").isNotNull() & ~keeps))).drop("margin")
+    kept = rows.filter((line == "") | ~(_like(line, NUMBER) | (_like(line, INSTITUTION_HINT) & _like(line, INSTITUTION)) | (F.col("_margin") & ~keeps)))
+    return kept.select("doc", "page", "pos", "line")
 
 
 def _joined(parts: str) -> Column:
@@ -78,21 +84,20 @@ def recovered(lines: DataFrame, scanned: bool = False) -> DataFrame:
     end a sentence is left out. Confidence is high, but medium for scans, for bodies of
     which a third of the lines are a word or two, and under 80 words.
 
-    Every line is typed once; a heading meets the lines of its page and the next by an
-    equality join, so a document costs its lines, twice where headings are.
+    Lines are shuffled once, by document; headings reach the lines of their page and the
+    next through a window over pages, so a document costs its lines, twice where headings are.
     """
-    # read for headings, for contents and for what follows
-    clean = stored(cleaned_lines(lines), "page-lines")
-    contents = clean.filter(_like(F.col("line"), CONTENTS)).select("doc", "page").distinct()
-    heads = clean.filter(_like(F.col("line"), HEADING)).join(contents, ["doc", "page"], "left_anti")
-    rest = F.regexp_extract("line", "(?U)" + HEADING, 1)
-    heads = heads.select("doc", F.col("page").alias("from"), F.col("pos").alias("at"), rest.alias("rest"))
-    reach = heads.withColumn("page", F.explode(F.array("from", F.col("from") + 1)))
-    real = clean.filter("line <> ''")
-    after = reach.join(real, ["doc", "page"]).filter((F.col("page") > F.col("from")) | (F.col("pos") > F.col("at")))
-    line, head = F.col("line"), Window.partitionBy("doc", "from", "at")
-    order = head.orderBy("page", "pos")
-    before = F.coalesce(F.lag("line").over(order), F.when(F.col("rest") != "", F.col("rest")), F.lit(""))
+    line, rows = F.col("line"), cleaned_lines(lines)
+    page = Window.partitionBy("doc", "page")
+    contents = F.max(_like(line, CONTENTS)).over(page)
+    heading = _like(line, HEADING) & ~contents
+    head = F.struct(F.col("page").alias("from"), F.col("pos").alias("at"), F.regexp_extract("line", "(?U)" + HEADING, 1).alias("rest"))
+    reach = Window.partitionBy("doc").orderBy("page").rangeBetween(-1, 0)
+    rows = rows.withColumn("head", F.when(heading, head)).withColumn("heads", F.collect_list("head").over(reach))
+    after = rows.filter("line <> ''").select("doc", "page", "pos", "line", F.explode("heads").alias("head")).select("doc", "page", "pos", "line", "head.*")
+    after = after.filter((F.col("page") > F.col("from")) | (F.col("pos") > F.col("at")))
+    head = Window.partitionBy("doc", "from", "at")
+    before = F.coalesce(F.lag("line").over(head.orderBy("page", "pos")), F.when(F.col("rest") != "", F.col("rest")), F.lit(""))
     section = _like(line, SECTION) & (line.rlike(r"^[\p{Lu}\p{Nd}]") | before.rlike(ENDED))
     display = (F.upper(line) == line) & (F.lower(line) != line) & (F.size(F.split(line, " ")) >= 2)
     kind = (
@@ -101,14 +106,13 @@ def recovered(lines: DataFrame, scanned: bool = False) -> DataFrame:
         .when(_like(line, HEADING) | _like(line, LEADER) | display, "unsure")
     )
     typed = after.select("doc", "from", "at", "rest", "line", F.struct("page", "pos").alias("place"), kind.alias("kind"))
-    ends = typed.filter("kind is not null").groupBy("doc", "from", "at").agg(F.min(F.struct("place", "kind", "line")).alias("end"))
-    ends = ends.filter("end.kind <> 'unsure'")
-    body = typed.join(ends, ["doc", "from", "at"]).filter(F.col("place") < F.col("end.place"))
+    ends = F.min(F.when(F.col("kind").isNotNull(), F.struct("place", "kind", "line"))).over(head)
+    body = typed.withColumn("end", ends).filter("end.kind <> 'unsure'").filter(F.col("place") <= F.col("end.place"))
     # a body that may be one is of bounded length; two pages are what a heading meets
-    body = body.groupBy("doc", "from", "at").agg(F.array_sort(F.collect_list(F.struct("place", "line"))).alias("parts"))
-    found = ends.join(heads, ["doc", "from", "at"]).join(body, ["doc", "from", "at"], "left")
+    inner = F.collect_list(F.when(F.col("place") < F.col("end.place"), F.struct("place", "line")))
+    found = body.groupBy("doc", "from", "at").agg(F.first("rest").alias("rest"), F.first("end").alias("end"), F.array_sort(inner).alias("parts"))
     tail = F.when(F.col("end.kind") == "keywords", F.trim(F.split("end.line", "(?U)" + KEYWORDS, 2)[0]))
-    middle = F.coalesce(F.transform("parts", lambda p: p["line"]), F.array().cast("array<string>"))
+    middle = F.transform("parts", lambda p: p["line"])
     parts = F.filter(F.concat(F.array(F.col("rest")), middle, F.array(F.coalesce(tail, F.lit("")))), lambda x: x != "")
     size = F.length("rest") + F.aggregate(middle, F.lit(0), lambda n, x: n + F.length(x))
     told = found.filter(size <= MOST_CHARS).select("doc", "from", "at", parts.alias("parts")).filter(F.size("parts") > 0)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholarlens.operators import abstracts as A
@@ -28,8 +28,9 @@ def set_in_pages(docs: DataFrame) -> DataFrame:
     keywords, a section in capitals or not, a chapter, or nothing, by the id.
     """
     k, w = F.col("doc_id"), F.col("w")
-    words = F.filter(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "), lambda x: x != "")
-    rows = docs.select("doc_id", "source", words.alias("w")).filter(F.size("w") >= 5 * WORDS)
+    # the words go through a generator, so that no filter and no line computes them again
+    words = F.array_remove(F.split("text", r"\s+"), "")
+    rows = docs.select("doc_id", "source", F.explode(F.array(words)).alias("w")).filter(F.size("w") >= 5 * WORDS)
     last = F.floor((F.size(w) - 1) / WORDS).cast("int")
     lines = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(w, i * WORDS + 1, WORDS), " "))
     rows = rows.select("doc_id", "source", lines.alias("l"), (k * 7 % 30 + 4).cast("int").alias("m"))
@@ -40,12 +41,18 @@ def set_in_pages(docs: DataFrame) -> DataFrame:
         F.when(k % 5 == 0, "last words Keywords: one, two").when(k % 5 == 1, "INTRODUCTION").when(k % 5 == 2, "Chapter 1").when(k % 5 == 3, "methods").otherwise("")
     )
     whole = F.concat(F.slice("l", 1, 3), F.array(F.lit("Abstract")), body, closing, F.slice("l", F.col("m") + 4, 1 << 30))
-    flat = rows.select("doc_id", "source", F.posexplode(whole).alias("i", "line"))
-    set_ = flat.select(F.col("doc_id").alias("doc"), "source", F.floor(F.col("i") / LINES).alias("page"), (F.col("i") % LINES + 1).cast("long").alias("pos"), "line")
-    pages = set_.select("doc", "source", "page").distinct()
-    head = pages.select("doc", "page", F.lit(0).cast("long").alias("pos"), F.concat(F.lit("Works of "), "source").alias("line"))
-    foot = pages.select("doc", "page", F.lit(99).cast("long").alias("pos"), (F.col("page") + 1).cast("string").alias("line"))
-    return set_.select("doc", "page", "pos", "line").unionByName(head).unionByName(foot)
+    rows = rows.select("doc_id", "source", F.explode(F.array(whole)).alias("whole"))
+    # pages with their head and foot, from the one array
+    pages = F.sequence(F.lit(0), F.floor((F.size("whole") - 1) / LINES).cast("int"))
+    rows = rows.select(F.col("doc_id").alias("doc"), "source", "whole", F.explode(pages).alias("page"))
+    real = F.slice("whole", F.col("page") * LINES + 1, LINES)
+
+    def placed(pos: Column | int, line: Column) -> Column:
+        return F.struct((pos if isinstance(pos, Column) else F.lit(pos)).cast("long").alias("pos"), line.alias("line"))
+
+    head, foot = placed(0, F.concat(F.lit("Works of "), "source")), placed(99, (F.col("page") + 1).cast("string"))
+    every = F.concat(F.array(head), F.transform(real, lambda x, i: placed(i + 1, x)), F.array(foot))
+    return rows.select("doc", F.col("page").cast("long").alias("page"), F.inline(every))
 
 
 def _re2(pattern: str) -> str:
