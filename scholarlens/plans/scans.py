@@ -13,7 +13,7 @@ from scholarlens.operators.identity import ALIASES, matched_institutions, normal
 from scholarlens.operators.visual import NEAR, visual_rows
 from scholarlens.plans.search import _CITED, citation_edges
 from scholarlens.registry import query
-from scholarlens.sources.folders import shared_folder
+from scholarlens.sources.folders import shared_folder, stored
 from scholarlens.sources.versions import append_absent, read_version
 from scholarlens.sources.views import read
 
@@ -135,8 +135,10 @@ def repaired_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     makes two words of it), a line of an abstract and one without an initial are not.
     """
     k = F.col("doc")
-    words = F.slice(F.filter(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), lambda x: F.length(x) >= 4), 1, 4)
-    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), words.alias("w")).filter(F.size("w") == 4)
+    # runs of four letters or more; four words of each text are read by many branches, the texts once
+    words = F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0)), 1, 4)
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.explode(F.array(words)).alias("w"))
+    rows = stored(rows.filter(F.size("w") == 4), "name-words")
     a, b, c = (F.get("w", F.lit(i)) for i in range(3))
     spoilt = (
         F.when(k % 6 == 0, F.concat(F.substring(a, 1, 1), F.lit("zz"), F.substring(a, 4, 99999)))
