@@ -4,17 +4,22 @@ Rows of a key wait in the state store until the watermark has passed them, so th
 that is earlier can still come; then they are folded in order of time and id. A fold
 may ask to be woken at a time of its own (a lease that ends, a claim that expires): it
 is woken before the first row of that time or later, and by a timer when the watermark
-passes with no row. State is kept in RocksDB; a key holds its fold's few values and the
-rows that wait, as many as come within the delay.
+passes with no row. State is kept in RocksDB, by buckets of keys: a call for each key and
+wake costs far more than its few rows. A bucket holds its folds' few values and the rows
+that wait, as many as come within the delay.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -26,6 +31,9 @@ _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 #: Closes a stream: all that waits is before it. Times from then on are out of range.
 _END = "2200-01-01 00:00:00"
 DAY = 86_400_000_000
+#: Buckets of keys, the same for all runs over one state; rows of output that are given on at once.
+BUCKETS, OUT_ROWS = 1024, 50_000
+WAITING = pa.schema([("key", pa.int64()), ("keyed", pa.bool_()), ("event_id", pa.int64()), ("numbered", pa.bool_()), ("at", pa.int64()), ("kind", pa.string())])
 
 
 class Fold:
@@ -67,13 +75,19 @@ def advance(fold: Fold, key: Any, state: tuple, rows: Iterable[tuple], until: in
 
 
 class _Ordered(StatefulProcessor):
+    """The fold over all keys of a bucket: state is read and written once a bucket and wake, not once a key.
+
+    Rows wait as Arrow batches, one for each that came; states are one value. A bucket's
+    keys are folded one after another, so only one key's rows are Python objects.
+    """
+
     def __init__(self, fold: Fold):
         self.fold = fold
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.kept = handle.getValueState("kept", self.fold.state)
-        self.waiting = handle.getListState("waiting", "event_id long, at long, kind string")
+        self.kept = handle.getValueState("kept", "states string")
+        self.waiting = handle.getListState("waiting", "rows binary")
 
     def _wake(self, times: list[int]) -> None:
         if times:
@@ -81,36 +95,83 @@ class _Ordered(StatefulProcessor):
             self.handle.registerTimer(-(-min(times) // 1000))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = [tuple(None if pd.isna(v) else v for v in r) for f in rows for r in f[["event_id", "at", "kind"]].itertuples(index=False)]
-        new = [(None if i is None else int(i), int(at), kind) for i, at, kind in new if kind is not None]
+        new, times = [], []
+        for frame in rows:
+            frame = frame.loc[frame["kind"].notna(), list(WAITING.names)]
+            if len(frame):
+                new.append((packed(pa.Table.from_pandas(frame, WAITING, preserve_index=False)),))
+                times.append(int(frame["at"].min()))
         if new:
             self.waiting.appendList(new)
-            self._wake([r[1] for r in new])
+            self._wake(times)
         yield pd.DataFrame(columns=["key", "event_id", "at", "outcome", "number"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         until = timerValues.getCurrentWatermarkInMs() * 1000
-        all_rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        ready = sorted((r for r in all_rows if r[1] <= until), key=lambda r: (r[1], r[0] is not None, r[0] or 0))
-        before = tuple(self.kept.get()) if self.kept.exists() else self.fold.start()
-        name = None if pd.isna(key[0]) else int(key[0])
-        state, out = advance(self.fold, name, before, ready, until)
-        if state != before or not self.kept.exists():
-            self.kept.update(state)
-        rest = [r for r in all_rows if r[1] > until]
-        if ready:
-            self.waiting.put(rest) if rest else self.waiting.clear()
-        due = self.fold.due(state)
-        self._wake([r[1] for r in rest] + ([] if due is None else [due]))
-        columns = list(zip(*out)) if out else [()] * 4
-        made = {"key": [name] * len(out)} | dict(zip(("event_id", "at", "outcome", "number"), columns))
-        yield pd.DataFrame({c: pd.Series(v, dtype="object" if c == "outcome" else "Int64") for c, v in made.items()})
+        parts = [unpacked(r[0]) for r in self.waiting.get()] if self.waiting.exists() else []
+        table = pa.concat_tables(parts) if parts else WAITING.empty_table()
+        open_ = pc.less_equal(table["at"], until)
+        ready, rest = table.filter(open_), table.filter(pc.invert(open_))
+        ready = ready.sort_by([(c, "ascending") for c in ("keyed", "key", "at", "numbered", "event_id")])
+        states = {name: tuple(state) for name, state in json.loads(self.kept.get()[0])} if self.kept.exists() else {}
+        out, changed = [], False
+        for name, mine in by_key(ready, [k for k, s in states.items() if (d := self.fold.due(s)) is not None and d <= until]):
+            before = states.get(name)
+            states[name], made = advance(self.fold, name, self.fold.start() if before is None else before, mine, until)
+            changed = changed or states[name] != before
+            out += [(name, *m) for m in made]
+            if len(out) >= OUT_ROWS:
+                yield _outputs(out)
+                out = []
+        if changed:
+            self.kept.update((json.dumps(list(states.items())),))
+        if len(ready):
+            self.waiting.put([(packed(rest),)]) if len(rest) else self.waiting.clear()
+        due = [d for s in states.values() if (d := self.fold.due(s)) is not None]
+        self._wake(due + ([pc.min(rest["at"]).as_py()] if len(rest) else []))
+        yield _outputs(out)
+
+
+def packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(bytes(data)).read_all()
+
+
+def by_key(ready: pa.Table, others: list) -> Iterator[tuple[Any, list[tuple]]]:
+    """(key, its rows) for each key of ``ready``, which is sorted, and for ``others`` that have none."""
+    keys, keyed = ready["key"].to_numpy(), ready["keyed"].to_numpy()
+    cuts = np.flatnonzero((keys[1:] != keys[:-1]) | (keyed[1:] != keyed[:-1])) + 1
+    met = set()
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ready)]) if len(ready) else ():
+        name = int(keys[a]) if keyed[a] else None
+        met.add(name)
+        columns = ready.slice(a, b - a).to_pydict()
+        events = [e if n else None for e, n in zip(columns["event_id"], columns["numbered"])]
+        yield name, list(zip(events, columns["at"], columns["kind"]))
+    for name in others:
+        if name not in met:
+            yield name, []
+
+
+def _outputs(out: list[tuple]) -> pd.DataFrame:
+    columns = list(zip(*out)) if out else [()] * 5
+    made = dict(zip(("key", "event_id", "at", "outcome", "number"), columns))
+    return pd.DataFrame({c: pd.Series(v, dtype="object" if c == "outcome" else "Int64") for c, v in made.items()})
 
 
 def _run(stream: DataFrame, fold: Fold, delay: str, path: str, state: str) -> None:
     spark = stream.sparkSession
-    timed = stream.withColumn("ts", F.timestamp_micros("at")).withWatermark("ts", delay)
-    out = timed.groupBy("key").transformWithStateInPandas(_Ordered(fold), OUTPUT, "Append", "EventTime")
+    # numbers that may be null come to pandas as such with a mark
+    whole = {"key": F.coalesce("key", F.lit(0)), "keyed": F.col("key").isNotNull(), "event_id": F.coalesce("event_id", F.lit(0)), "numbered": F.col("event_id").isNotNull()}
+    bucket = F.pmod(F.xxhash64("key"), F.lit(BUCKETS))
+    timed = stream.withColumns({"bucket": bucket, **whole, "ts": F.timestamp_micros("at")}).withWatermark("ts", delay)
+    out = timed.groupBy("bucket").transformWithStateInPandas(_Ordered(fold), OUTPUT, "Append", "EventTime")
     before = spark.conf.get(_STORE, None)
     spark.conf.set(_STORE, _ROCKSDB)
     try:

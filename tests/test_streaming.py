@@ -4,7 +4,7 @@ from collections import defaultdict
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from scholarlens.streaming import audit
+from scholarlens.streaming import audit, timed
 from scholarlens.streaming.timed import ROWS, Leases, Requests, Windows, advance, folded
 
 FAR = 1 << 60
@@ -66,6 +66,18 @@ def test_windows_over_batches(spark, tmp_path):
     }
 
 
+def test_keys_of_a_bucket(spark, tmp_path, monkeypatch):
+    """Many keys share the state of a few buckets, some with waiting rows and leases, and ids beside nulls keep all their digits."""
+    monkeypatch.setattr(timed, "BUCKETS", 2)
+    big = 2**53 + 1
+    rows = log(7, 300, (0, 1, 2, 3, 4, big, None))
+    rows = [(k, e + big, at, kind) for k, e, at, kind in rows]
+    fold = Leases(3_600_000_000, 2)
+    want = expected(fold, rows)
+    assert run(spark, tmp_path, "few", [rows[:90], rows[90:180], rows[180:]], fold, "1 hour") == want
+    assert len({o[0] for o in want}) == 7
+
+
 def test_empty_stream(spark, tmp_path):
     assert run(spark, tmp_path, "none", [[]], Leases(10), "1 hour") == []
 
