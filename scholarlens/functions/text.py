@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+import sys
 import unicodedata
 
 import pandas as pd
@@ -9,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from scholarlens.functions.lines import let
+
 #: Words that a title comparison leaves out.
 TITLE_STOPS = ["the", "and", "for", "with", "from", "using", "based", "that", "this", "are", "was", "des", "les", "der", "die", "las", "los", "que"]
 
@@ -37,17 +42,32 @@ def normal_title(texts: pd.Series) -> pd.Series:
     return texts.map(_normal_title)
 
 
-def _unaccented(text: str | None) -> str | None:
-    if text is None or text.isascii():
-        return text
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+@functools.cache
+def _images() -> tuple[dict[str, str], dict[str, str]]:
+    """What ASCII the compatibility forms of all other characters have: those with one letter, those with more."""
+    found = {}
+    for code in itertools.chain(range(0x80, 0xD800), range(0xE000, sys.maxunicode + 1)):
+        image = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if c.isascii())
+        if image:
+            found[chr(code)] = image
+    return {c: x for c, x in found.items() if len(x) == 1}, {c: x for c, x in found.items() if len(x) > 1}
 
 
-# Spark has no Unicode normalisation
-@F.pandas_udf(StringType())
-def unaccented(texts: pd.Series) -> pd.Series:
-    """Compatibility form without accents: ligatures are split, wide forms narrowed; case stays."""
-    return texts.map(_unaccented)
+def ascii_form(text: str | Column) -> Column:
+    """The ASCII of a text's compatibility form: accents are dropped, ligatures split, wide forms narrowed, other characters left out.
+
+    Each character has its form by itself, so it is done by a table of characters and texts need not go to Python.
+    """
+    one, more = _images()
+    table = F.create_map(*[F.lit(x) for pair in more.items() for x in pair])
+
+    def formed(t: Column) -> Column:
+        # a pattern of all these characters would try each of them at every place
+        several = F.filter(F.array_distinct(F.regexp_extract_all(t, F.lit(r"[^\x00-\x7F]"), F.lit(0))), lambda c: c.isin(list(more)))
+        split = F.aggregate(several, t, lambda done, c: F.replace(done, c, F.element_at(table, c)))
+        return F.regexp_replace(F.translate(split, "".join(one), "".join(one.values())), r"[^\x00-\x7F]", "")
+
+    return let(F.col(text) if isinstance(text, str) else text, lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), formed(t)).otherwise(t))
 
 
 def plain_words(text: str | Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholarlens.functions.lines import let
-from scholarlens.functions.text import unaccented
+from scholarlens.functions.text import ascii_form
 from scholarlens.operators.identity import ALIASES, matched_institutions, normal_program
 
 #: Colleges that are allowed, the programs' own names, and names that tell another school or program.
@@ -41,7 +41,7 @@ def _mapped(key: Column, values: dict[str, str], default: Column | None = None)
 
 def name_words(text: str | Column) -> Column:
     """Words of ASCII letters and digits in lower case, accents dropped; none for null."""
-    plain = F.lower(F.regexp_replace(unaccented(F.coalesce(_column(text), F.lit(""))), r"[^\x00-\x7F]", ""))
+    plain = F.lower(ascii_form(F.coalesce(_column(text), F.lit(""))))
     return F.regexp_extract_all(plain, F.lit("[a-z0-9]+"), F.lit(0))
 
 

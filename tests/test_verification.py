@@ -1,7 +1,11 @@
 """Checks of applicants against rules written one by one."""
 
+import sys
+import unicodedata
+
 from pyspark.sql import functions as F
 
+from scholarlens.functions.text import ascii_form
 from scholarlens.operators.verification import college_allowed, logged_events, name_on_document, number_on_document, verified
 
 COLUMNS = "id long, full_name string, institution string, college string, program string, text string, confidence double, first_name string, last_name string, email string, state string"
@@ -16,6 +20,16 @@ def frame(spark, cases):
     return spark.createDataFrame(rows, COLUMNS)
 
 
+def test_ascii_form_of_all_characters(spark):
+    """Blocks of all characters, beside each other, have the ASCII of their compatibility form, and no text goes to Python for it."""
+    every = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    texts = ["a" + "".join(every[k : k + 997]) + "Z" for k in range(0, len(every), 997)] + ["", "Ĳ e\u0301\u0327 ½…", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", ascii_form("t").alias("got"))
+    assert "Python" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    want = [None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if c.isascii()) for t in texts]
+    assert [r.got for r in frame.orderBy("k").collect()] == want
+
+
 def test_names_and_numbers_on_documents(spark):
     names = [
         ("Ana", "Cruz", "ANA B. CRUZ", True), ("Ana", "Dela Cruz", "ana cruz", False), ("Ana Bea", "Cruz", "Bea Cruz", True), ("A", "Cruz", "A Cruz", False),
