@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scholarlens.functions.text import TITLE_STOPS, is_about, mentions, plain_words, spaced, title_terms, whole_word
 from scholarlens.operators.vectors import dot
 from scholarlens.registry import query
+from scholarlens.sources.folders import stored
 from scholarlens.sources.views import WORKS_SQL, read, subjects, works
 
 #: Stand-ins for a glossary, (short form, long form): the texts' words are invented.
@@ -116,15 +117,16 @@ def tfidf(docs: DataFrame, min_df: int | None = 2, max_share: float = 0.95, term
     """
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z][a-z\-]{2,}"), F.lit(0))
     terms = docs.select("id", "topic", F.explode(words if terms is None else terms).alias("term"))
-    counts = terms.groupBy("id", "topic", "term").agg(F.count("*").alias("c"))
+    # read for the spread and for the weights; texts become terms once
+    counts = stored(terms.groupBy("id", "topic", "term").agg(F.count("*").alias("c")), "term-counts")
     total = counts.agg(F.count_distinct("id").alias("n"))
     spread = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(total)
     least = F.when(F.col("n") < 5, 1).otherwise(2) if min_df is None else F.lit(min_df)
     spread = spread.filter((F.col("df") >= least) & (F.col("df") <= F.col("n") * max_share))
     idf = spread.select("term", (F.log((1.0 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     kept = counts.join(idf, "term").select("id", "topic", "term", ((1 + F.log("c")) * F.col("idf")).alias("w"))
-    length = kept.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("l"))
-    return kept.join(length, "id").select("id", "topic", "term", (F.col("w") / F.col("l")).alias("w"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
+    return kept.filter("id is not null").select("id", "topic", "term", (F.col("w") / length).alias("w"))
 
 
 def _embedded(spark: SparkSession, sf_dir: str) -> DataFrame:

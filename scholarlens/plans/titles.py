@@ -11,6 +11,7 @@ from scholarlens.operators.vectors import dot
 from scholarlens.plans.repository import page_of
 from scholarlens.plans.search import _SPACED, _TFIDF, tfidf
 from scholarlens.registry import query
+from scholarlens.sources.folders import stored
 from scholarlens.sources.views import WORKS_SQL, read, subjects, works
 
 #: A word that stands in more titles than this names none of them.
@@ -155,7 +156,8 @@ def subject_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs.join(subjects(spark, sf_dir).select("id", F.col("subject").alias("topic")), "id")
     words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z][a-z\-]{2,}"), F.lit(0)), lambda w: ~w.isin(TITLE_STOPS))
     pairs = F.transform(F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda v, i: F.concat(F.get("w", i), F.lit(" "), v))
-    weights = tfidf(docs.withColumn("w", words), min_df=None, terms=F.concat("w", pairs))
+    # read for the sizes and for the means
+    weights = stored(tfidf(docs.withColumn("w", words), min_df=None, terms=F.concat("w", pairs)), "term-weights")
     sizes = weights.groupBy("topic").agg(F.count_distinct("id").alias("size"))
     means = weights.groupBy("topic", "term").agg(F.sum("w").alias("w")).join(sizes, "topic")
     order = Window.partitionBy("topic").orderBy(F.desc(F.round("m", 9)), "term")

@@ -137,3 +137,16 @@ def test_manuscript_fields(spark):
 
 def test_gate_refuses_other_texts(spark):
     assert values(spark, ["short", "x " * 200, None], m.gate("x")) == ["unreadable", "not_a_thesis", "unreadable"]
+
+
+def test_texts_become_terms_once(spark):
+    """Weights are made of stored counts: no branch of their plan reads the texts again."""
+    from scholarlens.plans.search import tfidf
+
+    docs = spark.createDataFrame([(1, 0, "aaa bbb"), (2, 0, "aaa ccc ccc"), (3, 1, "ccc bbb")], "id long, topic long, text string")
+    weights = tfidf(docs)
+    assert "regexp_extract_all" not in weights._jdf.queryExecution().optimizedPlan().toString()
+    lengths = {}
+    for r in weights.collect():
+        lengths[r.id] = lengths.get(r.id, 0) + r.w**2
+    assert set(lengths) == {1, 2, 3} and all(abs(x - 1) < 1e-9 for x in lengths.values())
