@@ -19,6 +19,7 @@ from scholarlens.sources.folders import shared_folder
 
 WORDS_KEPT = 250_000
 _CLEANS = "spark.sql.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,17 +43,23 @@ def free_name(name: str, columns: list[str]) -> str:
     return name
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again; cuts lineage and survives executors."""
+def stored(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it again; cuts lineage and survives executors.
+
+    ``batch`` bounds the rows that go to Python at once, for those that hold whole texts.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     # shuffle files that led to the table are of no more use
-    cleans = spark.conf.get(_CLEANS, "false")
+    before = {_CLEANS: spark.conf.get(_CLEANS, "false"), _BATCH: spark.conf.get(_BATCH)}
     spark.conf.set(_CLEANS, "true")
+    if batch is not None:
+        spark.conf.set(_BATCH, batch)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANS, cleans)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 

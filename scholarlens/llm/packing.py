@@ -26,7 +26,9 @@ from scholarlens.llm.common import WordMemo, byte_texts, kept_in_worker, mapped,
 CAPACITY, BLOCK, POOL_BELOW = 4096, 4000, 0.98
 END = 1
 #: Words and runs of one generation of the memos: at most twice as many are held, some 200 bytes each.
-WORDS_KEPT, RUNS_KEPT = 600_000, 250_000
+WORDS_KEPT, RUNS_KEPT = 150_000, 150_000
+#: Rows whose texts go to Python at once.
+ROWS = 500
 
 
 def byte_letters() -> dict[int, int]:
@@ -43,13 +45,40 @@ _RUN = re.compile(r"[a-zß-öø-\u024f]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[!-/:-@\[-`
 _SIMPLE = re.compile(r"([a-zß-öø-\u024f]+)([!-/:-@\[-`{-~]*)")
 
 
+class MetAgain(WordMemo):
+    """A memo of the words that were met before, as most of a corpus's words occur once.
+
+    The first meeting leaves a mark in a table of bytes, which is emptied when a quarter is used.
+    """
+
+    MARKS = 1 << 22
+
+    def __init__(self, make, limit: int):
+        super().__init__(make, limit)
+        self.met, self.marks = bytearray(self.MARKS), 0
+
+    def __missing__(self, word):
+        value = self.old.get(word)
+        if value is None:
+            value = self.make(word)
+            place = hash(word) & (self.MARKS - 1)
+            if not self.met[place]:
+                if self.marks >= self.MARKS // 4:
+                    self.met, self.marks = bytearray(self.MARKS), 0
+                self.met[place] = 1
+                self.marks += 1
+                return value
+        self.put(word, value)
+        return value
+
+
 class Tokenizer:
     """Token ids of a text as little-endian unsigned 32-bit bytes, from a public vocabulary file.
 
     The vocabulary never joins text across white space, nor letters with digits or
     punctuation, so the ids of a text are those of its words and a word's those of its
-    runs; each distinct word and run is worked out once and kept. Words with other
-    characters than those of _RUN are encoded whole.
+    runs; words and runs are kept from their second time on. Words with other characters
+    than those of _RUN are encoded whole.
     """
 
     def __init__(self, name: str = "word_bpe_49k.json"):
@@ -61,8 +90,8 @@ class Tokenizer:
 
         self.reader = Reader.from_file(public_tokenizers.path(self.name))
         self.pairs = self.reader.model.tokenize
-        self.runs = WordMemo(self._run, RUNS_KEPT)
-        self.words = WordMemo(self._word, WORDS_KEPT)
+        self.runs = MetAgain(self._run, RUNS_KEPT)
+        self.words = MetAgain(self._word, WORDS_KEPT)
 
     def _whole(self, text: bytes) -> bytes:
         return np.array(self.reader.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
@@ -257,7 +286,7 @@ def packed(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int
     are packed like any other row; other columns are ignored.
     """
     made = pieces(docs, tokenizer, capacity).withColumn("row", F.monotonically_increasing_id())
-    made = stored(made, "pieces")
+    made = stored(made, "pieces", batch=ROWS)
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     done = [
         made.filter(F.col("length") == capacity)

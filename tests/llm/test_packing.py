@@ -2,13 +2,16 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer as Reader
 
-from scholarlens.llm.packing import Tokenizer, _Search, best_fit, pack, packed
+from scholarlens.llm.common import stored
+from scholarlens.llm.packing import ROWS, MetAgain, Tokenizer, _Search, best_fit, pack, packed
 
 READER = Reader.from_file(public_tokenizers.path("word_bpe_49k.json"))
 OURS = Tokenizer()
@@ -104,3 +107,24 @@ def test_edge_cases(spark):
     frame = spark.createDataFrame([Row(text=t, offset=9, doc_id=i) for i, t in texts], "text string, offset int, doc_id long")
     check(packed(frame, capacity=16, block=3).collect(), texts, 16)
     assert packed(frame.limit(0)).collect() == []
+
+
+def test_words_that_occur_once_are_not_held(monkeypatch):
+    monkeypatch.setattr(MetAgain, "MARKS", 1 << 12)
+    tokens = Tokenizer()
+    words = [f"{chr(97 + k // 676)}{chr(97 + k // 26 % 26)}{chr(97 + k % 26)}q" for k in range(5000)]
+    for word in words:
+        assert np.frombuffer(tokens(f"{word} the".encode()), "<u4").tolist() == ids_of(f"{word} the")
+    assert b"the" in tokens.words
+    assert len(tokens.words) + len(tokens.runs) < len(words) // 2
+
+
+def test_few_texts_go_to_python_at_once(spark):
+    """The batch is bounded while pieces are made, and the session's own bound holds again after it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    rows = spark.range(3000, numPartitions=1).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+    sizes = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+    assert max(r.n for r in stored(sizes, "sizes", batch=ROWS).collect()) <= ROWS
+    assert spark.conf.get(key) == before
+    assert packed(rows).count() == 3000
