@@ -176,6 +176,17 @@ def byte_texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return valid_texts(batch, column).cast(pa.binary()).to_pylist()
 
 
+def chunks_of(batch: pa.RecordBatch, size: int) -> list[pa.Array]:
+    """The texts of a batch in runs of about ``size`` bytes; a longer text is a run of its own."""
+    texts = valid_texts(batch, "text")
+    ends = np.cumsum(pa.compute.binary_length(texts).to_numpy())
+    cuts, at = [0], 0
+    while at < len(texts):
+        at = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        cuts.append(at)
+    return [texts.slice(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
 def mapped(df: DataFrame, make, schema: str) -> DataFrame:
     """``mapInArrow`` with ``make(batch) -> dict of columns`` and a schema in DDL.
 

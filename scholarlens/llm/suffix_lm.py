@@ -18,9 +18,11 @@ probabilities. The three bounds are arguments of :func:`lm_scores`.
 The tree grows level by level. A run can have ``least`` occurrences only if the run
 without its newest word, followed by that word, was counted so often at the level
 before, so only such runs are counted; a level's counts go when its entries are written.
-Counts go from tasks to buckets of bounded size as lists by context, a context with
-more than one in a thousand of all words to several by the next class. They are made
-for all texts, and the divergence tests are joins on hashes over the entries.
+Words become classes once, which each level reads. Counts go from tasks to buckets of
+bounded size as lists by context, where the entries of their suffixes meet them as lists,
+too, so a level is counted, summed and tested in one shuffle. What is too frequent for a
+bucket is dealt to several, and is tested when the sums of all parts are there. Counts are
+made for all texts.
 Bit tables of bounded size say which words and runs may have ``least``. Where they err,
 a context falls out by its exact count and a word is a symbol of its own.
 
@@ -35,23 +37,28 @@ most) travel to the tasks, all others come by joins on hashes, with equal scores
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholarlens.llm.common import MULTIPLIER, Bits, dropped, hash_word, mapped, mixed, remainder, stored, valid_texts
+from scholarlens.llm.common import MULTIPLIER, Bits, chunks_of, dropped, hash_word, mapped, mixed, remainder, stored
 
 LEAST, DEPTH, ENTRY, GAIN, DISCOUNT = 10, 4, 1, 8.0, 0.75
 HEAD = 150_000
 #: Contexts and their entries that travel to the tasks.
 HEAD_CONTEXTS, HEAD_ENTRIES = 400_000, 3_000_000
+#: Classes whose probabilities without a context travel to the tasks.
+HEAD_CLASSES = 1_000_000
 #: Bytes of text counted and scored at once, next classes held by a task before they are summed up, words of a bucket.
-COUNT_BYTES, SCORE_BYTES, WAITING, BUCKET = 8_000_000, 3_000_000, 5_000_000, 500_000
-#: A context is hot with one in so many of all words, and is then dealt to so many buckets.
-HOT, DEALT = 1000, 64
+COUNT_BYTES, SCORE_BYTES, WAITING, BUCKET = 8_000_000, 3_000_000, 3_000_000, 1_000_000
+#: Words of a stored row of classes, and such rows that go to Python at once.
+PIECE, ROWS = 250_000, 8
+#: A context is hot if it has more than one in so many of all words, and more than BUCKET.
+HOT = 10_000
 #: Stands for the end of a text; it can be no word.
 END = b" "
 
@@ -87,17 +94,6 @@ class Words:
         return np.append(0, self.ends[:-1] + 1)
 
 
-def chunks_of(batch, size: int) -> list[pa.Array]:
-    """The texts of a batch in runs of about ``size`` bytes; a longer text is a run of its own."""
-    texts = valid_texts(batch, "text")
-    ends = np.cumsum(pc.binary_length(texts).to_numpy())
-    cuts, at = [0], 0
-    while at < len(texts):
-        at = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
-        cuts.append(at)
-    return [texts.slice(a, b - a) for a, b in zip(cuts, cuts[1:])]
-
-
 def _count_words(batches):
     """Counts of words by their hash, summed up in a run of texts."""
     for batch in batches:
@@ -201,87 +197,104 @@ def contexts_of(symbols: np.ndarray, runs: list[Bits]):
         yield at, context
 
 
-LISTED = "bucket int, level int, dealt boolean, ctx array<long>, oldest array<int>, kinds array<int>, symbol array<int>, n array<int>"
-COUNTED = "level int, ctx long, code long, below long, run long, n long, total long"
-
-
-def _listed(level: int, dealt: bool, key, context, oldest, symbol, n, buckets: int) -> pa.RecordBatch:
-    """Counts, sorted by ``key``, as one row for each bucket, a range of keys; a key is a context, or a part of one."""
-    new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    kinds = np.diff(np.append(new, len(key)))
-    edges = np.array([-(-k * 2**64 // buckets) for k in range(1, buckets)], np.uint64)
-    at = np.concatenate([[0], np.searchsorted(key[new], edges), [len(new)]])
-    inner = np.append(new, len(key))[at]
-    used = np.flatnonzero(np.diff(at))
-    at, inner = (np.append(x[used], x[-1]).astype(np.int32) for x in (at, inner))
-
-    def lists(values, offsets, kind):
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(kind)))
-
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(used.astype(np.int32)),
-            pa.array(np.full(len(used), level, np.int32)),
-            pa.array(np.full(len(used), dealt)),
-            lists(context[new].view(np.int64), at, np.int64),
-            lists(oldest[new].astype(np.uint32).view(np.int32), at, np.int32),
-            lists(kinds, at, np.int32),
-            lists(symbol.astype(np.uint32).view(np.int32), inner, np.int32),
-            lists(n, inner, np.int32),
-        ],
-        names=["bucket", "level", "dealt", "ctx", "oldest", "kinds", "symbol", "n"],
-    )
+CLASSED = "classes array<int>"
+LISTED = "bucket int, ctx array<long>, oldest array<int>, kinds array<int>, symbol array<int>, n array<int>"
+LEVEL = (
+    "hot boolean, ctx array<long>, kinds array<int>, total array<long>, left array<double>, sums array<double>, "
+    "symbol array<int>, n array<long>, q array<float>, run array<long>, run_n array<long>, run_suffix array<long>"
+)
+PARENTS = "bucket int, ctx array<long>, kinds array<int>, symbol array<int>, p array<float>"
 
 
-def _rows(level: int, key, context, oldest, symbol, n, hot, buckets: int):
-    """Rows of :func:`_listed` for counts that are sorted by ``key``; the hot ones are dealt by a part of the next class."""
-    for dealt in (False, True):
-        some = hot == dealt
-        if some.all():
-            parts = key, context, oldest, symbol, n
-        elif some.any():
-            parts = tuple(x[some] for x in (key, context, oldest, symbol, n))
-        else:
-            continue
-        if dealt:
-            spread = mixed(parts[1] + parts[3].astype(np.uint64) % np.uint64(DEALT) * MULTIPLIER)
-            order = np.argsort(spread)
-            parts = spread[order], *(x[order] for x in parts[1:])
-        yield _listed(level, dealt, *parts, buckets)
+def _lists(values: np.ndarray, offsets: np.ndarray, kind) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.astype(kind, copy=False)))
+
+
+def _flat(table, name: str) -> np.ndarray:
+    """All values of a column of lists."""
+    column = table.column(name)
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in chunks]) if chunks else np.empty(0, np.int64)
 
 
 def _boundaries(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where runs of equal values begin, and their lengths."""
-    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.empty(0, np.int64)
     return first, np.diff(np.append(first, len(ordered)))
 
 
-def _count_first(symbols: Symbols, hot: np.ndarray, buckets: int):
-    """Counts of next classes after each class of ``real`` words; see LISTED."""
-    hot = Places(hot)
+class Dealt:
+    """Which bucket an entry goes to.
+
+    Contexts go by their suffix, so that they meet its probabilities, those of one word
+    by themselves. What follows a hot suffix is dealt by the whole context, and a hot
+    context by its next classes, to one part for each BUCKET of its occurrences.
+    """
+
+    def __init__(self, level: int, buckets: int, hot: pa.Table, below: Dealt | None):
+        """``hot``: run, n and suffix of the contexts of this level that are hot."""
+        context = hot.column(0).to_numpy().view(np.uint64)
+        order = np.argsort(context)
+        self.level, self.buckets, self.places = level, buckets, Places(context[order])
+        self.parts = 1 + hot.column(1).to_numpy()[order].astype(np.uint64) // np.uint64(BUCKET)
+        self.suffixes = hot.column(2).to_numpy()[order].view(np.uint64)
+        self.below = None if below is None else (below.places, below.parts)
+
+    def bucket(self, key: np.ndarray) -> np.ndarray:
+        return ((key >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int32)
+
+    def of_part(self, context: np.ndarray, parts: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Buckets of entries of hot contexts."""
+        return self.bucket(mixed(context + (mixed(symbol.astype(np.uint64)) % parts + np.uint64(1)) * MULTIPLIER))
+
+    def __call__(self, context: np.ndarray, suffix: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        key = mixed(context if self.level == 1 else suffix)
+        if self.below is not None:
+            places, parts = self.below
+            place = places.of(suffix)
+            at = np.flatnonzero(place >= 0)
+            key[at] = mixed(suffix[at] + mixed(context[at]) % parts[place[at]] * MULTIPLIER)
+        out, place = self.bucket(key), self.places.of(context)
+        at = np.flatnonzero(place >= 0)
+        out[at] = self.of_part(context[at], self.parts[place[at]], symbol[at])
+        return out
+
+    def copies(self, context: np.ndarray, symbol: np.ndarray):
+        """(places, buckets): where the entries of suffixes are looked for; hot ones in more than one bucket."""
+        yield slice(None), self.bucket(mixed(context))
+        places, parts = self.below
+        place = places.of(context)
+        for hot in np.unique(place[place >= 0]):
+            at = np.flatnonzero(place == hot)
+            for part in range(1, int(parts[hot])):
+                yield at, self.bucket(mixed(context[at] + np.uint64(part) * MULTIPLIER))
+        for own in np.flatnonzero(np.isin(self.suffixes, context)):
+            at = np.flatnonzero(context == self.suffixes[own])
+            yield at, self.of_part(np.full(len(at), self.places.keys[own]), self.parts[own], symbol[at])
+
+
+def _classed(symbols: Symbols):
+    """Classes of the words of whole texts, each text followed by END_CLASS, some texts a row."""
 
     def run(batches):
         for batch in batches:
             for texts in chunks_of(batch, COUNT_BYTES):
                 words = Words(texts)
-                classes = symbols(words.hashes)[words.at]
-                inner = (classes != 0) & (classes != END_CLASS)
-                at = np.flatnonzero(inner[:-1])
-                if not len(at):
-                    continue
-                both = np.sort(classes[at] << np.uint64(32) | classes[at + 1])
-                first, n = _boundaries(both)
-                both = both[first]
-                old, symbol = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
-                # classes are hashes themselves
-                yield from _rows(1, old << np.uint64(32), value_of(old), old, symbol, n, hot.of(old) >= 0, buckets)
+                classes = symbols(words.hashes)[words.at].astype(np.uint32).view(np.int32)
+                ends = words.ends + 1
+                cuts = np.unique(np.append(ends[np.searchsorted(ends, np.arange(PIECE, len(classes), PIECE))], [0, len(classes)]))
+                yield pa.RecordBatch.from_arrays([_lists(classes, cuts, np.int32)], names=["classes"])
 
     return run
 
 
-def _count_level(symbols: Symbols, runs: list[Bits], hot: np.ndarray, buckets: int):
-    """Counts of next classes after contexts of as many words as the last of ``runs`` has; ``hot`` are contexts; see LISTED."""
-    hot, level = Places(hot), len(runs) + 1
+def _texts_of(batch) -> list[np.ndarray]:
+    return [row.values.to_numpy().view(np.uint32).astype(np.uint64) for row in batch.column("classes") if len(row.values)]
+
+
+def _count_level(runs: list[Bits], dealt: Dealt):
+    """Counts of next classes after contexts of one word more than the last of ``runs`` has, as lists by context for each bucket."""
+    level = len(runs) + 1
 
     def summed(parts):
         context, oldest, symbol = (np.concatenate(x) for x in zip(*parts))
@@ -289,79 +302,245 @@ def _count_level(symbols: Symbols, runs: list[Bits], hot: np.ndarray, buckets: i
         order = np.argsort(code)
         first, n = _boundaries(code[order])
         first = order[first]
-        order = np.argsort(context[first])
-        first, n = first[order], n[order]
-        return _rows(level, context[first], context[first], oldest[first], symbol[first], n, hot.of(context[first]) >= 0, buckets)
+        context, oldest, symbol = context[first], oldest[first], symbol[first]
+        bucket = dealt(context, context - POWERS[level - 1] * value_of(oldest), symbol)
+        order = np.lexsort((context, bucket))
+        context, oldest, symbol, n, bucket = (x[order] for x in (context, oldest, symbol, n, bucket))
+        new = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (bucket[1:] != bucket[:-1])))
+        used, _ = _boundaries(bucket)
+        outer, inner = np.append(np.searchsorted(new, used), len(new)), np.append(used, len(bucket))
+        kinds = np.diff(np.append(new, len(context)))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(bucket[used]),
+                _lists(context[new].view(np.int64), outer, np.int64),
+                _lists(oldest[new].view(np.int32), outer, np.int32),
+                _lists(kinds, outer, np.int32),
+                _lists(symbol.view(np.int32), inner, np.int32),
+                _lists(n, inner, np.int32),
+            ],
+            names=["bucket", "ctx", "oldest", "kinds", "symbol", "n"],
+        )
 
     def run(batches):
         held, waiting = [], 0
         for batch in batches:
-            for texts in chunks_of(batch, COUNT_BYTES):
-                words = Words(texts)
-                classes = symbols(words.hashes)[words.at]
+            for classes in _texts_of(batch):
                 *_, (at, context) = contexts_of(classes, runs)
                 if len(at):
                     held.append((context, classes[at - level].astype(np.uint32), classes[at].astype(np.uint32)))
                     waiting += len(at)
                 if waiting > WAITING:
-                    yield from summed(held)
+                    yield summed(held)
                     held, waiting = [], 0
         if held:
-            yield from summed(held)
+            yield summed(held)
 
     return run
 
 
-def _merge(least: int, entry: int):
-    """Sums a bucket's counts; what occurs less than ``entry`` times and what follows contexts under ``least`` is left out.
+class Root:
+    """Probabilities of classes without a context: of the most frequent, which travel to the tasks, and of those that a bucket brings."""
 
-    A dealt context has no total yet, and a row without a code for its part of it.
-    """
+    def __init__(self, classes: np.ndarray, q: np.ndarray, share: float):
+        order = np.argsort(classes)
+        self.classes, self.q, self.share = classes[order], q[order], share
+
+    def has(self, symbol: np.ndarray) -> np.ndarray:
+        place = np.minimum(np.searchsorted(self.classes, symbol), len(self.classes) - 1)
+        return self.classes[place] == symbol
+
+    def of(self, brought: pa.Table | None, suffix: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        classes, q = self.classes, self.q
+        if brought is not None and brought.num_rows:
+            classes = np.append(classes, brought.column("class").to_numpy().astype(np.uint64))
+            q = np.append(q, brought.column("n").to_numpy() * self.share)
+            order = np.argsort(classes)
+            classes, q = classes[order], q[order]
+        place = np.minimum(np.searchsorted(classes, symbol), len(classes) - 1)
+        return np.where(classes[place] == symbol, q[place], np.nan)
+
+
+class Suffixes:
+    """Probabilities after the suffixes of contexts, which a bucket brings."""
+
+    def of(self, brought: pa.Table, suffix: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        if not brought.num_rows:
+            return np.full(len(symbol), np.nan)
+        context = np.repeat(_flat(brought, "ctx").view(np.uint64), _flat(brought, "kinds"))
+        code = coded(context, _flat(brought, "symbol").view(np.uint32))
+        order = np.argsort(code)
+        code, p = code[order], _flat(brought, "p")[order]
+        wanted = coded(suffix, symbol)
+        place = np.minimum(np.searchsorted(code, wanted), len(code) - 1)
+        return np.where(code[place] == wanted, p[place], np.nan).astype(np.float64)
+
+
+def _left(total, kinds, seen, expected, nats, gain: float) -> np.ndarray:
+    """Mass that contexts leave to their suffix, nan for those that do not stay; ``nats`` without the totals."""
+    rest = total - seen
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gap = np.where(rest > 0, rest * np.log(rest / (total * np.maximum(1 - expected, 1e-12))), 0.0)
+        stays = (kinds > 0) & (nats - seen * np.log(total) + gap >= gain * kinds)
+        return np.where(stays, (rest + DISCOUNT * kinds) / total, np.nan)
 
-    def run(table: pa.Table) -> pa.Table:
-        def flat(name):
-            return np.concatenate([c.flatten().to_numpy() for c in table.column(name).chunks])
 
-        kinds, times = flat("kinds"), flat("n").astype(np.int64)
-        contexts = np.concatenate([pc.list_value_length(c).to_numpy() for c in table.column("ctx").chunks])
+def _merge(level: int, least: int, entry: int, gain: float, hot: Places, parents: Root | Suffixes):
+    """Sums a bucket's counts and tests its contexts against their suffixes; see LEVEL.
+
+    What occurs less than ``entry`` times and what follows contexts under ``least`` is
+    left out. Of hot contexts a bucket has a part; they are tested when all are there.
+    """
+
+    def run(counted: pa.Table, brought: pa.Table | None) -> pa.Table:
+        kinds, times = _flat(counted, "kinds"), _flat(counted, "n").astype(np.int64)
         of = np.repeat(np.arange(len(kinds)), kinds)
-        context, oldest, symbol = flat("ctx").view(np.uint64), flat("oldest").view(np.uint32), flat("symbol").view(np.uint32)
-        level, dealt = (np.repeat(table.column(c).to_numpy(), contexts) for c in ("level", "dealt"))
-        # a context without its oldest word
-        suffix = context - POWERS[level - 1] * value_of(oldest)
-        _, own, same = np.unique(context, return_index=True, return_inverse=True)
-        whole = np.bincount(same[of], times).astype(np.int64)
+        context, oldest, symbol = _flat(counted, "ctx").view(np.uint64), _flat(counted, "oldest").view(np.uint32), _flat(counted, "symbol").view(np.uint32)
+        own, place, same = np.unique(context, return_index=True, return_inverse=True)
+        # contexts without their oldest word
+        suffix = own - POWERS[level - 1] * value_of(oldest[place])
+        total, dealt = np.bincount(same[of], times, len(own)).astype(np.int64), hot.of(own) >= 0
         code = coded(context[of], symbol)
         order = np.argsort(code)
         starts, _ = _boundaries(code[order])
         n = np.add.reduceat(times[order], starts)
         first = order[starts]
-        at = of[first]
-        good = (n >= entry) & (dealt[at] | (whole[same[at]] >= least))
-        first, n, at = first[good], n[good], at[good]
-        after = symbol[first].astype(np.uint64)
-        below = np.where(level[at] == 1, after, coded(suffix[at], after))
-        none = (n < least) | (after == 0) | (after == END_CLASS)
-        parts = own[dealt[own]]
-        gap = np.zeros(len(parts), np.int64)
-        columns = [
-            (np.append(level[at], level[parts]), False),
-            (np.append(context[at], context[parts]).view(np.int64), False),
-            *((np.append(x.view(np.int64), gap), np.append(mask, gap == 0)) for x, mask in ((code[first], none & False), (below, none & False), (longer(after, context[at]), none))),
-            (np.append(n, whole[same[parts]]), False),
-            (np.append(whole[same[at]], gap), np.append(dealt[at], gap == 0)),
-        ]
-        arrays = [pa.array(x) if mask is False else pa.array(x, mask=mask) for x, mask in columns]
-        return pa.Table.from_arrays(arrays, names=["level", "ctx", "code", "below", "run", "n", "total"])
+        at, symbol = same[of[first]], symbol[first].astype(np.uint64)
+        good = (n >= entry) & (dealt[at] | (total[at] >= least))
+        n, at, symbol = n[good], at[good], symbol[good]
+        more = np.flatnonzero((n >= least) & (symbol != 0) & (symbol != END_CLASS))
+        runs = [longer(symbol[more], own[at[more]]).view(np.int64), n[more], longer(symbol[more], suffix[at[more]]).view(np.int64)]
+        q = parents.of(brought, suffix[at], symbol)
+        order = np.argsort(at, kind="stable")
+        order = order[~np.isnan(q[order])]
+        n, at, symbol, q = n[order], at[order], symbol[order], q[order]
+        kinds, seen, expected = np.bincount(at, minlength=len(own)), np.bincount(at, n, len(own)), np.bincount(at, q, len(own))
+        nats = np.bincount(at, n * np.log(n / q), len(own))
+        left = _left(total, kinds, seen, expected, nats, gain)
+        rows = []
+        for some in (False, True):
+            which, inner = np.flatnonzero((dealt == some) & (dealt | (kinds > 0))), dealt[at] == some
+            sums = np.column_stack([seen[which], expected[which], nats[which]]).ravel() if some else np.empty(0)
+            fields = [own[which].view(np.int64), kinds[which], total[which], left[which], sums, symbol[inner].astype(np.uint32).view(np.int32), n[inner], q[inner]]
+            rows.append([some, *fields, *([x[:0] for x in runs] if some else runs)])
+        types = [np.int64, np.int32, np.int64, np.float64, np.float64, np.int32, np.int64, np.float32, np.int64, np.int64, np.int64]
+        rows = rows if len(rows[1][1]) else rows[:1]
+        columns = [pa.array([r[0] for r in rows])]
+        for k, kind in enumerate(types, 1):
+            columns.append(_lists(np.concatenate([r[k] for r in rows]), np.append(0, np.cumsum([len(r[k]) for r in rows])), kind))
+        return pa.Table.from_arrays(columns, names=[x.split()[0] for x in LEVEL.split(", ")])
 
     return run
 
 
-def with_totals(counted: DataFrame, least: int) -> DataFrame:
-    """Entries of ``counted``, those of dealt contexts with the sum of their parts."""
-    whole = counted.filter("code is null").groupBy("ctx").agg(F.sum("n").alias("total")).filter(F.col("total") >= least)
-    real = counted.filter("code is not null").withColumn("dealt", F.col("total").isNull())
-    return real.filter("not dealt").unionByName(real.filter("dealt").drop("total").join(whole, "ctx"))
+def _alone(merge):
+    return lambda counted: merge(counted, None)
+
+
+class Tested:
+    """Reads rows of LEVEL; has the hot contexts of a level, which were tested with all their parts."""
+
+    def __init__(self, level: DataFrame, least: int, gain: float):
+        parts = level.filter("hot").select("ctx", "kinds", "total", "sums").toArrow()
+        context, at = np.unique(_flat(parts, "ctx").view(np.uint64), return_inverse=True)
+        sums = [_flat(parts, "total"), _flat(parts, "kinds"), *_flat(parts, "sums").reshape(-1, 3).T]
+        sums = [np.bincount(at, x, len(context)) for x in sums]
+        left = _left(*sums, gain)
+        self.hot, self.total, self.kinds = Places(context), sums[0].astype(np.int64), sums[1].astype(np.int64)
+        self.left = np.where(self.total >= least, left, np.nan)
+
+    def contexts(self, batch):
+        """(hash, entries here, all entries, total, left) of contexts."""
+        context = _flat(batch, "ctx").view(np.uint64)
+        own, total, left = _flat(batch, "kinds"), _flat(batch, "total").copy(), _flat(batch, "left").copy()
+        kinds, place = own.astype(np.int64), self.hot.of(context)
+        at = np.flatnonzero(place >= 0)
+        total[at], kinds[at], left[at] = (x[place[at]] for x in (self.total, self.kinds, self.left))
+        return context, own, kinds, total, left
+
+    def entries(self, batch):
+        """(context, class, p, q, stays) of entries."""
+        context, own, _, total, left = self.contexts(batch)
+        context, total, left = (np.repeat(x, own) for x in (context, total, left))
+        q, stays = _flat(batch, "q").astype(np.float64), ~np.isnan(left)
+        p = np.where(stays, (_flat(batch, "n") - DISCOUNT) / total + left * q, q)
+        return context, _flat(batch, "symbol").view(np.uint32), p, q, stays
+
+
+class _Kept:
+    """Contexts of a level that stay: (ctx, total, kinds, left), hot ones more than once."""
+
+    def __init__(self, tested: Tested):
+        self.tested = tested
+
+    def __call__(self, batch):
+        context, _, kinds, total, left = self.tested.contexts(batch)
+        at = np.flatnonzero(~np.isnan(left))
+        return {"ctx": context[at].view(np.int64), "total": total[at], "kinds": kinds[at], "left": np.log10(left[at])}
+
+
+class _Entries:
+    """Entries of the contexts of a level that stay, of ``among`` only if it is given: (ctx, code, value)."""
+
+    def __init__(self, tested: Tested, among: Places | None = None):
+        self.tested, self.among = tested, among
+
+    def __call__(self, batch):
+        context, symbol, p, q, stays = self.tested.entries(batch)
+        if self.among is not None:
+            stays &= self.among.of(context) >= 0
+        context, symbol, p, q = (x[stays] for x in (context, symbol, p, q))
+        return {"ctx": context.view(np.int64), "code": coded(context, symbol).view(np.int64), "value": np.log10(p / q).astype(np.float32)}
+
+
+class _Listed(_Entries):
+    """The same as one row of lists (code, value)."""
+
+    def __call__(self, batch):
+        found = super().__call__(batch)
+        return {name: _lists(found[name], np.array([0, len(found[name])]), found[name].dtype) for name in ("code", "value")}
+
+
+class _Parents:
+    """Probabilities after all contexts of a level, by the buckets of the next one; see PARENTS."""
+
+    def __init__(self, tested: Tested, dealt: Dealt):
+        self.tested, self.dealt = tested, dealt
+
+    def __call__(self, batch):
+        context, symbol, p, _, _ = self.tested.entries(batch)
+        copies = [(context[at], symbol[at], p[at], bucket) for at, bucket in self.dealt.copies(context, symbol)]
+        context, symbol, p, bucket = (np.concatenate(x) for x in zip(*copies))
+        order = np.lexsort((context, bucket))
+        context, symbol, p, bucket = (x[order] for x in (context, symbol, p, bucket))
+        new = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (bucket[1:] != bucket[:-1]))[: len(context)])
+        used, _ = _boundaries(bucket)
+        outer, inner = np.append(np.searchsorted(new, used), len(new)), np.append(used, len(bucket))
+        return {
+            "bucket": bucket[used],
+            "ctx": _lists(context[new].view(np.int64), outer, np.int64),
+            "kinds": _lists(np.diff(np.append(new, len(context))), outer, np.int32),
+            "symbol": _lists(symbol.view(np.int32), inner, np.int32),
+            "p": _lists(p, inner, np.float32),
+        }
+
+
+def _wanted(root: Root, dealt: Dealt):
+    """(bucket, class) of next classes that are not in ``root``."""
+
+    def run(batches):
+        for batch in batches:
+            for classes in _texts_of(batch):
+                ((at, context),) = contexts_of(classes, [])
+                some = ~root.has(classes[at])
+                at, context = at[some], context[some]
+                bucket = dealt(context, context - context, classes[at])
+                pairs = np.unique(bucket.astype(np.uint64) << np.uint64(32) | classes[at])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((pairs >> np.uint64(32)).astype(np.int32)), pa.array((pairs & np.uint64(0xFFFFFFFF)).view(np.int64))], names=["bucket", "class"]
+                )
+
+    return run
 
 
 class _Classes:
@@ -375,37 +554,20 @@ class _Classes:
 
 
 class Grown:
-    """The tree: ``entries`` (ctx, code, value) and ``contexts`` (ctx, total, kinds, left), values in log10; ``runs`` for each length from 2 on."""
+    """The tree: tables of its levels, each with its :class:`Tested`, ``contexts`` (ctx, total, kinds, left), left in log10; ``runs`` for each length from 2 on."""
 
-    def __init__(self, symbols: Symbols, runs: list[Bits], contexts: DataFrame, entries: DataFrame):
-        self.symbols, self.runs, self.contexts, self.entries = symbols, runs, contexts, entries
+    def __init__(self, symbols: Symbols, runs: list[Bits], contexts: DataFrame, levels: list[tuple[DataFrame, Tested]]):
+        self.symbols, self.runs, self.contexts, self.levels = symbols, runs, contexts, levels
 
+    def listed(self, among: Places | None) -> pa.Table:
+        """Entries of contexts in ``among``, of all if it is None, as lists (code, value)."""
+        parts = [mapped(level, _Listed(tested, among), "code array<long>, value array<float>") for level, tested in self.levels]
+        return reduce(DataFrame.unionByName, parts).toArrow()
 
-def grow_level(counted: DataFrame, parents: DataFrame, fixed: dict[int, float], gain: float) -> DataFrame:
-    """Entries of all contexts of one length: ctx, total, kinds, left, code, p, value.
-
-    ``counted`` has ctx, code, below, n, total and dealt, ``parents`` (below, q)
-    probabilities after the suffix; ``fixed`` has those of keys that very many rows
-    share. Where the context does not stay, value and left are null and p is q.
-    """
-    columns = ["ctx", "code", "n", "total", "dealt"]
-    met = counted.filter(~F.col("below").isin(list(fixed))).join(parents, "below").select(*columns, "q")
-    for key, q in fixed.items():
-        met = met.unionByName(counted.filter(F.col("below") == key).select(*columns, F.lit(q).alias("q")))
-    n, q, total = F.col("n"), F.col("q"), F.col("total")
-    sums = {"seen": F.sum("n"), "kinds": F.count("*"), "expected": F.sum("q"), "nats": F.sum(n * F.ln(n / (total * q)))}
-    over = Window.partitionBy("ctx")
-    summed = met.filter("not dealt").select("*", *[x.over(over).alias(name) for name, x in sums.items()])
-    # contexts with very many entries are summed up before the shuffle
-    hot = met.filter("dealt")
-    summed = summed.unionByName(hot.join(hot.groupBy("ctx").agg(*[x.alias(name) for name, x in sums.items()]), "ctx"))
-    rest = total - F.col("seen")
-    gap = F.when(rest > 0, rest * F.ln(rest / (total * F.greatest(1 - F.col("expected"), F.lit(1e-12))))).otherwise(0.0)
-    left = (rest + DISCOUNT * F.col("kinds")) / total
-    judged = summed.withColumn("left", F.when(F.col("nats") + gap >= gain * F.col("kinds"), left))
-    p = F.when(F.col("left").isNotNull(), (n - DISCOUNT) / total + F.col("left") * q).otherwise(q)
-    value = F.when(F.col("left").isNotNull(), F.log10(p / q)).cast("float")
-    return judged.select("ctx", "total", "kinds", F.log10("left").alias("left"), "code", p.cast("float").alias("p"), value.alias("value"))
+    @property
+    def entries(self) -> DataFrame:
+        """(ctx, code, value), value in log10."""
+        return reduce(DataFrame.unionByName, [mapped(level, _Entries(tested), "ctx long, code long, value float") for level, tested in self.levels])
 
 
 def grown(
@@ -420,41 +582,42 @@ def grown(
     end = int(END_CLASS)
     ends = classes.filter(F.col("class").isin(0, end)).toArrow()
     sums = dict(zip(ends.column("class").to_pylist(), ends.column("n").to_pylist()))
-    fixed = {0: sums.get(0, 0) * share + fresh, end: max(1, sums.get(end, 0)) * share}
+    real = classes.filter(~F.col("class").isin(0, end))
+    top = real.orderBy(F.desc("n"), "class").limit(HEAD_CLASSES).toArrow()
+    root = Root(
+        np.append(top.column("class").to_numpy(), [0, end]).astype(np.uint64),
+        np.append(top.column("n").to_numpy() * share, [sums.get(0, 0) * share + fresh, max(1, sums.get(end, 0)) * share]),
+        share,
+    )
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // BUCKET)
+    numbered = stored(texts.select("text").mapInArrow(_classed(symbols), CLASSED), "lm-classed")
 
-    def counts(count):
-        listed = texts.select("text").mapInArrow(count, LISTED)
-        return stored(listed.groupBy("bucket").applyInArrow(_merge(least, entry), COUNTED), "lm-counts")
-
-    def hot_of(found, key):
-        """Less than HOT hashes."""
-        rows = found.filter(F.col("n") * HOT > tokens).select(key).toArrow()
-        return np.sort(rows.column(0).to_numpy().view(np.uint64))
-
-    real = classes.filter(~F.col("class").isin(0, end))
-    counted = counts(_count_first(symbols, hot_of(real, "class"), buckets))
-    parents = real.select(F.col("class").alias("below"), (F.col("n") * share).alias("q"))
-    dropped_later, parts, runs = [classes], [], []
+    #: a context is hot with more occurrences; there are less than HOT
+    limit = max(BUCKET, tokens // HOT)
+    hot = real.filter(F.col("n") > limit).toArrow()
+    hot = pa.table([value_of(hot.column("class").to_numpy().view(np.uint64)).view(np.int64), hot.column("n").to_numpy(), np.zeros(len(hot), np.int64)], names=["run", "n", "suffix"])
+    dealt, runs, levels = Dealt(1, buckets, hot, None), [], []
     for k in range(1, depth + 1):
-        level = stored(grow_level(with_totals(counted, least), parents, fixed if k == 1 else {}, gain), "lm-level")
-        found = counted.filter("run is not null") if k < depth else None
-        if found is not None:
-            runs.append(Bits(found.select(F.col("run").alias("h")), found.count()))
-            hot = hot_of(found, "run")
-        for table in (counted, *dropped_later):
-            dropped(table)
-        parts.append(stored(level.filter("value is not null").drop("p"), "lm-entries"))
-        dropped_later = [level]
-        if found is not None:
-            parents = level.select(F.col("code").alias("below"), F.col("p").cast("double").alias("q"))
-            counted = counts(_count_level(symbols, runs, hot, buckets))
-    dropped(level)
-    entries = parts[0]
-    for more in parts[1:]:
-        entries = entries.unionByName(more)
-    contexts = entries.groupBy("ctx").agg(F.max("total").alias("total"), F.max("kinds").alias("kinds"), F.max("left").alias("left"))
-    return Grown(symbols, runs, stored(contexts, "lm-contexts"), entries.select("ctx", "code", "value"))
+        listed = numbered.mapInArrow(_count_level(runs, dealt), LISTED).groupBy("bucket")
+        if k == 1 and len(top) < HEAD_CLASSES:
+            merged = listed.applyInArrow(_alone(_merge(k, least, entry, gain, dealt.places, root)), LEVEL)
+        else:
+            if k == 1:
+                parents, brought = root, numbered.mapInArrow(_wanted(root, dealt), "bucket int, class long").distinct().join(real, "class")
+            else:
+                parents, brought = Suffixes(), mapped(levels[-1][0], _Parents(levels[-1][1], dealt), PARENTS)
+            merged = listed.cogroup(brought.groupBy("bucket")).applyInArrow(_merge(k, least, entry, gain, dealt.places, parents), LEVEL)
+        level = stored(merged, "lm-level", ROWS)
+        levels.append((level, Tested(level, least, gain)))
+        if k < depth:
+            found = level.select(F.explode(F.arrays_zip("run", "run_n", "run_suffix")).alias("r")).select("r.*")
+            runs.append(Bits(found.select(F.col("run").alias("h")), level.agg(F.sum(F.size("run"))).first()[0] or 0))
+            dealt = Dealt(k + 1, buckets, found.filter(F.col("run_n") > limit).toArrow(), dealt)
+    for table in (numbered, classes):
+        dropped(table)
+    kept = [mapped(level, _Kept(tested), "ctx long, total long, kinds long, left double") for level, tested in levels]
+    contexts = reduce(DataFrame.unionByName, kept).groupBy("ctx").agg(*[F.max(c).alias(c) for c in ("total", "kinds", "left")])
+    return Grown(symbols, runs, stored(contexts, "lm-contexts", ROWS), levels)
 
 
 class Head:
@@ -470,22 +633,10 @@ class Head:
         context = top.column("ctx").to_numpy()[:fits].view(np.uint64)
         order = np.argsort(context)
         self.contexts, self.left = Places(context[order]), top.column("left").to_numpy()[:fits][order]
-        entries = tree.entries
-        if not self.whole:
-            entries = mapped(entries, _Among(self.contexts), "code long, value float")
-        found = entries.select("code", "value").toArrow()
-        code = found.column("code").to_numpy().view(np.uint64)
+        found = tree.listed(None if self.whole else self.contexts)
+        code = _flat(found, "code").view(np.uint64)
         order = np.argsort(code)
-        self.codes, self.value = Places(code[order]), found.column("value").to_numpy()[order]
-
-
-class _Among:
-    def __init__(self, contexts: Places):
-        self.contexts = contexts
-
-    def __call__(self, batch):
-        found = pa.array(self.contexts.of(batch.column("ctx").to_numpy().view(np.uint64)) >= 0)
-        return {c: batch.column(c).filter(found) for c in ("code", "value")}
+        self.codes, self.value = Places(code[order]), _flat(found, "value")[order]
 
 
 class _Score:

@@ -155,6 +155,19 @@ def test_hot_contexts_are_dealt_and_give_equal_scores(spark, monkeypatch):
         assert all(got[i] == pytest.approx(expect[i][0], rel=1e-6) for i, _ in texts)
 
 
+@pytest.mark.parametrize("classes", [3, 1000])
+def test_buckets_that_are_too_full_are_dealt_and_give_equal_scores(spark, monkeypatch, classes):
+    rng = np.random.default_rng(5)
+    texts = [(k, " ".join(f"w{min(int(x), 30)}" for x in rng.geometric(0.15, 60))) for k in range(60)]
+    texts += [(100 + k, " ".join(markov(1)[0].split()[: 20 + k])) for k in range(20)]
+    expect, _, _, kept = plain_tree(texts)
+    monkeypatch.setattr(suffix_lm, "BUCKET", 40)
+    monkeypatch.setattr(suffix_lm, "HEAD_CLASSES", classes)
+    got = {r.doc_id: r.score for r in lm_scores(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert kept > 5
+    assert all(got[i] == pytest.approx(expect[i][0], rel=1e-6) for i, _ in texts)
+
+
 def test_words_of_texts_and_their_ends():
     import pyarrow as pa
 
