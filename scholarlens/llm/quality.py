@@ -10,16 +10,20 @@ sample of labelled documents.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholarlens.llm.common import WordMemo, byte_texts, hash_word, kept_in_worker, mapped, remainder
+from scholarlens.llm.common import chunks_of, mapped, remainder
 from scholarlens.llm.toxicity import labelled_sample, threshold
 
 SAMPLE_PER_CLASS, SAMPLE_CHARS = 2_000, 20_000
 PASSAGE, HIDDEN, ATTENTION = 64, 16, 8
 EPOCHS, BATCH, RATE, DECAY = 40, 64, 0.01, 1e-4
 CUT = 0.3
+#: Bytes of text scored at once.
+SCORE_BYTES = 3_000_000
 _CLASSES = ("lower", "upper", "digit", "high", "stop", "mark", "bar", "symbol")
 FEATURES = [*(f"share_{c}" for c in _CLASSES), "chars", "words_distinct", "words_repeated", "pieces_distinct", "mixed", "all_upper", "bare", "words"]
 
@@ -36,70 +40,83 @@ def _byte_classes() -> np.ndarray:
 _BYTES = _byte_classes()
 
 
-def word_facts(word: bytes) -> tuple:
-    """Hash of the word and its numbers: bytes of each class, mixed letters and symbols, all capitals, no letter."""
-    counts = np.bincount(_BYTES[np.frombuffer(word, np.uint8)], minlength=len(_CLASSES))
-    letters = counts[0] + counts[1] + counts[3]
-    symbols = counts[5] + counts[6] + counts[7]
-    facts = [*counts, letters > 0 and symbols > 1, counts[1] > 1 and counts[0] == 0, letters == 0]
-    return hash_word(word.lower()), np.array(facts, np.float32)
+def word_facts(words: pa.Array) -> np.ndarray:
+    """Numbers of words: bytes of each class, mixed letters and symbols, all capitals, no letter."""
+    binary = words.cast(pa.large_binary())
+    sizes = pc.binary_length(binary).to_numpy().astype(np.int64)
+    data = np.frombuffer(b"".join(binary.to_pylist()), np.uint8)
+    n = len(_CLASSES)
+    counts = np.bincount(np.repeat(np.arange(len(sizes)) * n, sizes) + _BYTES[data], minlength=n * len(sizes)).reshape(-1, n)
+    letters = counts[:, 0] + counts[:, 1] + counts[:, 3]
+    symbols = counts[:, 5] + counts[:, 6] + counts[:, 7]
+    facts = [(letters > 0) & (symbols > 1), (counts[:, 1] > 1) & (counts[:, 0] == 0), letters == 0]
+    return np.column_stack([counts, *facts]).astype(np.float32)
 
 
-class Encoder:
-    """Passage features of texts. The facts of a word are worked out once and gathered by number."""
+def _distinct(groups: np.ndarray, starts: np.ndarray, forms: np.ndarray) -> np.ndarray:
+    """How many different forms each group has; groups begin at ``starts``."""
+    keys = np.sort(groups * (int(forms.max()) + 1) + forms)
+    return np.add.reduceat(np.append(True, keys[1:] != keys[:-1]).astype(np.float32), starts)
 
-    def __init__(self, passage: int = PASSAGE, limit: int = 250_000):
-        self.passage, self.limit, self.numbers = passage, limit, None
 
-    def _reset(self):
-        self.hashes, self.facts, self.used = np.zeros(1024, np.uint64), np.zeros((1024, len(_CLASSES) + 3), np.float32), 0
-        self.numbers = WordMemo(self._number, self.limit + 1)
+class Encoder:
+    """Passage features of many texts at once; the facts of a word are worked out once for all of them."""
 
-    def _number(self, word: bytes) -> int:
-        k = self.used
-        if k == len(self.hashes):
-            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-            self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)])
-        self.hashes[k], self.facts[k] = word_facts(word)
-        self.used += 1
-        return k
+    def __init__(self, passage: int = PASSAGE):
+        self.passage = passage
 
     def __call__(self, text: bytes) -> np.ndarray:
         """(passages x features); an empty text is one passage of zeros."""
-        words = text.split()
-        if not words:
-            return np.zeros((1, len(FEATURES)), np.float32)
-        if self.numbers is None or self.used + len(words) > self.limit:
-            self._reset()
-        numbers = self.numbers.values_of(words, np.int64)
-        starts = np.arange(0, len(words), self.passage)
-        if len(starts) > 1 and len(words) - starts[-1] < self.passage // 4:
-            starts = starts[:-1]
-        sizes = np.diff(np.append(starts, len(words))).astype(np.float32)
-        sums = np.add.reduceat(self.facts[numbers], starts, axis=0)
-        chars = np.maximum(1, sums[:, : len(_CLASSES)].sum(axis=1))
-        hashes = self.hashes[numbers]
-        passage = np.searchsorted(starts, np.arange(len(words)), "right") - 1
-        same = np.append(False, (hashes[1:] == hashes[:-1]) & (passage[1:] == passage[:-1]))
-        order = np.lexsort((hashes, passage))
-        new = np.append(True, (hashes[order][1:] != hashes[order][:-1]) | (passage[order][1:] != passage[order][:-1]))
-        distinct = np.add.reduceat(new.astype(np.float32), starts)
-        # repeats of whole lines further apart show over the whole text
-        overall = len(np.unique(hashes)) / len(hashes)
+        return self.all(pa.array([text.decode(errors="replace")]))[0]
+
+    def all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(passages x features) of all texts, and the first passage of each."""
+        lists = pc.ascii_split_whitespace(texts)
+        found = lists.flatten().dictionary_encode()
+        number, words = found.indices.to_numpy(zero_copy_only=False), found.dictionary
+        # white space at the ends of a text gives empty words
+        real = number != pc.index(words, "").as_py()
+        before, edges = np.append(0, np.cumsum(real)), lists.offsets.to_numpy()
+        before = before[edges - edges[0]]
+        number, lengths = number[real], np.diff(before)
+        full = -(-lengths // self.passage)
+        counts = np.maximum(1, full - ((full > 1) & (lengths - (full - 1) * self.passage < self.passage // 4)))
+        first = np.append(0, np.cumsum(counts))
+        out = np.zeros((first[-1], len(FEATURES)), np.float32)
+        texts_of = np.repeat(np.arange(len(counts)), counts)
+        # an empty text has a passage and no words
+        filled = np.flatnonzero(lengths[texts_of] > 0)
+        if not len(filled):
+            return out, first[:-1]
+        owner = texts_of[filled]
+        starts = before[owner] + (filled - first[owner]) * self.passage
+        sizes = np.diff(np.append(starts, len(number)))
+        form = pc.ascii_lower(words).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)[number]
+        sums = np.add.reduceat(word_facts(words)[number], starts, axis=0)
         n = len(_CLASSES)
-        return np.column_stack(
+        chars = np.maximum(1, sums[:, :n].sum(axis=1))
+        passage = np.repeat(np.arange(len(starts)), sizes)
+        same = np.append(False, (form[1:] == form[:-1]) & (passage[1:] == passage[:-1]))
+        whole = np.flatnonzero(lengths > 0)
+        # repeats of whole lines further apart show over the whole text
+        overall = np.zeros(len(lengths))
+        overall[whole] = _distinct(np.repeat(np.arange(len(whole)), lengths[whole]), before[whole], form) / lengths[whole]
+        distinct = _distinct(passage, starts, form)
+        sizes = sizes.astype(np.float32)
+        out[filled] = np.column_stack(
             [
                 sums[:, :n] / chars[:, None],
                 chars / sizes / 8,
                 distinct / sizes,
                 np.add.reduceat(same.astype(np.float32), starts) / sizes,
-                np.full(len(starts), overall, np.float32),
+                overall[owner],
                 sums[:, n] / sizes,
                 sums[:, n + 1] / sizes,
                 sums[:, n + 2] / sizes,
                 np.log1p(sizes) / 5,
             ]
-        ).astype(np.float32)
+        )
+        return out, first[:-1]
 
 
 class Model:
@@ -156,9 +173,9 @@ class Model:
             "bias": np.array([d.sum()]),
         }
 
-    def score(self, passages: np.ndarray) -> float:
-        logit, _ = self.forward(passages, np.array([0]))
-        return float(1 / (1 + np.exp(-max(-700.0, min(700.0, float(logit[0]) + self.shift)))))
+    def scores(self, x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        logits, _ = self.forward(x, starts)
+        return 1 / (1 + np.exp(-np.clip(logits + self.shift, -700, 700)))
 
 
 def train(texts: list[bytes], labels: np.ndarray, seed: int = 3) -> Model:
@@ -168,9 +185,8 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 3) -> Model:
         model.p["read"][:] = 0
         model.shift = 0.0 if len(texts) == 0 else (20.0 if labels[0] else -20.0)
         return model
-    encode = Encoder()
-    bags = [encode(t) for t in texts]
-    every = np.concatenate(bags)
+    every, firsts = Encoder().all(pa.array([t.decode(errors="replace") for t in texts]))
+    bags = np.split(every, firsts[1:])
     model.mean, model.scale = every.mean(axis=0), every.std(axis=0) + 1e-3
     weights = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
     first = {k: np.zeros_like(v) for k, v in model.p.items()}
@@ -188,24 +204,23 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 3) -> Model:
                 first[name] = 0.9 * first[name] + 0.1 * g
                 second[name] = 0.999 * second[name] + 0.001 * g * g
                 model.p[name] -= RATE * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-8)
-    starts = np.append(0, np.cumsum([len(b) for b in bags])[:-1])
-    logits, _ = model.forward(every, starts)
+    logits, _ = model.forward(every, firsts)
     # scores keep their meaning at CUT: its logit lies at the best cut of the training scores
     model.shift = float(np.log(CUT / (1 - CUT)) - threshold(logits, labels))
     return model
 
 
+def _scores(model: Model, batch) -> np.ndarray:
+    encode = Encoder()
+    return np.concatenate([model.scores(*encode.all(texts)) for texts in chunks_of(batch, SCORE_BYTES)])
+
+
 class _Score:
     def __init__(self, model: Model):
         self.model = model
 
     def __call__(self, batch):
-        encode = kept_in_worker(("passages", PASSAGE), Encoder)
-        return {
-            "doc_id": batch.column("doc_id"),
-            "held_out": batch.column("held_out"),
-            "score": [self.model.score(encode(text)) for text in byte_texts(batch, "text")],
-        }
+        return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": _scores(self.model, batch)}
 
 
 def _fitted(docs: DataFrame, labels: DataFrame, folds: int) -> Model:
@@ -232,9 +247,7 @@ class _Keep:
         self.model = model
 
     def __call__(self, batch):
-        encode = kept_in_worker(("passages", PASSAGE), Encoder)
-        keep = np.array([self.model.score(encode(text)) >= CUT for text in byte_texts(batch, "text")], bool)
-        at = np.flatnonzero(keep)
+        at = np.flatnonzero(_scores(self.model, batch) >= CUT)
         return {name: batch.column(name).take(at) for name in batch.schema.names}
 
 

@@ -1,10 +1,11 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 
-from scholarlens.llm.quality import Encoder, Model as QualityModel, accepted, quality
+from scholarlens.llm.quality import FEATURES, Encoder, Model as QualityModel, accepted, quality
 from scholarlens.llm.toxicity import Model, subwords, threshold, toxicity, train
 
 
@@ -108,6 +109,16 @@ def test_passages_cover_whole_texts():
     assert encode(b"word " * 990 + b"X%%% " * 10)[-1][7] > 0
 
 
+def test_features_of_many_texts_are_those_of_each():
+    texts = ["", "one", "  Calm RIVER calm\tRiver\n", "x! " * 145, "", "É\u00a0x a|b ##! " * 90, "   ", "w " * 130]
+    features, first = Encoder().all(pa.array(texts))
+    for text, part in zip(texts, np.split(features, first[1:])):
+        assert np.array_equal(part, Encoder()(text.encode()))
+    calm = dict(zip(FEATURES, features[first[2]]))
+    assert (calm["words_distinct"], calm["pieces_distinct"], calm["all_upper"], calm["words_repeated"]) == (0.5, 0.5, 0.25, 0)
+    assert [len(x) for x in np.split(features, first[1:])] == [1, 1, 1, 3, 1, 4, 1, 2] and not features[0].any()
+
+
 def test_accepted_keeps_columns(spark):
     docs, labels = small(spark, "quality")
     kept = accepted(docs, labels)
