@@ -449,6 +449,11 @@ class Tested:
         self.hot, self.total, self.kinds = Places(context), sums[0].astype(np.int64), sums[1].astype(np.int64)
         self.left = np.where(self.total >= least, left, np.nan)
 
+    def hot_left(self) -> list[tuple[int, float]]:
+        """Hot contexts that stay, and what they leave."""
+        stays = ~np.isnan(self.left)
+        return list(zip(self.hot.keys[stays].view(np.int64).tolist(), np.log10(self.left[stays]).tolist()))
+
     def contexts(self, batch):
         """(hash, entries here, all entries, total, left) of contexts."""
         context = _flat(batch, "ctx").view(np.uint64)
@@ -501,6 +506,33 @@ class _Listed(_Entries):
         return {name: _lists(found[name], np.array([0, len(found[name])]), found[name].dtype) for name in ("code", "value")}
 
 
+#: A word after a context adds its value less ``minus`` if it is listed, else ``left``.
+ROWS_OF_CONTEXTS = "ctx long, codes array<long>, values array<float>, minus double, left double"
+
+
+class _Rows:
+    """The contexts of a level that stay and are not in ``head``; see ROWS_OF_CONTEXTS."""
+
+    def __init__(self, tested: Tested, head: Places):
+        self.tested, self.head = tested, head
+
+    def __call__(self, batch):
+        context, own, _, _, left = self.tested.contexts(batch)
+        some = ~np.isnan(left) & (self.head.of(context) < 0)
+        entries = {**_Entries(self.tested)(batch)} if some.any() else {"code": np.empty(0, np.int64), "value": np.empty(0, np.float32)}
+        # entries are those of all contexts that stay
+        inner = np.repeat(some[~np.isnan(left)], own[~np.isnan(left)]) if some.any() else np.empty(0, bool)
+        edges = np.append(0, np.cumsum(own[some]))
+        left, hot = np.log10(left[some]), self.tested.hot.of(context[some]) >= 0
+        return {
+            "ctx": context[some].view(np.int64),
+            "codes": _lists(entries["code"][inner], edges, np.int64),
+            "values": _lists(entries["value"][inner], edges, np.float32),
+            "minus": np.where(hot, left, 0.0),
+            "left": np.where(hot, 0.0, left),
+        }
+
+
 class _Parents:
     """Probabilities after all contexts of a level, by the buckets of the next one; see PARENTS."""
 
@@ -564,11 +596,6 @@ class Grown:
         parts = [mapped(level, _Listed(tested, among), "code array<long>, value array<float>") for level, tested in self.levels]
         return reduce(DataFrame.unionByName, parts).toArrow()
 
-    @property
-    def entries(self) -> DataFrame:
-        """(ctx, code, value), value in log10."""
-        return reduce(DataFrame.unionByName, [mapped(level, _Entries(tested), "ctx long, code long, value float") for level, tested in self.levels])
-
 
 def grown(
     texts: DataFrame, words: DataFrame, tokens: int, fresh: float, least: int = LEAST, depth: int = DEPTH, gain: float = GAIN, entry: int = ENTRY
@@ -701,11 +728,16 @@ SCORED = (
 )
 
 
-def past_head(scored: DataFrame, tree: Grown) -> DataFrame:
+def past_head(scored: DataFrame, tree: Grown, head: Places) -> DataFrame:
     """(row, more): what the contexts outside the head add to the scores of rows (row, pending)."""
-    looked = scored.select("row", F.explode("pending").alias("p")).groupBy("row", "p.ctx", "p.code").agg(F.count("*").alias("k"))
-    hits = looked.join(tree.contexts.select("ctx", "left"), "ctx").join(tree.entries.select("code", "value"), "code", "left")
-    return hits.groupBy("row").agg(F.sum(F.col("k") * F.coalesce("value", "left")).alias("more"))
+    rows = [mapped(level, _Rows(tested, head), ROWS_OF_CONTEXTS) for level, tested in tree.levels]
+    # parts of a hot context have its entries less its own value, which is there once
+    hot = [(c, [], [], 0.0, x) for _, tested in tree.levels for c, x in tested.hot_left()]
+    rows = reduce(DataFrame.unionByName, [*rows, scored.sparkSession.createDataFrame(hot, ROWS_OF_CONTEXTS)] if hot else rows)
+    looked = scored.select("row", F.explode("pending").alias("p")).select("row", "p.ctx", "p.code")
+    at = F.array_position("codes", F.col("code"))
+    value = F.when(at > 0, F.element_at("values", F.greatest(at, F.lit(1)).cast("int")) - F.col("minus")).otherwise(F.col("left"))
+    return looked.join(rows, "ctx").groupBy("row").agg(F.sum(value).alias("more"))
 
 
 def lm_scores(
@@ -745,17 +777,22 @@ def lm_scores(
 
     # what the frequent words leave: counts of the other words, by a join on their hashes
     others = words.filter(F.col("n") <= int(n.min(initial=0 if not len(n) else n[0]))).select("h", F.col("n").alias("c"))
-    rare = scored.select("row", F.explode("rare").alias("h")).groupBy("row", "h").agg(F.count("*").alias("k"))
+    rare = scored.select("row", F.explode("rare").alias("h"))
     bottom = math.log10(tokens + kinds + 1)
     own = F.log10(F.col("c") * F.lit((1 - fresh) / max(1, tokens)))
     found = rare.join(others, "h", "left").groupBy("row").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("k"))).alias("n_found"),
-        F.sum(F.col("k") * (F.log10(F.col("c") + 1) - F.lit(bottom))).alias("found"),
-        F.sum(F.col("k") * F.coalesce(own, F.lit(math.log10(fresh)))).alias("gained"),
+        F.count("c").alias("n_found"),
+        F.sum(F.log10(F.col("c") + 1) - F.lit(bottom)).alias("found"),
+        F.sum(F.coalesce(own, F.lit(math.log10(fresh)))).alias("gained"),
     )
+    # one after the other, so that their shuffles are not there together
+    found = stored(found, "lm-found")
+    dropped(words)
     joined = scored.drop("rare", "pending").join(found, "row", "left")
     if not near.whole:
-        joined = joined.join(past_head(scored, tree), "row", "left")
+        joined = joined.join(stored(past_head(scored, tree, near.contexts), "lm-more"), "row", "left")
+    for level, _ in tree.levels:
+        dropped(level)
     more = F.lit(0.0) if near.whole else F.coalesce("more", F.lit(0.0))
     n_found = F.coalesce("n_found", F.lit(0))
     n_new = F.col("n_tokens") - F.col("n_head") - n_found
