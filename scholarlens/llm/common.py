@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from scholarlens.sources.folders import shared_folder
 
 WORDS_KEPT = 250_000
-_CLEANS = "spark.sql.shuffleDependency.fileCleanup.enabled"
+_CLEANS = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
