@@ -30,8 +30,10 @@ Scoring. The score of a text is the sum of its words' own shares and, for each
 context of the tree before a word, of one number: how the word's entry changes its
 probability against the suffix, or the mass left to words without an entry. So the
 longest suffix in the tree decides, and each part of the sum may be found anywhere:
-the most frequent words and contexts (``HEAD``, ``HEAD_CONTEXTS``, ``HEAD_ENTRIES`` at
-most) travel to the tasks, all others come by joins on hashes, with equal scores.
+the most frequent words, contexts and entries (``HEAD``, ``HEAD_CONTEXTS``,
+``HEAD_ENTRIES`` at most) travel to the tasks, all others come by joins on hashes, with
+equal scores. Entries and what looks for them meet as lists by bucket of the hash.
+Texts are scored in as many slices as keep these lists small against the texts.
 """
 
 from __future__ import annotations
@@ -49,8 +51,10 @@ from scholarlens.llm.common import MULTIPLIER, Bits, chunks_of, dropped, hash_wo
 
 LEAST, DEPTH, ENTRY, GAIN, DISCOUNT = 10, 4, 1, 8.0, 0.75
 HEAD = 150_000
-#: Contexts and their entries that travel to the tasks.
-HEAD_CONTEXTS, HEAD_ENTRIES = 400_000, 3_000_000
+#: Contexts and entries that travel to the tasks.
+HEAD_CONTEXTS, HEAD_ENTRIES = 400_000, 500_000
+#: Entries outside the head that a slice of texts looks for: about one for so many of all words.
+PER_LOOKUP = 4
 #: Classes whose probabilities without a context travel to the tasks.
 HEAD_CLASSES = 1_000_000
 #: Bytes of text counted and scored at once, next classes held by a task before they are summed up, words of a bucket.
@@ -206,6 +210,11 @@ LEVEL = (
 PARENTS = "bucket int, ctx array<long>, kinds array<int>, symbol array<int>, p array<float>"
 
 
+#: What contexts and entries are read from; the rest of a level serves the next one.
+CONTEXT_COLUMNS = ("ctx", "kinds", "total", "left")
+ENTRY_COLUMNS = (*CONTEXT_COLUMNS, "symbol", "n", "q")
+
+
 def _lists(values: np.ndarray, offsets: np.ndarray, kind) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.astype(kind, copy=False)))
 
@@ -484,53 +493,113 @@ class _Kept:
         return {"ctx": context[at].view(np.int64), "total": total[at], "kinds": kinds[at], "left": np.log10(left[at])}
 
 
-class _Entries:
-    """Entries of the contexts of a level that stay, of ``among`` only if it is given: (ctx, code, value)."""
+class _Times:
+    """How many entries of the contexts of a level that stay occur how often: (n, entries)."""
 
-    def __init__(self, tested: Tested, among: Places | None = None):
-        self.tested, self.among = tested, among
+    def __init__(self, tested: Tested):
+        self.tested = tested
 
     def __call__(self, batch):
+        _, own, _, _, left = self.tested.contexts(batch)
+        n, entries = np.unique(_flat(batch, "n")[np.repeat(~np.isnan(left), own)], return_counts=True)
+        return {"n": n, "entries": entries}
+
+
+class _Entries:
+    """(codes, values) of the entries of the contexts of a level that stay, as one row of lists; those with ``often`` occurrences."""
+
+    def __init__(self, tested: Tested, often: int):
+        self.tested, self.often = tested, often
+
+    def of(self, batch, rarer: bool):
         context, symbol, p, q, stays = self.tested.entries(batch)
-        if self.among is not None:
-            stays &= self.among.of(context) >= 0
+        stays &= (_flat(batch, "n") < self.often) == rarer
         context, symbol, p, q = (x[stays] for x in (context, symbol, p, q))
-        return {"ctx": context.view(np.int64), "code": coded(context, symbol).view(np.int64), "value": np.log10(p / q).astype(np.float32)}
+        return context, coded(context, symbol), np.log10(p / q).astype(np.float32)
+
+    def __call__(self, batch):
+        _, code, value = self.of(batch, False)
+        edges = np.array([0, len(code)])
+        return {"codes": _lists(code.view(np.int64), edges, np.int64), "values": _lists(value, edges, np.float32)}
+
+
+#: Sorted hashes of a bucket and what goes with each: a value, or the row that looks for it.
+BUCKETED = "bucket int, keys binary, others binary"
+
+
+def bucketed(keys: np.ndarray, others: np.ndarray, buckets: int) -> dict:
+    """Hashes with 64-bit values as rows of BUCKETED."""
+    order = np.argsort(keys)
+    keys, others = keys[order], others[order]
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+    first, n = _boundaries(bucket)
+    ends = [(a * 8, (a + k) * 8) for a, k in zip(first.tolist(), n.tolist())]
+    keys, others = keys.tobytes(), others.tobytes()
+    return {"bucket": bucket[first], "keys": [keys[a:b] for a, b in ends], "others": [others[a:b] for a, b in ends]}
+
 
+def context_key(context: np.ndarray) -> np.ndarray:
+    """Stands for a context among hashes of contexts with a class."""
+    return coded(context, np.full(len(context), 0xFFFFFFFFFF, np.uint64))
 
-class _Listed(_Entries):
-    """The same as one row of lists (code, value)."""
+
+class _RareEntries(_Entries):
+    """Entries that occur less than ``often`` times, with what they change against the rest of their context; see BUCKETED."""
+
+    def __init__(self, tested: Tested, often: int, buckets: int):
+        super().__init__(tested, often)
+        self.buckets = buckets
 
     def __call__(self, batch):
-        found = super().__call__(batch)
-        return {name: _lists(found[name], np.array([0, len(found[name])]), found[name].dtype) for name in ("code", "value")}
+        _, own, _, _, left = self.tested.contexts(batch)
+        left = np.repeat(left, own)[(_flat(batch, "n") < self.often) & np.repeat(~np.isnan(left), own)]
+        _, code, value = self.of(batch, True)
+        return bucketed(code, value.astype(np.float64) - np.log10(left), self.buckets)
+
+
+class _RareContexts:
+    """What contexts (ctx, left) outside of ``head`` leave; see BUCKETED."""
 
+    def __init__(self, head: Places, buckets: int):
+        self.head, self.buckets = head, buckets
 
-#: A word after a context adds its value less ``minus`` if it is listed, else ``left``.
-ROWS_OF_CONTEXTS = "ctx long, codes array<long>, values array<float>, minus double, left double"
+    def __call__(self, batch):
+        context, left = batch.column("ctx").to_numpy().view(np.uint64), batch.column("left").to_numpy()
+        some = self.head.of(context) < 0
+        return bucketed(context_key(context[some]), left[some], self.buckets)
 
 
-class _Rows:
-    """The contexts of a level that stay and are not in ``head``; see ROWS_OF_CONTEXTS."""
+class _Looked:
+    """Rows (row, pending) as what looks for hashes; see BUCKETED."""
 
-    def __init__(self, tested: Tested, head: Places):
-        self.tested, self.head = tested, head
+    def __init__(self, buckets: int):
+        self.buckets = buckets
 
     def __call__(self, batch):
-        context, own, _, _, left = self.tested.contexts(batch)
-        some = ~np.isnan(left) & (self.head.of(context) < 0)
-        entries = {**_Entries(self.tested)(batch)} if some.any() else {"code": np.empty(0, np.int64), "value": np.empty(0, np.float32)}
-        # entries are those of all contexts that stay
-        inner = np.repeat(some[~np.isnan(left)], own[~np.isnan(left)]) if some.any() else np.empty(0, bool)
-        edges = np.append(0, np.cumsum(own[some]))
-        left, hot = np.log10(left[some]), self.tested.hot.of(context[some]) >= 0
-        return {
-            "ctx": context[some].view(np.int64),
-            "codes": _lists(entries["code"][inner], edges, np.int64),
-            "values": _lists(entries["value"][inner], edges, np.float32),
-            "minus": np.where(hot, left, 0.0),
-            "left": np.where(hot, 0.0, left),
-        }
+        pending = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("pending")]
+        rows = np.repeat(batch.column("row").to_numpy(), [len(x) for x in pending])
+        return bucketed(np.concatenate(pending), rows, self.buckets)
+
+
+def _both(table: pa.Table, kind) -> tuple[np.ndarray, np.ndarray]:
+    keys, others = (b"".join(table.column(name).to_pylist()) for name in ("keys", "others"))
+    return np.frombuffer(keys, np.uint64), np.frombuffer(others, kind)
+
+
+def _found(looked: pa.Table, entries: pa.Table) -> pa.Table:
+    """(row, more): sums of what a bucket's hashes change."""
+    keys, value = _both(entries, np.float64)
+    order = np.argsort(keys)
+    keys, value = keys[order], value[order]
+    wanted, rows = _both(looked, np.int64)
+    if len(keys):
+        place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        hit = keys[place] == wanted
+        rows, value = rows[hit], value[place[hit]]
+    else:
+        rows, value = rows[:0], value[:0]
+    rows, at = np.unique(rows, return_inverse=True)
+    return pa.table([rows, np.bincount(at, value, len(rows)).astype(np.float64)], names=["row", "more"])
 
 
 class _Parents:
@@ -588,13 +657,12 @@ class _Classes:
 class Grown:
     """The tree: tables of its levels, each with its :class:`Tested`, ``contexts`` (ctx, total, kinds, left), left in log10; ``runs`` for each length from 2 on."""
 
-    def __init__(self, symbols: Symbols, runs: list[Bits], contexts: DataFrame, levels: list[tuple[DataFrame, Tested]]):
+    def __init__(self, symbols: Symbols, runs: list[Bits], contexts: DataFrame | None, levels: list[tuple[DataFrame, Tested]]):
         self.symbols, self.runs, self.contexts, self.levels = symbols, runs, contexts, levels
 
-    def listed(self, among: Places | None) -> pa.Table:
-        """Entries of contexts in ``among``, of all if it is None, as lists (code, value)."""
-        parts = [mapped(level, _Listed(tested, among), "code array<long>, value array<float>") for level, tested in self.levels]
-        return reduce(DataFrame.unionByName, parts).toArrow()
+    def mapped(self, make, schema: str, columns: tuple[str, ...] = ENTRY_COLUMNS) -> DataFrame:
+        """Rows of all levels by ``make(tested)``."""
+        return reduce(DataFrame.unionByName, [mapped(level.select(*columns), make(tested), schema) for level, tested in self.levels])
 
 
 def grown(
@@ -632,7 +700,7 @@ def grown(
             if k == 1:
                 parents, brought = root, numbered.mapInArrow(_wanted(root, dealt), "bucket int, class long").distinct().join(real, "class")
             else:
-                parents, brought = Suffixes(), mapped(levels[-1][0], _Parents(levels[-1][1], dealt), PARENTS)
+                parents, brought = Suffixes(), mapped(levels[-1][0].select(*ENTRY_COLUMNS), _Parents(levels[-1][1], dealt), PARENTS)
             merged = listed.cogroup(brought.groupBy("bucket")).applyInArrow(_merge(k, least, entry, gain, dealt.places, parents), LEVEL)
         level = stored(merged, "lm-level", ROWS)
         levels.append((level, Tested(level, least, gain)))
@@ -642,28 +710,46 @@ def grown(
             dealt = Dealt(k + 1, buckets, found.filter(F.col("run_n") > limit).toArrow(), dealt)
     for table in (numbered, classes):
         dropped(table)
-    kept = [mapped(level, _Kept(tested), "ctx long, total long, kinds long, left double") for level, tested in levels]
-    contexts = reduce(DataFrame.unionByName, kept).groupBy("ctx").agg(*[F.max(c).alias(c) for c in ("total", "kinds", "left")])
-    return Grown(symbols, runs, stored(contexts, "lm-contexts", ROWS), levels)
+    tree = Grown(symbols, runs, None, levels)
+    kept = tree.mapped(_Kept, "ctx long, total long, kinds long, left double", CONTEXT_COLUMNS)
+    contexts = kept.groupBy("ctx").agg(*[F.max(c).alias(c) for c in ("total", "kinds", "left")])
+    tree.contexts = stored(contexts, "lm-contexts", ROWS)
+    return tree
 
 
 class Head:
-    """The most frequent contexts of a tree, with all their entries, and a bit table of all contexts."""
+    """The most frequent contexts and entries of a tree, and a bit table of all contexts.
+
+    ``often`` is how often an entry occurs that is in the head, ``looked`` how many of
+    the training words look for one that is not.
+    """
 
     def __init__(self, tree: Grown):
         self.symbols, self.runs = tree.symbols, tree.runs
-        n = tree.contexts.count()
-        self.bits = Bits(tree.contexts.select(F.col("ctx").alias("h")), n)
-        top = tree.contexts.orderBy(F.desc("total"), "ctx").limit(HEAD_CONTEXTS).select("ctx", "kinds", "left").toArrow()
-        fits = int((np.cumsum(top.column("kinds").to_numpy()) <= HEAD_ENTRIES).sum())
-        self.whole = fits == n
-        context = top.column("ctx").to_numpy()[:fits].view(np.uint64)
+        self.count = tree.contexts.count()
+        self.bits = Bits(tree.contexts.select(F.col("ctx").alias("h")), self.count)
+        top = tree.contexts.orderBy(F.desc("total"), "ctx").limit(HEAD_CONTEXTS).select("ctx", "left").toArrow()
+        context = top.column("ctx").to_numpy().view(np.uint64)
         order = np.argsort(context)
-        self.contexts, self.left = Places(context[order]), top.column("left").to_numpy()[:fits][order]
-        found = tree.listed(None if self.whole else self.contexts)
-        code = _flat(found, "code").view(np.uint64)
+        self.contexts, self.left = Places(context[order]), top.column("left").to_numpy()[order]
+        times = tree.mapped(_Times, "n long, entries long", (*CONTEXT_COLUMNS, "n")).groupBy("n").agg(F.sum("entries").alias("entries"))
+        times = times.orderBy(F.desc("n")).toArrow()
+        n, entries = (times.column(k).to_numpy() for k in range(2))
+        fits = int((np.cumsum(entries) <= HEAD_ENTRIES).sum())
+        self.often = int(n[fits]) + 1 if fits < len(n) else 1
+        self.looked = int((n * entries)[fits:].sum())
+        self.whole = fits == len(n) and len(context) == self.count
+        found = tree.mapped(lambda tested: _Entries(tested, self.often), "codes array<long>, values array<float>").toArrow()
+        code = _flat(found, "codes").view(np.uint64)
         order = np.argsort(code)
-        self.codes, self.value = Places(code[order]), _flat(found, "value")[order]
+        self.codes, self.value = Places(code[order]), _flat(found, "values")[order]
+
+    def rest(self, tree: Grown, buckets: int) -> DataFrame:
+        """All other contexts and entries; see BUCKETED."""
+        entries = tree.mapped(lambda tested: _RareEntries(tested, self.often, buckets), BUCKETED)
+        if len(self.contexts.keys) < self.count:
+            entries = entries.unionByName(mapped(tree.contexts.select("ctx", "left"), _RareContexts(self.contexts, buckets), BUCKETED))
+        return stored(entries, "lm-rest", ROWS)
 
 
 class _Score:
@@ -677,19 +763,21 @@ class _Score:
         self.base = np.append(np.log10(head[1] + 1) - math.log10(tokens + kinds + 1), np.nan)
 
     def _gains(self, symbol: np.ndarray):
-        """What the contexts in the head add at each token, and (places, contexts, codes) of those that are not in it."""
+        """What the contexts and entries in the head add at each token, and (places, hashes) of those that are not in it."""
         tree, gain, open_ = self.tree, np.zeros(len(symbol)), []
         for at, context in contexts_of(symbol, tree.runs):
             near = tree.bits.has(context)
             at, context = at[near], context[near]
-            place = tree.contexts.of(context)
-            hit = place >= 0
-            code = coded(context, symbol[at])
-            inside, place = at[hit], place[hit]
-            entry = tree.codes.of(code[hit])
-            gain[inside] += np.where(entry >= 0, tree.value[entry], tree.left[place]) if len(tree.value) else 0
-            if not tree.whole and not hit.all():
-                open_.append((at[~hit], context[~hit], code[~hit]))
+            place, code = tree.contexts.of(context), coded(context, symbol[at])
+            entry = tree.codes.of(code)
+            # each code is there once, whatever is known of its context
+            listed, left = entry >= 0, (entry < 0) & (place >= 0)
+            gain[at[listed]] += tree.value[entry[listed]]
+            gain[at[left]] += tree.left[place[left]]
+            if not tree.whole:
+                open_.append((at[~listed], code[~listed]))
+                outside = ~listed & (place < 0)
+                open_.append((at[outside], context_key(context[outside])))
         return gain, open_
 
     def _group(self, texts: pa.Array, out: dict) -> None:
@@ -703,41 +791,34 @@ class _Score:
         out["score"].append(np.add.reduceat(np.where(frequent, own, 0.0) + gain, starts))
         out["n_head"].append(np.add.reduceat(frequent.astype(np.int64), starts))
         rare = np.flatnonzero(~frequent)
-        out["rare"].append((np.diff(np.searchsorted(rare, edges)), [words.hashes[words.at[rare]].view(np.int64)]))
-        fields = [np.concatenate(x) for x in zip(*open_)] if open_ else [np.empty(0, np.int64), *[np.empty(0, np.uint64)] * 2]
-        order = np.argsort(fields[0])
-        at, context, code = (x[order] for x in fields)
-        out["pending"].append((np.diff(np.searchsorted(at, edges)), [context.view(np.int64), code.view(np.int64)]))
+        out["rare"].append((np.diff(np.searchsorted(rare, edges)), words.hashes[words.at[rare]].view(np.int64)))
+        at, code = (np.concatenate(x) for x in zip(*open_)) if open_ else (np.empty(0, np.int64), np.empty(0, np.uint64))
+        order = np.argsort(at, kind="stable")
+        cuts, code = np.searchsorted(at[order], edges).tolist(), code[order]
+        out["pending"] += [code[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
 
     def __call__(self, batch):
         out = {k: [] for k in ("n_tokens", "score", "base", "n_head", "rare", "pending")}
         for texts in chunks_of(batch, SCORE_BYTES):
             self._group(texts, out)
-        columns = {k: np.concatenate(out[k]) for k in ("n_tokens", "score", "base", "n_head")}
-        for name in ("rare", "pending"):
-            counts = np.concatenate([c for c, _ in out[name]])
-            rows = [pa.array(np.concatenate(x)) for x in zip(*[r for _, r in out[name]])]
-            inner = rows[0] if len(rows) == 1 else pa.StructArray.from_arrays(rows, ["ctx", "code"])
-            columns[name] = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), inner)
+        columns = {k: np.concatenate(out[k]) for k in ("n_tokens", "score", "base", "n_head")} | {"pending": out["pending"]}
+        counts, rare = (np.concatenate(x) for x in zip(*out["rare"]))
+        columns["rare"] = _lists(rare, np.append(0, np.cumsum(counts)), np.int64)
         return {"row": batch.column("row"), "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), **columns}
 
 
 SCORED = (
     "row long, doc_id long, held_out boolean, n_tokens long, score double, base double, n_head long, "
-    "rare array<long>, pending array<struct<ctx:long,code:long>>"
+    "rare array<long>, pending binary"
 )
 
 
-def past_head(scored: DataFrame, tree: Grown, head: Places) -> DataFrame:
-    """(row, more): what the contexts outside the head add to the scores of rows (row, pending)."""
-    rows = [mapped(level, _Rows(tested, head), ROWS_OF_CONTEXTS) for level, tested in tree.levels]
-    # parts of a hot context have its entries less its own value, which is there once
-    hot = [(c, [], [], 0.0, x) for _, tested in tree.levels for c, x in tested.hot_left()]
-    rows = reduce(DataFrame.unionByName, [*rows, scored.sparkSession.createDataFrame(hot, ROWS_OF_CONTEXTS)] if hot else rows)
-    looked = scored.select("row", F.explode("pending").alias("p")).select("row", "p.ctx", "p.code")
-    at = F.array_position("codes", F.col("code"))
-    value = F.when(at > 0, F.element_at("values", F.greatest(at, F.lit(1)).cast("int")) - F.col("minus")).otherwise(F.col("left"))
-    return looked.join(rows, "ctx").groupBy("row").agg(F.sum(value).alias("more"))
+def past_head(scored: DataFrame, rest: DataFrame, buckets: int) -> DataFrame:
+    """Rows of SCORED with what the contexts and entries outside the head add, without ``pending``."""
+    looked = mapped(scored.select("row", "pending"), _Looked(buckets), BUCKETED)
+    found = looked.groupBy("bucket").cogroup(rest.groupBy("bucket")).applyInArrow(_found, "row long, more double")
+    more = stored(found.groupBy("row").agg(F.sum("more").alias("more")), "lm-more")
+    return scored.drop("pending").join(more, "row", "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0))).drop("more")
 
 
 def lm_scores(
@@ -772,8 +853,23 @@ def lm_scores(
     top = words.orderBy(F.desc("n"), "h").limit(HEAD).toArrow()
     h, n = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
     head = h[np.argsort(h)], n[np.argsort(h)]
-    numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    scored = stored(mapped(numbered, _Score(near, head, tokens, kinds, fresh), SCORED), "scores")
+    score, buckets, parts = _Score(near, head, tokens, kinds, fresh), max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), tokens // (PER_LOOKUP * BUCKET)), []
+    if near.whole:
+        numbered = rows.withColumn("row", F.monotonically_increasing_id())
+        parts.append(stored(mapped(numbered, score, SCORED).drop("pending"), "scores"))
+    rest = None if near.whole else near.rest(tree, buckets)
+    for table in (tree.contexts, *[level for level, _ in tree.levels]):
+        dropped(table)
+    # one slice after the other, so that what is looked for is not there together
+    slices = 0 if near.whole else max(1, math.ceil(PER_LOOKUP * near.looked / tokens))
+    for k in range(slices):
+        numbered = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(slices)) == k).withColumn("row", F.monotonically_increasing_id() + (k << 57))
+        scored = stored(mapped(numbered, score, SCORED), "scores")
+        parts.append(stored(past_head(scored, rest, buckets), "lm-scored"))
+        dropped(scored)
+    if rest is not None:
+        dropped(rest)
+    scored = reduce(DataFrame.unionByName, parts)
 
     # what the frequent words leave: counts of the other words, by a join on their hashes
     others = words.filter(F.col("n") <= int(n.min(initial=0 if not len(n) else n[0]))).select("h", F.col("n").alias("c"))
@@ -785,15 +881,9 @@ def lm_scores(
         F.sum(F.log10(F.col("c") + 1) - F.lit(bottom)).alias("found"),
         F.sum(F.coalesce(own, F.lit(math.log10(fresh)))).alias("gained"),
     )
-    # one after the other, so that their shuffles are not there together
     found = stored(found, "lm-found")
     dropped(words)
-    joined = scored.drop("rare", "pending").join(found, "row", "left")
-    if not near.whole:
-        joined = joined.join(stored(past_head(scored, tree, near.contexts), "lm-more"), "row", "left")
-    for level, _ in tree.levels:
-        dropped(level)
-    more = F.lit(0.0) if near.whole else F.coalesce("more", F.lit(0.0))
+    joined = scored.drop("rare").join(found, "row", "left")
     n_found = F.coalesce("n_found", F.lit(0))
     n_new = F.col("n_tokens") - F.col("n_head") - n_found
     return joined.select(
@@ -803,5 +893,5 @@ def lm_scores(
         (F.col("n_head") + n_found).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("found", F.lit(0.0)) - n_new * F.lit(bottom)).alias("base_score"),
-        (F.col("score") + F.coalesce("gained", F.lit(0.0)) + more).alias("score"),
+        (F.col("score") + F.coalesce("gained", F.lit(0.0))).alias("score"),
     )

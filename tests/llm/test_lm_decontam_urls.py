@@ -321,6 +321,36 @@ def test_scores_do_not_depend_on_the_head_of_contexts(spark, monkeypatch):
         assert {r.doc_id: r.score for r in lm_scores(frame).collect()} == pytest.approx(whole, rel=1e-9)
 
 
+def test_words_look_for_few_entries_at_a_time_and_scores_stay(spark, monkeypatch):
+    frame = spark.createDataFrame(list(enumerate(markov(150))), "doc_id long, text string")
+    tokens, seen, past = 150 * 61, [], suffix_lm.past_head
+
+    def counted(scored, rest, buckets):
+        seen.append(scored.selectExpr("sum(length(pending) / 8)").first()[0])
+        return past(scored, rest, buckets)
+
+    whole = {r.doc_id: r.score for r in lm_scores(frame).collect()}
+    monkeypatch.setattr(suffix_lm, "past_head", counted)
+    monkeypatch.setattr(suffix_lm, "HEAD_ENTRIES", 5)
+    assert {r.doc_id: r.score for r in lm_scores(frame).collect()} == pytest.approx(whole, rel=1e-9)
+    # a slice looks for a share of the words, however many there are in all
+    assert len(seen) > 2 and sum(seen) > tokens / 2 and max(seen) < tokens / 2
+
+
+def test_the_entries_that_occur_most_travel(spark, monkeypatch):
+    from scholarlens.llm.suffix_lm import Head, grown, word_counts
+
+    texts = spark.createDataFrame([(t,) for t in markov(150)], "text string")
+    words = word_counts(texts)
+    tree = grown(texts, words, 150 * 61, 1e-4)
+    n = [(x.n, x.entries) for x in tree.mapped(suffix_lm._Times, "n long, entries long").collect()]
+    monkeypatch.setattr(suffix_lm, "HEAD_ENTRIES", 12)
+    head = Head(tree)
+    inside = sum(e for k, e in n if k >= head.often)
+    assert 0 < inside <= 12 and len(head.codes.keys) == inside
+    assert head.looked == sum(k * e for k, e in n if k < head.often) and not head.whole
+
+
 def test_scores_of_a_third_order_source_equal_those_of_a_plain_tree(spark):
     texts = list(enumerate(markov(80)))
     expect, _, _, kept = plain_tree(texts)
