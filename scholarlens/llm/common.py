@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from scholarlens.sources.folders import shared_folder
 
 WORDS_KEPT = 250_000
+#: Rows that go to Python at once where they hold whole texts or sets.
+TEXT_ROWS = 1_000
 _CLEANS = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -72,15 +74,23 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def _holder() -> types.ModuleType:
+    holder = sys.modules.setdefault("_kept_between_tasks", types.ModuleType("_kept_between_tasks"))
+    holder.__dict__.setdefault("kept", {})
+    holder.__dict__.setdefault("asked", False)
+    return holder
+
+
 def kept_in_worker(key: tuple, make):
     """``make()``, kept under ``key`` in this Python process, which serves many tasks one after another.
 
     Functions of this package come to a worker anew for each task, so what should
-    outlive a task is held by a module of its own. Only the key used last is kept, so
-    that the stages of one job do not add up their memory.
+    outlive a task is held by a module of its own. Only the key used last is kept, and
+    tasks of :func:`mapped` that ask for none let it go, so that the stages of one job
+    do not add up their memory.
     """
-    holder = sys.modules.setdefault("_kept_between_tasks", types.ModuleType("_kept_between_tasks"))
-    kept = holder.__dict__.setdefault("kept", {})
+    holder = _holder()
+    kept, holder.asked = holder.kept, True
     if key not in kept:
         kept.clear()
         kept[key] = make()
@@ -187,10 +197,11 @@ def chunks_of(batch: pa.RecordBatch, size: int) -> list[pa.Array]:
     return [texts.slice(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def mapped(df: DataFrame, make, schema: str) -> DataFrame:
+def mapped(df: DataFrame, make, schema: str, rows: int | None = None) -> DataFrame:
     """``mapInArrow`` with ``make(batch) -> dict of columns`` and a schema in DDL.
 
-    ``make`` may carry state in attributes: it is pickled once for each task.
+    ``make`` may carry state in attributes: it is pickled once for each task. It gets
+    ``rows`` rows at most at a time, if given.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -198,9 +209,14 @@ def mapped(df: DataFrame, make, schema: str) -> DataFrame:
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holder = _holder()
+        holder.asked = False
         for batch in batches:
-            if batch.num_rows:
-                out = make(batch)
+            step = rows or batch.num_rows
+            for at in range(0, batch.num_rows, step or 1):
+                out = make(batch.slice(at, step))
+                if not holder.asked:
+                    holder.kept.clear()
                 yield pa.RecordBatch.from_arrays([as_array(out[f.name], f.type) for f in target], schema=target)
 
     return df.mapInArrow(run, schema)

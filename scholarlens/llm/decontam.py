@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholarlens.llm.common import Bits, WordMemo, byte_texts, hash_word, kept_in_worker, mapped, stored, window_hashes
+from scholarlens.llm.common import TEXT_ROWS, Bits, WordMemo, byte_texts, hash_word, kept_in_worker, mapped, stored, window_hashes
 
 WIDTH, COVERAGE, AGREEMENT = 5, 0.8, 0.8
 NUMBER, UNIT, NAME = 3, 5, 7
@@ -263,7 +263,7 @@ def leaks(
     # keys are kept with the sign bit turned; a table of 2 MB errs in less than one of a thousand places for small benchmarks
     known = Bits(keys.select((F.col("h").bitwiseXOR(F.lit(-(1 << 63)))).alias("h")), keys.count(), 24)
     near = mapped(docs, _Candidates(known, spans), "doc_id long, text binary, hits array<long>")
-    near = stored(near.withColumn("row", F.monotonically_increasing_id()), "near")
+    near = stored(near.withColumn("row", F.monotonically_increasing_id()), "near", TEXT_ROWS)
     hits = near.select("row", F.explode("hits").alias("h"))
     pairs = hits.join(keys.select("h", "item").distinct(), "h").select("row", "item").distinct()
     held = pairs.join(near.select("row", "doc_id", "text"), "row")

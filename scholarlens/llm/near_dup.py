@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholarlens.llm.common import (
+    TEXT_ROWS,
     WordMemo,
     byte_texts,
     hash_word,
@@ -280,7 +281,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     features = stored(
-        mapped(docs, _Features(percent), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "sketches"
+        mapped(docs, _Features(percent), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "sketches", TEXT_ROWS
     )
     named = features.filter("doc_id is not null and n_shingles > 0")
     one = named.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("x"))
@@ -290,14 +291,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     central = members.groupBy("doc").agg(F.sum("company").alias("rank"))
     texts = docs.withColumnRenamed("doc_id", "doc").join(central.select("doc"), "doc", "left_semi")
     sets = mapped(texts, _Sets(), "doc long, shingles binary").groupBy("doc").agg(F.min("shingles").alias("shingles"))
-    sets = stored(sets, "sets")
+    sets = stored(sets, "sets", TEXT_ROWS)
 
     # each member against the best centre of its buckets
     centre = members.join(central, "doc").groupBy("bucket").agg(F.max(F.struct("rank", -F.col("doc"))).alias("best"))
     stars = stored(members.select("bucket", "doc").join(centre, "bucket"), "stars")
     best = stars.groupBy("doc").agg(F.max("best").alias("best"))
     pairs = best.select((-F.col("best.col2")).alias("c"), F.col("doc").alias("x")).filter("c <> x")
-    links = stored(links_of(pairs, sets, percent), "links")
+    links = stored(links_of(pairs, sets, percent), "links", TEXT_ROWS)
     placed = stored(components(links), "components")
 
     # buckets that are still split, each member against the bucket's own centre
@@ -305,7 +306,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     split = open_stars.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     open_stars = open_stars.join(split.filter("lo < hi").select("bucket"), "bucket")
     pairs = open_stars.select((-F.col("best.col2")).alias("c"), F.col("doc").alias("x")).filter("c <> x").distinct()
-    held = stored(measured(pairs, sets, percent), "measured")
+    held = stored(measured(pairs, sets, percent), "measured", TEXT_ROWS)
     links = links.unionByName(held.filter("linked").select(F.col("c").alias("a"), F.col("x").alias("b")))
     placed = stored(components(links), "components")
 

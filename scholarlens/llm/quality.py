@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholarlens.llm.common import chunks_of, mapped, remainder
+from scholarlens.llm.common import TEXT_ROWS, chunks_of, mapped, remainder
 from scholarlens.llm.toxicity import labelled_sample, threshold
 
 SAMPLE_PER_CLASS, SAMPLE_CHARS = 2_000, 20_000
@@ -254,4 +254,4 @@ class _Keep:
 def accepted(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
     """The rows of ``docs`` that the classifier predicts to be of quality, with all their columns."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return mapped(docs, _Keep(_fitted(docs, labels, folds)), schema)
+    return mapped(docs, _Keep(_fitted(docs, labels, folds)), schema, TEXT_ROWS)

@@ -18,7 +18,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholarlens.llm.common import byte_texts, free_name, mapped, stored
+from scholarlens.llm.common import TEXT_ROWS, byte_texts, free_name, mapped, stored
 
 SCOPE = 300
 #: Kinds in the order in which equal starts are listed; the strict ones come first.
@@ -141,7 +141,7 @@ def secret_spans(docs: DataFrame, scope: int = SCOPE, keep_key: bool = False) ->
         F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("text_key")
     )
     scanned = mapped(docs, _scan, f"doc_id long, text_key long, parts {PARTS}")
-    scanned = stored(scanned.withColumn("row", F.monotonically_increasing_id()), "spans")
+    scanned = stored(scanned.withColumn("row", F.monotonically_increasing_id()), "spans", TEXT_ROWS)
     weak = F.exists("parts", lambda p: p["rank"] >= len(STRICT)) & (F.size("parts") > 1)
     linked = _linked(scanned.filter(weak).select("row", F.explode("parts").alias("p")), scope)
     extra = linked.groupBy("row").agg(F.collect_list("p").alias("extra"))
@@ -202,5 +202,5 @@ def redacted(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
     keyed = docs.withColumn(own_key, F.xxhash64("text"))
     joined = keyed.join(found, keyed["doc_id"].eqNullSafe(found[own_id]) & (keyed[own_key] == found["spans_key"]), "left")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = mapped(joined.select(*[keyed[c] for c in columns], found[name]), _mask(mark, name), schema)
+    out = mapped(joined.select(*[keyed[c] for c in columns], found[name]), _mask(mark, name), schema, TEXT_ROWS)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in columns else out
