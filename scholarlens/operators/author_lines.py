@@ -120,27 +120,32 @@ def letters_of(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", "")
 
 
-def title_end(lines: Column, title: Column) -> Column:
-    """The number of the line after the title, whose lines follow each other from where they begin; null if it is not there."""
-    wanted = letters_of(title)
-    whole = F.struct(F.lit("").alias("met"), F.lit(None).cast("int").alias("end"))
+def title_span(lines: Column, title: Column) -> Column:
+    """(start, end): the numbers of the title's first line and of the line after it; its lines follow each other. Null if it is not there."""
+    keys = F.transform(F.slice(lines, 1, PAGE), lambda x, i: F.struct(letters_of(x).alias("key"), i.alias("at")))
+    none = F.struct(F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"))
+    whole = F.struct(F.lit("").alias("met"), F.lit(0).alias("start"), F.when(F.lit(False), none).alias("span"))
 
-    def step(s: Column, x: Column) -> Column:
-        key = letters_of(x["line"])
-        longer, fresh = F.concat(s["met"], key), key
-        met = F.when(key == "", s["met"]).when(F.startswith(wanted, longer), longer).when(F.startswith(wanted, fresh), fresh).otherwise(F.lit(""))
-        end = F.when((met == wanted) & (wanted != ""), x["at"] + 1)
-        return F.struct(met.alias("met"), F.coalesce(s["end"], end).alias("end"))
+    def found(wanted: Column) -> Column:
+        def step(s: Column, x: Column) -> Column:
+            blank, longer = x["key"] == "", F.concat(s["met"], x["key"])
+            on = (s["met"] != "") & F.startswith(wanted, longer)
+            met = F.when(blank, s["met"]).when(on, longer).when(F.startswith(wanted, x["key"]), x["key"]).otherwise(F.lit(""))
+            start = F.when(blank | on, s["start"]).otherwise(x["at"])
+            span = F.when((met == wanted) & (wanted != ""), F.struct(start.alias("start"), (x["at"] + 1).alias("end")))
+            return F.struct(met.alias("met"), start.alias("start"), F.coalesce(s["span"], span).alias("span"))
 
-    numbered = F.transform(F.slice(lines, 1, PAGE), lambda x, i: F.struct(x.alias("line"), i.alias("at")))
-    return F.aggregate(numbered, whole, step)["end"]
+        return F.aggregate(keys, whole, step)["span"]
+
+    return let(letters_of(title), found)
 
 
 def detected_authors(rows: DataFrame, text: str, title: str) -> DataFrame:
     """``rows`` with ``found_authors``: the names after a marker ("by", "submitted by", "researchers:"), or else in a block right under the title.
 
     A marker counts before the abstract and the first chapter, in two title pages of
-    lines. Under a title in column ``title`` two names at least must be found. At most
+    lines. The lines of the title in column ``title`` are neither of these, whatever they
+    begin or end with. Under the title two names at least must be found. At most
     twelve names are kept, each once in any case, without addresses. Such a list is never
     sure, so there is no confidence. Names cut over two lines are left to a person.
     Null texts have none.
@@ -160,9 +165,16 @@ def detected_authors(rows: DataFrame, text: str, title: str) -> DataFrame:
         return let(block, lambda b: F.when(F.size(b) >= 2, b))
 
     def names_of(rows_: Column) -> Column:
-        heads = F.transform(F.slice(rows_, 1, 2 * PAGE), lambda x, i: F.when(like(x, r"(?i)^abstract\b") | like(noise_key(x), CHAPTER), -1).when(marker(x), i))
+        return let(title_span(rows_, F.col(title)), lambda span: names_beside(rows_, span))
+
+    def names_beside(rows_: Column, span: Column) -> Column:
+        def head(x: Column, i: Column) -> Column:
+            stop = like(x, r"(?i)^abstract\b") | like(noise_key(x), CHAPTER)
+            return F.when((i >= span["start"]) & (i < span["end"]), F.lit(None)).when(stop, -1).when(marker(x), i)
+
+        heads = F.transform(F.slice(rows_, 1, 2 * PAGE), head)
         first = F.get(F.filter(heads, lambda i: i.isNotNull()), F.lit(0))
-        block = let(title_end(rows_, F.col(title)), lambda end: F.when(end.isNotNull(), under(rows_, end)))
+        block = F.when(span.isNotNull(), under(rows_, span["end"]))
         return let(first, lambda at: F.when(at >= 0, marked(rows_, at)).otherwise(block))
 
     def once(names: Column) -> Column:

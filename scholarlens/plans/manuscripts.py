@@ -10,7 +10,7 @@ from scholarlens.functions.text import squeezed
 from scholarlens.operators.author_lines import detected_authors
 from scholarlens.operators.keyword_lines import detected_keywords
 from scholarlens.registry import query
-from scholarlens.sources.views import KEYWORDS_SQL, WORKS_SQL, read, works
+from scholarlens.sources.views import KEYWORDS_SQL, WORKS_SQL, keywords_of, read, title_of, works
 
 MONTHS = ["January", "March", "June", "October"]
 
@@ -107,7 +107,9 @@ def keyword_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def author_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Authors of each work set on a title page in four ways by its number: under "by", beside it, in one line by surnames, and in prose, which names nobody."""
     k = F.col("keywords")
-    rows = works(spark, sf_dir).filter(F.size(k) == 5).select("id", "title", F.get(k, F.lit(0)).alias("x"), F.get(k, F.lit(1)).alias("y"))
+    # the keywords go through a generator, so that no filter computes them again
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.explode(F.array(keywords_of("text"))).alias("keywords"))
+    rows = rows.filter(F.size(k) == 5).select("id", title_of("text").alias("title"), F.get(k, F.lit(0)).alias("x"), F.get(k, F.lit(1)).alias("y"))
     rows = rows.filter(F.concat("x", "y").rlike("^[a-z]+$"))
 
     def capital(word: str):
@@ -122,7 +124,9 @@ def author_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("Researchers used the old way.\n"), a, F.lit(" B. "), b))
     )
     made = rows.select("id", "title", F.concat("title", F.lit("\n"), given).alias("page"))
-    return detected_authors(made, "page", "title").select("id", F.array_join("found_authors", "; ").alias("authors"))
+    found = detected_authors(made, "page", "title").select("id", F.array_join("found_authors", "; ").alias("authors"))
+    # a work is a row of documents and labels; the names go through that join, not the texts
+    return found.join(read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), "id", "left")
 
 
 PROGRAMS = {"AUTOMOBILE": "bscs", "BUILDING": "bsit", "FURNITURE": "bsis"}

@@ -1,6 +1,12 @@
+import os
+
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from scholarlens import registry
 from scholarlens.operators.author_lines import detected_authors, in_page_order
+from tests.oracles import TABLES, oracle_rows, rows_of
 
 T = "Smart Farm Monitoring System\nfor Small Towns"
 #: (title page, names): marked and unmarked blocks, and pages on which nobody can be told.
@@ -42,6 +48,40 @@ def test_authors_of_many_layouts(spark):
     assert bare.found_authors == [] and detected_authors(rows.limit(0), "body", "title").collect() == []
 
 
+#: (title, page, names): titles that begin or end as a marker, a heading or a name does.
+TITLES = [
+    ("By Farms Of Towns. A.", "By Farms Of Towns. A.\nby\n\nJuan Cruz\nMaria Santos", ["Juan Cruz", "Maria Santos"]),
+    ("By The Town", "By The Town\nSubmitted by: Juan Cruz", ["Juan Cruz"]),
+    ("By", "By\nby\nJuan Cruz", ["Juan Cruz"]),
+    ("Abstract Art of Towns", "Abstract Art of Towns\nby\nJuan Cruz", ["Juan Cruz"]),
+    ("Introduction", "\nIntroduction\nResearchers: Cruz, Juan P. Santos, Maria", ["Cruz, Juan P.", "Santos, Maria"]),
+    ("Smart Farms by the Sea and\nby Ana Lim", "Head\nSmart Farms by the Sea and\n\nby Ana Lim\nby\nJuan Cruz", ["Juan Cruz"]),
+    ("By Ana Lim", "By Ana Lim\nJuan P. Cruz\nMaria L. Santos", ["Juan P. Cruz", "Maria L. Santos"]),
+    ("By Ana Lim", "By Ana Lim\nthe work", []),
+    ("Other", "By Ana Lim\nJuan Cruz", ["Ana Lim", "Juan Cruz"]),
+    ("Farms", "by Ana Lim\nFarms\nJuan P. Cruz", ["Ana Lim"]),
+    ("Farms", "Farms\nAbstract\nby\nJuan Cruz", []),
+]
+
+
+def test_lines_of_the_title_are_no_markers(spark):
+    rows = spark.createDataFrame([(k, t, p) for k, (t, p, _) in enumerate(TITLES)], "id int, title string, body string")
+    got = {r.id: r.found_authors for r in detected_authors(rows, "body", "title").collect()}
+    assert got == {k: names for k, (_, _, names) in enumerate(TITLES)}
+
+
+def test_author_blocks_equal_their_sql_whatever_a_title_begins_with(spark, sf_dir, tmp_path):
+    heads = ["By steant hewh be ininen. Onthes atst. To. A.", "By The Hewh", "BY", "Abstract of it", "ABSTRACT", "Introduction.", "Submitted by Dr. Hewh", "Prepared by", "Chapter 1", "By: Hewh, A.", "The old way"]
+    texts = [f"{head}\nthtiones thedthtion erinnde whntther thingand" for head in heads for _ in range(4)] + [None, "", "by"]
+    labels = [i for i in range(0, len(texts), 3)] + [0, 9]
+    pq.write_table(pa.table({"doc_id": range(len(texts)), "text": texts, "lang": ["en"] * len(texts), "source": ["s"] * len(texts)}), tmp_path / "documents.parquet")
+    pq.write_table(pa.table({"doc_id": labels, "quality": [1] * len(labels)}), tmp_path / "labels.parquet")
+    for name in set(TABLES) - {"documents", "labels"}:
+        os.symlink(f"{sf_dir}/{name}.parquet", tmp_path / f"{name}.parquet")
+    want = oracle_rows(registry.oracle_sql()["author_blocks"], str(tmp_path))
+    assert len(want[1]) == 46 and rows_of(registry.queries()["author_blocks"](spark, str(tmp_path))) == want
+
+
 def test_order_on_the_page(spark):
     cases = [
         (["B C", "A B"], ["x A.B. y", "B C"], ["A B", "B C"]),
